@@ -7,12 +7,11 @@ contiguous slice of pi. Bands of coordinates are hashed to buckets, and document
 bucket are candidates; links are confirmed by the exact Jaccard similarity of full shingle sets.
 
 Large groups: documents with the same shingle set are one node. Inside a bucket nobody is
-compared with everybody. Each bucket's most central member (the one whose buckets are largest)
-and its smallest one are compared with the others, and the links found are joined into
-components. What is left is lossless: only buckets that still hold several components are
-opened, only members outside the bucket's largest component are compared, and, as
-1 - Jaccard is a metric, only with members whose distance to the bucket's centre differs by
-no more than a link's distance.
+compared with everybody. Each bucket's most central member (the one whose buckets are largest) is
+compared with the others, and the links found are joined into components. What is left is
+lossless: of the nodes around one centre, those outside the largest component are compared with
+the rest, in bounded blocks that give out links alone. As 1 - Jaccard is a metric, only nodes
+whose distances to the centre differ by no more than a link's distance are compared.
 
 Defined cases: a null or empty text, or one of white space alone, has an empty set, is linked
 with nothing and kept. A text of fewer words than a shingle has one shingle, the whole
@@ -112,24 +111,67 @@ def _pair(a: Column, b: Column) -> list[Column]:
     return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
 
-def similarities(docs: DataFrame, pairs: DataFrame, k: int, name: str) -> DataFrame:
-    """a, b, shared and united sizes of each distinct pair of nodes, on full sets."""
-    pairs = materialize(pairs.distinct(), f"{name}-pairs")
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    sets = materialize(shingle_sets(docs.select("doc_id", "text").join(wanted, "doc_id", "left_semi"), k), f"{name}-sets")
-    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), "a").join(
-        sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb")), "b"
-    )
-    shared = F.size(F.array_intersect("sa", "sb")).cast("long")
-    out = both.select("a", "b", shared.alias("shared"), (F.size("sa") + F.size("sb")).alias("total"))
-    return materialize(out.select("a", "b", "shared", (F.col("total") - F.col("shared")).alias("united")), f"{name}-similar")
-
-
-def links_of(similar: DataFrame, percent: int) -> DataFrame:
-    return similar.where(100 * F.col("shared") >= percent * F.col("united")).select("a", "b")
-
-
-def components(docs: DataFrame, k: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+def _block_links(percent: int):
+    """Links between the rows of one block that are asked (side y) and its others (side x)."""
+
+    def run(block: pa.Table) -> pa.Table:
+        side = np.asarray(block["asked"])
+        node, component = np.asarray(block["node"]), np.asarray(block["component"])
+        sets = [np.asarray(s.values) for s in block["shingles"]]
+        xs = np.flatnonzero(~side)
+        out: list[tuple[int, int]] = []
+        if len(xs) and side.any():
+            values, place = np.unique(np.concatenate([sets[i] for i in xs]), return_inverse=True)
+            sizes = np.array([len(sets[i]) for i in xs])
+            starts = np.cumsum(sizes) - sizes
+            held = np.zeros(len(values), np.int64)
+            for y in np.flatnonzero(side):
+                at = np.searchsorted(values, sets[y])
+                at = at[at < len(values)]
+                at = at[np.isin(values[at], sets[y])]
+                held[at] = 1
+                shared = np.add.reduceat(held[place], starts)
+                held[at] = 0
+                near = (100 * shared >= percent * (sizes + len(sets[y]) - shared)) & (component[xs] != component[y])
+                # One link to each other component is enough.
+                _, first = np.unique(component[xs[near]], return_index=True)
+                out += [(int(node[y]), int(node[xs[near][i]])) for i in first]
+        return pa.table({"a": pa.array([p[0] for p in out], pa.int64()), "b": pa.array([p[1] for p in out], pa.int64())})
+
+    return run
+
+
+def _settle(stars: DataFrame, found: DataFrame, sets: DataFrame, percent: int, block: int) -> DataFrame:
+    """Links that the comparisons with the centres missed. ``stars`` has centre, node and far.
+
+    With d = 1 - Jaccard, d(x, y) >= |d(x, centre) - d(y, centre)|, so nodes are laid into steps of
+    a link's distance, and those of neighbouring steps are compared. Nodes of a centre's largest
+    component are compared with those outside it, never with each other.
+    """
+    reach = 1 - percent / 100 + 1e-9
+    label = stars.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    count = label.groupBy("centre", "component").agg(F.count("*").alias("n"))
+    main = count.groupBy("centre").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.count("*").alias("kinds"))
+    opened = label.join(main.where("kinds > 1").select("centre", "main"), "centre")
+    opened = materialize(opened.withColumn("step", F.floor(F.col("far") / reach)), "minhash-open")
+    steps = F.explode(F.array(F.col("step") - 1, F.col("step"), F.col("step") + 1)).alias("step")
+    asked = opened.where("component != main").select("centre", steps, "node", "component")
+    nx = opened.groupBy("centre", "step").agg(F.count("*").alias("nx"), F.min("component").alias("lo"), F.max("component").alias("hi"))
+    ny = asked.groupBy("centre", "step").agg(F.count("*").alias("ny"), F.min("component").alias("ylo"), F.max("component").alias("yhi"))
+    # A cell whose rows are all of one component has nothing to find.
+    cells = nx.join(ny, ["centre", "step"]).where("lo != hi or ylo != yhi or lo != ylo")
+    blocks = lambda n: F.ceil(F.col(n) / block).cast("int")
+    cells = materialize(cells.select("centre", "step", blocks("nx").alias("bx"), blocks("ny").alias("by")), "minhash-cells")
+    own = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
+    all_ = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    of_x = opened.join(cells, ["centre", "step"]).select("centre", "step", "node", "component", own("bx").alias("x"), all_("by").alias("y"), F.lit(False).alias("asked"))
+    of_y = asked.join(cells, ["centre", "step"]).select("centre", "step", "node", "component", all_("bx").alias("x"), own("by").alias("y"), F.lit(True).alias("asked"))
+    rows = of_x.unionByName(of_y).join(sets, "node")
+    found_ = rows.groupBy("centre", "step", "x", "y").applyInArrow(_block_links(percent), "a long, b long")
+    return materialize(found_.select(*_pair(F.col("a"), F.col("b"))).distinct(), "minhash-more")
+
+
+def components(docs: DataFrame, k: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS, block: int = 256) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every row of ``docs`` (doc_id, text).
 
     component_id is the smallest doc_id that links reach, the document itself included.
@@ -145,19 +187,22 @@ def components(docs: DataFrame, k: int = 5, percent: int = 80, bands: int = BAND
     member = materialize(placed.join(shared, "bucket"), "minhash-members")
 
     central = member.groupBy("node").agg(F.sum("size").alias("weight"))
-    centre = (
-        member.join(central, "node")
-        .groupBy("bucket")
-        .agg(F.max_by("node", F.struct("weight", -F.col("node"))).alias("centre"), F.min("node").alias("first"))
-    )
-    starred = materialize(member.select("bucket", "node").join(centre, "bucket"), "minhash-stars")
-    hub = starred.select("node", F.explode(F.array("centre", "first")).alias("hub")).where("node != hub")
-    similar = similarities(docs, hub.select(*_pair(F.col("node"), F.col("hub"))), k, "minhash")
-    links = links_of(similar, percent)
+    centre = member.join(central, "node").groupBy("bucket").agg(F.max_by("node", F.struct("weight", -F.col("node"))).alias("centre"))
+    stars = member.select("bucket", "node").join(centre, "bucket").where("node != centre").select("centre", "node").distinct()
+    stars = materialize(stars, "minhash-stars")
+    wanted = stars.select(F.col("node").alias("doc_id")).unionByName(stars.select(F.col("centre").alias("doc_id"))).distinct()
+    sets = materialize(shingle_sets(docs.select("doc_id", "text").join(wanted, "doc_id", "left_semi"), k), "minhash-sets")
+    both = stars.join(sets, "node").join(sets.select(F.col("node").alias("centre"), F.col("shingles").alias("of_centre")), "centre")
+    shared = F.size(F.array_intersect("shingles", "of_centre")).cast("long")
+    both = both.select("centre", "node", shared.alias("shared"), (F.size("shingles") + F.size("of_centre")).alias("total"))
+    # Rows that share a doc_id may give a pair several times; its nearest texts count.
+    close = both.groupBy("centre", "node").agg(F.max(F.struct(F.col("shared") / (F.col("total") - F.col("shared")), "shared", "total")).alias("s"))
+    united = F.col("s.total") - F.col("s.shared")
+    close = close.select("centre", "node", (1 - F.col("s.shared") / united).alias("far"), (100 * F.col("s.shared") >= percent * united).alias("linked"))
+    close = materialize(close, "minhash-distances")
+    links = close.where("linked").select(*_pair(F.col("centre"), F.col("node")))
     found = connected_components(links, "minhash")
-
-    rest = similarities(docs, _unsettled(starred, similar, found, percent), k, "minhash-rest")
-    more = links_of(rest, percent)
+    more = _settle(close.select("centre", "node", "far"), found, sets, percent, block)
     if not more.isEmpty():
         found = connected_components(links.unionByName(more), "minhash-all")
 
@@ -180,34 +225,6 @@ def components(docs: DataFrame, k: int = 5, percent: int = 80, bands: int = BAND
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
-def _unsettled(starred: DataFrame, similar: DataFrame, found: DataFrame, percent: int) -> DataFrame:
-    """Pairs of one bucket that no link joins yet and that the distances to its centre allow.
-
-    With d = 1 - Jaccard, d(x, y) >= |d(x, centre) - d(y, centre)|, so a pair whose distances
-    differ by more than a link's is none. Members of a bucket's largest component are compared
-    with those outside it, never with each other.
-    """
-    reach = 1 - percent / 100
-    label = starred.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    count = label.groupBy("bucket", "component").agg(F.count("*").alias("n"))
-    main = count.groupBy("bucket").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.count("*").alias("kinds"))
-    opened = materialize(label.join(main.where("kinds > 1").select("bucket", "main"), "bucket"), "minhash-open")
-    pair = opened.where("node != centre").select("bucket", "node", *_pair(F.col("node"), F.col("centre")))
-    far = pair.join(similar, ["a", "b"]).select("bucket", "node", (1 - F.col("shared") / F.col("united")).alias("far"))
-    whole = opened.join(far.groupBy("bucket", "node").agg(F.min("far").alias("far")), ["bucket", "node"], "left")
-    whole = whole.withColumn("far", F.coalesce("far", F.lit(0.0))).withColumn("step", F.floor(F.col("far") / reach))
-    other = whole.select("bucket", "step", F.col("node").alias("y"), F.col("component").alias("cy"), F.col("far").alias("fy"))
-    minor = whole.where("component != main").select(
-        "bucket",
-        F.explode(F.array(F.col("step") - 1, F.col("step"), F.col("step") + 1)).alias("step"),
-        F.col("node").alias("x"),
-        F.col("component").alias("cx"),
-        F.col("far").alias("fx"),
-    )
-    near = minor.join(other, ["bucket", "step"]).where((F.col("cx") != F.col("cy")) & (F.abs(F.col("fx") - F.col("fy")) <= reach + 1e-9))
-    return near.select(*_pair(F.col("x"), F.col("y")))
-
-
 def dedup(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """``docs`` without the documents that are not the first of their component."""
     judged = components(docs, k, percent)
