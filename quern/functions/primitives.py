@@ -1,0 +1,102 @@
+"""Scalar feature primitives of one and two columns, as Spark columns.
+
+Each is (family, cost, part of the initial pool, builder). Builders take the columns, a scale of at
+least 1 and an epsilon of at least 1e-8.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+from typing import NamedTuple
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+from quern.functions.guards import clip
+
+SCALE, EPSILON = 8.0, 1e-3
+
+
+class Primitive(NamedTuple):
+    family: str
+    cost: float
+    initial: bool
+    build: Callable[..., Column]
+
+
+def _exp(z: Column) -> Column:
+    return F.exp(clip(z, -30, 30))
+
+
+# Names, families, costs and membership of the initial pool.
+UNARY: dict[str, Primitive] = {
+    "identity": Primitive("base", 1.0, True, lambda z, s, e: z),
+    "square": Primitive("poly", 2.0, True, lambda z, s, e: z * z),
+    "cube": Primitive("poly", 2.4, False, lambda z, s, e: z * z * z),
+    "pow4": Primitive("poly", 2.8, False, lambda z, s, e: z * z * z * z),
+    "pow5": Primitive("poly", 3.2, False, lambda z, s, e: z * z * z * z * z),
+    "pow6": Primitive("poly", 3.4, False, lambda z, s, e: z * z * z * z * z * z),
+    "sin": Primitive("trig", 2.0, True, lambda z, s, e: F.sin(z)),
+    "cos": Primitive("trig", 2.0, True, lambda z, s, e: F.cos(z)),
+    "tanh": Primitive("bounded", 2.0, True, lambda z, s, e: F.tanh(z)),
+    "softsign": Primitive("saturation", 2.7, False, lambda z, s, e: z / (F.abs(z) + s)),
+    "inverse_quadratic": Primitive("saturation", 3.0, False, lambda z, s, e: s * s / (z * z + s * s)),
+    "log1p_abs": Primitive("safe_log", 2.5, True, lambda z, s, e: F.log1p(F.abs(z))),
+    "log1p_square": Primitive("safe_log", 2.8, False, lambda z, s, e: F.log1p(z * z)),
+    "sqrt1p_abs": Primitive("safe_log", 2.7, False, lambda z, s, e: F.sqrt(F.abs(z) + 1)),
+    "exp_clip": Primitive("safe_exp", 2.5, True, lambda z, s, e: _exp(z / s)),
+    "softplus_clip": Primitive("safe_exp", 3.2, False, lambda z, s, e: F.log1p(_exp(z / s))),
+    "reciprocal_safe": Primitive("safe_ratio", 2.8, True, lambda z, s, e: 1 / (F.abs(z) + e)),
+    "gaussian_rbf": Primitive("radial", 3.0, False, lambda z, s, e: _exp(-(z / s) * (z / s))),
+    "laplace_rbf": Primitive("radial", 3.0, False, lambda z, s, e: _exp(-F.abs(z) / s)),
+}
+PAIR: dict[str, Primitive] = {
+    "mul": Primitive("interaction_basic", 3.0, True, lambda a, b, s, e: a * b),
+    "add": Primitive("linear_combo", 2.5, False, lambda a, b, s, e: a + b),
+    "safe_ratio": Primitive("interaction_ratio", 3.6, True, lambda a, b, s, e: a / (F.abs(b) + e)),
+    "safe_ratio_reverse": Primitive("interaction_ratio", 3.6, True, lambda a, b, s, e: b / (F.abs(a) + e)),
+    "square_left_mul": Primitive("interaction_poly", 3.8, False, lambda a, b, s, e: a * a * b),
+    "square_right_mul": Primitive("interaction_poly", 3.8, False, lambda a, b, s, e: a * b * b),
+    "mul_over_energy": Primitive("interaction_rational", 4.2, False, lambda a, b, s, e: a * b / (a * a + b * b + s * s)),
+    "tanh_right_mul": Primitive("interaction_compose", 4.0, False, lambda a, b, s, e: a * F.tanh(b)),
+    "softsign_right_mul": Primitive("interaction_saturation", 4.1, False, lambda a, b, s, e: a * b / (F.abs(b) + s)),
+    "inverse_quad_right_mul": Primitive("interaction_saturation", 4.3, False, lambda a, b, s, e: a * s * s / (b * b + s * s)),
+    "log_right_mul": Primitive("interaction_compose", 4.4, False, lambda a, b, s, e: a * F.log1p(F.abs(b))),
+    "exp_right_mul": Primitive("interaction_compose", 4.6, False, lambda a, b, s, e: a * _exp(b / s)),
+    "gaussian_right_mul": Primitive("interaction_radial", 4.4, False, lambda a, b, s, e: a * _exp(-(b / s) * (b / s))),
+    "softsign_product": Primitive("interaction_rational", 4.5, False, lambda a, b, s, e: a * b / (F.abs(a * b) + s)),
+    "sin_product": Primitive("interaction_compose", 4.0, False, lambda a, b, s, e: F.sin(a * b)),
+    "log_abs_product": Primitive("interaction_compose", 4.6, False, lambda a, b, s, e: F.log1p(F.abs(a * b))),
+    "sqrt_abs_product": Primitive("interaction_compose", 4.6, False, lambda a, b, s, e: F.sqrt(F.abs(a * b) + 1)),
+    "tanh_tanh_product": Primitive("interaction_compose", 4.4, False, lambda a, b, s, e: F.tanh(a) * F.tanh(b)),
+}
+
+
+def unary(name: str, z: Column, scale: float = SCALE, eps: float = EPSILON) -> Column:
+    return UNARY[name].build(z, F.lit(max(1.0, scale)), F.lit(max(1e-8, eps)))
+
+
+def pair(name: str, a: Column, b: Column, scale: float = SCALE, eps: float = EPSILON) -> Column:
+    return PAIR[name].build(a, b, F.lit(max(1.0, scale)), F.lit(max(1e-8, eps)))
+
+
+def named(family: str | None = None, initial: bool | None = None, pairs: bool = False) -> list[str]:
+    """Names of the primitives of a family, or of the initial pool."""
+    table = PAIR if pairs else UNARY
+    return [n for n, p in table.items() if (family is None or p.family == family) and (initial is None or p.initial == initial)]
+
+
+def binary_gate(x: Column, threshold: float) -> Column:
+    return (x >= threshold).cast("double")
+
+
+def soft_gate(x: Column, threshold: float, temperature: float = 1.0, eps: float = 1e-6) -> Column:
+    return 1 / (1 + F.exp(-(x - threshold) / max(temperature, eps)))
+
+
+def hinge(x: Column, knot: float, right: bool = True) -> Column:
+    return F.greatest(x - knot if right else knot - x, F.lit(0.0))
+
+
+def quantile_gate(x: Column, cut: Column) -> Column:
+    return 0.5 * (1 + F.tanh(8 * (x - cut)))

@@ -53,3 +53,13 @@ def release(spark: SparkSession) -> None:
 def bounded_batches(spark: SparkSession, records: int = 256) -> None:
     """Bound the rows of an Arrow batch, so that a batch of long texts stays small."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(records))
+
+
+def prune_joins(spark: SparkSession) -> None:
+    """Let Spark test a large table's join keys against a Bloom filter of the small side's.
+
+    Rows without a partner then go before the shuffle. Spark does so by itself above 10 GB; the
+    filter's size is bounded by Spark's own settings.
+    """
+    spark.conf.set("spark.sql.optimizer.runtime.bloomFilter.enabled", "true")
+    spark.conf.set("spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold", "1MB")
