@@ -6,6 +6,8 @@ by one task; a table without a key is one series.
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -139,9 +141,6 @@ def fit_linear(df: DataFrame, features: list[str], target: str, by: list[str], r
 
     Only the k x k sums of each series reach Python, a row for each series.
     """
-    import numpy as np
-    import pandas as pd
-
     k = len(features) + 1
 
     @F.pandas_udf("array<double>")
@@ -176,9 +175,6 @@ def autoregressive(df: DataFrame, y: str, order: str, by: list[str], lags: list[
 
 def granger_f(df: DataFrame, x: str, y: str, order: str, lag: int) -> DataFrame:
     """F statistic of adding ``lag`` lags of x to an autoregression of y, from residual sums."""
-    import numpy as np
-    import pandas as pd
-
     w = Window.orderBy(order)
     own, other = [f"y{k}" for k in range(1, lag + 1)], [f"x{k}" for k in range(1, lag + 1)]
     rows = df.select(F.col(y).alias("t"), *(F.lag(y, k).over(w).alias(f"y{k}") for k in range(1, lag + 1)), *(F.lag(x, k).over(w).alias(f"x{k}") for k in range(1, lag + 1)))

@@ -6,8 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from quern.plans import catalog_queries, feature_queries, measure_queries
+
 Query = Callable[[SparkSession, str], DataFrame]
-_MODULES: tuple = ()
+_MODULES = (measure_queries, feature_queries, catalog_queries)
 
 
 def queries() -> dict[str, Query]:
@@ -19,4 +21,4 @@ def oracle_sql() -> dict[str, str]:
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/lineitem.parquet").groupBy("l_returnflag").count()
+    return measure_queries.panel_rank_ic(spark, sf_dir)
