@@ -20,7 +20,9 @@ from __future__ import annotations
 
 import base64
 import codecs
-from collections.abc import Iterable, Iterator
+from array import array
+from collections.abc import Iterator, Sequence
+from itertools import chain
 from os.path import commonprefix
 
 import numpy as np
@@ -29,12 +31,12 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm.words import utf8
 from quern.runtime import bounded_batches
 
 MAX_VOCABULARY_BYTES = 64 << 20
-_MOST_STEPS = 200_000
-_MOST_PIECES = 300_000
+_MOST_STEPS = 100_000
+_MOST_FITS = 500_000
+_MOST_PIECES = 250_000
 _NONE = 1 << 60
 _RUN = 4096
 
@@ -79,10 +81,6 @@ class Transducer:
             self.token[at] = rank
         self.edges: dict[int, tuple] = {}
         self.fits: dict[int, bool] = {}
-        self.reset()
-
-    def reset(self) -> None:
-        """Forget the steps worked out so far."""
         start = (-1, (((), 0),))
         self.states = [start]
         self.number = {start: 0}
@@ -117,37 +115,54 @@ class Transducer:
         mine = self._edges(token)
         ok = mine is not None
         if ok and before >= 0:
+            rank_of = self.ranks.get
             for right, right_end in self._edges(before)[1]:
                 for left, left_end in mine[0]:
-                    rank = self.ranks.get(right + left, _NONE)
+                    rank = rank_of(right + left, _NONE)
                     if rank < right_end and rank <= left_end:
                         ok = False
-        if len(self.fits) > _MOST_STEPS:
+                        break
+                if not ok:
+                    break
+        if len(self.fits) > _MOST_FITS:
             self.fits.clear()
         self.fits[(before + 1) << 32 | token] = ok
         return ok
 
-    def _step(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
-        last, paths = self.states[state]
-        following, token_at, fits = self.next, self.token, self.fits
+    def _advance(self, last: int, paths, byte: int) -> list:
+        """The paths that survive a byte; the one that ends a token there comes last.
+
+        ``last`` is the token before all of them.
+        """
+        following, token_at, known = self.next, self.token, self.fits.get
         alive, ended = [], None
         for held, at in paths:
             to = following[at].get(byte)
-            if to is None:
-                continue
-            if following[to]:
-                alive.append((held, to))
-            token = token_at[to]
-            if ended is None and token >= 0:
-                before = held[-1] if held else last
-                ok = fits.get((before + 1) << 32 | token)
-                if self._fits(before, token) if ok is None else ok:
-                    ended = (*held, token), 0
+            if to is not None:
+                if following[to]:
+                    alive.append((held, to))
+                if ended is None:
+                    token = token_at[to]
+                    if token >= 0:
+                        before = held[-1] if held else last
+                        ok = known((before + 1) << 32 | token)
+                        if self._fits(before, token) if ok is None else ok:
+                            ended = (*held, token), 0
         alive.append(ended)
-        out = commonprefix([held for held, _ in alive]) if alive[0][0] else ()
-        if out:
-            last = out[-1]
-            alive = [(held[len(out) :], at) for held, at in alive]
+        return alive
+
+    @staticmethod
+    def _emit(last: int, alive: list) -> tuple[tuple[int, ...], int, list]:
+        """The tokens that all paths share, the last token given out, and what is left."""
+        head = alive[0][0]
+        if head and all(held and held[0] == head[0] for held, _ in alive):
+            out = commonprefix([held for held, _ in alive])
+            return out, out[-1], [(held[len(out) :], at) for held, at in alive]
+        return (), last, alive
+
+    def _step(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
+        last, paths = self.states[state]
+        out, last, alive = self._emit(last, self._advance(last, paths, byte))
         key = last, tuple(alive)
         to = self.number.get(key)
         if to is None:
@@ -157,21 +172,34 @@ class Transducer:
         return to, out
 
     def encode(self, piece: bytes) -> list[int]:
+        """Follows known steps; unknown ones are added while there is room, else taken unremembered."""
         if piece in self.ranks:
             return [self.ranks[piece]]
-        if len(self.steps) > _MOST_STEPS:
-            self.reset()
         out: list[int] = []
         state, steps = 0, self.steps
-        for byte in piece:
+        for i, byte in enumerate(piece):
             known = steps.get(state << 8 | byte)
-            state, emitted = known if known is not None else self._step(state, byte)
+            if known is None:
+                if len(steps) >= _MOST_STEPS:
+                    return out + self._rest(state, piece[i:])
+                known = self._step(state, byte)
+            state, emitted = known
             if emitted:
                 out += emitted
         if state:
             out += self.states[state][1][-1][0]
         return out
 
+    def _rest(self, state: int, tail: bytes) -> list[int]:
+        last, alive = self.states[state]
+        out: list[int] = []
+        for byte in tail:
+            alive = self._advance(last, alive, byte)
+            if len(alive[0][0]) > 8:
+                emitted, last, alive = self._emit(last, alive)
+                out += emitted
+        return [*out, *alive[-1][0]]
+
 
 def compile_pattern(pattern: str) -> regex.Pattern:
     """The pattern with white space as Unicode has it, in ``regex``'s terms."""
@@ -179,32 +207,32 @@ def compile_pattern(pattern: str) -> regex.Pattern:
 
 
 class _Pieces(dict):
-    """Piece to ids, bounded."""
+    """Piece to ids, bounded: when full, the pieces used since the last time are kept."""
 
     def __init__(self, ranks: dict[bytes, int]):
         super().__init__()
         self.transducer = Transducer(ranks)
+        self.older: dict[str, list[int]] = {}
 
     def __missing__(self, piece: str) -> list[int]:
-        if len(self) > _MOST_PIECES:
-            self.clear()
-        ids = self.transducer.encode(piece.encode())
+        ids = self.older.get(piece)
+        if ids is None:
+            ids = self.transducer.encode(piece.encode())
         if len(piece) <= 64:
+            if len(self) >= _MOST_PIECES:
+                self.older = dict(self)
+                self.clear()
             self[piece] = ids
         return ids
 
 
-def stream_bytes(ids: Iterable[int], bytes_of: dict[int, bytes]) -> Iterator[bytes]:
-    run: list[bytes] = []
-    for i in ids:
-        run.append(bytes_of[i])
-        if len(run) == _RUN:
-            yield b"".join(run)
-            run = []
-    yield b"".join(run)
+def stream_bytes(ids: Sequence[int], bytes_of: dict[int, bytes]) -> Iterator[bytes]:
+    """The bytes of ``ids``, a run of tokens at a time."""
+    for at in range(0, len(ids), _RUN):
+        yield b"".join(map(bytes_of.__getitem__, ids[at : at + _RUN]))
 
 
-def stream_text(ids: Iterable[int], bytes_of: dict[int, bytes]) -> Iterator[str]:
+def stream_text(ids: Sequence[int], bytes_of: dict[int, bytes]) -> Iterator[str]:
     """The text of ``ids``, piece by piece; only whole characters are given out."""
     machine = codecs.getincrementaldecoder("utf-8")("surrogateescape")
     for run in stream_bytes(ids, bytes_of):
@@ -242,13 +270,12 @@ def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces, splitter = _tools(shipped, pattern)
         for batch in batches:
-            ids = []
+            ids, ends = array("i"), [0]
             for text in batch.column(1).to_pylist():
-                own: list[int] = []
-                for found in map(pieces.__getitem__, splitter.findall(text or "")):
-                    own += found
-                ids.append(np.array(own, dtype=np.int32))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "ids"])
+                ids.extend(chain.from_iterable(map(pieces.__getitem__, splitter.findall(text or ""))))
+                ends.append(len(ids))
+            listed = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(ids, dtype=np.int32)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), listed], names=["doc_id", "ids"])
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, ids array<int>")
 
@@ -260,7 +287,9 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         (bytes_of,) = _tools(shipped, None)
         for batch in batches:
-            texts = ["".join(stream_text(i or (), bytes_of)).encode("utf-8", "surrogateescape") for i in batch.column(1).to_pylist()]
+            listed = batch.column(1)
+            ids, ends = listed.values.to_numpy(), listed.offsets.to_numpy()
+            texts = ["".join(stream_text(ids[a:b].tolist(), bytes_of)).encode("utf-8", "surrogateescape") for a, b in zip(ends[:-1], ends[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.binary())], names=["doc_id", "ids", "text"])
 
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids array<int>, text binary")
