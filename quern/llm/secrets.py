@@ -8,7 +8,7 @@ letters and digits, is a span of kind ``random`` unless a base span covers part
 
 Labelled samples: random strings are drawn over the alphabets that keys use, by a seeded
 generator, so that all executors agree. Ordinary ones are taken from the first rows of the
-corpus (at most ``SAMPLE_ROWS`` texts, the bound of this fit), as they are and joined
+corpus (at most ``SAMPLE_BATCHES`` * ``BATCH_ROWS`` texts, the bound of this fit), as they are and joined
 into identifiers in the usual styles. Runs that the base patterns match are left out of them.
 
 Defined cases: a null text has no spans, like an empty one. Offsets count code points, ends are
@@ -34,13 +34,20 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")  # runs are maximal, so this drops exactly the shorter ones
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
-SAMPLE_ROWS = 2000
+#: Texts of the labelled sample, at most: batches times rows of each.
+SAMPLE_BATCHES, BATCH_ROWS = 8, 256
 RANDOM_STRINGS = 20_000
 #: Mean log-likelihood ratio (nats a character) from which a run counts as random.
 THRESHOLD = 1.0
 _DIGITS, _LOWER = "0123456789", "abcdefghijklmnopqrstuvwxyz"
 ALPHABETS = (_DIGITS + "abcdef", _DIGITS + _LOWER, _DIGITS + _LOWER.upper(), _DIGITS + _LOWER + _LOWER.upper(), _DIGITS + _LOWER + _LOWER.upper() + "+/")
-IDENTIFIERS = ("get_default_value", "HttpRequestHandler", "max_retry_count", "userAccountManager", "config-file-path", "content_type_2", "utf8_decode")
+IDENTIFIERS = (
+    "get_default_value HttpRequestHandler max_retry_count userAccountManager config-file-path content_type_2 utf8_decode FactoryBean2 "
+    "createSessionToken parseInputStream database_connection_pool background-color first_name lastModifiedTimestamp IllegalArgumentException "
+    "org-springframework-context window-scroll-position EventListener1 test_case_12 backup2024 index-page-3 application_settings version_10_3"
+).split()
+#: Times that each built-in identifier counts.
+BUILT_IN = 20
 
 
 def _base(text: str) -> list[tuple[int, int, int]]:
@@ -86,25 +93,26 @@ def ordinary_samples(text: str) -> list[str]:
     return out
 
 
-def train(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> np.ndarray:
+def train(docs: DataFrame, sample_batches: int = SAMPLE_BATCHES) -> np.ndarray:
     """Log-likelihood ratios by pair of characters, from labelled samples (see above).
 
-    The sample's texts are counted where they lie; only the counts, at most 128 * 128, are gathered.
+    Each batch of texts is counted where it lies. Collecting a limit of batches reads no more
+    partitions than it needs, and gives the driver at most 128 * 128 counts a batch.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(128 * 128, np.int64)
         for batch in batches:
+            total = np.zeros(128 * 128, np.int64)
             for text in batch.column(0).to_pylist():
                 total += pair_counts(ordinary_samples(text or ""))
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_pydict({"pair": pa.array(at), "n": pa.array(total[at])})
-
-    bounded_batches(docs.sparkSession)
-    seen = docs.select(F.col("text").cast("string")).limit(sample_rows).mapInArrow(run, "pair long, n long")
-    ordinary = pair_counts(list(IDENTIFIERS))
-    for pair, n in seen.groupBy("pair").agg(F.sum("n")).collect():
-        ordinary[pair] += n
+            at = np.flatnonzero(total)
+            yield pa.RecordBatch.from_pydict({"pair": pa.array([at]), "n": pa.array([total[at]])})
+
+    bounded_batches(docs.sparkSession, BATCH_ROWS)
+    ordinary = pair_counts(IDENTIFIERS * BUILT_IN)
+    seen = docs.select(F.col("text").cast("string")).mapInArrow(run, "pair array<long>, n array<long>")
+    for pair, n in seen.limit(sample_batches).collect():
+        ordinary[pair] += np.array(n, dtype=np.int64)
     return log_model(pair_counts(random_samples())) - log_model(ordinary)
 
 
@@ -144,9 +152,9 @@ def find(docs: DataFrame, ratio: np.ndarray) -> DataFrame:
     )
 
 
-def scan(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+def scan(docs: DataFrame, sample_batches: int = SAMPLE_BATCHES) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_sha256 and spans of every row of ``docs``."""
-    return find(docs, train(docs, sample_rows)).select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base", 256).alias("base_sha256"), "spans")
+    return find(docs, train(docs, sample_batches)).select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base", 256).alias("base_sha256"), "spans")
 
 
 def blank(text: str | None, ratio: np.ndarray) -> str | None:
@@ -159,10 +167,10 @@ def blank(text: str | None, ratio: np.ndarray) -> str | None:
     return "".join([*out, text[at:]]) if out else text
 
 
-def redact(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+def redact(docs: DataFrame, sample_batches: int = SAMPLE_BATCHES) -> DataFrame:
     """``docs`` with the secrets in text blanked and n_chars, where there is one, made to fit."""
     bounded_batches(docs.sparkSession)
-    ratio = train(docs, sample_rows)
+    ratio = train(docs, sample_batches)
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
