@@ -7,6 +7,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.llm import bpe, decontaminate, html_text, language_id, minhash_dedup, quality, secrets, substring_dedup, url_filter, warc
+from quern.llm.oracles import ORACLES
+
+__all__ = ["ORACLES", "QUERIES"]
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
@@ -79,5 +82,3 @@ QUERIES = {
         op10_quality,
     )
 }
-
-ORACLES: dict[str, str] = {"op6_url_filter": url_filter.oracle()}
