@@ -36,6 +36,7 @@ from quern.runtime import bounded_batches, materialize, shared_path
 
 MAGIC = b"\x1f\x8b\x08"
 RANGE_BYTES = 32 << 20
+MAX_TASKS = 50_000
 _CHUNK = 1 << 18
 _VERSION = b"WARC/1."
 RECORDS = "path string, offset long, page_id string, record_type string, uri string, payload_digest string, payload_bytes long, refers_to string, payload binary"
@@ -228,8 +229,9 @@ def read(files: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame:
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
 
-    n = max(1, ranges.sparkSession.sparkContext.defaultParallelism)
-    return ranges.repartition(n, "path", "start").mapInArrow(run, RECORDS)
+    # A task for each range, as far as a scheduler bears; rows so small would else be put in one.
+    n = files.agg(F.sum(F.ceil(F.greatest(F.col("bytes"), F.lit(1)) / range_bytes))).first()[0] or 1
+    return ranges.repartition(int(min(n, MAX_TASKS)), "path", "start").mapInArrow(run, RECORDS)
 
 
 def archive(spark: SparkSession, pages: DataFrame, least: int = 0) -> DataFrame:
