@@ -32,8 +32,9 @@ def encode(df: DataFrame, key: str, column: str, vocab: DataFrame, max_length: i
     Tokens meet the vocabulary in a join, so neither has to fit one task.
     """
     tokens = df.select(key, F.posexplode(F.slice(tokenize(F.col(column)), 1, max_length)).alias("pos", "token"))
-    found = tokens.join(vocab.select("token", "id"), "token", "left").select(key, F.struct("pos", F.coalesce("id", F.lit(1)).alias("id")).alias("t"))
-    own = found.groupBy(key).agg(F.transform(F.sort_array(F.collect_list("t")), lambda t: t["id"]).alias("ids"))
+    listed = vocab.select(F.col("token"), F.col("id").alias("_id"))
+    found = tokens.join(listed, "token", "left").select(key, F.struct("pos", F.coalesce("_id", F.lit(1)).alias("_id")).alias("t"))
+    own = found.groupBy(key).agg(F.transform(F.sort_array(F.collect_list("t")), lambda t: t["_id"]).alias("ids"))
     rows = df.select(key).distinct().join(own, key, "left")
     none = F.array().cast("array<bigint>")
     mark = lambda use, i: F.array(F.lit(i).cast("long")) if use else none
