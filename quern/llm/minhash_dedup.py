@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from quern.llm import words as W
 from quern.llm.components import connected_components
-from quern.runtime import bounded_batches, materialize
+from quern.runtime import bounded_batches, materialize, prune_joins
 
 UNIVERSE = 1 << 20
 BANDS, ROWS = 48, 6
@@ -178,6 +178,7 @@ def components(docs: DataFrame, k: int = 5, percent: int = 80, bands: int = BAND
     """
     spark = docs.sparkSession
     bounded_batches(spark)
+    prune_joins(spark)
     rows_ = materialize(profile(docs, k, bands, rows), "minhash-profile")
     full = rows_.where(F.col("doc_id").isNotNull() & F.col("digest").isNotNull())
     same = materialize(full.groupBy("digest").agg(F.min("doc_id").alias("node"), F.min_by("buckets", "doc_id").alias("buckets")), "minhash-nodes")
@@ -190,7 +191,8 @@ def components(docs: DataFrame, k: int = 5, percent: int = 80, bands: int = BAND
     centre = member.join(central, "node").groupBy("bucket").agg(F.max_by("node", F.struct("weight", -F.col("node"))).alias("centre"))
     stars = member.select("bucket", "node").join(centre, "bucket").where("node != centre").select("centre", "node").distinct()
     stars = materialize(stars, "minhash-stars")
-    wanted = stars.select(F.col("node").alias("doc_id")).unionByName(stars.select(F.col("centre").alias("doc_id"))).distinct()
+    wanted = stars.select(F.explode(F.array("node", "centre")).alias("doc_id")).groupBy("doc_id").agg(F.count("*").alias("n"))
+    wanted = materialize(wanted, "minhash-wanted").where("n > 0")
     sets = materialize(shingle_sets(docs.select("doc_id", "text").join(wanted, "doc_id", "left_semi"), k), "minhash-sets")
     both = stars.join(sets, "node").join(sets.select(F.col("node").alias("centre"), F.col("shingles").alias("of_centre")), "centre")
     shared = F.size(F.array_intersect("shingles", "of_centre")).cast("long")
