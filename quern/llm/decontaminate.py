@@ -1,6 +1,6 @@
 """Benchmark items in documents, re-parameterised ones included, by template windows.
 
-Texts are canonicalised to templates: words lower-cased without outer punctuation, numbers, names
+Texts are canonicalised to templates: the letters and digits of words, lower-cased, with numbers, names
 (capitalised words inside a sentence, runs of them as one) and units (behind a number)
 replaced by typed placeholders, whose words are kept as slots. Windows of ``WINDOW`` template words
 of the documents are hash-joined with those of the items. An item's windows that line up with a
@@ -22,7 +22,6 @@ item_id are ignored. Other columns are kept by ``clean`` and never looked at.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,89 +29,113 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.words import U64, mix, powers
+from quern.llm.words import U64, groups, mix, powers
 from quern.runtime import bounded_batches, materialize
 
-WINDOW = 8
+WINDOW = 5
 MIN_WORDS = 3
-MIN_LITERALS = 4
+MIN_LITERALS = 3
 MIN_PERCENT = 50
-BITMAP_BITS = 1 << 20
+BITMAP_BITS = 1 << 23
 UNITS = frozenset(
     "mm cm m km in ft yd mi mg g kg t lb lbs oz ml cl l s sec min h hr hrs hour hours minute minutes second seconds day days week weeks month months "
     "year years percent % kmh mph km/h m/s hz khz mhz ghz w kw mw v kv a j kj cal kcal n pa kpa bar k °c °f c f usd eur gbp dollars euros pounds cents "
     "meters metres kilometers kilometres grams kilograms liters litres miles feet inches".split()
 )
-_NUMBER = re.compile(r"[+-]?[$€£]?\d[\d.,:/]*%?$")
-_OUTER = re.compile(r"^[^\w$€£%°+-]+|[^\w%°]+$")
-_LITERAL, _NUM, _UNIT, _CAP = 0, 1, 2, 3
-_NAME_HASH, _NUM_HASH, _UNIT_HASH = 0x1A2B, 0x3C4D, 0x5E6F
-_MOST_WORDS = 300_000
+_LITERAL, _NUM, _NONE = 0, 1, -1
+_NAME_HASH, _NUM_HASH, _UNIT_HASH = U64(0x1A2B), U64(0x3C4D), U64(0x5E6F)
 _BASE = 0xD6E8FEB86659FD93
-
-
-class _Lexicon(dict):
-    """Number of each raw word, with its kind, hash, core and whether a sentence ends behind it."""
-
-    def __init__(self):
-        super().__init__()
-        self.cores: list[str] = []
-        self.kinds: list[int] = []
-        self.hashes: list[int] = []
-        self.ends: list[bool] = []
-
-    def __missing__(self, raw: str) -> int:
-        core = _OUTER.sub("", raw)
-        low = core.lower()
-        if _NUMBER.match(core):
-            kind, hashed = _NUM, _NUM_HASH
-        else:
-            kind = _UNIT if low in UNITS else _CAP if core[:1].isupper() and core[1:].islower() else _LITERAL
-            hashed = _text_hash(low)
-        n = self[raw] = len(self.cores)
-        self.cores.append(low)
-        self.kinds.append(kind if core else -1)
-        self.hashes.append(hashed)
-        self.ends.append(raw.rstrip("\"')]}»”’")[-1:] in (".", "!", "?", ":", ";", "…", "。"))
-        return n
-
-
-def _text_hash(word: str) -> int:
-    out = 0xCBF29CE484222325
-    for byte in word.encode("utf-8", "surrogatepass"):
-        out = (out ^ byte) * 0x100000001B3 % 2**64
-    return out
+#: Properties of the code points of most texts; those beyond are looked up one by one.
+_TOP = 0x3000
+_CHARS = [chr(c) for c in range(_TOP)]
+_SPACES = np.array([c.isspace() for c in _CHARS])
+_ALNUM = np.array([c.isalnum() for c in _CHARS])
+_DIGIT = np.array([c.isdigit() for c in _CHARS])
+_UPPER = np.array([c.isupper() for c in _CHARS])
+_LOWER = np.array([ord(low) if len(low := c.lower()) == 1 and ord(low) < _TOP else ord(c) for c in _CHARS], dtype=np.uint32)
+_ENDS = np.isin(np.arange(_TOP), [ord(c) for c in ".!?:;…"])
+_VALUE = np.random.Generator(np.random.PCG64(77)).integers(1, 2**64 - 1, size=_TOP, dtype=np.uint64)
+
+
+def _properties(codes: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Space, letter or digit, digit, upper case, sentence end, and a random value of the lower-cased character."""
+    rare = codes >= _TOP
+    if not rare.any():
+        return _SPACES[codes], _ALNUM[codes], _DIGIT[codes], _UPPER[codes], _ENDS[codes], _VALUE[_LOWER[codes]]
+    near = np.where(rare, 0, codes)
+    kinds, which = np.unique(codes[rare], return_inverse=True)
+    chars = [chr(c) for c in kinds.tolist()]
+    own = [np.array([f(c) for c in chars]) for f in (str.isspace, str.isalnum, str.isdigit, str.isupper, lambda c: c in "。！？")]
+    out = [t[near] for t in (_SPACES, _ALNUM, _DIGIT, _UPPER, _ENDS)]
+    for full, part in zip(out, own, strict=True):
+        full[rare] = part[which]
+    value = _VALUE[_LOWER[near]]
+    low = np.array([ord(c.lower()) if len(c.lower()) == 1 else ord(c) for c in chars], dtype=np.uint64)
+    value[rare] = mix(low + U64(1))[which]
+    return (*out, value)
+
+
+def _core(raw: str) -> str:
+    return "".join(c for c in raw if c.isalnum()).lower()
 
 
 class Templates:
-    """Turns texts into hashed template words."""
-
-    def __init__(self):
-        self.words = _Lexicon()
-
-    def __call__(self, text: str | None) -> tuple[np.ndarray, np.ndarray, list[int]]:
-        """Template hashes, a mark where each is a slot, and the number of each one's first word."""
-        if len(self.words) > _MOST_WORDS:
-            self.words = _Lexicon()
-        raw = (text or "").split()
-        numbers = np.fromiter(map(self.words.__getitem__, raw), np.int64, len(raw))
-        if not len(raw):
-            return np.empty(0, np.uint64), np.empty(0, bool), []
-        low, high = int(numbers.min()), int(numbers.max()) + 1
-        kind = np.array(self.words.kinds[low:high], np.int8)[numbers - low]
-        hashed = np.array(self.words.hashes[low:high], np.uint64)[numbers - low]
-        ends = np.array(self.words.ends[low:high], bool)[numbers - low]
-        some = kind >= 0  # words of punctuation alone go
-        before_ends = np.concatenate([[True], ends[:-1]])
-        name = (kind == _CAP) & ~before_ends
-        unit = (kind == _UNIT) & np.concatenate([[False], kind[:-1] == _NUM])
-        follows = name & np.concatenate([[False], name[:-1]])
-        hashed[name], hashed[unit] = _NAME_HASH, _UNIT_HASH
-        keep = some & ~follows
-        return mix(hashed[keep]), ((kind == _NUM) | name | unit)[keep], numbers[keep].tolist()
-
-    def slots(self, numbers: list[int], marks: np.ndarray, at: int, size: int) -> list[str]:
-        return [self.words.cores[numbers[i]] for i in range(at, at + size) if marks[i]]
+    """The template words of several texts, one text after the other.
+
+    ``hashes`` has a hash of each, ``slot`` marks placeholders, ``owner`` is the text each is of.
+    """
+
+    def __init__(self, texts: list[str | None]):
+        self.text = " ".join([t or "" for t in texts]) + " "
+        codes = np.frombuffer(self.text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+        space, alnum, digit, upper, ends, value = _properties(codes)
+        first = ~space
+        first[1:] &= space[:-1]
+        self.starts = at = np.flatnonzero(first)
+        if not len(at):
+            self.hashes, self.slot, self.owner, self.places = np.empty(0, np.uint64), np.empty(0, bool), np.empty(0, np.int64), at
+            return
+        # How many letters or digits of its word stand before each character.
+        before = np.cumsum(alnum) - alnum
+        within = np.zeros(len(codes), np.int64)
+        within[at[0] :] = before[at[0] :] - np.repeat(before[at], np.diff(np.append(at, len(codes))))
+        value[~alnum] = 0
+        value *= powers(_BASE, int(within.max()) + 1)[within]
+        total = lambda flags: np.add.reduceat(flags, at, dtype=np.int64)
+        place = np.arange(len(codes))
+        latest = lambda flags: np.maximum.reduceat(np.where(flags, place, -1), at)
+        letters, digits, capitals = total(alnum), total(digit), total(upper)
+        leading = total(upper & alnum & (within == 0)) > 0
+        hashed = mix(np.add.reduceat(value, at))
+        kind = np.where(letters == 0, _NONE, np.where(digits == letters, _NUM, _LITERAL))
+        sizes = np.fromiter((len(t or "") + 1 for t in texts), np.int64, len(texts))
+        owner = np.searchsorted(np.cumsum(sizes), at, side="right")
+        closed = np.concatenate([[True], (latest(ends) > latest(alnum))[:-1] | (owner[1:] != owner[:-1])])
+        name = leading & (capitals == 1) & (letters > 1) & ~closed
+        unit = np.concatenate([[False], (kind[:-1] == _NUM) & (owner[1:] == owner[:-1])]) & np.isin(hashed, _UNIT_HASHES)
+        name &= ~unit
+        keep = kind != _NONE
+        keep[1:] &= ~(name[1:] & name[:-1])
+        number = kind == _NUM
+        hashed[number], hashed[name], hashed[unit] = _NUM_HASH, _NAME_HASH, _UNIT_HASH
+        self.places = np.flatnonzero(keep)
+        self.hashes, self.slot, self.owner = mix(hashed[keep]), (number | name | unit)[keep], owner[keep]
+
+    def slots(self, at: int, size: int) -> list[str]:
+        """The words in the placeholders of the window at ``at``."""
+        out = []
+        for i in range(at, at + size):
+            if self.slot[i]:
+                k = self.places[i]
+                end = self.starts[k + 1] if k + 1 < len(self.starts) else len(self.text)
+                out.append(_core(self.text[self.starts[k] : end]))
+        return out
+
+    def windows(self, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """Starts and hashes of all windows of ``size`` that lie in one text."""
+        rolled = _rolling(self.hashes, size)
+        at = np.flatnonzero(self.owner[: len(rolled)] == self.owner[size - 1 :]) if len(rolled) else np.empty(0, np.int64)
+        return at, rolled[at]
 
 
 def _rolling(hashes: np.ndarray, size: int) -> np.ndarray:
@@ -130,22 +153,30 @@ def _literals(marks: np.ndarray, size: int) -> np.ndarray:
     return sums[size:] - sums[:-size]
 
 
+def _word_hash(word: str) -> np.uint64:
+    letters = np.array([c for c in map(ord, _core(word))], dtype=np.int64)
+    values = np.array([_VALUE[_LOWER[c]] if c < _TOP else mix(np.array([c + 1], np.uint64))[0] for c in letters], np.uint64)
+    return mix(np.array([(values * powers(_BASE, len(letters))).sum(dtype=np.uint64)], np.uint64))[0]
+
+
+_UNIT_HASHES = np.array(sorted(_word_hash(u) for u in UNITS if _core(u)), dtype=np.uint64)
+
+
 def item_windows(items: DataFrame, window: int = WINDOW) -> DataFrame:
     """window (hash), size, item_id, idx, total and slots of the items' template windows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of = Templates()
         for batch in batches:
             rows = []
             for item, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                hashes, marks, numbers = of(text)
-                size = min(window, len(hashes))
+                made = Templates([text])
+                size = min(window, len(made.hashes))
                 if size < MIN_WORDS:
                     continue
-                plain = _literals(marks, size) >= min(MIN_LITERALS, size)
+                rolled = made.windows(size)[1].view(np.int64)
+                plain = _literals(made.slot, size) >= min(MIN_LITERALS, size)
                 at = np.flatnonzero(plain) if plain.any() else np.arange(len(plain))
-                rolled = _rolling(hashes, size).view(np.int64)
-                rows += [(int(rolled[i]), size, item, int(i), len(at), of.slots(numbers, marks, i, size)) for i in at]
+                rows += [(int(rolled[i]), size, item, int(i), len(at), made.slots(i, size)) for i in at]
             names = ["window", "size", "item_id", "idx", "total", "item_slots"]
             kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.string())]
             columns = zip(*rows, strict=True) if rows else [[]] * 6
@@ -156,32 +187,35 @@ def item_windows(items: DataFrame, window: int = WINDOW) -> DataFrame:
 
 
 def _bitmap(windows: DataFrame, bits: int) -> np.ndarray:
-    """One bit for each hash; at most ``bits`` / 32 words are gathered."""
+    """One bit for each hash, packed; at most ``bits`` / 32 words are gathered."""
     place = F.pmod(F.col("window"), F.lit(bits))
     words = windows.select(F.shiftright(place, 5).alias("word"), F.expr(f"shiftleft(1L, cast(pmod(window, {bits}) % 32 as int))").alias("bit"))
     out = np.zeros(bits // 32, np.uint32)
     for word, value in words.groupBy("word").agg(F.expr("bit_or(bit)")).collect():
         out[word] = value
-    return np.unpackbits(out.view(np.uint8), bitorder="little").astype(bool)
+    return out.view(np.uint8)
 
 
 def matches(docs: DataFrame, items: DataFrame, window: int = WINDOW, percent: int = MIN_PERCENT, bits: int = BITMAP_BITS) -> DataFrame:
     """doc_id, item_id, n_windows of the item, n_matched, and whether the slots differ (reworded)."""
     bounded_batches(docs.sparkSession)
     listed = materialize(item_windows(items, window), "template-items")
-    bitmap = _bitmap(listed, bits)
+    packed = _bitmap(listed, bits)
     sizes = sorted(r[0] for r in listed.select("size").distinct().collect())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of = Templates()
+        bitmap = np.unpackbits(packed, bitorder="little").view(bool)
         for batch in batches:
-            rows = []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                hashes, marks, numbers = of(text)
+            rows, ids = [], batch.column(0).to_pylist()
+            texts = batch.column(1).to_pylist()
+            for a, b in groups(texts):
+                made = Templates(texts[a:b])
                 for size in sizes:
-                    rolled = _rolling(hashes, size)
-                    for i in np.flatnonzero(bitmap[(rolled.view(np.int64) % bits)]).tolist():
-                        rows.append((int(rolled[i : i + 1].view(np.int64)[0]), size, doc, i, of.slots(numbers, marks, i, size)))
+                    at, rolled = made.windows(size)
+                    rolled = rolled.view(np.int64)
+                    for i in np.flatnonzero(bitmap[rolled % bits]).tolist():
+                        k = int(at[i])
+                        rows.append((int(rolled[i]), size, ids[a + int(made.owner[k])], k, made.slots(k, size)))
             kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.list_(pa.string())]
             columns = zip(*rows, strict=True) if rows else [[]] * 5
             yield pa.RecordBatch.from_arrays(
