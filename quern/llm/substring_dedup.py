@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm import words as W
-from quern.runtime import bounded_batches, materialize
+from quern.runtime import bounded_batches, materialize, prune_joins
 
 #: A perfect difference set modulo 31: every residue is a difference of two of these.
 PERIOD = 31
@@ -56,7 +56,10 @@ def _join(parts: list[np.ndarray], kind: type) -> np.ndarray:
 
 
 def anchors(docs: DataFrame, size: int) -> DataFrame:
-    """anchor (hash), doc_id and pos of the anchors at each document's cover positions."""
+    """anchor (hash), content, doc_id and pos of the anchors at each text's cover positions.
+
+    ``docs`` has doc_id, content (a hash of the whole text) and text.
+    """
     make = W.Windows(size - PERIOD + 1, (11,))
     chosen = np.zeros(PERIOD, dtype=bool)
     chosen[list(COVER)] = True
@@ -64,18 +67,19 @@ def anchors(docs: DataFrame, size: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             hashes, places, counts = [], [], []
-            for _, (h,) in _runs(W.utf8(batch.column(1)), make):
+            for _, (h,) in _runs(W.utf8(batch.column(2)), make):
                 # Documents too short for one window hold nothing that could be removed or matched.
                 at = np.flatnonzero(chosen[np.arange(len(h)) % PERIOD]) if len(h) >= PERIOD else np.empty(0, np.int64)
                 hashes.append(h[at])
                 places.append(at.astype(np.int32))
                 counts.append(len(at))
+            own = [_flat(batch.column(i), counts) for i in (1, 0)]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(_join(hashes, np.uint64).view(np.int64)), _flat(batch.column(0), counts), pa.array(_join(places, np.int32))],
-                names=["anchor", "doc_id", "pos"],
+                [pa.array(_join(hashes, np.uint64).view(np.int64)), *own, pa.array(_join(places, np.int32))],
+                names=["anchor", "content", "doc_id", "pos"],
             )
 
-    return docs.mapInArrow(run, "anchor long, doc_id long, pos int")
+    return docs.select("doc_id", "content", "text").mapInArrow(run, "anchor long, content long, doc_id long, pos int")
 
 
 def _windows(docs: DataFrame, size: int) -> DataFrame:
@@ -114,52 +118,70 @@ def _windows(docs: DataFrame, size: int) -> DataFrame:
     return docs.mapInArrow(run, "w1 long, w2 long, doc_id long, pos int")
 
 
-def repeated_windows(docs: DataFrame, size: int = 50) -> DataFrame:
-    """doc_id and text_id of each row that repeats, with the starts of its repeated windows.
+def _copies(docs: DataFrame) -> DataFrame:
+    """doc_id, content and key (MD5 of the text) of each row whose whole text an earlier document has."""
+    keyed = docs.select("doc_id", "content", F.md5(F.col("text").cast("binary")).alias("key"))
+    same = keyed.groupBy("key").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi")
+    return keyed.join(same, "key").where("doc_id > lo").select("doc_id", "content", "key").distinct()
+
+
+def repeats(docs: DataFrame, size: int = 50) -> DataFrame:
+    """What is repeated, by doc_id of ``docs`` (doc_id, text): windows and copies.
 
-    Rows are ``docs`` (doc_id, text); a window is repeated if it also starts in a document
-    with a smaller doc_id.
+    ``windows`` lists start and hash of each window that also starts in a document with a smaller
+    doc_id; ``copies`` the keys of those of its texts that such a document has whole, whose
+    windows needn't be looked at one by one.
     """
     if size < PERIOD + 1:
         raise ValueError(f"a window needs more than {PERIOD} words")
+    prune_joins(docs.sparkSession)
     bounded_batches(docs.sparkSession)
-    docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where(F.col("doc_id").isNotNull())
+    docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
+    docs = docs.withColumn("content", F.xxhash64("text"))
+    copies = materialize(_copies(docs), "cover-copies")
     found = anchors(docs, size)
-    shared = found.groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("anchor")
-    places = found.join(shared, "anchor").groupBy("doc_id").agg(F.collect_set("pos").alias("places"))
-    places = materialize(places, "cover-anchors")
-    windows = materialize(_windows(docs.join(places, "doc_id"), size), "cover-windows")
-    first = windows.groupBy("w1", "w2").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi")
-    late = windows.join(first.select("w1", "w2", "lo"), ["w1", "w2"]).where("doc_id > lo").select("doc_id", "pos", "w1", "w2")
+    # Anchors of one text and its copies alone are no sign of a passage.
+    shared = found.groupBy("anchor").agg(F.min("content").alias("lo"), F.max("content").alias("hi")).where("lo < hi").select("anchor")
+    places = found.select("anchor", "content", "doc_id", "pos").join(shared, "anchor")
+    places = materialize(places.groupBy("doc_id", "content").agg(F.collect_set("pos").alias("places")), "cover-anchors")
+    places = materialize(places.join(copies, ["doc_id", "content"], "left_anti"), "cover-places").where(F.size("places") > 0)
+    windows = _windows(docs.join(places, ["doc_id", "content"]).select("doc_id", "text", "places"), size)
+    early = windows.groupBy("w1", "w2").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi")
+    late = windows.join(early.select("w1", "w2", "lo"), ["w1", "w2"]).where("doc_id > lo").select("doc_id", "pos", "w1")
     # The hash tells apart rows that share a doc_id but not a text.
-    late = late.groupBy("doc_id").agg(F.collect_set(F.struct("pos", "w1")).alias("repeats"))
-    return materialize(late, "cover-repeats")
+    late = late.groupBy("doc_id").agg(F.collect_set(F.struct("pos", "w1")).alias("windows"))
+    late = materialize(late, "cover-windows").select("doc_id", "windows", F.lit(None).cast("string").alias("key"))
+    whole = copies.select("doc_id", F.lit(None).cast(late.schema["windows"].dataType).alias("windows"), "key")
+    both = late.unionByName(whole).groupBy("doc_id").agg(F.flatten(F.collect_list("windows")).alias("windows"), F.collect_set("key").alias("copies"))
+    return materialize(both, "cover-repeats")
 
 
 def _strip(size: int):
-    """A mapper of (doc_id, text, repeats) to the kept words and counts."""
+    """A mapper of (doc_id, text, windows, copies) to the kept words and counts."""
     make = W.Windows(size, (12,))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             kept, total, removed = [], [], []
             texts = W.utf8(batch.column(1))
-            for i, repeats in enumerate(batch.column(2)):
-                own = (texts[i] or b"").split()
-                cover = np.zeros(len(own) + 1, np.int64)
-                if repeats.is_valid and len(own) >= size:
-                    pos = np.asarray(repeats.values.field("pos"), dtype=np.int64)
-                    seen = np.asarray(repeats.values.field("w1"), dtype=np.int64)
+            for i, (windows, copies) in enumerate(zip(batch.column(2), batch.column(3).to_pylist(), strict=True)):
+                own = left = (texts[i] or b"").split()
+                if len(own) < size:
+                    pass
+                elif copies and hashlib.md5(texts[i]).hexdigest() in copies:
+                    left = []
+                elif windows.is_valid and len(windows):
+                    pos = np.asarray(windows.values.field("pos"), dtype=np.int64)
+                    seen = np.asarray(windows.values.field("w1"), dtype=np.int64)
                     ((_, (h,)),) = _runs([texts[i]], make)
                     ok = pos < len(h)
                     pos, seen = pos[ok], seen[ok]
                     pos = pos[h[pos].view(np.int64) == seen]
+                    cover = np.zeros(len(own) + 1, np.int64)
                     np.add.at(cover, pos, 1)
                     np.add.at(cover, pos + size, -1)
                     gone = np.cumsum(cover[:-1]) > 0
                     left = [w for w, g in zip(own, gone.tolist(), strict=True) if not g]
-                else:
-                    left = own
                 total.append(len(own))
                 removed.append(len(own) - len(left))
                 kept.append(b" ".join(left))
@@ -173,8 +195,8 @@ def _strip(size: int):
 
 def dedup(docs: DataFrame, size: int = 50) -> DataFrame:
     """doc_id, n_words, n_removed and kept_text (kept words joined by a space) of every row."""
-    late = repeated_windows(docs, size)
+    late = repeats(docs, size)
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return docs.join(late, "doc_id", "left").select("doc_id", "text", "repeats").mapInArrow(
+    return docs.join(late, "doc_id", "left").select("doc_id", "text", "windows", "copies").mapInArrow(
         _strip(size), "doc_id long, n_words long, n_removed long, kept_text string"
     )
