@@ -282,7 +282,8 @@ def tail(spark, sf_dir):
     return flag_days(spark, sf_dir).withColumn("b", back).where("b <= 14").select("series", "d", r("y"))
 
 
-@query("u1_wide_to_long", None)
+@query("u1_wide_to_long", f"""WITH {BRAND_DAYS}, five AS (SELECT * FROM panel WHERE brand IN ('Brand#1', 'Brand#2', 'Brand#3', 'Brand#4', 'Brand#5') AND isfinite(ret)),
+    whole AS (SELECT d FROM five GROUP BY 1 HAVING count(*) = 5) SELECT brand AS ticker, count(*) AS n FROM five WHERE d IN (SELECT d FROM whole) GROUP BY 1""")
 def wide_to_long(spark, sf_dir):
     wide = brand_days(spark, sf_dir).groupBy("d").pivot("brand", [f"Brand#{i}" for i in range(1, 6)]).agg(F.first("ret"))
     return panel.wide_to_long(wide, "d", wide.columns[1:]).groupBy("ticker").agg(F.count("*").alias("n"))
