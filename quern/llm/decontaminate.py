@@ -4,10 +4,11 @@ Texts are canonicalised to templates: the letters and digits of words, lower-cas
 (capitalised words inside a sentence, runs of them as one) and units (behind a number)
 replaced by typed placeholders, whose words are kept as slots. Windows of ``WINDOW`` template words
 of the documents are hash-joined with those of the items. An item's windows that line up with a
-document along one diagonal are one alignment; it counts only if its slots are consistent:
-one and the same word of the item must always face one and the same word of the document, and
-the other way round. A document holds an item if its consistent alignments cover at least
-``MIN_PERCENT`` of the item's windows.
+document along one diagonal are one alignment, in which slots must be consistent: one and the
+same word of the item must always face one and the same word of the document, and at most
+``MAX_SHARED`` words of the item may face the same one. A breach costs only the windows that
+hold its words, and none whose slots are the item's own. A document holds an item if the windows left
+cover at least ``MIN_PERCENT`` of the item's windows.
 
 Before the join, windows are tested against a bitmap of the items' hashes of fixed size
 (``BITMAP_BITS``, made by a distributed ``bit_or``), the only thing that is shipped to all
@@ -26,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm.words import U64, groups, mix, powers
@@ -36,6 +37,8 @@ WINDOW = 5
 MIN_WORDS = 3
 MIN_LITERALS = 3
 MIN_PERCENT = 50
+#: So many words of an item may become one and the same word: two redrawn values often coincide.
+MAX_SHARED = 2
 BITMAP_BITS = 1 << 23
 UNITS = frozenset(
     "mm cm m km in ft yd mi mg g kg t lb lbs oz ml cl l s sec min h hr hrs hour hours minute minutes second seconds day days week weeks month months "
@@ -196,6 +199,11 @@ def _bitmap(windows: DataFrame, bits: int) -> np.ndarray:
     return out.view(np.uint8)
 
 
+def _repeated(words: str, most: int) -> Column:
+    """The words that stand more than ``most`` times in an array."""
+    return F.expr(f"array_distinct(filter(array_sort({words}), (w, i) -> i >= {most} and w = array_sort({words})[i - {most}]))")
+
+
 def matches(docs: DataFrame, items: DataFrame, window: int = WINDOW, percent: int = MIN_PERCENT, bits: int = BITMAP_BITS) -> DataFrame:
     """doc_id, item_id, n_windows of the item, n_matched, and whether the slots differ (reworded)."""
     bounded_batches(docs.sparkSession)
@@ -225,14 +233,15 @@ def matches(docs: DataFrame, items: DataFrame, window: int = WINDOW, percent: in
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where("doc_id is not null")
     hits = rows.mapInArrow(run, "window long, size int, doc_id long, pos int, doc_slots array<string>")
     aligned = hits.join(listed, ["window", "size"]).withColumn("pairs", F.arrays_zip("item_slots", "doc_slots"))
-    pairs = F.array_distinct(F.flatten(F.collect_set("pairs")))
-    along = (
-        aligned.groupBy("doc_id", "item_id", (F.col("pos") - F.col("idx")).alias("diagonal"))
-        .agg(F.collect_set("idx").alias("idx"), pairs.alias("pairs"), F.max("total").alias("total"))
-        .where((F.size("pairs") == F.size(F.array_distinct("pairs.item_slots"))) & (F.size("pairs") == F.size(F.array_distinct("pairs.doc_slots"))))
-    )
+    along = aligned.groupBy("doc_id", "item_id", (F.col("pos") - F.col("idx")).alias("diagonal"))
+    along = along.agg(F.collect_set(F.struct("idx", "pairs")).alias("windows"), F.max("total").alias("total"))
+    along = along.withColumn("pairs", F.array_distinct(F.flatten("windows.pairs")))
+    along = along.withColumn("split", _repeated("pairs.item_slots", 1)).withColumn("shared", _repeated("pairs.doc_slots", MAX_SHARED))
+    same = lambda w: F.forall(w["pairs"], lambda p: p["item_slots"] == p["doc_slots"])
+    breach = lambda w: F.arrays_overlap(w["pairs"]["item_slots"], "split") | F.arrays_overlap(w["pairs"]["doc_slots"], "shared")
+    counted = F.filter("windows", lambda w: same(w) | ~breach(w))
     differ = F.exists("pairs", lambda p: p["item_slots"] != p["doc_slots"])
-    whole = along.select("doc_id", "item_id", "total", differ.alias("differ"), F.explode("idx").alias("idx")).groupBy("doc_id", "item_id")
+    whole = along.select("doc_id", "item_id", "total", differ.alias("differ"), F.explode(counted["idx"]).alias("idx")).groupBy("doc_id", "item_id")
     found = whole.agg(F.max("total").cast("long").alias("n_windows"), F.countDistinct("idx").alias("n_matched"), F.min("differ").alias("reworded"))
     return found.where(100 * F.col("n_matched") >= percent * F.col("n_windows"))
 

@@ -215,3 +215,19 @@ def test_decontamination_bitmap_of_any_size(spark):
     rows = [(1, f"x y z {ITEMS[0][1]}"), (2, "nothing of that kind is in here at all, is it?")]
     for bits in (32, 1 << 12):
         assert [r.doc_id for r in decontaminate.matches(docs(spark, rows), items, bits=bits).collect()] == [1]
+
+
+def test_decontamination_with_values_that_coincide(spark):
+    text = "A baker fills {} trays with rolls and then packs {} boxes of bread before the shop opens for all of the guests of the town."
+    split = "A baker fills 3 trays with rolls, sells 3 trays with rolls and then gives 3 trays with rolls away to the people."
+    items = spark.createDataFrame([(1, text.format(3, 5)), (2, split)], "item_id long, text string")
+    rows = [(1, text.format(4, 4)), (2, text.format(3, 3)), (3, text.format(4, 6)), (4, text.format(3, 5)), (5, split.replace("3", "4")), (6, split.replace("3", "4", 1).replace("3", "7", 1).replace("3", "9"))]
+    got = {(r.doc_id, r.item_id): r.reworded for r in decontaminate.matches(docs(spark, rows), items).collect()}
+    assert got == {(1, 1): True, (2, 1): True, (3, 1): True, (4, 1): False, (5, 2): True}
+
+
+def test_decontamination_keeps_windows_beside_a_breach(spark):
+    text = "With {} eggs, {} cups and {} pans a cook makes the finest cakes of the whole town, so people stand in long lines around the corner to buy them."
+    items = spark.createDataFrame([(1, text.format(2, 3, 4))], "item_id long, text string")
+    rows = [(1, text.format(9, 9, 9)), (2, text.format(2, 2, 2))]
+    assert sorted(r.doc_id for r in decontaminate.matches(docs(spark, rows), items).collect()) == [1, 2]
