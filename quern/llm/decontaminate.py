@@ -2,13 +2,15 @@
 
 Texts are canonicalised to templates: the letters and digits of words, lower-cased, with numbers, names
 (capitalised words inside a sentence, runs of them as one) and units (behind a number)
-replaced by typed placeholders, whose words are kept as slots. Windows of ``WINDOW`` template words
-of the documents are hash-joined with those of the items. An item's windows that line up with a
+replaced by typed placeholders, whose words are kept as slots. A second kind of template takes names for
+literal words, so it is the same whatever the case of the text. Windows of ``WINDOW`` template words
+of the documents are hash-joined with those of the items, each kind with its own. An item's windows that line up with a
 document along one diagonal are one alignment, in which slots must be consistent: one and the
 same word of the item must always face one and the same word of the document, and at most
 ``MAX_SHARED`` words of the item may face the same one. A breach costs only the windows that
 hold its words, and none whose slots are the item's own. A document holds an item if the windows left
-cover at least ``MIN_PERCENT`` of the item's windows.
+cover at least ``MIN_PERCENT`` of the item's windows: of one kind, or of both together, where windows
+that start at one word of the item count once.
 
 Before the join, windows are tested against a bitmap of the items' hashes of fixed size
 (``BITMAP_BITS``, made by a distributed ``bit_or``), the only thing that is shipped to all
@@ -83,10 +85,7 @@ def _core(raw: str) -> str:
 
 
 class Templates:
-    """The template words of several texts, one text after the other.
-
-    ``hashes`` has a hash of each, ``slot`` marks placeholders, ``owner`` is the text each is of.
-    """
+    """Both templates of several texts, one text after the other: with names as placeholders, and as literals."""
 
     def __init__(self, texts: list[str | None]):
         self.text = " ".join([t or "" for t in texts]) + " "
@@ -96,7 +95,7 @@ class Templates:
         first[1:] &= space[:-1]
         self.starts = at = np.flatnonzero(first)
         if not len(at):
-            self.hashes, self.slot, self.owner, self.places = np.empty(0, np.uint64), np.empty(0, bool), np.empty(0, np.int64), at
+            self.kinds = [_Template(self, np.empty(0, np.uint64), np.empty(0, bool), at, at)] * 2
             return
         # How many letters or digits of its word stand before each character.
         before = np.cumsum(alnum) - alnum
@@ -117,12 +116,21 @@ class Templates:
         name = leading & (capitals == 1) & (letters > 1) & ~closed
         unit = np.concatenate([[False], (kind[:-1] == _NUM) & (owner[1:] == owner[:-1])]) & np.isin(hashed, _UNIT_HASHES)
         name &= ~unit
-        keep = kind != _NONE
+        words = kind != _NONE
+        keep = words.copy()
         keep[1:] &= ~(name[1:] & name[:-1])
         number = kind == _NUM
-        hashed[number], hashed[name], hashed[unit] = _NUM_HASH, _NAME_HASH, _UNIT_HASH
-        self.places = np.flatnonzero(keep)
-        self.hashes, self.slot, self.owner = mix(hashed[keep]), (number | name | unit)[keep], owner[keep]
+        hashed[number], hashed[unit] = _NUM_HASH, _UNIT_HASH
+        made = lambda h, slot, kept: _Template(self, mix(h[kept]), slot[kept], owner[kept], np.flatnonzero(kept))
+        self.kinds = [made(np.where(name, _NAME_HASH, hashed), number | name | unit, keep), made(hashed, number | unit, words)]
+
+
+class _Template:
+    """``hashes`` has a hash of each word, ``slot`` marks placeholders, ``owner`` is the text each is of, ``places`` its place among all words."""
+
+    def __init__(self, texts: Templates, hashes: np.ndarray, slot: np.ndarray, owner: np.ndarray, places: np.ndarray):
+        self.text, self.starts = texts.text, texts.starts
+        self.hashes, self.slot, self.owner, self.places = hashes, slot, owner, places
 
     def slots(self, at: int, size: int) -> list[str]:
         """The words in the placeholders of the window at ``at``."""
@@ -166,27 +174,30 @@ _UNIT_HASHES = np.array(sorted(_word_hash(u) for u in UNITS if _core(u)), dtype=
 
 
 def item_windows(items: DataFrame, window: int = WINDOW) -> DataFrame:
-    """window (hash), size, item_id, idx, total and slots of the items' template windows."""
+    """kind, window (hash), size, item_id, idx, place, slots, total of the kind and of both, of the items' template windows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for item, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                made = Templates([text])
-                size = min(window, len(made.hashes))
-                if size < MIN_WORDS:
-                    continue
-                rolled = made.windows(size)[1].view(np.int64)
-                plain = _literals(made.slot, size) >= min(MIN_LITERALS, size)
-                at = np.flatnonzero(plain) if plain.any() else np.arange(len(plain))
-                rows += [(int(rolled[i]), size, item, int(i), len(at), made.slots(i, size)) for i in at]
-            names = ["window", "size", "item_id", "idx", "total", "item_slots"]
-            kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.string())]
-            columns = zip(*rows, strict=True) if rows else [[]] * 6
+                found = []
+                for kind, made in enumerate(Templates([text]).kinds):
+                    size = min(window, len(made.hashes))
+                    if size < MIN_WORDS:
+                        continue
+                    rolled = made.windows(size)[1].view(np.int64)
+                    plain = _literals(made.slot, size) >= min(MIN_LITERALS, size)
+                    at = np.flatnonzero(plain) if plain.any() else np.arange(len(plain))
+                    found += [(kind, int(rolled[i]), size, item, int(i), int(made.places[i]), made.slots(i, size), len(at)) for i in at]
+                both = len({f[5] for f in found})
+                rows += [(*f, both) for f in found]
+            names = ["kind", "window", "size", "item_id", "idx", "place", "item_slots", "total", "both"]
+            kinds = [pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.string()), pa.int32(), pa.int32()]
+            columns = zip(*rows, strict=True) if rows else [[]] * 9
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=names)
 
     rows = items.select(F.col("item_id").cast("long"), F.col("text").cast("string")).where("item_id is not null")
-    return rows.mapInArrow(run, "window long, size int, item_id long, idx int, total int, item_slots array<string>")
+    return rows.mapInArrow(run, "kind int, window long, size int, item_id long, idx int, place int, item_slots array<string>, total int, both int")
 
 
 def _bitmap(windows: DataFrame, bits: int) -> np.ndarray:
@@ -209,7 +220,7 @@ def matches(docs: DataFrame, items: DataFrame, window: int = WINDOW, percent: in
     bounded_batches(docs.sparkSession)
     listed = materialize(item_windows(items, window), "template-items")
     packed = _bitmap(listed, bits)
-    sizes = sorted(r[0] for r in listed.select("size").distinct().collect())
+    sizes = sorted(map(tuple, listed.select("kind", "size").distinct().collect()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bitmap = np.unpackbits(packed, bitorder="little").view(bool)
@@ -217,32 +228,39 @@ def matches(docs: DataFrame, items: DataFrame, window: int = WINDOW, percent: in
             rows, ids = [], batch.column(0).to_pylist()
             texts = batch.column(1).to_pylist()
             for a, b in groups(texts):
-                made = Templates(texts[a:b])
-                for size in sizes:
+                both = Templates(texts[a:b])
+                for kind, size in sizes:
+                    made = both.kinds[kind]
                     at, rolled = made.windows(size)
                     rolled = rolled.view(np.int64)
                     for i in np.flatnonzero(bitmap[rolled % bits]).tolist():
                         k = int(at[i])
-                        rows.append((int(rolled[i]), size, ids[a + int(made.owner[k])], k, made.slots(k, size)))
-            kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.list_(pa.string())]
-            columns = zip(*rows, strict=True) if rows else [[]] * 5
+                        rows.append((kind, int(rolled[i]), size, ids[a + int(made.owner[k])], k, made.slots(k, size)))
+            kinds = [pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.list_(pa.string())]
+            columns = zip(*rows, strict=True) if rows else [[]] * 6
             yield pa.RecordBatch.from_arrays(
-                [pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["window", "size", "doc_id", "pos", "doc_slots"]
+                [pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["kind", "window", "size", "doc_id", "pos", "doc_slots"]
             )
 
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where("doc_id is not null")
-    hits = rows.mapInArrow(run, "window long, size int, doc_id long, pos int, doc_slots array<string>")
-    aligned = hits.join(listed, ["window", "size"]).withColumn("pairs", F.arrays_zip("item_slots", "doc_slots"))
-    along = aligned.groupBy("doc_id", "item_id", (F.col("pos") - F.col("idx")).alias("diagonal"))
-    along = along.agg(F.collect_set(F.struct("idx", "pairs")).alias("windows"), F.max("total").alias("total"))
+    hits = rows.mapInArrow(run, "kind int, window long, size int, doc_id long, pos int, doc_slots array<string>")
+    aligned = hits.join(listed, ["kind", "window", "size"]).withColumn("pairs", F.arrays_zip("item_slots", "doc_slots"))
+    along = aligned.groupBy("doc_id", "item_id", "kind", (F.col("pos") - F.col("idx")).alias("diagonal"))
+    along = along.agg(F.collect_set(F.struct("place", "pairs")).alias("windows"), F.max("total").alias("total"), F.max("both").alias("both"))
     along = along.withColumn("pairs", F.array_distinct(F.flatten("windows.pairs")))
     along = along.withColumn("split", _repeated("pairs.item_slots", 1)).withColumn("shared", _repeated("pairs.doc_slots", MAX_SHARED))
     same = lambda w: F.forall(w["pairs"], lambda p: p["item_slots"] == p["doc_slots"])
     breach = lambda w: F.arrays_overlap(w["pairs"]["item_slots"], "split") | F.arrays_overlap(w["pairs"]["doc_slots"], "shared")
     counted = F.filter("windows", lambda w: same(w) | ~breach(w))
     differ = F.exists("pairs", lambda p: p["item_slots"] != p["doc_slots"])
-    whole = along.select("doc_id", "item_id", "total", differ.alias("differ"), F.explode(counted["idx"]).alias("idx")).groupBy("doc_id", "item_id")
-    found = whole.agg(F.max("total").cast("long").alias("n_windows"), F.countDistinct("idx").alias("n_matched"), F.min("differ").alias("reworded"))
+    whole = along.select("doc_id", "item_id", "kind", "total", "both", differ.alias("differ"), F.explode(counted["place"]).alias("place"))
+    of = lambda kind, column: F.when(F.col("kind") == kind, F.col(column))
+    share = lambda n, m: F.struct((F.size(F.collect_set(m)) / F.max(n)).alias("share"), F.max(n).cast("long").alias("n"), F.size(F.collect_set(m)).cast("long").alias("m"))
+    shares = F.array(share(F.col("both"), F.col("place")), *(share(of(k, "total"), of(k, "place")) for k in (0, 1)))
+    # A slot differs if a kind has no alignment without a difference: names differ in the first kind alone.
+    reworded = F.greatest(*(F.min(of(k, "differ")) for k in (0, 1)))
+    found = whole.groupBy("doc_id", "item_id").agg(F.array_max(shares).alias("best"), reworded.alias("reworded"))
+    found = found.select("doc_id", "item_id", F.col("best.n").alias("n_windows"), F.col("best.m").alias("n_matched"), "reworded")
     return found.where(100 * F.col("n_matched") >= percent * F.col("n_windows"))
 
 

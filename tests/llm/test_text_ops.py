@@ -231,3 +231,13 @@ def test_decontamination_keeps_windows_beside_a_breach(spark):
     items = spark.createDataFrame([(1, text.format(2, 3, 4))], "item_id long, text string")
     rows = [(1, text.format(9, 9, 9)), (2, text.format(2, 2, 2))]
     assert sorted(r.doc_id for r in decontaminate.matches(docs(spark, rows), items).collect()) == [1, 2]
+
+
+def test_decontamination_in_any_case(spark):
+    text = "Am Montag fuhr Anna Schmidt mit Peter nach Hamburg und kaufte Brot im Laden von Frau Keller am alten Markt von Altona."
+    items = spark.createDataFrame([(1, text)], "item_id long, text string")
+    other = text.replace("Anna Schmidt", "Maria").replace("Peter", "Paul").replace("Hamburg", "Kiel")
+    rows = [(1, f"davor {text.lower()} danach"), (2, text.upper()), (3, text.title()), (4, text), (5, other), (6, text[:60].lower() + text[60:]), (7, "Am Montag fuhr niemand mit dem Zug nach Hause.")]
+    got = {r.doc_id: r for r in decontaminate.matches(docs(spark, rows), items).collect()}
+    assert {i: r.reworded for i, r in got.items()} == {1: False, 2: False, 3: False, 4: False, 5: True, 6: False}
+    assert all(r.n_matched <= r.n_windows for r in got.values())
