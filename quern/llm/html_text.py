@@ -6,7 +6,9 @@ their parent, half to its parent and ever less further up, and a container's poi
 share of its text that stands in links. The best container's text is taken, with siblings that
 score well enough or are long paragraphs with few links. What carries the tag, class, id or role
 of navigation, headers, footers, sidebars, adverts, notices, forms or comments is left out, as
-are scripts, styles and lists that are all links.
+are scripts, styles and lists that are all links. A class, id or role alone never leaves out
+``<article>``, ``<main>``, what holds a ``<main>``, an element with a name of the article as well, or
+one with most of the page's paragraph text, unless the article is surely elsewhere.
 
 Text: character references are decoded, white space within a block becomes one space, empty
 blocks go, blocks are joined in page order by a line feed. ``<br>`` is white space.
@@ -49,24 +51,30 @@ UNWANTED = frozenset(
     "contentinfo cookie cookies disqus footer gdpr login menu modal nav navbar navigation newsletter notice notices pager pagination "
     "popup promo promoted promotion related respond search share sharing sidebar signup social sponsor sponsored subscribe toolbar widget".split()
 )
+#: Here ``widget`` is any part of the page as a last part (elementor-widget), and these first parts tell a state of a wrapper (has-sidebar).
+NOT_LAST = frozenset(("widget",))
+STATES = frozenset("has no not with without".split())
+#: Characters of paragraphs from which text is large, or an article found.
+LEAST_PROSE = 200
 WANTED = frozenset("article body content entry main post story text".split())
 SCORED = frozenset(("p", "pre", "blockquote", "td", "div", "section", "article", "main", "li", "dd"))
 LISTS = frozenset(("ul", "ol", "dl", "div", "table"))
 
 
 class Node:
-    __slots__ = ("links", "parts", "parent", "score", "size", "tag", "anchors", "unwanted", "wanted")
+    __slots__ = ("links", "parts", "parent", "score", "size", "tag", "anchors", "unwanted", "suspect", "wanted", "prose", "main")
 
-    def __init__(self, tag: str, parent: Node | None, unwanted: bool = False, wanted: bool = False):
-        self.tag, self.parent, self.unwanted, self.wanted = tag, parent, unwanted, wanted
+    def __init__(self, tag: str, parent: Node | None, unwanted: bool = False, suspect: bool = False, wanted: bool = False):
+        self.tag, self.parent, self.unwanted, self.suspect, self.wanted = tag, parent, unwanted, suspect, wanted
         self.parts: list[Node | str] = []
         self.score, self.size, self.links, self.anchors = 0.0, 0, 0, 0
 
 
-def _marks(tag: str, attrs: str, in_article: bool) -> tuple[bool, bool]:
-    """Whether an element is surely not, or likely, the article."""
+def _marks(tag: str, attrs: str, in_article: bool) -> tuple[bool, bool, bool]:
+    """Whether an element is surely not, by its names perhaps not, or likely, the article."""
     unwanted = tag in NOT_TEXT or (tag == "header" and not in_article)
     wanted = tag in ("article", "main")
+    doubt = named = False
     for name, value in ATTRIBUTE.findall(attrs) if attrs else ():
         name, value = name.lower(), value.strip("\"'").lower()
         if name == "style":
@@ -74,10 +82,13 @@ def _marks(tag: str, attrs: str, in_article: bool) -> tuple[bool, bool]:
         elif name == "hidden" or (name == "aria-hidden" and value == "true"):
             unwanted = True
         elif name in ("class", "id", "role") and tag not in ("html", "body"):
-            found = set(re.split(r"[\s_-]+", value))
-            unwanted |= bool(found & UNWANTED) or ("header" in found and not in_article)
-            wanted |= bool(found & WANTED)
-    return unwanted, wanted and not unwanted
+            for word in value.split():
+                parts = [p for p in re.split("[_-]+", word) if p] or [""]
+                ends = {parts[0]} | ({parts[-1]} - NOT_LAST)
+                bad = parts[0] not in STATES and (not ends.isdisjoint(UNWANTED) or ("header" in ends and not in_article))
+                doubt |= bad
+                named |= not bad and not WANTED.isdisjoint(parts)
+    return unwanted, doubt and not wanted and not named, (wanted or named and not doubt) and not unwanted
 
 
 def parse(page: str) -> Node:
@@ -123,8 +134,8 @@ def parse(page: str) -> Node:
             if tag in VOID:
                 at.parts.append(Node(tag, at))
                 continue
-            unwanted, wanted = _marks(tag, m["attrs"] or m["attrs2"] or "", in_article > 0)
-            node = Node(tag, at, unwanted, wanted)
+            unwanted, suspect, wanted = _marks(tag, m["attrs"] or m["attrs2"] or "", in_article > 0)
+            node = Node(tag, at, unwanted, suspect, wanted)
             at.parts.append(node)
             at = node
             in_article += tag == "article"
@@ -141,6 +152,41 @@ def _walk(node: Node) -> Iterator[Node]:
         stack += [p for p in reversed(now.parts) if isinstance(p, Node) and not p.unwanted]
 
 
+def settle(root: Node) -> None:
+    """Decides which suspect elements are left out; each node is seen a fixed number of times."""
+    nodes = list(_walk(root))
+    if not any(n.suspect for n in nodes):
+        return
+    own = lambda n: n.size - n.links if n.tag in SCORED and (n.tag == "p" or n.size >= 25) else 0
+    for node in nodes:
+        node.prose, node.main = own(node), node.tag == "main"
+    for node in reversed(nodes):
+        if node.parent is not None:
+            node.parent.prose += node.prose
+            node.parent.main |= node.main
+    found, stack, large = 0, [(root, False)], None
+    while stack or large:
+        if not stack:
+            # Only one can hold most of the page. It is looked into if the rest has no article.
+            large[0].suspect = False
+            large[0].unwanted = found >= LEAST_PROSE
+            if large[0].unwanted:
+                break
+            stack, large = [large], None
+        node, inside = stack.pop()
+        inside |= node.wanted
+        found += own(node) * inside
+        for part in node.parts:
+            if not isinstance(part, Node) or part.unwanted:
+                continue
+            if not part.suspect or part.main:
+                stack.append((part, inside))
+            elif 2 * part.prose > root.prose and part.prose >= LEAST_PROSE:
+                large = (part, inside)
+            else:
+                part.unwanted = True
+
+
 def score(root: Node) -> None:
     """Gives every container its points, and every node its subtree's sizes."""
     nodes = list(_walk(root))
@@ -191,6 +237,7 @@ def extract(page: str | None) -> str:
     if not page:
         return ""
     root = parse(page)
+    settle(root)
     score(root)
     best = max(_walk(root), key=lambda n: n.score)
     if best.score <= 0:

@@ -130,3 +130,26 @@ def test_main_text_table(spark):
 
 def test_deep_nesting():
     assert html_text.extract("<div>" * 3000 + f"<p>{PROSE}</p>").startswith("A long")
+
+
+@pytest.mark.parametrize(
+    "page,text",
+    [
+        ("<div class='elementor'>" + f"<div class='elementor-widget elementor-widget-text-editor'><p>{PROSE}</p></div>" * 2 + "</div>", "\n".join([PROSE.strip()] * 2)),
+        (f"<div class='content has-sidebar'><p>{PROSE}</p></div>{SIDE}", PROSE.strip()),
+        (f"<div class='no-sidebar'><p>{PROSE}</p></div>{SIDE}", PROSE.strip()),
+        (f"<article class='post category-social tag-search'><p>{PROSE}</p></article>{SIDE}", PROSE.strip()),
+        (f"<main class='widget'><p>{PROSE}</p></main>{SIDE}", PROSE.strip()),
+        (f"<div class='right-sidebar'><div><p>{PROSE}</p><p>{PROSE}</p></div>{SIDE}</div>", "\n".join([PROSE.strip()] * 2)),
+        (f"<div class='layout-sidebar'><main><p>{PROSE}</p></main></div><section class='comments'>{f'<p>{PROSE}</p>' * 3}</section>", PROSE.strip()),
+        (f"<article><p>{PROSE}</p></article><section class='comments'>{f'<p>{PROSE}</p>' * 3}</section>", PROSE.strip()),
+        (f"<article><p>{PROSE}</p></article><div class='widget widget_text'><p>{PROSE}</p></div>", PROSE.strip()),
+        ("<div class='ad widget'>Buy this, and that, and more of it now.</div>", ""),
+    ],
+)
+def test_names_alone_lose_no_article(page, text):
+    assert html_text.extract(page) == text
+
+
+def test_deep_nesting_of_suspects():
+    assert html_text.extract("<div class=ad>" * 3000 + f"<p>{PROSE}</p>").startswith("A long")
