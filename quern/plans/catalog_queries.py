@@ -72,6 +72,13 @@ def first_wins(spark, sf_dir):
     return items.withColumn("_r", rank).where("_r = 1").select("l_orderkey", "l_partkey", F.col("l_linenumber").alias("first_line"))
 
 
+@query("u2_first_wins_whole", "SELECT l_orderkey, l_partkey, min(l_linenumber) AS first_line FROM lineitem GROUP BY 1, 2")
+def first_wins_whole(spark, sf_dir):
+    rank = F.row_number().over(Window.partitionBy("l_orderkey", "l_partkey").orderBy("l_linenumber"))
+    rows = read(spark, sf_dir, "lineitem").withColumn("_r", rank).where("_r = 1")
+    return rows.select("l_orderkey", "l_partkey", F.col("l_linenumber").alias("first_line"))
+
+
 _REL = "o AS (SELECT DISTINCT o_custkey AS key, lower(o_orderpriority) || o_orderstatus || (o_orderkey % 50) AS v FROM orders WHERE o_custkey < 150), i AS (SELECT DISTINCT o_custkey AS key, lower(o_orderpriority) || o_orderstatus || (o_orderkey % 50) AS v FROM orders WHERE o_custkey BETWEEN 100 AND 250)"
 
 

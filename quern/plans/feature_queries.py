@@ -165,12 +165,23 @@ def select_columns(spark, sf_dir):
     return prep.select_columns(_x(spark, sf_dir).where("k < 500"), [7, 4, 7])
 
 
+@query("p2_select_columns_whole", f"WITH {_X} SELECT t, a, t AS t_1 FROM x")
+def select_columns_whole(spark, sf_dir):
+    return prep.select_columns(_x(spark, sf_dir), [7, 4, 7])
+
+
 @query("p11_polynomial", f"WITH {_X} SELECT k, n, round(a*a, 6) AS aa, round(b*b, 6) AS bb, round(a*b, 6) AS ab, round(a*c, 6) AS ac, round(b*c, 6) AS bc FROM x WHERE k < 3000")
 def polynomial(spark, sf_dir):
     out = prep.polynomial(_x(spark, sf_dir).where("k < 3000"), ["a", "b", "c"])
     return out.select("k", "n", r("a^2", name="aa"), r("b^2", name="bb"), r("a*b", name="ab"), r("a*c", name="ac"), r("b*c", name="bc"))
 
 
+@query("p11_polynomial_whole", f"WITH {_X} SELECT k, n, round(a*a, 6) AS aa, round(b*b, 6) AS bb, round(a*b, 6) AS ab, round(a*c, 6) AS ac, round(b*c, 6) AS bc FROM x")
+def polynomial_whole(spark, sf_dir):
+    out = prep.polynomial(_x(spark, sf_dir), ["a", "b", "c"])
+    return out.select("k", "n", r("a^2", name="aa"), r("b^2", name="bb"), r("a*b", name="ab"), r("a*c", name="ac"), r("b*c", name="bc"))
+
+
 @query("p8_conditioned_target", f"WITH {_X} SELECT k, n, round(t - a, 6) AS residual, round(a, 6) AS prediction FROM x")
 def conditioned_target(spark, sf_dir):
     out = prep.conditioned_target(_x(spark, sf_dir), "t", "a", append_prediction=True)
@@ -295,8 +306,11 @@ def overfit_guard(spark, sf_dir):
 _KEYS = "terms AS (SELECT DISTINCT l_suppkey % 10 AS artifact, p_name AS key FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_quantity > 45)"
 
 
-def _keys(spark, sf_dir):
-    items, parts = read(spark, sf_dir, "lineitem").where("l_quantity > 45"), read(spark, sf_dir, "part")
+_ALL_KEYS = "terms AS (SELECT DISTINCT l_suppkey % 10 AS artifact, p_name AS key FROM lineitem JOIN part ON l_partkey = p_partkey)"
+
+
+def _keys(spark, sf_dir, where="l_quantity > 45"):
+    items, parts = read(spark, sf_dir, "lineitem").where(where), read(spark, sf_dir, "part")
     return items.join(parts, items["l_partkey"] == parts["p_partkey"]).select((F.col("l_suppkey") % 10).alias("artifact"), F.col("p_name").alias("key")).distinct()
 
 
@@ -305,12 +319,32 @@ def consensus(spark, sf_dir):
     return pool.consensus(_keys(spark, sf_dir), 0.9).select("key", "support", r("ratio"), "agreed")
 
 
+@query("a26_consensus_whole", f"WITH {_ALL_KEYS}, n AS (SELECT count(DISTINCT artifact) AS c FROM terms) SELECT key, count(DISTINCT artifact) AS support, round(count(DISTINCT artifact) / max(c), 6) AS ratio, count(DISTINCT artifact) >= ceil(0.9 * max(c)) AS agreed FROM terms, n GROUP BY key")
+def consensus_whole(spark, sf_dir):
+    return pool.consensus(_keys(spark, sf_dir, "true"), 0.9).select("key", "support", r("ratio"), "agreed")
+
+
 @query("a28_overlap", f"""WITH {_KEYS}, n AS (SELECT artifact, count(*) AS n FROM terms GROUP BY 1), s AS (SELECT l.artifact AS a, r.artifact AS b, count(*) AS c FROM terms l JOIN terms r ON l.key = r.key AND l.artifact < r.artifact GROUP BY 1, 2)
     SELECT a, b, round(c / (x.n + y.n - c), 6) AS jaccard FROM s JOIN n x ON x.artifact = a JOIN n y ON y.artifact = b""")
 def overlap(spark, sf_dir):
     return pool.overlap(_keys(spark, sf_dir)).select("a", "b", r("jaccard"))
 
 
+@query("a28_overlap_whole", f"""WITH {_ALL_KEYS}, n AS (SELECT artifact, count(*) AS n FROM terms GROUP BY 1), s AS (SELECT l.artifact AS a, r.artifact AS b, count(*) AS c FROM terms l JOIN terms r ON l.key = r.key AND l.artifact < r.artifact GROUP BY 1, 2)
+    SELECT a, b, round(c / (x.n + y.n - c), 6) AS jaccard FROM s JOIN n x ON x.artifact = a JOIN n y ON y.artifact = b""")
+def overlap_whole(spark, sf_dir):
+    return pool.overlap(_keys(spark, sf_dir, "true")).select("a", "b", r("jaccard"))
+
+
+@query("j10_pool_changes_whole", """WITH b AS (SELECT DISTINCT l_partkey AS p, l_suppkey AS s FROM lineitem WHERE l_shipdate < DATE '1998-01-01'), a AS (SELECT DISTINCT l_partkey AS p, l_suppkey AS s FROM lineitem WHERE l_shipdate >= DATE '1998-01-01')
+    SELECT p || '-' || s AS key, 'added' AS change FROM (SELECT * FROM a EXCEPT SELECT * FROM b) UNION ALL SELECT p || '-' || s, 'removed' FROM (SELECT * FROM b EXCEPT SELECT * FROM a)""")
+def pool_changes_whole(spark, sf_dir):
+    early = F.col("l_shipdate") < F.lit("1998-01-01").cast("date")
+    x = read(spark, sf_dir, "lineitem")
+    part = lambda where: x.where(where).select(F.concat_ws("-", "l_partkey", "l_suppkey").alias("key")).distinct()
+    return pool.changes(part(early), part(~early), "key")
+
+
 @query("j10_pool_changes", """WITH b AS (SELECT DISTINCT l_partkey AS key FROM lineitem WHERE l_orderkey < 200), a AS (SELECT DISTINCT l_partkey AS key FROM lineitem WHERE l_orderkey BETWEEN 100 AND 300)
     SELECT key, 'added' AS change FROM a WHERE key NOT IN (SELECT key FROM b) UNION ALL SELECT key, 'removed' FROM b WHERE key NOT IN (SELECT key FROM a)""")
 def pool_changes(spark, sf_dir):

@@ -194,6 +194,14 @@ def drawdown(spark, sf_dir):
     return rows.select("o_custkey", "o_orderkey", r(F.exp(F.col("le") - F.max("le").over(w)) - 1, name="drawdown"))
 
 
+@query("w25_drawdown_whole", """WITH s AS (SELECT o_custkey, o_orderkey, sum(ln(1 + (o_totalprice - 250000) / 1e7)) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS le FROM orders)
+    SELECT o_custkey, o_orderkey, round(exp(le - max(le) OVER (PARTITION BY o_custkey ORDER BY o_orderkey)) - 1, 6) AS drawdown FROM s""")
+def drawdown_whole(spark, sf_dir):
+    w = Window.partitionBy("o_custkey").orderBy("o_orderkey")
+    rows = read(spark, sf_dir, "orders").withColumn("le", F.sum(F.log1p((F.col("o_totalprice") - 250000) / 1e7)).over(w))
+    return rows.select("o_custkey", "o_orderkey", r(F.exp(F.col("le") - F.max("le").over(w)) - 1, name="drawdown"))
+
+
 @query("q32_capabilities", "WITH c AS (SELECT DISTINCT o_orderpriority AS p, o_orderstatus AS s FROM orders WHERE o_custkey % 3 = 0) SELECT c_custkey, len(list_filter(['F', 'O', 'P'], lambda v: NOT list_contains(coalesce(h, []), v))) AS missing FROM customer LEFT JOIN (SELECT o_custkey, list(DISTINCT o_orderstatus) AS h FROM orders GROUP BY 1) ON o_custkey = c_custkey")
 def capabilities(spark, sf_dir):
     have = read(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.collect_set("o_orderstatus").alias("h"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from quern.functions import expressions as X
 from quern.functions import guards as G
 from quern.operators import catalog, metrics, pool, prep, text, timeseries
+from quern.plans import registry
 from quern.sources import readers, sinks
 from quern.streaming import events
 
@@ -162,3 +163,16 @@ def test_streams(spark, tmp_path, sf_dir):
     q.trigger(availableNow=True).start().awaitTermination()
     want = events.counters(spark.read.parquet(source), ["event_type"], "value")
     assert {(r[0], r[1]) for r in spark.table("seen").collect()} == {(r[0], r[1]) for r in want.collect()}
+
+
+@pytest.mark.parametrize("name,table", [("p2_select_columns_whole", "lineitem"), ("p11_polynomial_whole", "lineitem"), ("w25_drawdown_whole", "orders")])
+def test_whole_queries_keep_all_rows(spark, sf_dir, name, table):
+    assert registry.queries()[name](spark, sf_dir).count() == spark.read.parquet(f"{sf_dir}/{table}.parquet").count()
+
+
+def test_whole_queries_keep_all_keys(spark, sf_dir):
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    count = lambda name, *keys: registry.queries()[name](spark, sf_dir).select(*keys).distinct().count()
+    assert count("u2_first_wins_whole", "l_orderkey", "l_partkey") == lines.select("l_orderkey", "l_partkey").distinct().count()
+    parts = spark.read.parquet(f"{sf_dir}/part.parquet").join(lines, F.col("p_partkey") == F.col("l_partkey"))
+    assert count("a26_consensus_whole", "key") == parts.select("p_name").distinct().count()
