@@ -99,6 +99,29 @@ def value_usage(spark, sf_dir):
     return catalog.value_usage(_contracts(spark, sf_dir), "provides", "requires")
 
 
+_HELD = "h AS (SELECT DISTINCT o_custkey AS key, l_partkey || '-' || l_suppkey AS v FROM orders JOIN lineitem ON o_orderkey = l_orderkey)"
+
+
+def held(spark, sf_dir):
+    """Customers with the offers (part of a supplier) they bought: values that few customers hold however large the tables."""
+    lines = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), F.concat_ws("-", "l_partkey", "l_suppkey").alias("v"))
+    bought = read(spark, sf_dir, "orders").join(lines, "o_orderkey")
+    return bought.groupBy(F.col("o_custkey").alias("key")).agg(F.collect_set("v").alias("v"))
+
+
+@query("j5_relations_whole", f"WITH {_HELD} SELECT o.key AS source, i.key AS target, count(*) AS shared FROM h o JOIN h i ON o.v = i.v AND o.key <> i.key GROUP BY 1, 2")
+def relations_whole(spark, sf_dir):
+    return catalog.relations(held(spark, sf_dir), "v", "v")
+
+
+@query("j9_value_usage_whole", """WITH e AS (SELECT DISTINCT o_custkey AS key, lower(o_orderpriority || o_orderstatus || (o_orderkey % 50)) AS v FROM orders)
+    SELECT v AS value, count(*) AS producers, count(*) AS consumers FROM e GROUP BY 1""")
+def value_usage_whole(spark, sf_dir):
+    value = F.concat("o_orderpriority", "o_orderstatus", (F.col("o_orderkey") % 50).cast("string"))
+    e = read(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("key")).agg(F.collect_set(value).alias("v"))
+    return catalog.value_usage(e, "v", "v")
+
+
 @query("j7_companions", f"WITH {ENTRIES}, k AS (SELECT kind, key, row_number() OVER (PARTITION BY kind ORDER BY key) AS place FROM entries) SELECT * FROM k WHERE place <= 12")
 def companions(spark, sf_dir):
     return catalog.companions(entries(spark, sf_dir), "kind", "key", 12)

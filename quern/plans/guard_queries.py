@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quern.operators import catalog, guards, metrics, panel, pool, prep, text
+from quern.plans.catalog_queries import _HELD, held
 from quern.plans.feature_queries import _X, _x
 from quern.plans.measure_queries import _FEATURES, _IC, _features
 from quern.plans.tables import ENTRIES, LOG, PREDICTIONS, entries, log, predictions, r, read
@@ -114,6 +115,14 @@ def neighbours(spark, sf_dir):
     return side("source", "up").unionByName(side("target", "down"))
 
 
+@query("j6_neighbours_whole", f"""WITH {_HELD}, p AS (SELECT DISTINCT x.key AS low, y.key AS high FROM h x JOIN h y ON x.v = y.v AND x.key < y.key)
+    SELECT low AS key, 'up' AS side, count(*) AS n FROM p GROUP BY 1 UNION ALL SELECT high, 'down', count(*) FROM p GROUP BY 1""")
+def neighbours_whole(spark, sf_dir):
+    pairs = catalog.relations(held(spark, sf_dir), "v", "v").where("source < target")
+    side = lambda k, n: pairs.groupBy(F.col(k).alias("key")).agg(F.count("*").alias("n")).select("key", F.lit(n).alias("side"), "n")
+    return side("source", "up").unionByName(side("target", "down"))
+
+
 @query("j6_missing_companions", "SELECT DISTINCT l_partkey + 7 AS missing FROM lineitem WHERE l_quantity > 49 AND l_partkey + 7 NOT IN (SELECT p_partkey FROM part)")
 def missing_companions(spark, sf_dir):
     wanted = read(spark, sf_dir, "lineitem").where("l_quantity > 49").select((F.col("l_partkey") + 7).alias("missing")).distinct()

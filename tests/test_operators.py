@@ -176,3 +176,11 @@ def test_whole_queries_keep_all_keys(spark, sf_dir):
     assert count("u2_first_wins_whole", "l_orderkey", "l_partkey") == lines.select("l_orderkey", "l_partkey").distinct().count()
     parts = spark.read.parquet(f"{sf_dir}/part.parquet").join(lines, F.col("p_partkey") == F.col("l_partkey"))
     assert count("a26_consensus_whole", "key") == parts.select("p_name").distinct().count()
+
+
+def test_whole_relations_reach_all_customers(spark, sf_dir):
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    used = registry.queries()["j9_value_usage_whole"](spark, sf_dir).agg(F.sum("producers")).first()[0]
+    assert used == orders.select("o_custkey", F.lower("o_orderpriority"), "o_orderstatus", F.col("o_orderkey") % 50).distinct().count()
+    for name, key in (("j5_relations_whole", "source"), ("j6_neighbours_whole", "key")):
+        assert registry.queries()[name](spark, sf_dir).agg(F.max(key)).first()[0] > orders.agg(F.max("o_custkey")).first()[0] * 0.9
