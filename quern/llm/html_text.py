@@ -1,27 +1,34 @@
 """Main text of web pages by scoring the tree of blocks.
 
 A tolerant scanner turns a page into a tree of its block elements. Paragraphs score points for
-being one, for each comma and for each 100 characters (three at most), pass them whole to
-their parent, half to its parent and ever less further up, and a container's points are discounted by the
-share of its text that stands in links. The best container's text is taken, with siblings that
-score well enough or are long paragraphs with few links. What carries the tag, class, id or role
-of navigation, headers, footers, sidebars, adverts, notices, forms or comments is left out, as
-are scripts, styles and lists that are all links. A class, id or role alone never leaves out
-``<article>``, ``<main>``, what holds a ``<main>``, an element with a name of the article as well, or
-one with most of the page's paragraph text, unless the article is surely elsewhere.
+being one, for each comma and for each 100 characters (three at most). A container's points are
+those of its paragraphs and half of its containers' points, and they are discounted by the share of its
+text that stands in links. The best container wins. Around it, the outermost ``<main>``, or else
+``<article>``, is taken whole; without one the container is, with siblings that score well
+enough or are long paragraphs with few links. Headings and leads that stand in front of it belong to it.
+
+Left out is what a tag or attribute says is no article: navigation, headers, footers, asides,
+forms, dialogs, hidden parts, scripts and styles. Names alone (class, id, role) leave an element
+out if all parts of one name speak of page furniture (``cookie-notice``, but not ``share-price``),
+and even then not ``<article>``, ``<main>``, what holds a ``<main>``, an element with a name of the article as
+well, or one with most of the page's paragraph text, unless the article is surely elsewhere. Lists that are
+all links are menus in front of the first prose of a container, and everywhere on a page that has no container.
 
 Text: character references are decoded, white space within a block becomes one space, empty
 blocks go, blocks are joined in page order by a line feed. ``<br>`` is white space.
 
 Defined cases: a null or empty page, and one without text, give the empty text. Unclosed,
 misnested and cut-off tags are allowed. page_id and url may be null or repeated; each row stands
-for itself. Other columns are dropped.
+for itself; of equally good containers the first wins. Other columns are dropped. Every
+step takes time and memory in proportion to the page, however long or malformed; a batch holds
+about ``BATCH_BYTES`` of pages, or one longer page.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -30,116 +37,172 @@ from pyspark.sql import functions as F
 
 from quern.runtime import bounded_batches
 
-TOKEN = re.compile(
-    r"""<!--.*?(?:-->|\Z)
-    |<(?P<raw>script|style|noscript|template|iframe|svg|textarea|select|object|title)\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)
-    |<(?P<close>/?)(?P<tag>[a-z][^\s/>]*)(?P<attrs>(?:[^>"']++|"[^"]*"|'[^']*')*+)>
-    |<(?P<close2>/?)(?P<tag2>[a-z][^\s/>]*)(?P<attrs2>[^>]*)>
-    |<[!?/][^>]*(?:>|\Z)|<[a-z][^>]*\Z""",
-    re.S | re.I | re.X,
-)
-ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
+TAG = re.compile(r"</?([a-z][^\s/>]*)", re.I)
+ATTRIBUTES = re.compile(r"""(?:[^>"']++|"[^"]*"|'[^']*')*+>""")
+ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)\s*+(?:=\s*+("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
+#: Their content is no markup; without an end they run to the page's end.
+RAW = frozenset("script style textarea title iframe xmp noembed noframes".split())
+#: Left out with all they hold, if they end.
+SKIPPED = frozenset("noscript template svg select object button canvas audio video math".split())
+ENDS = {t: re.compile(rf"</{t}\b[^>]*>?", re.I) for t in RAW | SKIPPED}
 BLOCKS = frozenset(
     "address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
     "header hgroup hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul head caption".split()
 )
-VOID = frozenset(("hr",))
-NOT_TEXT = frozenset("nav aside footer form menu dialog fieldset head".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+NOT_TEXT = frozenset("nav aside footer menu dialog fieldset head".split())
 #: Words in class, id or role that mark what is not the article.
 UNWANTED = frozenset(
-    "ad ads adbox adslot advert advertisement adverts banner breadcrumb breadcrumbs comment comments commentlist complementary consent "
+    "ad ads adbox adslot advert advertisement advertising adverts banner breadcrumb breadcrumbs comment comments commentlist complementary consent "
     "contentinfo cookie cookies disqus footer gdpr login menu modal nav navbar navigation newsletter notice notices pager pagination "
     "popup promo promoted promotion related respond search share sharing sidebar signup social sponsor sponsored subscribe toolbar widget".split()
 )
-#: Here ``widget`` is any part of the page as a last part (elementor-widget), and these first parts tell a state of a wrapper (has-sidebar).
-NOT_LAST = frozenset(("widget",))
-STATES = frozenset("has no not with without".split())
+#: Words that may stand beside one of these in the name of page furniture.
+BESIDE = frozenset(
+    "site page main content article post posts entry story blog user users reader readers list lists box boxes bar links link item items button "
+    "buttons icons icon block section wrapper wrap container area panel form message overlay text title inner outer left right top bottom "
+    "primary secondary tertiary global mobile desktop header head body group policy info by google sticky fixed floating small large a the of for and "
+    "articles stories count thread reply replies field input slot unit slots units row col column columns js layer".split()
+)
 #: Characters of paragraphs from which text is large, or an article found.
 LEAST_PROSE = 200
 WANTED = frozenset("article body content entry main post story text".split())
-SCORED = frozenset(("p", "pre", "blockquote", "td", "div", "section", "article", "main", "li", "dd"))
+PARAGRAPHS = frozenset(("p", "pre", "td", "li", "dd"))
+SCORED = PARAGRAPHS | frozenset(("blockquote", "div", "section", "article", "main"))
 LISTS = frozenset(("ul", "ol", "dl", "div", "table"))
+#: What a container hands on of its points to the one around it.
+HANDED_ON = 0.5
 
 
 class Node:
-    __slots__ = ("links", "parts", "parent", "score", "size", "tag", "anchors", "unwanted", "suspect", "wanted", "prose", "main")
+    __slots__ = ("links", "parts", "parent", "points", "score", "size", "tag", "anchors", "unwanted", "suspect", "wanted", "prose", "main", "heading")
 
     def __init__(self, tag: str, parent: Node | None, unwanted: bool = False, suspect: bool = False, wanted: bool = False):
         self.tag, self.parent, self.unwanted, self.suspect, self.wanted = tag, parent, unwanted, suspect, wanted
         self.parts: list[Node | str] = []
-        self.score, self.size, self.links, self.anchors = 0.0, 0, 0, 0
+        self.points, self.score, self.size, self.links, self.anchors, self.prose = 0.0, 0.0, 0, 0, 0, 0
+        self.main, self.heading = tag == "main", tag in HEADINGS
+
+
+def _furniture(word: str, in_article: bool) -> bool:
+    """Whether every part of a name speaks of what stands around articles."""
+    parts = [p for p in re.split("[_-]+", word) if p]
+    marks = [p in UNWANTED or (p == "header" and not in_article) for p in parts]
+    return any(marks) and all(m or p in BESIDE or p.strip("0123456789x") == "" for m, p in zip(marks, parts, strict=True))
 
 
 def _marks(tag: str, attrs: str, in_article: bool) -> tuple[bool, bool, bool]:
     """Whether an element is surely not, by its names perhaps not, or likely, the article."""
     unwanted = tag in NOT_TEXT or (tag == "header" and not in_article)
     wanted = tag in ("article", "main")
-    doubt = named = False
-    for name, value in ATTRIBUTE.findall(attrs) if attrs else ():
+    # Some sites put a form around the whole page.
+    doubt, named = tag == "form", False
+    for name, value in ATTRIBUTE.findall(attrs) if attrs and tag not in ("html", "body") else ():
         name, value = name.lower(), value.strip("\"'").lower()
         if name == "style":
-            unwanted |= bool(re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value))
+            unwanted |= bool(re.search(r"display\s*+:\s*+none|visibility\s*+:\s*+hidden", value))
         elif name == "hidden" or (name == "aria-hidden" and value == "true"):
             unwanted = True
-        elif name in ("class", "id", "role") and tag not in ("html", "body"):
+        elif name in ("class", "id", "role"):
             for word in value.split():
-                parts = [p for p in re.split("[_-]+", word) if p] or [""]
-                ends = {parts[0]} | ({parts[-1]} - NOT_LAST)
-                bad = parts[0] not in STATES and (not ends.isdisjoint(UNWANTED) or ("header" in ends and not in_article))
+                bad = _furniture(word, in_article)
                 doubt |= bad
-                named |= not bad and not WANTED.isdisjoint(parts)
+                named |= not bad and not WANTED.isdisjoint(re.split("[_-]+", word))
     return unwanted, doubt and not wanted and not named, (wanted or named and not doubt) and not unwanted
 
 
+def scan(page: str) -> Iterator[tuple[str, str, str]]:
+    """Text ("", text, ""), opening ("<", tag, attributes) and closing tags (">", tag, "") in order."""
+    at, end, last = 0, len(page), page.rfind(">")
+    # Quotes that never close make a tag end at its first ``>``; searches for their ends are rationed.
+    ration, endless = 4 * end + 1000, set()
+    held = 0
+    while (at := page.find("<", at)) >= 0:
+        if page.startswith("<!--", at):
+            yield "", page[held:at], ""
+            to = page.find("-->", at + 4)
+            at = held = to + 3 if to >= 0 else end
+            continue
+        found = TAG.match(page, at)
+        if found is None:
+            if at + 1 < end and page[at + 1] in "!?/":
+                yield "", page[held:at], ""
+                to = page.find(">", at)
+                at = held = to + 1 if to >= 0 else end
+            else:
+                at += 1
+            continue
+        yield "", page[held:at], ""
+        if at > last:
+            held = end
+            break
+        closes, tag, begin = page[at + 1] == "/", found[1].lower(), found.end()
+        to = page.find(">", begin)
+        if not closes and ration > 0 and ('"' in page[begin : to + 1] or "'" in page[begin : to + 1]):
+            whole = ATTRIBUTES.match(page, begin)
+            if whole:
+                to = whole.end() - 1
+            else:
+                ration -= end - begin
+        at = held = to + 1
+        if closes:
+            yield ">", tag, ""
+        elif tag in ENDS and tag not in endless:
+            over = ENDS[tag].search(page, at)
+            if over:
+                at = held = over.end()
+            elif tag in RAW:
+                at = held = end
+            else:
+                endless.add(tag)
+        elif tag not in ENDS:
+            yield "<", tag, page[begin:to]
+    yield "", page[held:], ""
+
+
 def parse(page: str) -> Node:
     """The tree of blocks; text in links counts in ``links`` as well as ``size``."""
     root = at = Node("html", None)
-    in_article = 0
+    opened: Counter[str] = Counter()
     in_link = False
-    end = 0
-
-    def text(piece: str) -> None:
-        if piece:
-            at.parts.append(piece)
-            if not piece.isspace():
-                n = len(" ".join(piece.split()))
-                at.size += n
-                at.links += n * in_link
-
-    for m in TOKEN.finditer(page):
-        text(page[end : m.start()])
-        end = m.end()
-        tag = (m["tag"] or m["tag2"] or "").lower()
-        closes = m["close"] or m["close2"]
-        if not tag or tag == "html":
-            continue
-        if tag == "a":
-            in_link = not closes
-            at.anchors += not closes
+
+    def leave() -> None:
+        nonlocal at
+        opened[at.tag] -= 1
+        at = at.parent
+
+    for kind, tag, attrs in scan(page):
+        if not kind:
+            if tag:
+                at.parts.append(tag)
+                if not tag.isspace():
+                    n = len(" ".join(tag.split()))
+                    at.size += n
+                    at.links += n * in_link
+        elif tag == "a":
+            in_link = kind == "<"
+            at.anchors += in_link
         elif tag == "br":
             at.parts.append(" ")
-        elif tag in BLOCKS:
+        elif tag == "html" or tag not in BLOCKS:
+            continue
+        elif kind == ">":
             in_link = False
-            if closes:
-                up = at
-                while up.parent and up.tag != tag:
-                    up = up.parent
-                if up.parent:
-                    while at is not up.parent:
-                        in_article -= at.tag == "article"
-                        at = at.parent
-                continue
-            while at.tag in ("p", "h1", "h2", "h3", "h4", "h5", "h6") or (at.tag == tag and tag in ("li", "dt", "dd", "tr", "td", "th")):
-                at = at.parent
-            if tag in VOID:
+            if opened[tag]:
+                while at.tag != tag:
+                    leave()
+                leave()
+        else:
+            in_link = False
+            while at.tag == "p" or at.tag in HEADINGS or (at.tag == tag and tag in ("li", "dt", "dd", "tr", "td", "th")):
+                leave()
+            if tag == "hr":
                 at.parts.append(Node(tag, at))
                 continue
-            unwanted, suspect, wanted = _marks(tag, m["attrs"] or m["attrs2"] or "", in_article > 0)
-            node = Node(tag, at, unwanted, suspect, wanted)
+            node = Node(tag, at, *_marks(tag, attrs, opened["article"] > 0))
             at.parts.append(node)
             at = node
-            in_article += tag == "article"
-    text(page[end:])
+            opened[tag] += 1
     return root
 
 
@@ -152,14 +215,17 @@ def _walk(node: Node) -> Iterator[Node]:
         stack += [p for p in reversed(now.parts) if isinstance(p, Node) and not p.unwanted]
 
 
+def _own_prose(node: Node) -> int:
+    return node.size - node.links if node.tag in SCORED and (node.tag == "p" or node.size >= 25) else 0
+
+
 def settle(root: Node) -> None:
     """Decides which suspect elements are left out; each node is seen a fixed number of times."""
     nodes = list(_walk(root))
     if not any(n.suspect for n in nodes):
         return
-    own = lambda n: n.size - n.links if n.tag in SCORED and (n.tag == "p" or n.size >= 25) else 0
     for node in nodes:
-        node.prose, node.main = own(node), node.tag == "main"
+        node.prose = _own_prose(node)
     for node in reversed(nodes):
         if node.parent is not None:
             node.parent.prose += node.prose
@@ -175,7 +241,7 @@ def settle(root: Node) -> None:
             stack, large = [large], None
         node, inside = stack.pop()
         inside |= node.wanted
-        found += own(node) * inside
+        found += _own_prose(node) * inside
         for part in node.parts:
             if not isinstance(part, Node) or part.unwanted:
                 continue
@@ -193,27 +259,27 @@ def score(root: Node) -> None:
     for node in nodes:
         if node.tag in SCORED:
             own = " ".join(" ".join(p.split()) for p in node.parts if isinstance(p, str) and not p.isspace())
-            if node.tag == "p" or len(own) >= 25:
-                points = 1 + own.count(",") + own.count("，") + min(len(own) / 100, 3)
+            if own and (node.tag == "p" or len(own) >= 25):
                 # A block that holds text of its own beside other blocks is a container too.
-                up, level = (node.parent if node.tag in ("p", "pre", "li", "td", "dd") else node), 0
-                while up is not None and own:
-                    up.score += points / (3 * level if level > 1 else level + 1)
-                    up, level = up.parent, level + 1
+                to = node.parent if node.tag in PARAGRAPHS and node.parent is not None else node
+                to.points += 1 + own.count(",") + own.count("，") + min(len(own) / 100, 3)
     for node in reversed(nodes):
-        if node.parent is not None:
-            node.parent.size += node.size
-            node.parent.links += node.links
-            node.parent.anchors += node.anchors
-    for node in nodes:
-        if node.wanted:
-            node.score += 25 if node.tag in ("article", "main") else 10
-        node.score *= 1 - node.links / max(node.size, 1)
+        up = node.parent
+        if up is not None:
+            up.points += HANDED_ON * node.points
+            up.size += node.size
+            up.links += node.links
+            up.anchors += node.anchors
+            up.heading |= node.heading
+        few = 1 - node.links / max(node.size, 1)
+        node.points *= few
+        node.score = node.points + few * (0 if not node.wanted else 25 if node.tag in ("article", "main") else 10)
 
 
-def _blocks(node: Node, top: bool = True) -> Iterator[str]:
-    """Raw text of the blocks in order. Recursion is replaced by a stack of iterators."""
-    stack, held = [(node, iter(node.parts))], []
+def _blocks(node: Node, menus: str) -> Iterator[str]:
+    """Raw text of the blocks in order; lists of links are left out in front of the first prose
+    (``menus`` is "front"), everywhere ("all") or nowhere (""). Recursion is replaced by a stack of iterators."""
+    stack, held, prose = [(node, iter(node.parts))], [], False
     while stack:
         now, parts = stack[-1]
         for part in parts:
@@ -222,8 +288,9 @@ def _blocks(node: Node, top: bool = True) -> Iterator[str]:
                 continue
             yield "".join(held)
             held = []
-            menu = part.tag in LISTS and part.anchors >= 3 and part.links >= 0.8 * part.size
-            if not part.unwanted and not menu:
+            listed = part.tag in LISTS and part.anchors >= 3 and part.links >= 0.8 * part.size
+            if not part.unwanted and not (listed and (menus == "all" or menus == "front" and not prose)):
+                prose |= part.tag == "p" and part.size >= 25 and part.links < 0.25 * part.size
                 stack.append((part, iter(part.parts)))
                 break
         else:
@@ -232,6 +299,33 @@ def _blocks(node: Node, top: bool = True) -> Iterator[str]:
             stack.pop()
 
 
+def _taken(root: Node) -> list[tuple[Node, str]]:
+    """The elements whose text is the article, each with how link lists in it are treated."""
+    best = max(_walk(root), key=lambda n: n.score)
+    if best.score <= 0:
+        return [(root, "all")]
+    marked = [best] if best.tag in ("article", "main") else []
+    up = best
+    while (up := up.parent) is not None:
+        if up.tag in ("article", "main"):
+            marked.append(up)
+    top = next((n for n in reversed(marked) if n.tag == "main"), marked[-1] if marked else best)
+    while top.parent is not None and top.parent.parent is not None and top.parent.size == top.size:
+        top = top.parent
+    if top.parent is None or top.tag == "body":
+        return [(top, "all")]
+    least, out, front = max(10.0, 0.2 * top.points), [], True
+    for n in top.parent.parts:
+        if n is top:
+            out.append((n, "" if marked else "front"))
+            front = False
+        elif isinstance(n, Node) and not n.unwanted and n.links < 0.25 * n.size:
+            prose = n.tag == "p" and n.size >= 80
+            if n.points >= least or prose or (front and (n.tag == "p" or n.heading)):
+                out.append((n, "front"))
+    return out
+
+
 def extract(page: str | None) -> str:
     """The main text of one page."""
     if not page:
@@ -239,20 +333,7 @@ def extract(page: str | None) -> str:
     root = parse(page)
     settle(root)
     score(root)
-    best = max(_walk(root), key=lambda n: n.score)
-    if best.score <= 0:
-        taken = [root]
-    elif best.parent is None:
-        taken = [best]
-    else:
-        least = max(10.0, 0.2 * best.score)
-        taken = []
-        for n in best.parent.parts:
-            if isinstance(n, Node) and not n.unwanted:
-                prose = n.tag == "p" and n.size >= 80 and n.links < 0.25 * n.size
-                if n is best or n.score >= least or prose:
-                    taken.append(n)
-    lines = (" ".join(html.unescape(b).split()) for n in taken for b in _blocks(n))
+    lines = (" ".join(html.unescape(b).split()) for n, menus in _taken(root) for b in _blocks(n, menus))
     return "\n".join(line for line in lines if line)
 
 

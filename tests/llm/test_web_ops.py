@@ -2,6 +2,8 @@ import base64
 import gzip
 import hashlib
 import os
+import random
+import time
 
 import duckdb
 import pytest
@@ -153,3 +155,91 @@ def test_names_alone_lose_no_article(page, text):
 
 def test_deep_nesting_of_suspects():
     assert html_text.extract("<div class=ad>" * 3000 + f"<p>{PROSE}</p>").startswith("A long")
+
+
+@pytest.mark.parametrize(
+    "page,text",
+    [
+        (f"<article class='share-price-story'><p>{PROSE}</p></article>", PROSE.strip()),
+        (f"<article><p>{PROSE}</p><section class='related-work'><h2>Related work</h2><p>Others did, long ago.</p></section></article>", f"{PROSE.strip()}\nRelated work\nOthers did, long ago."),
+        (f"<article><p>{PROSE}</p><ul><li><a href=1>Ref one</a><li><a href=2>Ref two</a><li><a href=3>Ref three</a></ul></article>", f"{PROSE.strip()}\nRef one\nRef two\nRef three"),
+        (f"<body><nav>x</nav><div><h1>Title</h1><p>Short lead.</p><div class=content><p>{PROSE}</p><p>{PROSE}</p></div></div></body>", "\n".join(["Title", "Short lead.", *[PROSE.strip()] * 2])),
+        (f"<body><form id=page><div><p>{PROSE}</p></div></form></body>", PROSE.strip()),
+        (f"<body><ul><li><a href=1>Home</a><li><a href=2>News</a><li><a href=3>Help</a></ul><p>{PROSE}</p></body>", PROSE.strip()),
+        (f"<article><p>{PROSE}</p><div class='cookie-notice'>No.</div><div class='post-comments'><p>{PROSE}</p></div><button>Share</button></article>", PROSE.strip()),
+        (f"<article><p>{PROSE}</p><svg><p>and this, an unclosed drawing</p></article>", f"{PROSE.strip()}\nand this, an unclosed drawing"),
+        (f"<article><p title='a > b'>{PROSE}</p><p title='>half</p></article>", f"{PROSE.strip()}\nhalf"),
+    ],
+)
+def test_nothing_of_the_article_is_dropped(page, text):
+    assert html_text.extract(page) == text
+
+
+@pytest.mark.parametrize("piece", ["<a", "<div><p>x, y", "</div>", '<a ">" ', "<svg>", "<!--", "<", "&", "<p class='ad' id=\"", "</script", "<form class=ad>x"])
+def test_a_long_odd_page_takes_time_in_proportion(piece):
+    page = "<section><p>" + piece * (1_000_000 // len(piece))
+    began = time.process_time()
+    html_text.extract(page)
+    assert time.process_time() - began < 2
+
+
+def random_page(rng, depth=0):
+    out = []
+    for _ in range(rng.randrange(1, 5)):
+        kind = rng.choice(["p", "p", "div", "section", "article", "ul", "text", "a"])
+        words = " ".join(rng.choice(["stone,", "river", "night", "lamp,"]) for _ in range(rng.randrange(1, 40)))
+        if kind == "text":
+            out.append(words)
+        elif kind == "a":
+            out.append(f"<a href=x>{words[:20]}</a>")
+        elif kind == "p" or depth > 4:
+            out.append(f"<p>{words}</p>")
+        elif kind == "ul":
+            out.append("<ul>" + "".join(f"<li>{words[: rng.randrange(60)]}</li>" for _ in range(3)) + "</ul>")
+        else:
+            out.append(f"<{kind}>{random_page(rng, depth + 1)}</{kind}>")
+    return "".join(out)
+
+
+def brute_scores(root):
+    """Every node's points by walking up from each paragraph, and its density by walking down."""
+    nodes, points = list(html_text._walk(root)), {}
+    for n in nodes:
+        own = " ".join(" ".join(p.split()) for p in n.parts if isinstance(p, str) and p.strip())
+        if n.tag in html_text.SCORED and own and (n.tag == "p" or len(own) >= 25):
+            up, share = n.parent if n.tag in html_text.PARAGRAPHS else n, 1.0
+            while up is not None:
+                points[up] = points.get(up, 0) + share * (1 + own.count(",") + min(len(own) / 100, 3))
+                up, share = up.parent, share / 2
+    out = {}
+    for n in nodes:
+        below = list(html_text._walk(n))
+        size, links = sum(b.size for b in below), sum(b.links for b in below)
+        out[n] = (points.get(n, 0) + (25 if n.tag in ("article", "main") else 0)) * (1 - links / max(size, 1))
+    return out
+
+
+def test_scores_by_brute_force():
+    rng = random.Random(5)
+    for _ in range(200):
+        root = html_text.parse(random_page(rng))
+        want = brute_scores(root)
+        html_text.settle(root)
+        html_text.score(root)
+        for n, s in want.items():
+            assert n.score == pytest.approx(s)
+
+
+def test_templates_with_known_articles():
+    """Pages laid out in many ways around one article: exactly its blocks come back."""
+    rng = random.Random(9)
+    for _ in range(150):
+        blocks = [" ".join(rng.choice(["stone,", "river", "night", "lamp", "of", "the"]) for _ in range(rng.randrange(12, 60))) for _ in range(rng.randrange(3, 9))]
+        body = "".join(f"<p>{b}</p>" for b in blocks)
+        nav = "<nav><ul>" + "".join(f"<li><a href={i}>Go {i}</a></li>" for i in range(5)) + "</ul></nav>"
+        wrap = rng.choice(["<article>{}</article>", "<main>{}</main>", "<div class='post-body'>{}</div>", "<div><div>{}</div></div>", "<main><div class='grid has-sidebar'>{}</div></main>", "<section id=story>{}</section>"])
+        side = rng.choice(["<aside><p>Other, unwanted, words stand here.</p></aside>", "<div class='sidebar-left'><p>Other, unwanted, words.</p></div>", "<div class='ads-box'>Buy, now!</div>", ""])
+        after = rng.choice(["<section class=comments><p>I think, so too, and more, of it all.</p></section>", "<div id='disqus'><p>First, comment.</p></div>", ""])
+        inner, title = f"<h1>Title here</h1>{body}", ["Title here"]
+        page = f"<html><body>{nav}<header><a href=/>Site</a></header>{side}{wrap.format(inner)}{after}<footer>All rights, reserved.</footer></body></html>"
+        assert html_text.extract(page) == "\n".join(title + blocks), page
