@@ -7,20 +7,24 @@ from labelled samples; a run whose mean log-likelihood ratio is high enough, and
 letters and digits, is a span of kind ``random`` unless a base span covers part of it.
 
 Labelled samples: random strings are drawn over the alphabets that keys use, by a seeded
-generator, so that all executors agree. Ordinary ones are taken from the first rows of the
-corpus (at most ``SAMPLE_BATCHES`` * ``BATCH_ROWS`` texts, the bound of this fit), as they are and joined
+generator, so that all executors agree. Ordinary ones are taken from the ``SAMPLE_TEXTS`` rows of the
+corpus whose doc_ids have the smallest hashes (the bound of this fit, whatever the files' layout), as they are and joined
 into identifiers in the usual styles. Runs that the base patterns match are left out of them.
 
 Defined cases: a null text has no spans, like an empty one. Offsets count code points, ends are
 exclusive. Spans of one kind never overlap. doc_id may be null or repeated; each row stands for
-itself. An empty corpus leaves a model that was trained on built-in identifiers alone. Extra
-columns are kept by ``redact`` and dropped by ``find``.
+itself. An empty corpus leaves a model that was trained on built-in identifiers alone. Of rows that
+tie in the sample (one doc_id), those with the smaller texts are taken. Extra columns are kept by ``redact`` and
+dropped by ``find``. The work on a text is in proportion to its length but for sorting its spans; a
+batch holds about ``BATCH_BYTES`` of texts, or one longer text.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -34,8 +38,8 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")  # runs are maximal, so this drops exactly the shorter ones
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
-#: Texts of the labelled sample, at most: batches times rows of each.
-SAMPLE_BATCHES, BATCH_ROWS = 8, 256
+#: Texts of the labelled sample of ordinary words, at most.
+SAMPLE_TEXTS = 2048
 RANDOM_STRINGS = 20_000
 #: Mean log-likelihood ratio (nats a character) from which a run counts as random.
 THRESHOLD = 1.0
@@ -93,36 +97,46 @@ def ordinary_samples(text: str) -> list[str]:
     return out
 
 
-def train(docs: DataFrame, sample_batches: int = SAMPLE_BATCHES) -> np.ndarray:
-    """Log-likelihood ratios by pair of characters, from labelled samples (see above).
+def sample(docs: DataFrame, texts: int) -> DataFrame:
+    """The text of the ``texts`` rows whose doc_ids have the smallest hashes.
 
-    Each batch of texts is counted where it lies. Collecting a limit of batches reads no more
-    partitions than it needs, and gives the driver at most 128 * 128 counts a batch.
+    Only rows below a bound that lets some four times as many through are sorted, so that the one
+    task that merges them stays small.
     """
+    rows = docs.select(F.xxhash64(F.col("doc_id").cast("long")).alias("hash"), F.col("text").cast("string").alias("text"))
+    share = 4 * texts / max(rows.count(), 1)
+    if share < 1:
+        rows = rows.where(F.col("hash") < int((share - 0.5) * 2**64))
+    return rows.orderBy("hash", "text").limit(texts).select("text")
+
+
+def train(docs: DataFrame, sample_texts: int = SAMPLE_TEXTS) -> np.ndarray:
+    """Log-likelihood ratios by pair of characters, from labelled samples (see above)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(128 * 128, np.int64)
         for batch in batches:
-            total = np.zeros(128 * 128, np.int64)
             for text in batch.column(0).to_pylist():
                 total += pair_counts(ordinary_samples(text or ""))
-            at = np.flatnonzero(total)
-            yield pa.RecordBatch.from_pydict({"pair": pa.array([at]), "n": pa.array([total[at]])})
+        yield pa.RecordBatch.from_pydict({"n": pa.array([total])})
 
-    bounded_batches(docs.sparkSession, BATCH_ROWS)
+    bounded_batches(docs.sparkSession)
     ordinary = pair_counts(IDENTIFIERS * BUILT_IN)
-    seen = docs.select(F.col("text").cast("string")).mapInArrow(run, "pair array<long>, n array<long>")
-    for pair, n in seen.limit(sample_batches).collect():
-        ordinary[pair] += np.array(n, dtype=np.int64)
+    for (n,) in sample(docs, sample_texts).mapInArrow(run, "n array<long>").collect():
+        ordinary += np.array(n, dtype=np.int64)
     return log_model(pair_counts(random_samples())) - log_model(ordinary)
 
 
 def _spans(text: str, ratio: np.ndarray) -> list[tuple[int, int, int]]:
     """All spans; the method's own are those that touch no base span."""
     base = _base(text)
+    starts = [s for s, _, _ in base]
+    reach = [0, *accumulate((e for _, _, e in base), max)]
     out = list(base)
     for m in CANDIDATE.finditer(text):
         run, a, b = m.group(), m.start(), m.end()
-        if any(c.isdigit() for c in run) and any(c.isalpha() for c in run) and not any(s < b and a < e for s, _, e in base):
+        # What starts before the run's end must not reach beyond its start.
+        if any(c.isdigit() for c in run) and any(c.isalpha() for c in run) and reach[bisect_left(starts, b)] <= a:
             codes = np.frombuffer(("\x00" + run).encode(), dtype=np.uint8)
             if ratio[codes[:-1], codes[1:]].mean() >= THRESHOLD:
                 out.append((a, 3, b))
@@ -152,9 +166,9 @@ def find(docs: DataFrame, ratio: np.ndarray) -> DataFrame:
     )
 
 
-def scan(docs: DataFrame, sample_batches: int = SAMPLE_BATCHES) -> DataFrame:
+def scan(docs: DataFrame, sample_texts: int = SAMPLE_TEXTS) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_sha256 and spans of every row of ``docs``."""
-    return find(docs, train(docs, sample_batches)).select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base", 256).alias("base_sha256"), "spans")
+    return find(docs, train(docs, sample_texts)).select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base", 256).alias("base_sha256"), "spans")
 
 
 def blank(text: str | None, ratio: np.ndarray) -> str | None:
@@ -167,10 +181,10 @@ def blank(text: str | None, ratio: np.ndarray) -> str | None:
     return "".join([*out, text[at:]]) if out else text
 
 
-def redact(docs: DataFrame, sample_batches: int = SAMPLE_BATCHES) -> DataFrame:
+def redact(docs: DataFrame, sample_texts: int = SAMPLE_TEXTS) -> DataFrame:
     """``docs`` with the secrets in text blanked and n_chars, where there is one, made to fit."""
     bounded_batches(docs.sparkSession)
-    ratio = train(docs, sample_batches)
+    ratio = train(docs, sample_texts)
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

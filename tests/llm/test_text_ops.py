@@ -127,6 +127,54 @@ def test_secret_models_separate_held_out_strings(spark):
     assert hits([f"{a}_{b}_2" for a, b in zip(plain, plain[1:], strict=False)]) < 0.01
 
 
+def brute_spans(text, ordinary, random):
+    """Base spans and runs that two character models, held as dictionaries, call random."""
+    import math
+
+    def model(samples):
+        pairs, firsts = {}, {}
+        for w in samples:
+            for a, b in zip("\0" + w, w, strict=False):
+                pairs[a, b], firsts[a] = pairs.get((a, b), 0) + 1, firsts.get(a, 0) + 1
+        return lambda a, b: math.log((pairs.get((a, b), 0) + 1) / (firsts.get(a, 0) + 128))
+
+    one, two, out = model(random), model(ordinary), brute_base(text)
+    for m in re.finditer(r"[A-Za-z0-9+/_=-]{20,}", text or ""):
+        run = m[0]
+        if any(a < m.end() and m.start() < e for a, _, e in brute_base(text)) or run.isalpha() or not re.search("[0-9]", run) or not re.search("[A-Za-z]", run):
+            continue
+        if sum(one(a, b) - two(a, b) for a, b in zip("\0" + run, run, strict=False)) / len(run) >= secrets.THRESHOLD:
+            out.append((m.start(), 3, m.end()))
+    return sorted(out)
+
+
+def test_all_spans_by_brute_force(spark):
+    drawn = secrets.random_samples(12, seed=3)
+    rows = texts() + [(500 + i, f"a {s} b_{s[:22]} some_ordinary_identifier_{i}") for i, s in enumerate(drawn)] + [(600, "password=" + drawn[2] + " " + drawn[3] + "x" * 3)]
+    got = {r.doc_id: r.spans for r in secrets.find(docs(spark, [r for r in rows if r[0]]), secrets.train(docs(spark, rows))).collect()}
+    ordinary = [w for _, t in rows for w in secrets.ordinary_samples(t or "")] + secrets.IDENTIFIERS * secrets.BUILT_IN
+    samples = secrets.random_samples()
+    want = {i: secrets.listing(brute_spans(t, ordinary, samples)) for i, t in rows if i and i >= 300}
+    assert {i: got[i] for i in want} == want
+    assert sum("random" in v for v in want.values()) > 8
+
+
+def test_secret_model_does_not_depend_on_layout(spark):
+    df = docs(spark)
+    one, other = secrets.train(df.coalesce(1), 9), secrets.train(df.repartition(7, "n_chars"), 9)
+    assert (one == other).all()
+    assert secrets.sample(df, 9).count() == 9
+
+
+def test_many_spans_in_a_long_text():
+    import time
+
+    text = ("deadbeef" * 4 + " AbCd1234efgh5678IJKL90 ") * 20_000
+    began = time.process_time()
+    spans = secrets._spans(text, np.ones((128, 128)))
+    assert len(spans) == 40_000 and time.process_time() - began < 5
+
+
 def test_redact(spark):
     df = docs(spark, SECRETS)
     out = secrets.redact(df)
