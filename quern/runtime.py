@@ -1,13 +1,23 @@
-"""Session helpers: the shared folder, durable intermediate tables, batch bounds."""
+"""Session helpers: the shared folder, durable intermediate tables and their owners, batch bounds."""
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Bytes of texts in one Arrow batch, about; a longer text is a batch of its own.
+BATCH_BYTES = 4 << 20
+_SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+#: Paths that each open scope owns, innermost last.
+_owned: ContextVar[tuple[list[str], ...]] = ContextVar("quern_owned", default=())
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors see.
@@ -24,35 +34,83 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+def _hadoop(spark: SparkSession, path: str):
+    """Hadoop's file system of ``path``, and the path for it."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), place
+
+
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared folder."""
-    app = spark.sparkContext.applicationId
-    return f"{shared_dir(spark)}/quern/{app}/{name}-{uuid.uuid4().hex}"
+    """A fresh path below the shared folder. All of an application's paths go when it ends."""
+    top = f"{shared_dir(spark)}/quern/{spark.sparkContext.applicationId}"
+    fs, place = _hadoop(spark, top)
+    if not fs.exists(place):
+        fs.mkdirs(place)
+        fs.deleteOnExit(place)
+    return f"{top}/{name}-{uuid.uuid4().hex}"
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    fs, place = _hadoop(spark, path)
+    fs.delete(place, True)
+
+
+@contextmanager
+def scope(spark: SparkSession) -> Iterator[None]:
+    """Owns the tables that ``materialize`` writes inside, and removes them at its end.
+
+    What is to outlive the scope is written by ``hand_over``, or outside.
+    """
+    own: list[str] = []
+    token = _owned.set((*_owned.get(), own))
+    try:
+        yield
+    finally:
+        _owned.reset(token)
+        for path in own:
+            remove(spark, path)
+
+
+def _table(df: DataFrame, name: str, owner: int) -> DataFrame:
+    spark = df.sparkSession
+    path = shared_path(spark, name)
+    scopes = _owned.get()
+    if len(scopes) >= owner:
+        scopes[-owner].append(path)
+    before = spark.conf.get(_SHUFFLE_CLEANUP)
+    spark.conf.set(_SHUFFLE_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_SHUFFLE_CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back.
 
     This cuts the lineage at a durable copy, so a lost executor costs only the tasks that
-    ran on it, and lets Spark drop the shuffle files behind the table.
+    ran on it. Spark removes the write's shuffle files with its last task. The side of a join
+    that an aggregate made is a plain shuffle behind such a table, so adaptive execution can
+    split a hot key of the other side. The innermost ``scope`` owns the table.
     """
-    spark = df.sparkSession
-    path = shared_path(spark, name)
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    release(spark)
-    return out
+    return _table(df, name, 1)
 
 
-def release(spark: SparkSession) -> None:
-    """Let the context cleaner see which shuffles nothing refers to any more."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+def hand_over(df: DataFrame, name: str) -> DataFrame:
+    """Like ``materialize``, for the scope around the innermost one, or else the application."""
+    return _table(df, name, 2)
 
 
-def bounded_batches(spark: SparkSession, records: int = 256) -> None:
-    """Bound the rows of an Arrow batch, so that a batch of long texts stays small."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(records))
+def bounded_batches(spark: SparkSession) -> None:
+    """Bound the bytes of Arrow batches, so that a batch of long texts stays small.
+
+    Plans read the option as they run, so all operators ask for one and the same value; a
+    smaller one that the session has stays.
+    """
+    now = spark.conf.get(_BATCH_BYTES)
+    if not now.rstrip("b").isdigit() or not 0 < int(now.rstrip("b")) <= BATCH_BYTES:
+        spark.conf.set(_BATCH_BYTES, str(BATCH_BYTES))
 
 
 def prune_joins(spark: SparkSession) -> None:
