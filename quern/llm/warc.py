@@ -14,7 +14,8 @@ record may run over the range's end. Memory is bounded by one record.
 Defined cases: a null payload is written like an empty one. Records with equal payloads of at
 least ``least`` bytes: that with the smallest page_id is the response, the others revisit it;
 rows that share this smallest page_id are all responses; a null page_id revisits one that isn't
-null. An empty table makes an empty archive. Urls may be null. Other columns are ignored.
+null. An empty table makes an empty archive. Urls may be null. Other columns are ignored. A task holds one
+batch of about ``BATCH_BYTES`` of pages, or one longer page.
 """
 
 from __future__ import annotations
@@ -38,13 +39,30 @@ MAGIC = b"\x1f\x8b\x08"
 RANGE_BYTES = 32 << 20
 MAX_TASKS = 50_000
 _CHUNK = 1 << 18
+#: Compressed bytes that a candidate is probed with at a time.
+_PROBE = 512
+#: Longest name or comment of a gzip header that is followed, and the longest header with those.
+_MOST_NAME = 4096
+_MOST_HEADER = 12 + 65535 + 2 * _MOST_NAME + 2
 _VERSION = b"WARC/1."
 RECORDS = "path string, offset long, page_id string, record_type string, uri string, payload_digest string, payload_bytes long, refers_to string, payload binary"
 
 
+#: Schemes of Hadoop's connectors, by those under which Arrow has a file system of the same store.
+SCHEMES = {"s3a": "s3", "s3n": "s3", "viewfs": "hdfs"}
+
+
 def _open_fs(uri: str) -> tuple[pafs.FileSystem, str]:
-    """The file system of a path or URI that Spark names, and the path in it."""
-    return pafs.FileSystem.from_uri(uri if "://" in uri else "file://" + os.path.abspath(uri.removeprefix("file:")))
+    """The file system of a path or URI that Spark names, and the path in it.
+
+    Paths without a scheme, ``file:``, ``s3a:`` (as ``s3:``), ``gs:``, ``abfss:`` and ``hdfs:`` are known, as
+    far as the tasks' Arrow was built with them; ``hdfs:`` needs Hadoop's native library there. Access keys
+    are taken from the environment of the tasks.
+    """
+    scheme, mark, rest = uri.partition("://")
+    if not mark:
+        return pafs.FileSystem.from_uri("file://" + os.path.abspath(uri.removeprefix("file:")))
+    return pafs.FileSystem.from_uri(f"{SCHEMES.get(scheme, scheme)}://{rest}")
 
 
 def digest(payload: bytes) -> str:
@@ -80,8 +98,9 @@ def record(page_id: int | None, uri: str | None, payload: bytes, refers_to: int
 def assign(pages: DataFrame, least: int = 0) -> DataFrame:
     """page_id, url, payload and the response each row refers to.
 
-    Payloads are compared by SHA-256 and length. Minima are taken before the shuffle, and
-    only groups of several rows are joined back.
+    Payloads are compared by SHA-256. Minima are taken before the shuffle, and only those of groups of
+    several rows are joined back, from a table: adaptive execution can then split the
+    copies of one payload over tasks.
     """
     payload = F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary")
     rows = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), payload.alias("payload")).withColumn(
@@ -92,8 +111,8 @@ def assign(pages: DataFrame, least: int = 0) -> DataFrame:
         .groupBy("same")
         .agg(F.min("page_id").alias("first"), F.count("*").alias("n"))
         .where("n > 1")
-        .select("same", "first")
     )
+    first = materialize(first.select("same", "first"), "warc-first")
     refers: Column = F.when(~F.col("page_id").eqNullSafe(F.col("first")), F.col("first"))
     return rows.join(first, "same", "left").select("page_id", "url", "payload", refers.alias("refers_to"))
 
@@ -119,43 +138,75 @@ def write(assigned: DataFrame, folder: str) -> DataFrame:
 
 
 class _Bytes:
-    """A file's bytes from an offset on, read piece by piece."""
+    """A file's bytes from an offset on, read piece by piece. ``at`` is the place in what is held."""
+
+    def __init__(self, file, start: int):
+        self.file, self.start, self.held, self.at = file, start, b"", 0
+        file.seek(start)
 
-    def __init__(self, file, at: int):
-        self.file, self.start, self.held = file, at, b""
-        file.seek(at)
+    @property
+    def offset(self) -> int:
+        return self.start + self.at
 
     def more(self) -> bool:
-        got = self.file.read(max(_CHUNK, len(self.held)))
-        self.held += got
+        """Reads on, and lets go of what lies before the place."""
+        got = self.file.read(max(_CHUNK, len(self.held) - self.at))
+        self.held = self.held[self.at :] + got
+        self.start, self.at = self.start + self.at, 0
         return bool(got)
 
-    def drop(self, n: int) -> None:
-        self.held = self.held[n:]
-        self.start += n
+
+def _is_header(data: _Bytes) -> bool:
+    """Whether a gzip header stands at the place, with names of at most ``_MOST_NAME`` bytes."""
+    while len(data.held) - data.at < _MOST_HEADER and data.more():
+        pass
+    if data.held[data.at + 3 : data.at + 4] == b"\0":
+        return True
+    head = data.held[data.at : data.at + _MOST_HEADER]
+    if len(head) < 10 or head[3] & 0xE0:
+        return False
+    to = 10 + (2 + int.from_bytes(head[10:12], "little") if head[3] & 4 else 0)
+    for _ in range((head[3] & 8 > 0) + (head[3] & 16 > 0)):
+        to = head.find(b"\0", to, to + _MOST_NAME) + 1
+        if not to:
+            return False
+    return to < len(head)
 
 
 def _inflate(data: _Bytes) -> tuple[bytes, int] | None:
-    """The member at the front and its compressed length; None if there is no record there."""
+    """The member at the place and its compressed length; None if there is no record there.
+
+    Nothing beyond the version line is inflated before it is known to be one.
+    """
+    if not _is_header(data):
+        return None
     machine, out, used = zlib.decompressobj(31), [], 0
-    checked = False
     try:
-        while not machine.eof:
-            if used == len(data.held) and not data.more():
+        begun = b""
+        while len(begun) < len(_VERSION):
+            if data.at + used == len(data.held) and not data.more():
                 return None
-            piece = data.held[used:]
-            out.append(machine.decompress(piece))
-            used += len(piece)
-            if not checked and sum(map(len, out[:2])) >= len(_VERSION):
-                checked = True
-                if not b"".join(out).startswith(_VERSION):
+            piece = machine.unconsumed_tail + data.held[data.at + used : data.at + used + _PROBE]
+            used += len(piece) - len(machine.unconsumed_tail)
+            begun += machine.decompress(piece, len(_VERSION) - len(begun))
+            if machine.eof:
+                break
+        if begun != _VERSION:
+            return None
+        out.append(begun)
+        tail = machine.unconsumed_tail
+        while not machine.eof:
+            if not tail:
+                if data.at + used == len(data.held) and not data.more():
                     return None
+                tail = data.held[data.at + used :]
+                used += len(tail)
+            out.append(machine.decompress(tail))
+            tail = machine.unconsumed_tail
     except zlib.error:
         return None
     raw = b"".join(out)
-    if not raw.startswith(_VERSION) or b"\r\n\r\n" not in raw:
-        return None
-    return raw, used - len(machine.unused_data)
+    return (raw, used - len(machine.unused_data)) if b"\r\n\r\n" in raw else None
 
 
 def parse(raw: bytes) -> tuple[dict[str, str], bytes]:
@@ -173,22 +224,22 @@ def scan(path: str, start: int, end: int) -> Iterator[tuple[int, dict[str, str],
     fs, inner = _open_fs(path)
     with fs.open_input_file(inner) as file:
         data = _Bytes(file, start)
-        while data.start < end:
-            found = data.held.find(MAGIC)
+        while data.offset < end:
+            found = data.held.find(MAGIC, data.at)
             if found < 0:
-                data.drop(max(0, len(data.held) - len(MAGIC) + 1))
+                data.at = max(data.at, len(data.held) - len(MAGIC) + 1)
                 if not data.more():
                     return
                 continue
-            data.drop(found)
-            if data.start >= end:
+            data.at = found
+            if data.offset >= end:
                 return
             member = _inflate(data)
             if member is None:
-                data.drop(1)
+                data.at += 1
                 continue
-            yield data.start, *parse(member[0])
-            data.drop(member[1])
+            yield data.offset, *parse(member[0])
+            data.at += member[1]
 
 
 def _urn(value: str) -> str | None:

@@ -69,6 +69,31 @@ def test_warc_least_bytes_and_empty(spark):
     assert warc.read(warc.archive(spark, pages(spark, []))).count() == 0
 
 
+def test_warc_hot_payload(spark):
+    """A third of all pages have one payload: the smallest page_id is the response of all others."""
+    rows = [(i, "http://x/", "same" * 50 if i % 3 == 0 else f"page {i}") for i in range(1, 3001)]
+    got = {int(r.page_id): (r.record_type, r.refers_to) for r in warc.read(warc.archive(spark, pages(spark, rows))).collect()}
+    assert got == {i: ("revisit", "3") if i % 3 == 0 and i > 3 else ("response", None) for i, _, _ in rows}
+
+
+def test_warc_long_runs_of_magic(tmp_path):
+    """Candidates that don't begin a record cost little each, and what is cut off is no record."""
+    bomb = gzip.compress(b"\0" * 50_000_000, mtime=0)
+    path = tmp_path / "b.warc.gz"
+    path.write_bytes(bomb + warc.MAGIC * 300_000 + warc.record(7, "http://x/", b"y" * 3_000_000, None) + warc.record(8, None, b"z", None)[:-5])
+    began = time.process_time()
+    assert [f["warc-record-id"] for _, f, _ in warc.scan(str(path), 0, path.stat().st_size)] == ["<urn:page:7>"]
+    assert time.process_time() - began < 10
+
+
+def test_warc_schemes():
+    fs, inner = warc._open_fs("/tmp/x")
+    assert inner == "/tmp/x" and warc._open_fs("file:///tmp/x")[1] == "/tmp/x"
+    assert warc.SCHEMES["s3a"] == "s3"
+    with pytest.raises(Exception, match="nosuch"):
+        warc._open_fs("nosuch://b/x")
+
+
 def test_warc_path_is_shared(spark):
     assert shared_path(spark, "x").startswith(spark.conf.get("spark.checkpoint.dir"))
 
