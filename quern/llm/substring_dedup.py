@@ -8,14 +8,16 @@ only repeat if it holds an anchor that another document has too. Around such anc
 extended, by comparing the full windows that hold them, with 128-bit hashes, to the smallest
 document each one starts in.
 
-Counts and minima are partial aggregates before the shuffle and the joins are plain equi-joins
-on hashes, so a passage that a third of all documents share is split by adaptive execution
-and never gathered in one place; what is collected for a document is bounded by its own words.
+Counts and minima are partial aggregates before the shuffle, and are written before they are
+joined back: both sides of that equi-join are then plain shuffles, so adaptive execution can split
+the rows of a passage that a third of all documents share, and they are
+never gathered in one place; what is collected for a document is bounded by its own words.
 
 Defined cases: a null text has no words, like an empty one. Repeats inside one document alone
 are kept. Rows without a doc_id come before nothing and after nothing: their words stay and
 remove no others. Rows that share a doc_id are judged each on its own against smaller
-doc_ids. Other columns are not looked at.
+doc_ids. Other columns are not looked at. A window's first document is the one with the smallest
+doc_id; rows that tie remove nothing from each other. Batches hold about ``BATCH_BYTES`` of texts, or one longer text.
 """
 
 from __future__ import annotations
@@ -29,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm import words as W
-from quern.runtime import bounded_batches, materialize, prune_joins
+from quern.runtime import bounded_batches, hand_over, materialize, prune_joins, scope
 
 #: A perfect difference set modulo 31: every residue is a difference of two of these.
 PERIOD = 31
@@ -122,6 +124,7 @@ def _copies(docs: DataFrame) -> DataFrame:
     """doc_id, content and key (MD5 of the text) of each row whose whole text an earlier document has."""
     keyed = docs.select("doc_id", "content", F.md5(F.col("text").cast("binary")).alias("key"))
     same = keyed.groupBy("key").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi")
+    same = materialize(same, "cover-same").where("lo < hi")
     return keyed.join(same, "key").where("doc_id > lo").select("doc_id", "content", "key").distinct()
 
 
@@ -130,30 +133,38 @@ def repeats(docs: DataFrame, size: int = 50) -> DataFrame:
 
     ``windows`` lists start and hash of each window that also starts in a document with a smaller
     doc_id; ``copies`` the keys of those of its texts that such a document has whole, whose
-    windows needn't be looked at one by one.
+    windows needn't be looked at one by one. The result is a table; what its making wrote is removed.
     """
     if size < PERIOD + 1:
         raise ValueError(f"a window needs more than {PERIOD} words")
     prune_joins(docs.sparkSession)
     bounded_batches(docs.sparkSession)
+    with scope(docs.sparkSession):
+        return hand_over(_repeats(docs, size), "cover-repeats")
+
+
+def _repeats(docs: DataFrame, size: int) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
     docs = docs.withColumn("content", F.xxhash64("text"))
     copies = materialize(_copies(docs), "cover-copies")
     found = anchors(docs, size)
     # Anchors of one text and its copies alone are no sign of a passage.
-    shared = found.groupBy("anchor").agg(F.min("content").alias("lo"), F.max("content").alias("hi")).where("lo < hi").select("anchor")
+    shared = found.groupBy("anchor").agg(F.min("content").alias("lo"), F.max("content").alias("hi")).where("lo < hi")
+    # The test is repeated behind the table: it lets Spark take the side for a filter of the other.
+    shared = materialize(shared, "cover-shared").where("lo < hi").select("anchor")
     places = found.select("anchor", "content", "doc_id", "pos").join(shared, "anchor")
     places = materialize(places.groupBy("doc_id", "content").agg(F.collect_set("pos").alias("places")), "cover-anchors")
     places = materialize(places.join(copies, ["doc_id", "content"], "left_anti"), "cover-places").where(F.size("places") > 0)
     windows = _windows(docs.join(places, ["doc_id", "content"]).select("doc_id", "text", "places"), size)
     early = windows.groupBy("w1", "w2").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi")
-    late = windows.join(early.select("w1", "w2", "lo"), ["w1", "w2"]).where("doc_id > lo").select("doc_id", "pos", "w1")
+    early = materialize(early, "cover-early").where("lo < hi").select("w1", "w2", "lo")
+    late = windows.join(early, ["w1", "w2"]).where("doc_id > lo").select("doc_id", "pos", "w1")
     # The hash tells apart rows that share a doc_id but not a text.
     late = late.groupBy("doc_id").agg(F.collect_set(F.struct("pos", "w1")).alias("windows"))
     late = materialize(late, "cover-windows").select("doc_id", "windows", F.lit(None).cast("string").alias("key"))
     whole = copies.select("doc_id", F.lit(None).cast(late.schema["windows"].dataType).alias("windows"), "key")
-    both = late.unionByName(whole).groupBy("doc_id").agg(F.flatten(F.collect_list("windows")).alias("windows"), F.collect_set("key").alias("copies"))
-    return materialize(both, "cover-repeats")
+    both = late.unionByName(whole)
+    return both.groupBy("doc_id").agg(F.flatten(F.collect_list("windows")).alias("windows"), F.collect_set("key").alias("copies"))
 
 
 def _strip(size: int):
