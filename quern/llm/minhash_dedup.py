@@ -6,23 +6,34 @@ smallest rank under pi shifted circularly by k. All coordinates of a shingle are
 contiguous slice of pi. Bands of coordinates are hashed to buckets, and documents that share a
 bucket are candidates; links are confirmed by the exact Jaccard similarity of full shingle sets.
 
+The numbers of bands and of rows in a band follow from the similarity asked for (``plan_bands``), so that a
+pair exactly at the limit is missed with a probability of at most ``MISS``.
+
 Large groups: documents with the same shingle set are one node. Inside a bucket nobody is
 compared with everybody. Each bucket's most central member (the one whose buckets are largest) is
 compared with the others, and the links found are joined into components. What is left is
 lossless: of the nodes around one centre, those outside the largest component are compared with
-the rest, in bounded blocks that give out links alone. As 1 - Jaccard is a metric, only nodes
-whose distances to the centre differ by no more than a link's distance are compared.
+the rest, in blocks bounded in nodes and in shingles, that give out links alone. As 1 - Jaccard is a metric, only nodes
+whose distances to the centre differ by no more than a link's distance are compared. That last step is
+quadratic, in block comparisons and not in rows, for a crowd of texts that share a bucket and are
+yet unlike, such as forms with much common text: its work is spread over tasks of bounded memory but not avoided.
+
+Sides of joins that aggregates made are written first (``materialize``), so that adaptive execution
+can split the hot key of a bucket or a centre that a third of the documents share.
 
 Defined cases: a null or empty text, or one of white space alone, has an empty set, is linked
 with nothing and kept. A text of fewer words than a shingle has one shingle, the whole
 sequence. Rows without a doc_id are kept, with a null component. Rows that share a doc_id are
-one document, linked if any of its texts is. An empty table gives an empty result. Columns
-other than the two named are never looked at, and ``dedup`` returns them untouched.
+one document, linked if any of its texts is. An empty table gives an empty result. Of equally
+central members the one with the smallest doc_id is the centre. Columns
+other than the two named are never looked at, and ``dedup`` returns them untouched. Batches hold
+about ``BATCH_BYTES`` of texts, or one longer text, and a task a few arrays of its words.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,13 +43,36 @@ from pyspark.sql import functions as F
 
 from quern.llm import words as W
 from quern.llm.components import connected_components
-from quern.runtime import bounded_batches, materialize, prune_joins
+from quern.runtime import bounded_batches, hand_over, materialize, prune_joins, scope
 
 UNIVERSE = 1 << 20
-BANDS, ROWS = 48, 6
+#: The probability that a pair exactly at the limit shares no bucket, at most.
+MISS = 5e-7
+#: Coordinates of a signature, at most; they bound how selective bands can be.
+COORDINATES = 330
+#: Nodes and shingles of a block of the last comparisons, at most (of shingles: of more than one node).
+BLOCK, BLOCK_SHINGLES = 256, 1 << 20
 _SEED = 71
 
 
+def plan_bands(percent: int) -> tuple[int, int]:
+    """Bands and rows: the most rows for which bands enough for ``MISS`` fit in ``COORDINATES``.
+
+    Below 5 percent none are enough; as many bands of one row are taken as there is room for.
+    """
+    if not 0 < percent <= 100:
+        raise ValueError("percent must be above 0 and at most 100")
+    if percent == 100:
+        return 1, 6
+    best = None
+    for rows in range(1, COORDINATES + 1):
+        bands = math.ceil(math.log(MISS) / math.log1p(-((percent / 100) ** rows)))
+        if bands * rows > COORDINATES:
+            break
+        best = bands, rows
+    return best or (COORDINATES, 1)
+
+
 def _pi(width: int) -> np.ndarray:
     """pi, long enough that a slice of ``width`` never wraps."""
     ranks = np.random.Generator(np.random.PCG64(_SEED)).permutation(UNIVERSE).astype(np.uint32)
@@ -142,7 +176,7 @@ def _block_links(percent: int):
 
 
 def _settle(stars: DataFrame, found: DataFrame, sets: DataFrame, percent: int, block: int) -> DataFrame:
-    """Links that the comparisons with the centres missed. ``stars`` has centre, node and far.
+    """Links that the comparisons with the centres missed. ``stars`` has centre, node, its number of shingles n and far.
 
     With d = 1 - Jaccard, d(x, y) >= |d(x, centre) - d(y, centre)|, so nodes are laid into steps of
     a link's distance, and those of neighbouring steps are compared. Nodes of a centre's largest
@@ -152,16 +186,16 @@ def _settle(stars: DataFrame, found: DataFrame, sets: DataFrame, percent: int, b
     label = stars.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     count = label.groupBy("centre", "component").agg(F.count("*").alias("n"))
     main = count.groupBy("centre").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.count("*").alias("kinds"))
-    opened = label.join(main.where("kinds > 1").select("centre", "main"), "centre")
-    opened = materialize(opened.withColumn("step", F.floor(F.col("far") / reach)), "minhash-open")
+    main = materialize(main.where("kinds > 1").select("centre", "main"), "minhash-main")
+    opened = materialize(label.join(main, "centre").withColumn("step", F.floor(F.col("far") / reach)), "minhash-open")
     steps = F.explode(F.array(F.col("step") - 1, F.col("step"), F.col("step") + 1)).alias("step")
-    asked = opened.where("component != main").select("centre", steps, "node", "component")
-    nx = opened.groupBy("centre", "step").agg(F.count("*").alias("nx"), F.min("component").alias("lo"), F.max("component").alias("hi"))
-    ny = asked.groupBy("centre", "step").agg(F.count("*").alias("ny"), F.min("component").alias("ylo"), F.max("component").alias("yhi"))
+    asked = opened.where("component != main").select("centre", steps, "node", "component", "n")
+    blocks = F.ceil(F.greatest(F.count("*") / block, F.sum("n") / BLOCK_SHINGLES)).cast("int")
+    nx = opened.groupBy("centre", "step").agg(blocks.alias("bx"), F.min("component").alias("lo"), F.max("component").alias("hi"))
+    ny = asked.groupBy("centre", "step").agg(blocks.alias("by"), F.min("component").alias("ylo"), F.max("component").alias("yhi"))
     # A cell whose rows are all of one component has nothing to find.
     cells = nx.join(ny, ["centre", "step"]).where("lo != hi or ylo != yhi or lo != ylo")
-    blocks = lambda n: F.ceil(F.col(n) / block).cast("int")
-    cells = materialize(cells.select("centre", "step", blocks("nx").alias("bx"), blocks("ny").alias("by")), "minhash-cells")
+    cells = materialize(cells.select("centre", "step", "bx", "by"), "minhash-cells")
     own = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
     all_ = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     of_x = opened.join(cells, ["centre", "step"]).select("centre", "step", "node", "component", own("bx").alias("x"), all_("by").alias("y"), F.lit(False).alias("asked"))
@@ -171,24 +205,31 @@ def _settle(stars: DataFrame, found: DataFrame, sets: DataFrame, percent: int, b
     return materialize(found_.select(*_pair(F.col("a"), F.col("b"))).distinct(), "minhash-more")
 
 
-def components(docs: DataFrame, k: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS, block: int = 256) -> DataFrame:
+def components(docs: DataFrame, k: int = 5, percent: int = 80, block: int = BLOCK) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every row of ``docs`` (doc_id, text).
 
-    component_id is the smallest doc_id that links reach, the document itself included.
+    component_id is the smallest doc_id that links reach, the document itself included. The
+    result is a table; what its making wrote is removed.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
     prune_joins(spark)
-    rows_ = materialize(profile(docs, k, bands, rows), "minhash-profile")
+    with scope(spark):
+        return hand_over(_components(docs, k, percent, block), "minhash-result")
+
+
+def _components(docs: DataFrame, k: int, percent: int, block: int) -> DataFrame:
+    rows_ = materialize(profile(docs, k, *plan_bands(percent)), "minhash-profile")
     full = rows_.where(F.col("doc_id").isNotNull() & F.col("digest").isNotNull())
     same = materialize(full.groupBy("digest").agg(F.min("doc_id").alias("node"), F.min_by("buckets", "doc_id").alias("buckets")), "minhash-nodes")
 
     placed = same.select("node", F.explode("buckets").alias("bucket"))
-    shared = placed.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
-    member = materialize(placed.join(shared, "bucket"), "minhash-members")
+    shared = materialize(placed.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1"), "minhash-buckets")
+    member = materialize(placed.join(shared.where("size > 1"), "bucket"), "minhash-members")
 
     central = member.groupBy("node").agg(F.sum("size").alias("weight"))
     centre = member.join(central, "node").groupBy("bucket").agg(F.max_by("node", F.struct("weight", -F.col("node"))).alias("centre"))
+    centre = materialize(centre, "minhash-centres")
     stars = member.select("bucket", "node").join(centre, "bucket").where("node != centre").select("centre", "node").distinct()
     stars = materialize(stars, "minhash-stars")
     wanted = stars.select(F.explode(F.array("node", "centre")).alias("doc_id")).groupBy("doc_id").agg(F.count("*").alias("n"))
@@ -196,15 +237,17 @@ def components(docs: DataFrame, k: int = 5, percent: int = 80, bands: int = BAND
     sets = materialize(shingle_sets(docs.select("doc_id", "text").join(wanted, "doc_id", "left_semi"), k), "minhash-sets")
     both = stars.join(sets, "node").join(sets.select(F.col("node").alias("centre"), F.col("shingles").alias("of_centre")), "centre")
     shared = F.size(F.array_intersect("shingles", "of_centre")).cast("long")
-    both = both.select("centre", "node", shared.alias("shared"), (F.size("shingles") + F.size("of_centre")).alias("total"))
+    both = both.select("centre", "node", F.size("shingles").alias("n"), shared.alias("shared"), (F.size("shingles") + F.size("of_centre")).alias("total"))
+    # Written before they are grouped: a centre's rows can then be split over tasks.
+    both = materialize(both, "minhash-compared")
     # Rows that share a doc_id may give a pair several times; its nearest texts count.
-    close = both.groupBy("centre", "node").agg(F.max(F.struct(F.col("shared") / (F.col("total") - F.col("shared")), "shared", "total")).alias("s"))
+    close = both.groupBy("centre", "node").agg(F.max("n").alias("n"), F.max(F.struct(F.col("shared") / (F.col("total") - F.col("shared")), "shared", "total")).alias("s"))
     united = F.col("s.total") - F.col("s.shared")
-    close = close.select("centre", "node", (1 - F.col("s.shared") / united).alias("far"), (100 * F.col("s.shared") >= percent * united).alias("linked"))
+    close = close.select("centre", "node", "n", (1 - F.col("s.shared") / united).alias("far"), (100 * F.col("s.shared") >= percent * united).alias("linked"))
     close = materialize(close, "minhash-distances")
     links = close.where("linked").select(*_pair(F.col("centre"), F.col("node")))
     found = connected_components(links, "minhash")
-    more = _settle(close.select("centre", "node", "far"), found, sets, percent, block)
+    more = _settle(close.select("centre", "node", "n", "far"), found, sets, percent, block)
     if not more.isEmpty():
         found = connected_components(links.unionByName(more), "minhash-all")
 

@@ -31,7 +31,7 @@ def brute_components(rows, k, percent):
     return {i: find(i) for i in sets}
 
 
-@pytest.mark.parametrize("k,percent", [(2, 80), (5, 80), (2, 60)])
+@pytest.mark.parametrize("k,percent", [(2, 80), (5, 80), (2, 60), (2, 50)])
 def test_components(spark, k, percent):
     rows = texts()
     got = minhash_dedup.components(docs(spark), k, percent).collect()
@@ -93,6 +93,41 @@ def test_signature_estimates_similarity():
     assert abs((sig[0] == sig[1]).mean() - 400 / 600) < 0.08
 
 
+@pytest.mark.parametrize("percent", [50, 60, 80, 95])
+def test_pairs_at_the_limit_share_a_bucket(percent):
+    """At least 0.999 of pairs whose similarity is exactly the limit, as the bands are planned."""
+    import numpy as np
+
+    bands, rows = minhash_dedup.plan_bands(percent)
+    assert bands * rows <= minhash_dedup.COORDINATES
+    rng = np.random.default_rng(percent)
+    pi, missed = minhash_dedup._pi(bands * rows), 0
+    for _ in range(3000):
+        a = rng.integers(1, 2**63, 100, dtype=np.uint64)
+        # Of 100 shingles in the union, ``percent`` are in both.
+        left, right = a[: percent + (100 - percent) // 2], np.concatenate([a[:percent], a[percent + (100 - percent) // 2 : 100]])
+        sig = minhash_dedup.signatures([left, right], bands * rows, pi)
+        one, two = minhash_dedup.band_hashes(sig, bands, rows)
+        missed += not (one == two).any()
+    assert missed <= 3
+
+
+def test_bands_of_other_limits():
+    assert minhash_dedup.plan_bands(80) == (48, 6)
+    assert minhash_dedup.plan_bands(100)[0] == 1 and minhash_dedup.plan_bands(1)[1] == 1
+    with pytest.raises(ValueError):
+        minhash_dedup.plan_bands(0)
+
+
+def test_intermediate_tables_are_removed(spark):
+    import glob
+
+    before = set(glob.glob(spark.conf.get("spark.checkpoint.dir") + "/quern/*/minhash-*"))
+    minhash_dedup.components(docs(spark), 2, 80)
+    left = set(glob.glob(spark.conf.get("spark.checkpoint.dir") + "/quern/*/minhash-*")) - before
+    assert len(left) == 1 and "minhash-result" in left.pop()
+
+
 def brute_windows(rows, size):
     first = {}
     words = [(i, WORDS.findall(t or "")) for i, t in rows]
