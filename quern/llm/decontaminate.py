@@ -6,9 +6,9 @@ replaced by typed placeholders, whose words are kept as slots. A second kind of
 literal words, so it is the same whatever the case of the text. Windows of ``WINDOW`` template words
 of the documents are hash-joined with those of the items, each kind with its own. An item's windows that line up with a
 document along one diagonal are one alignment, in which slots must be consistent: one and the
-same word of the item must always face one and the same word of the document, and at most
-``MAX_SHARED`` words of the item may face the same one. A breach costs only the windows that
-hold its words, and none whose slots are the item's own. A document holds an item if the windows left
+same word of the item must always face one and the same word of the document; different words of the item may
+face the same one, as redrawn values often coincide. A breach costs only the windows that
+hold the word, and none whose slots are the item's own. A document holds an item if the windows left
 cover at least ``MIN_PERCENT`` of the item's windows: of one kind, or of both together, where windows
 that start at one word of the item count once.
 
@@ -16,11 +16,14 @@ Before the join, windows are tested against a bitmap of the items' hashes of fix
 (``BITMAP_BITS``, made by a distributed ``bit_or``), the only thing that is shipped to all
 tasks; however many items there are, it stays as large, and only false hits grow.
 
-Defined cases: null and empty texts, of items and documents, hold nothing. Items of fewer words
-than a window are one window of their own length; those of fewer than ``MIN_WORDS`` words are
-not searched. Windows of too few literal words are left out, unless an item has no others.
-Repeated items and documents give repeated alignments and one result each. Rows without a doc_id or
-item_id are ignored. Other columns are kept by ``clean`` and never looked at.
+Defined cases: null and empty texts, of items and documents, hold nothing, and so do texts without a
+letter or digit. Items of fewer words than a window are one window of their own length; those of fewer than
+``MIN_WORDS`` words, too short for a template, must stand in the document word for word. Windows of too few
+literal words are left out, unless an item has no others. Repeated items and documents give repeated alignments and
+one result for each pair of ids; an item_id or doc_id with several texts holds what any of them does, by the longest of
+the item's texts. A document is returned with every item it holds, so ties need no choice. Rows without a doc_id or
+item_id are ignored. Other columns are kept by ``clean`` and never looked at. Batches hold about ``BATCH_BYTES`` of
+texts, or one longer text; an alignment is gathered in one task and holds at most the windows of one item.
 """
 
 from __future__ import annotations
@@ -39,8 +42,6 @@ WINDOW = 5
 MIN_WORDS = 3
 MIN_LITERALS = 3
 MIN_PERCENT = 50
-#: So many words of an item may become one and the same word: two redrawn values often coincide.
-MAX_SHARED = 2
 BITMAP_BITS = 1 << 23
 UNITS = frozenset(
     "mm cm m km in ft yd mi mg g kg t lb lbs oz ml cl l s sec min h hr hrs hour hours minute minutes second seconds day days week weeks month months "
@@ -183,7 +184,7 @@ def item_windows(items: DataFrame, window: int = WINDOW) -> DataFrame:
                 found = []
                 for kind, made in enumerate(Templates([text]).kinds):
                     size = min(window, len(made.hashes))
-                    if size < MIN_WORDS:
+                    if not size:
                         continue
                     rolled = made.windows(size)[1].view(np.int64)
                     plain = _literals(made.slot, size) >= min(MIN_LITERALS, size)
@@ -210,9 +211,9 @@ def _bitmap(windows: DataFrame, bits: int) -> np.ndarray:
     return out.view(np.uint8)
 
 
-def _repeated(words: str, most: int) -> Column:
-    """The words that stand more than ``most`` times in an array."""
-    return F.expr(f"array_distinct(filter(array_sort({words}), (w, i) -> i >= {most} and w = array_sort({words})[i - {most}]))")
+def _repeated(words: str) -> Column:
+    """The words that stand more than once in an array."""
+    return F.expr(f"array_distinct(filter(array_sort({words}), (w, i) -> i >= 1 and w = array_sort({words})[i - 1]))")
 
 
 def matches(docs: DataFrame, items: DataFrame, window: int = WINDOW, percent: int = MIN_PERCENT, bits: int = BITMAP_BITS) -> DataFrame:
@@ -233,9 +234,17 @@ def matches(docs: DataFrame, items: DataFrame, window: int = WINDOW, percent: in
                     made = both.kinds[kind]
                     at, rolled = made.windows(size)
                     rolled = rolled.view(np.int64)
+                    seen = set()
                     for i in np.flatnonzero(bitmap[rolled % bits]).tolist():
                         k = int(at[i])
-                        rows.append((kind, int(rolled[i]), size, ids[a + int(made.owner[k])], k, made.slots(k, size)))
+                        row = (kind, int(rolled[i]), size, ids[a + int(made.owner[k])], k, made.slots(k, size))
+                        if size < MIN_WORDS:
+                            # One place tells as much as all others with the same words.
+                            told = (*row[1:4], *row[5])
+                            if told in seen:
+                                continue
+                            seen.add(told)
+                        rows.append(row)
             kinds = [pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.list_(pa.string())]
             columns = zip(*rows, strict=True) if rows else [[]] * 6
             yield pa.RecordBatch.from_arrays(
@@ -246,12 +255,11 @@ def matches(docs: DataFrame, items: DataFrame, window: int = WINDOW, percent: in
     hits = rows.mapInArrow(run, "kind int, window long, size int, doc_id long, pos int, doc_slots array<string>")
     aligned = hits.join(listed, ["kind", "window", "size"]).withColumn("pairs", F.arrays_zip("item_slots", "doc_slots"))
     along = aligned.groupBy("doc_id", "item_id", "kind", (F.col("pos") - F.col("idx")).alias("diagonal"))
-    along = along.agg(F.collect_set(F.struct("place", "pairs")).alias("windows"), F.max("total").alias("total"), F.max("both").alias("both"))
-    along = along.withColumn("pairs", F.array_distinct(F.flatten("windows.pairs")))
-    along = along.withColumn("split", _repeated("pairs.item_slots", 1)).withColumn("shared", _repeated("pairs.doc_slots", MAX_SHARED))
+    along = along.agg(F.collect_set(F.struct("place", "pairs")).alias("windows"), F.max("total").alias("total"), F.max("both").alias("both"), F.max("size").alias("size"))
+    along = along.withColumn("pairs", F.array_distinct(F.flatten("windows.pairs"))).withColumn("split", _repeated("pairs.item_slots"))
     same = lambda w: F.forall(w["pairs"], lambda p: p["item_slots"] == p["doc_slots"])
-    breach = lambda w: F.arrays_overlap(w["pairs"]["item_slots"], "split") | F.arrays_overlap(w["pairs"]["doc_slots"], "shared")
-    counted = F.filter("windows", lambda w: same(w) | ~breach(w))
+    whole = lambda w: ~F.arrays_overlap(w["pairs"]["item_slots"], "split") & (F.col("size") >= MIN_WORDS)
+    counted = F.filter("windows", lambda w: same(w) | whole(w))
     differ = F.exists("pairs", lambda p: p["item_slots"] != p["doc_slots"])
     whole = along.select("doc_id", "item_id", "kind", "total", "both", differ.alias("differ"), F.explode(counted["place"]).alias("place"))
     of = lambda kind, column: F.when(F.col("kind") == kind, F.col(column))
