@@ -12,7 +12,10 @@ admitted language with the largest proportion, and the score is that proportion.
 Defined cases: a text that is null or has no letter is ``und`` with score 0. Without any labelled document
 all are. Of equal proportions the alphabetically first language wins. Labelled rows may be
 repeated; each counts. lang, source and doc_id never enter a prediction. At most
-``MAX_LANGUAGES`` languages are learned; more raise an error.
+``MAX_LANGUAGES`` languages are learned; more raise an error. doc_id may be null (then no row is held out) or
+repeated; each row stands for itself. Other columns are not looked at. A batch holds about ``BATCH_BYTES`` of
+texts, or one longer text; the arrays of a text grow with its words times the languages. The model, of at
+most ``BUCKETS`` x ``MAX_LANGUAGES`` numbers, is all that is gathered and shipped.
 """
 
 from __future__ import annotations
@@ -21,11 +24,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm.words import U64, groups, mix, utf8
-from quern.runtime import bounded_batches
+from quern.runtime import bounded_batches, materialize, scope
 
 BUCKETS = 1 << 15
 MAX_LANGUAGES = 256
@@ -80,7 +84,10 @@ _LOW = np.array([chr(c).isalpha() for c in range(0x3000)], dtype=bool)
 
 
 def count(docs: DataFrame) -> DataFrame:
-    """lang, bucket and n over all rows of ``docs`` (text, lang) that have a lang."""
+    """lang, bucket and n over all rows of ``docs`` (text, lang) that have a lang.
+
+    A language whose texts have no letter has one row, of n 0.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals: dict[str, np.ndarray] = {}
@@ -93,7 +100,7 @@ def count(docs: DataFrame) -> DataFrame:
                 for a, b in groups(own):
                     total += np.bincount(_ngrams(own[a:b])[0], minlength=BUCKETS)
         for lang, total in totals.items():
-            at = np.flatnonzero(total)
+            at = np.flatnonzero(total) if total.any() else np.zeros(1, np.int64)
             yield pa.RecordBatch.from_pydict({"lang": pa.array([lang] * len(at), pa.string()), "bucket": pa.array(at), "n": pa.array(total[at])})
 
     rows = docs.select(F.col("text").cast("string"), F.col("lang").cast("string")).where("lang is not null")
@@ -103,15 +110,17 @@ def count(docs: DataFrame) -> DataFrame:
 def train(docs: DataFrame) -> tuple[list[str], np.ndarray]:
     """The languages in order, and log-probabilities by bucket and language."""
     bounded_batches(docs.sparkSession)
-    # A text without letters has no n-gram but makes its language known all the same.
-    named = docs.select(F.col("lang").cast("string")).where("lang is not null").distinct().limit(MAX_LANGUAGES + 1)
-    langs = sorted(r[0] for r in named.collect())
-    if len(langs) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    with scope(docs.sparkSession):
+        # Counted once; the table is at most cells x languages rows.
+        counted = materialize(count(docs), "language-counts")
+        langs = sorted(r[0] for r in counted.select("lang").distinct().limit(MAX_LANGUAGES + 1).collect())
+        if len(langs) > MAX_LANGUAGES:
+            raise ValueError(f"more than {MAX_LANGUAGES} languages")
+        found = counted.toArrow()
     table = np.full((BUCKETS, len(langs)), SMOOTHING)
-    place = {g: i for i, g in enumerate(langs)}
-    for lang, bucket, n in count(docs).collect() if langs else ():
-        table[bucket, place[lang]] += n
+    if langs:
+        place = pc.index_in(found["lang"], value_set=pa.array(langs, pa.string()))
+        table[found["bucket"].to_numpy(), place.to_numpy()] += found["n"].to_numpy()
     return langs, np.log(table / table.sum(axis=0)).astype(np.float32) if langs else table
 
 
@@ -182,10 +191,11 @@ def _select(like: np.ndarray, at: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 def predict(docs: DataFrame, langs: list[str], table: np.ndarray) -> DataFrame:
     """doc_id, lang_pred and score of every row of ``docs`` (doc_id, text)."""
     bounded_batches(docs.sparkSession)
+    shipped = docs.sparkSession.sparkContext.broadcast(table)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            mass = mixtures(utf8(batch.column(1)), table)
+            mass = mixtures(utf8(batch.column(1)), shipped.value)
             top = mass.argmax(axis=1) if langs else np.zeros(len(mass), int)
             scores = mass.max(axis=1, initial=0.0)
             named = [langs[i] if s > 0 else "und" for i, s in zip(top.tolist(), scores.tolist(), strict=True)]

@@ -218,6 +218,82 @@ def test_language_mixture(spark):
     assert mass[1][langs.index("fr")] == 1.0
 
 
+def brute_bucket(gram):
+    """The cell of an n-gram, from its last character to its first."""
+    m, h = (1 << 64) - 1, 0
+    for n, c in enumerate(reversed(gram), 1):
+        x = (h * 0x9FB21C651E98DF25 + ord(c) + n) & m
+        x ^= x >> 30
+        x = x * 0xBF58476D1CE4E5B9 & m
+        x ^= x >> 27
+        x = x * 0x94D049BB133111EB & m
+        h = x ^ x >> 31
+    return h % language_id.BUCKETS
+
+
+def brute_words(text):
+    """For each word of letters the cells of its n-grams."""
+    low = "".join(c if c.isalpha() else " " for c in (text or "").lower())
+    return [[brute_bucket((" " + w)[max(0, j - n + 1) : j + 1]) for n in (1, 2, 3, 4) for j in range(1, len(w) + 1) if j - n + 1 >= 0] for w in low.split()]
+
+
+def brute_mixture(text, model, langs):
+    """Expectation-maximisation and forward choice of languages, number by number."""
+    import math
+
+    like = []
+    for cells in brute_words(text):
+        score = [language_id.TEMPER * sum(model[g][c] for c in cells) for g in langs]
+        like.append([math.exp(v - max(score)) for v in score])
+    if not like:
+        return None
+
+    def em(active):
+        mass = [a / sum(active) for a in active]
+        for _ in range(language_id.ROUNDS):
+            joint = [[x * m for x, m in zip(row, mass, strict=True)] for row in like]
+            mass = [sum(row[k] / sum(row) for row in joint) / len(like) for k in range(len(langs))]
+        return mass, sum(math.log(max(sum(x * m for x, m in zip(row, mass, strict=True)), 1e-300)) for row in like)
+
+    single = [sum(math.log(max(row[k], 1e-300)) for row in like) for k in range(len(langs))]
+    top = single.index(max(single))
+    active, best = [float(k == top) for k in range(len(langs))], single[top]
+    mass, full = active, em([1.0] * len(langs))[0]
+    while sum(active) < len(langs):
+        add = max((k for k in range(len(langs)) if not active[k]), key=lambda k: full[k])
+        trial = [1.0 if k == add else a for k, a in enumerate(active)]
+        got, log = em(trial)
+        if log - best <= language_id.PENALTY * math.log(len(like) + 1):
+            break
+        active, best, mass = trial, log, got
+    return mass
+
+
+def test_language_id_by_brute_force(spark):
+    import math
+
+    mixed = [f"{LANGS['en']} {LANGS['en']} {LANGS['de']}", f"{LANGS['fr']}, {LANGS['de']}! {LANGS['en']}", "l'été où Straße 12 déjà", "x", "ßß", "", None, "the der " * 3000]
+    rows = language_rows(120) + [(1000 + i, t, "en" if i % 2 else None) for i, t in enumerate(mixed)] + [(7, "der die das", "de"), (7, "the of", "en")]
+    df = spark.createDataFrame([(i, t, g, "z", 1.0) for i, t, g in rows], "doc_id long, text string, lang string, score string, lang_pred double")
+    got = {}
+    for r in language_id.held_out_predictions(df).collect():
+        got.setdefault(r.doc_id, []).append(r)
+    langs, model = sorted(LANGS), {}
+    for g in langs:
+        cells = [language_id.SMOOTHING] * language_id.BUCKETS
+        for i, t, lang in rows:
+            if lang == g and zlib.crc32(str(i).encode()) % 4 != 2:
+                for word in brute_words(t):
+                    for c in word:
+                        cells[c] += 1
+        total = sum(cells)
+        model[g] = [math.log(c / total) for c in cells]
+    for i, t, _ in rows:
+        mass = brute_mixture(t, model, langs)
+        near = [r for r in got[i] if (r.lang_pred == "und" and mass is None) or (mass and abs(r.score - max(mass)) < 1e-4 and r.lang_pred == langs[mass.index(max(mass))])]
+        assert near, (i, t, got[i], mass)
+
+
 def test_language_without_labels(spark):
     df = spark.createDataFrame([(1, "abc", None)], "doc_id long, text string, lang string")
     assert [r.lang_pred for r in language_id.held_out_predictions(df).collect()] == ["und"]
