@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from quern.functions.guards import clip, protected_div
 
 EPS = 1e-6
+#: What a parameter starts from if it doesn't say.
+INIT = 1.0
 _UNARY = {
     "identity": lambda z: z,
     "square": lambda z: z * z,
@@ -59,6 +61,42 @@ def parameters(expr: dict) -> list[dict]:
     return list({p["name"]: p for p in reversed(own)}.values())[::-1]
 
 
+def clamp(parameter: dict, value: float) -> float:
+    low, high = parameter.get("lower"), parameter.get("upper")
+    value = value if low is None else max(low, value)
+    return float(value if high is None else min(high, value))
+
+
+def bind(exprs: list[dict], vector: list[float], base: dict[str, float] | None = None) -> dict[str, float]:
+    """Values of all parameters by name: the trainable ones from ``vector`` in order of names, within bounds.
+
+    The others keep ``base`` or their initial values. One name with two specifications raises.
+    """
+    seen: dict[str, dict] = {}
+    for expr in exprs:
+        stack = [expr]
+        while stack:
+            node = stack.pop()
+            stack += children(node)
+            if node["type"] == "param" and seen.setdefault(node["name"], node) != node:
+                raise ValueError(f"parameter {node['name']} has conflicting specifications")
+    out = {n: float((base or {}).get(n, seen[n].get("init", INIT))) for n in sorted(seen)}
+    free = [n for n in out if seen[n].get("trainable", True)]
+    if len(free) != len(vector):
+        raise ValueError(f"{len(vector)} values for {len(free)} parameters")
+    return out | {n: clamp(seen[n], v) for n, v in zip(free, vector, strict=True)}
+
+
+def parameterize(expr: dict, prefix: str, scale: bool = True, bias: bool = True, inner: bool = True) -> dict:
+    """``expr`` with trainable scale and bias around it, and around the argument of a unary operation."""
+    slot = lambda n, v: {"type": "param", "name": f"{prefix}_{n}", "init": v}
+    if inner and expr["type"] == "unary":
+        expr = un(expr["op"], bi("add", bi("mul", slot("arg_scale", 1.0), expr["arg"]), slot("arg_shift", 0.0)))
+    if scale:
+        expr = bi("mul", slot("out_scale", 1.0), expr)
+    return bi("add", slot("out_bias", 0.0), expr) if bias else expr
+
+
 def validate(expr: dict, n_features: int) -> None:
     kind = expr.get("type")
     if kind == "feature":
@@ -73,7 +111,10 @@ def validate(expr: dict, n_features: int) -> None:
 
 
 def to_column(expr: dict, features: list[Column], values: dict[str, float] | None = None) -> Column:
-    """``expr`` over ``features``; parameters take ``values`` or their initial ones, within bounds."""
+    """``expr`` over ``features``; parameters take ``values`` or their initial ones (1 if they have none) as they are.
+
+    Bounds hold for a vector that is bound by ``bind``, not for evaluation.
+    """
     validate(expr, len(features))
 
     def build(e: dict) -> Column:
@@ -83,10 +124,7 @@ def to_column(expr: dict, features: list[Column], values: dict[str, float] | Non
         if kind == "const":
             return F.lit(float(e["value"]))
         if kind == "param":
-            value = (values or {}).get(e["name"], e.get("init", 0.0))
-            low, high = e.get("lower"), e.get("upper")
-            value = value if low is None else max(low, value)
-            return F.lit(float(value if high is None else min(high, value)))
+            return F.lit(float((values or {}).get(e["name"], e.get("init", INIT))))
         if kind == "unary":
             return _UNARY[e["op"]](build(e["arg"]))
         return _BINARY[e["op"]](build(e["left"]), build(e["right"]))
@@ -154,5 +192,5 @@ def gradient(expr: dict, target: Column, features: list[Column], values: dict[st
     out = {}
     for p in parameters(expr):
         slope = to_column(derivative(expr, p), features, values)
-        out[p["name"]] = 2 * F.avg(slope * error) + F.lit(2 * l2 * values.get(p["name"], p.get("init", 0.0)))
+        out[p["name"]] = 2 * F.avg(slope * error) + F.lit(2 * l2 * values.get(p["name"], p.get("init", INIT)))
     return out

@@ -42,8 +42,111 @@ def valid_entries(entries: DataFrame) -> DataFrame:
 
 
 def later_wins(entries: DataFrame, key: str, precedence: str) -> DataFrame:
-    """One row for each key: the last by ``precedence``."""
-    return entries.withColumn("_r", F.row_number().over(Window.partitionBy(key).orderBy(F.desc(precedence)))).where("_r = 1").drop("_r")
+    """One row for each key: the last by ``precedence``, picked by a partial aggregate."""
+    return entries.groupBy(key).agg(F.max_by(F.struct(*entries.columns), precedence).alias("_last")).select("_last.*")
+
+
+def first_wins(entries: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """One row for each combination of keys: the first by ``order``."""
+    return entries.groupBy(*keys).agg(F.min_by(F.struct(*entries.columns), order).alias("_first")).select("_first.*")
+
+
+def summary(entries: DataFrame, group: str, counted: str) -> DataFrame:
+    """Entries and distinct values of ``counted`` by group."""
+    return entries.groupBy(group).agg(F.count("*").alias("n"), F.countDistinct(counted).alias("distinct"))
+
+
+def summary_payload(entries: DataFrame) -> DataFrame:
+    """One row: total, a map of counts by kind, and the distinct tags in order. Kinds and tags are vocabularies, so small."""
+    kinds = entries.groupBy("kind").agg(F.count("*").alias("n")).agg(F.sum("n").alias("total"), F.map_from_entries(F.sort_array(F.collect_list(F.struct("kind", "n")))).alias("by_kind"))
+    tags = distinct_values(entries, "tags").agg(F.sort_array(F.collect_list("value")).alias("tags"))
+    return kinds.crossJoin(F.broadcast(tags))
+
+
+def distinct_values(entries: DataFrame, field: str, lower: bool = False) -> DataFrame:
+    """Distinct values of an array field."""
+    return entries.select(F.explode(F.transform(field, F.lower) if lower else F.col(field)).alias("value")).distinct()
+
+
+def scalar_index(entries: DataFrame, scope: str, field: str) -> DataFrame:
+    """Distinct (scope, lower-cased value) of an array field."""
+    return entries.select(scope, F.explode(F.transform(field, F.lower)).alias("value")).distinct()
+
+
+def has_all_tags(tags: Column, wanted: list[str]) -> Column:
+    return F.size(F.array_except(F.array(*map(F.lit, wanted)), tags)) == 0
+
+
+def tagged_union(tables: dict[str, DataFrame], name: str = "origin") -> DataFrame:
+    """All tables one below the other, each row with its table's name; columns that one lacks are null."""
+    out = None
+    for origin, table in tables.items():
+        part = table.withColumn(name, F.lit(origin))
+        out = part if out is None else out.unionByName(part, allowMissingColumns=True)
+    return out
+
+
+def missing_companions(wanted: DataFrame, known: DataFrame, key: str) -> DataFrame:
+    """Keys that are asked for and that no entry has."""
+    return wanted.select(key).distinct().join(known.select(key), key, "left_anti")
+
+
+#: Arms of an entry's neighbourhood: name, the array field it starts from, and the field that must share a value.
+ARMS = (
+    ("context_up", "requires", "provides"),
+    ("context_down", "provides", "requires"),
+    ("artifact_up", "artifacts_in", "artifacts_out"),
+    ("artifact_down", "artifacts_out", "artifacts_in"),
+)
+
+
+def neighbours(entries: DataFrame, roles: int = 12) -> DataFrame:
+    """key, arm and other of each entry: by context and artifacts up and down, role companions (the first of the
+    same kind), explicit companions, missing ones, and entries that name it.
+
+    ``entries`` has key, kind, companions (array of keys) and the array fields of ``ARMS``. All arms are equi-joins on
+    exploded values; values that very many entries hold give as many rows as the answer has.
+    """
+    none = F.array().cast("array<string>")
+    field = lambda f: F.coalesce(F.col(f), none) if f in entries.columns else none
+    parts = []
+    for arm, own, other in ARMS:
+        left = entries.select("key", F.explode(F.array_distinct(F.transform(field(own), F.lower))).alias("_v"))
+        right = entries.select(F.col("key").alias("other"), F.explode(F.array_distinct(F.transform(field(other), F.lower))).alias("_v"))
+        parts.append(left.join(right, "_v").where("key != other").select("key", F.lit(arm).alias("arm"), "other").distinct())
+    first = entries.select("kind", F.col("key").alias("other"), F.row_number().over(Window.partitionBy("kind").orderBy("key")).alias("_r")).where(F.col("_r") <= roles + 1)
+    peers = entries.select("key", "kind").join(first, "kind").where("key != other")
+    peers = peers.withColumn("_p", F.row_number().over(Window.partitionBy("key").orderBy("other"))).where(F.col("_p") <= roles)
+    parts.append(peers.select("key", F.lit("role_companion").alias("arm"), "other"))
+    named = entries.select("key", F.explode(F.array_distinct(field("companions"))).alias("other"))
+    known = entries.select(F.col("key").alias("other"))
+    parts.append(named.join(known, "other", "left_semi").select("key", F.lit("companion").alias("arm"), "other"))
+    parts.append(named.join(known, "other", "left_anti").select("key", F.lit("missing_companion").alias("arm"), "other"))
+    parts.append(named.join(known, "other", "left_semi").select(F.col("other").alias("key"), F.lit("linked_by").alias("arm"), F.col("key").alias("other")))
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+def usage_matrix(entries: DataFrame, near: DataFrame) -> DataFrame:
+    """key, kind and the number of neighbours of each arm; 0 where there is none."""
+    names = [*(a[0] for a in ARMS), "role_companion", "companion", "missing_companion", "linked_by"]
+    counts = near.groupBy("key").agg(*(F.count(F.when(F.col("arm") == n, 1)).alias(n) for n in names))
+    return entries.select("key", "kind").join(counts, "key", "left").na.fill(0, names)
+
+
+def entry(entries: DataFrame, key: str) -> DataFrame:
+    """The entry of a key; KeyError if there is none."""
+    found = entries.where(F.col("key") == key)
+    if found.isEmpty():
+        raise KeyError(key)
+    return found
+
+
+def edge_counters(log: DataFrame, success: Column, score: Column) -> DataFrame:
+    """Counters by namespace, source, operation, expression and target: edges of a search graph."""
+    return counters(log, ["namespace", "src", "op", "expr", "dst"], success, score)
 
 
 def field_values(entries: DataFrame, field: Column, limit: int) -> DataFrame:

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import math
+from statistics import NormalDist
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quern.functions.distributions import erf
 from quern.functions.guards import clip
 from quern.runtime import materialize
 
@@ -115,10 +119,13 @@ def running(df: DataFrame, order: str, sums: dict[str, str]) -> DataFrame:
     return out.select(*df.columns, *((F.col(n) + F.col(f"_b_{n}")).alias(n) for n in sums))
 
 
-def forecast(df: DataFrame, y: str, yhat: str, scale: Column | None = None) -> DataFrame:
-    """mse, rmse, mae, mape, smape, bias, and mase if ``scale`` (a seasonal naive error) is given."""
+def forecast(df: DataFrame, y: str, yhat: str, scale: Column | None = None, by: list[str] | None = None) -> DataFrame:
+    """mse, rmse, mae, mape, smape, bias, and mase if ``scale`` (a seasonal naive error) is given, in groups if ``by`` is.
+
+    On a scale of 0, mase is 0 for errors up to 1e-12 and infinite for larger ones.
+    """
     error = F.col(yhat) - F.col(y)
-    out = df.agg(
+    out = df.groupBy(*(by or [])).agg(
         F.avg(error * error).alias("mse"),
         F.avg(F.abs(error)).alias("mae"),
         F.avg(F.abs(error) / F.greatest(F.abs(y), F.lit(TINY))).alias("mape"),
@@ -128,7 +135,8 @@ def forecast(df: DataFrame, y: str, yhat: str, scale: Column | None = None) -> D
     ).withColumn("rmse", F.sqrt("mse"))
     if scale is None:
         return out
-    return out.withColumn("mase", F.when(F.col("_scale") > 0, F.try_divide("mae", "_scale")).when(F.col("mae") <= 0, F.lit(0.0))).drop("_scale")
+    flat = F.when(F.col("mae") <= TINY, F.lit(0.0)).otherwise(F.lit(float("inf")))
+    return out.withColumn("mase", F.when(F.col("_scale") > 0, F.try_divide("mae", "_scale")).otherwise(flat)).drop("_scale")
 
 
 def naive_scale(df: DataFrame, y: str, order: str, by: list[str], period: int = 1) -> DataFrame:
@@ -152,10 +160,41 @@ def fold_summary(df: DataFrame, keys: list[str], ignore: tuple[str, ...] = ()) -
     return long.groupBy("metric").agg(F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"))
 
 
-def gaussian(df: DataFrame, y: str, mean: str, std: str) -> DataFrame:
-    """Negative log-likelihood of normal predictions and root mean squared error."""
-    sigma = F.greatest(F.col(std), F.lit(1e-6))
+def gaussian(df: DataFrame, y: str, mean: str, std: str, alpha: float = 0.1) -> DataFrame:
+    """Of normal predictions: negative log-likelihood, continuous ranked probability score (crps), share of
+    values in the central 1 - alpha interval (picp), and errors of the mean."""
+    sigma = F.greatest(F.col(std), F.lit(1e-8))
     z = (F.col(y) - F.col(mean)) / sigma
     nll = 0.5 * z * z + F.ln(sigma) + 0.9189385332046727
+    density = F.exp(-0.5 * z * z) / math.sqrt(2 * math.pi)
+    crps = sigma * (z * erf(z / math.sqrt(2)) + 2 * density - 1 / math.sqrt(math.pi))
+    inside = (F.abs(F.col(y) - F.col(mean)) <= NormalDist().inv_cdf(1 - alpha / 2) * sigma).cast("double")
     error = F.col(y) - F.col(mean)
-    return df.agg(F.avg(nll).alias("nll"), F.sqrt(F.avg(error * error)).alias("rmse"), F.avg(F.abs(error)).alias("mae"))
+    return df.agg(F.avg(nll).alias("nll"), F.avg(crps).alias("crps"), F.avg(inside).alias("picp"), F.sqrt(F.avg(error * error)).alias("rmse"), F.avg(F.abs(error)).alias("mae"))
+
+
+def triplets(df: DataFrame, anchor: str, positive: str, negative: str, margin: float = 1.0) -> DataFrame:
+    """Share of anchors nearer to the positive, mean (squared, per coordinate) distances, and the hinge loss, of vector columns."""
+    def far(a: str, b: str) -> Column:
+        gaps = F.zip_with(F.col(a), F.col(b), lambda u, v: (u - v) * (u - v))
+        return F.aggregate(gaps, F.lit(0.0), lambda acc, v: acc + v) / F.size(a)
+
+    rows = df.select(far(anchor, positive).alias("p"), far(anchor, negative).alias("n"))
+    return rows.agg(
+        F.avg((F.col("p") < F.col("n")).cast("double")).alias("retrieval_accuracy"), F.avg("p").alias("positive_distance"), F.avg("n").alias("negative_distance"),
+        F.avg(F.greatest(F.col("p") - F.col("n") + margin, F.lit(0.0))).alias("triplet_loss"),
+    )
+
+
+def preferences(df: DataFrame, chosen: str, rejected: str, ref_chosen: str | None = None, ref_rejected: str | None = None, beta: float = 0.1) -> DataFrame:
+    """Loss and accuracy of preferences by log-probabilities of pairs, and the mean margins of policy and reference."""
+    policy = F.col(chosen) - F.col(rejected)
+    reference = F.col(ref_chosen) - F.col(ref_rejected) if ref_chosen and ref_rejected else F.lit(0.0)
+    logit = beta * (policy - reference)
+    # -log(sigmoid(x)) without overflow.
+    loss = F.greatest(-logit, F.lit(0.0)) + F.log1p(F.exp(-F.abs(logit)))
+    return df.agg(F.avg(loss).alias("dpo_loss"), F.avg((policy > reference).cast("double")).alias("preference_accuracy"), F.avg(policy).alias("policy_margin"), F.avg(reference).alias("reference_margin"))
+
+
+def perplexity(cross_entropy: Column) -> Column:
+    return F.exp(F.least(cross_entropy, F.lit(50.0)))

@@ -11,7 +11,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.functions import primitives as P
-from quern.functions.guards import finite, safe_corr
+from quern.functions.guards import clip, finite
+from quern.operators import moments, quantiles, timeseries
 
 POOL = "name string, family string, complexity double, features array<int>, prior_corr double"
 
@@ -32,10 +33,13 @@ def candidates(columns: list[str], initial: bool = True, pairs: bool = True, top
 
 
 def score(df: DataFrame, terms: list[tuple[str, str, float, list[int], Column]], target: str) -> DataFrame:
-    """The pool table with each term's correlation to ``target``: one pass over the data for all."""
-    y = F.col(target)
-    row = df.agg(*(safe_corr(finite(t[4]), y).alias(f"c{i}") for i, t in enumerate(terms))).first()
-    return df.sparkSession.createDataFrame([(t[0], t[1], t[2], t[3], float(row[i])) for i, t in enumerate(terms)], POOL)
+    """The pool table with each term's correlation to ``target``: one pass over the data for all.
+
+    A pool is limited (``moments.MOST_COLUMNS``), so its correlations fit the driver.
+    """
+    k = len(terms)
+    found = {r.i: r.corr for r in moments.correlations(df, [*(t[4] for t in terms), F.col(target)]).where(F.col("j") == k).collect()}
+    return df.sparkSession.createDataFrame([(t[0], t[1], float(t[2]), t[3], float(found[i])) for i, t in enumerate(terms)], POOL)
 
 
 ORDER: Callable[[], list[Column]] = lambda: [F.desc(F.abs("prior_corr")), F.asc("complexity"), F.asc("name")]
@@ -53,13 +57,26 @@ def family_quota(pool: DataFrame, budget: dict[str, int]) -> DataFrame:
     return pool.withColumn("_r", rank).where(allowed.isNull() | (F.col("_r") <= allowed)).drop("_r")
 
 
+def by_family(pool: DataFrame, family: str) -> DataFrame:
+    """The terms of a family."""
+    return pool.where(F.col("family") == family)
+
+
+def frequency(pool: DataFrame) -> DataFrame:
+    """How many terms each family and each feature has: kind, value, n."""
+    one = pool.groupBy(F.col("family").alias("value")).agg(F.count("*").alias("n")).select(F.lit("family").alias("kind"), "value", "n")
+    used = pool.select(F.explode(F.col("features").cast("array<string>")).alias("value")).groupBy("value").agg(F.count("*").alias("n"))
+    return one.unionByName(used.select(F.lit("feature").alias("kind"), "value", "n"))
+
+
 def min_corr(pool: DataFrame, threshold: float) -> DataFrame:
     return pool.where((F.abs("prior_corr") >= threshold) | (F.col("family") == "gate"))
 
 
 def dedupe(pool: DataFrame, key: str, order: str) -> DataFrame:
-    """First row of each key."""
-    return pool.withColumn("_r", F.row_number().over(Window.partitionBy(key).orderBy(order))).where("_r = 1").drop("_r")
+    """First row of each key: a partial aggregate, so equal keys are thinned out before the shuffle."""
+    first = pool.groupBy(key).agg(F.min_by(F.struct(*pool.columns), order).alias("_first"))
+    return first.select("_first.*")
 
 
 def changes(before: DataFrame, after: DataFrame, key: str) -> DataFrame:
@@ -69,11 +86,10 @@ def changes(before: DataFrame, after: DataFrame, key: str) -> DataFrame:
 
 
 def correlation_pairs(df: DataFrame, columns: dict[str, Column], threshold: float = 0.0) -> DataFrame:
-    """a, b and correlation of every pair of columns with at least ``threshold`` in size: one aggregate."""
-    names = list(columns)
-    pairs = [(a, b) for i, a in enumerate(names) for b in names[i + 1 :]]
-    items = F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), safe_corr(columns[a], columns[b]).alias("corr")) for a, b in pairs))
-    return df.agg(items.alias("p")).select(F.inline("p")).where(F.abs("corr") >= threshold)
+    """a, b and correlation of every pair of columns with at least ``threshold`` in size: one pass."""
+    names = F.array(*(F.lit(n) for n in columns))
+    found = moments.correlations(df, list(columns.values())).where(F.abs("corr") >= threshold)
+    return found.select(F.get(names, F.col("i")).alias("a"), F.get(names, F.col("j")).alias("b"), "corr")
 
 
 def prune_redundant(pool: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
@@ -110,10 +126,27 @@ def overlap(terms: DataFrame) -> DataFrame:
 
 
 def stability(df: DataFrame, value: Column, order: str | None = None) -> DataFrame:
-    """Quantiles 10, 50 and 90 of a term and the deviation, of finite values."""
-    rows = df.select(finite(value).alias("v")).where("v is not null")
-    q = F.percentile("v", F.array(F.lit(0.1), F.lit(0.5), F.lit(0.9)))
-    return rows.agg(q.alias("q"), F.stddev_pop("v").alias("std")).select(F.get("q", F.lit(0)).alias("q10"), F.get("q", F.lit(1)).alias("q50"), F.get("q", F.lit(2)).alias("q90"), "std")
+    """q10, q50, q90 and deviation of a term's finite values, that of their successive differences, and the score.
+
+    Differences are taken in the order of ``order`` (none are without it, and they count as 0). The
+    score falls from 1 with the spread and the variation, in units of the term's size.
+    """
+    named = df.select(value.alias("v"), *([F.col(order).alias("o")] if order else []))
+    rows = named.select(finite(F.col("v")).alias("v"), *(["o"] if order else [])).where("v is not null")
+    q = quantiles.quantiles(rows, F.col("v"), [0.1, 0.5, 0.9]).select(*(F.get("q", F.lit(i)).alias(n) for i, n in enumerate(("q10", "q50", "q90"))))
+    shape = rows.agg(F.stddev_pop("v").alias("std"), F.count("*").alias("_n"))
+    every = named.agg(F.count("*").alias("_all"))
+    if order:
+        step = timeseries.lag_table(rows, ["v"], "o", [], 1).select((F.col("v") - F.col("v_1")).alias("s")).agg(F.stddev_pop("s").alias("step_std"))
+    else:
+        step = df.sparkSession.createDataFrame([(0.0,)], "step_std double")
+    out = q.crossJoin(F.broadcast(shape)).crossJoin(F.broadcast(every)).crossJoin(F.broadcast(step))
+    size = F.greatest(F.lit(1.0), F.abs("q50"), F.col("std"))
+    spread = F.least(F.lit(10.0), F.abs(F.col("q90") - F.col("q10")) / size)
+    variation = F.when(F.col("_n") >= 3, F.least(F.lit(10.0), F.coalesce("step_std", F.lit(0.0)) / size)).otherwise(F.lit(0.0))
+    share = F.coalesce(F.try_divide(F.col("_n").cast("double"), F.col("_all").cast("double")), F.lit(0.0))
+    score = F.coalesce(clip(share / (1 + 0.35 * spread + 0.45 * variation), 0, 1), F.lit(0.0))
+    return out.select("q10", "q50", "q90", "std", "step_std", score.alias("score"))
 
 
 def overfit_guard(df: DataFrame, train: str, valid: str, max_gap: float = 0.25, max_ratio: float = 2.5, lower_is_better: bool = True) -> DataFrame:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quern.functions.guards import finite
+
 
 def split_target(df: DataFrame, target: str | None = None) -> tuple[DataFrame, list[str], str]:
     """All columns as doubles, the feature names, and the target (the last column by default)."""
@@ -65,9 +67,14 @@ def encode_boolean(column: str) -> Column:
 
 
 def categorical_code(df: DataFrame, column: str, name: str = "code") -> DataFrame:
-    """Place of each value among the distinct values in order, from 0; joined back by value."""
-    codes = df.select(column).where(F.col(column).isNotNull()).distinct()
-    codes = codes.withColumn(name, (F.dense_rank().over(Window.orderBy(column)) - 1).cast("long"))
+    """Place of each value among the distinct values in order, from 0; joined back by value.
+
+    Distinct values are numbered range by range, however many there are.
+    """
+    from quern.operators.metrics import running
+
+    codes = df.select(column).where(F.col(column).isNotNull()).distinct().withColumn("_one", F.lit(1).cast("long"))
+    codes = running(codes, column, {"_n": "_one"}).select(column, (F.col("_n") - 1).alias(name))
     return df.join(codes, column, "left")
 
 
@@ -157,8 +164,137 @@ def piecewise(route: Column, branches: dict[int, Column], default: Column) -> Co
 
 def quantile_buckets(df: DataFrame, column: str, cuts: list[float], name: str = "bucket") -> DataFrame:
     """A row for each quantile range that holds it, ends included, so cut rows are in two."""
-    bounds = df.agg(F.percentile(column, F.array(*(F.lit(float(q)) for q in cuts))).alias("_q"))
+    from quern.operators.quantiles import quantiles
+
+    bounds = quantiles(df, F.col(column), cuts).withColumnRenamed("q", "_q")
     ranges = F.transform(F.sequence(F.lit(0), F.lit(len(cuts) - 2)), lambda i: F.struct(i.alias("i"), F.get("_q", i).alias("lo"), F.get("_q", i + 1).alias("hi")))
     out = df.crossJoin(F.broadcast(bounds)).withColumn("_r", F.explode(ranges))
     out = out.where((F.col(column) >= F.col("_r.lo")) & (F.col(column) <= F.col("_r.hi")))
     return out.withColumn(name, F.col("_r.i")).drop("_q", "_r")
+
+
+def drop_incomplete(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """Rows whose numbers are all there and finite: infinities and NaN count as missing."""
+    used = columns or df.columns
+    kinds = dict(df.dtypes)
+    out = df
+    for c in used:
+        fine = F.col(c).isNotNull()
+        out = out.where(fine & ~F.isnan(c) & (F.abs(c) < F.lit(float("inf"))) if kinds[c] in ("double", "float") else fine)
+    return out
+
+
+def binary_like(df: DataFrame, columns: dict[str, Column], tolerance: float = 1e-9) -> DataFrame:
+    """One row: whether all finite values of each column are 0 or 1; false without any."""
+    like = lambda c: F.coalesce(F.bool_and((F.abs(finite(c)) <= tolerance) | (F.abs(finite(c) - 1) <= tolerance)), F.lit(False))
+    return df.agg(*(like(c.cast("double")).alias(n) for n, c in columns.items()))
+
+
+def target_code(value: Column, classes: int) -> Column:
+    """A number as the nearest of the codes 0 .. classes - 1, halves to the even one."""
+    return F.greatest(F.lit(0.0), F.least(F.lit(float(classes - 1)), F.bround(value, 0))).cast("int")
+
+
+def recombine(df: DataFrame, split: str = "split") -> DataFrame:
+    """Training rows and validation rows as one table again, without the split."""
+    return df.where(F.col(split) == "train").unionByName(df.where(F.col(split) == "valid")).drop(split)
+
+
+def numeric_plan(schema: list[dict], target: str) -> list[dict]:
+    """The columns that a schema's features become: name, source, kind and, for one value of a vocabulary, value.
+
+    A feature has a key and a dtype, and may have an encoder and a vocab. Categories without a vocabulary stay
+    pending until ``fit_numeric``.
+    """
+    kinds = {"category": "onehot", "categorical": "onehot", "str": "onehot", "string": "onehot", "bool": "boolean", "boolean": "boolean"}
+    names = {"numeric": "numeric", "identity": "numeric", "float": "numeric", "bool": "boolean", "boolean": "boolean", "onehot": "onehot", "one_hot": "onehot", "categorical": "onehot"}
+    out = []
+    for feature in schema:
+        key, encoder = feature["key"], feature.get("encoder", "auto")
+        kind = kinds.get(str(feature.get("dtype", "float")).lower(), "numeric") if encoder == "auto" else names.get(encoder)
+        if kind is None:
+            raise ValueError(f"unsupported encoder for feature {key}: {encoder}")
+        if kind != "onehot":
+            out.append({"name": key, "source": key, "kind": kind})
+        elif feature.get("vocab"):
+            out += [{"name": f"{key}={v}", "source": key, "kind": "onehot", "value": str(v)} for v in feature["vocab"]]
+        else:
+            out.append({"name": key, "source": key, "kind": "pending"})
+    return [*out, {"name": target, "source": target, "kind": "target"}]
+
+
+def fit_numeric(df: DataFrame, plan: list[dict]) -> list[dict]:
+    """The plan with the vocabularies that were pending, in order; a null counts as the empty string."""
+    out = []
+    for c in plan:
+        if c["kind"] == "pending":
+            seen = df.select(F.coalesce(F.col(c["source"]).cast("string"), F.lit("")).alias("v"))
+            out += [{"name": f"{c['source']}={v}", "source": c["source"], "kind": "onehot", "value": v} for v in categories(seen, "v")]
+        else:
+            out.append(c)
+    return out
+
+
+def transform_numeric(df: DataFrame, plan: list[dict], keep: list[str] | None = None) -> DataFrame:
+    """One projection of all planned columns as doubles; features that are missing count as 0, a missing target raises."""
+    columns = []
+    for c in plan:
+        if c["kind"] == "pending":
+            raise ValueError(f"fit the vocabulary of {c['source']} first")
+        if c["kind"] == "target" and c["source"] not in df.columns:
+            raise KeyError(c["source"])
+        there = F.col(f"`{c['source']}`") if c["source"] in df.columns else F.lit(None)
+        if c["kind"] == "onehot":
+            value = (F.coalesce(there.cast("string"), F.lit("")) == c["value"]).cast("double")
+        elif c["kind"] == "boolean":
+            value = F.coalesce(there.cast("boolean"), F.lit(False)).cast("double")
+        else:
+            value = there.cast("double") if c["kind"] == "target" else F.coalesce(there.cast("double"), F.lit(0.0))
+        columns.append(value.alias(c["name"]))
+    if df.isEmpty():
+        raise ValueError("no rows to transform")
+    return df.select(*(keep or []), *columns)
+
+
+class BatchSchedule:
+    """A replayable schedule of training batches: epoch and cursor are all its state.
+
+    Batch ids come from ``batches`` by seed and epoch, so a checkpoint needs no generator's state, and
+    restoring one skips no rows and repeats none.
+    """
+
+    def __init__(self, df: DataFrame, key: str, size: int, shuffle: bool = False, drop_last: bool = False, seed: int = 42):
+        self.df, self.key = df, key
+        self.config = {"batch_size": max(1, size), "shuffle": shuffle, "drop_last": drop_last, "seed": seed}
+        self.rows = df.count()
+        if not self.rows:
+            raise ValueError("a schedule needs at least one row")
+        self.epoch, self.cursor = 0, 0
+
+    def _last(self) -> int:
+        size = self.config["batch_size"]
+        whole = self.rows // size
+        return max(1, whole if self.config["drop_last"] else -(-self.rows // size))
+
+    def next(self) -> DataFrame:
+        """The rows of the next batch, with epoch and batch_id."""
+        c = self.config
+        size = min(c["batch_size"], self.rows)
+        out = batches(self.df, self.key, size, c["shuffle"], c["seed"], self.epoch, c["drop_last"])
+        out = out.where(F.col("batch_id") == self.cursor).withColumn("epoch", F.lit(self.epoch))
+        self.cursor += 1
+        if self.cursor >= self._last():
+            self.epoch, self.cursor = self.epoch + 1, 0
+        return out
+
+    def state(self) -> dict:
+        return {"epoch": self.epoch, "cursor": self.cursor, "rows": self.rows, "config": dict(self.config)}
+
+    def restore(self, state: dict) -> None:
+        if state["rows"] != self.rows:
+            raise ValueError("the checkpoint is of a table with other rows")
+        if state.get("config") and state["config"] != self.config:
+            raise ValueError("the checkpoint is of another schedule")
+        if state["epoch"] < 0 or not 0 <= state["cursor"] < self._last():
+            raise ValueError("invalid cursor")
+        self.epoch, self.cursor = state["epoch"], state["cursor"]

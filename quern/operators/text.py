@@ -43,8 +43,62 @@ def encode(df: DataFrame, key: str, column: str, vocab: DataFrame, max_length: i
 
 
 def camel_to_snake(name: Column) -> Column:
+    """Words of a camel-cased name in lower case, runs of other characters as one underscore; ``component`` without any."""
     once = F.regexp_replace(name, r"(.)([A-Z][a-z]+)", "$1_$2")
-    return F.lower(F.regexp_replace(F.regexp_replace(once, r"([a-z0-9])([A-Z])", "$1_$2"), "-", "_"))
+    twice = F.regexp_replace(once, r"([a-z0-9])([A-Z])", "$1_$2")
+    plain = F.lower(F.regexp_replace(F.regexp_replace(twice, r"[^a-zA-Z0-9]+", "_"), r"^_+|_+$", ""))
+    return F.when(F.coalesce(plain, F.lit("")) == "", F.lit("component")).otherwise(plain)
+
+
+def token_dataset(df: DataFrame, key: str, column: str, target: str | None, max_length: int = 128, valid_ratio: float = 0.0, seed: int = 42, min_frequency: int = 1) -> DataFrame:
+    """key, ids (a vocabulary of the texts, end marked, cut and padded), attention_mask, label and split.
+
+    The label is 0 where there is no target or it is null. The ratio is kept within 0 and 0.95; at 0, or
+    with one row, all rows train.
+    """
+    found = encode(df, key, column, vocabulary(df, column, min_frequency), max_length, add_eos=True)
+    label = F.coalesce(F.col(target).cast("double"), F.lit(0.0)) if target else F.lit(0.0)
+    rows = df.select(key, label.alias("label")).join(found, key)
+    rows = rows.withColumn("attention_mask", F.transform("ids", lambda i: (i != 0).cast("long")))
+    ratio = max(0.0, min(0.95, valid_ratio))
+    if ratio > 0 and df.count() > 1:
+        from quern.operators.prep import train_valid_split
+
+        split = train_valid_split(df.select(key), key, ratio, seed)
+        return rows.join(split, key)
+    return rows.withColumn("split", F.lit("train"))
+
+
+def category_path(*levels: Column) -> Column:
+    """Names from the top down joined by ``>``, without any at the ends."""
+    return F.regexp_replace(F.concat_ws(">", *(F.coalesce(c, F.lit("")) for c in levels)), "^>+|>+$", "")
+
+
+def deep_link(path: str, parameters: dict[str, Column]) -> Column:
+    """A link with its parameters percent-encoded; empty and null ones are left out."""
+    parts = [F.when(F.coalesce(c, F.lit("")) != "", F.concat(F.lit(f"{n}="), F.url_encode(c))) for n, c in parameters.items()]
+    query = F.concat_ws("&", *parts)
+    return F.when(query == "", F.lit(path)).otherwise(F.concat(F.lit(f"{path}?"), query))
+
+
+def query_parameters(url: Column) -> Column:
+    """Map of a link's parameters, decoded; of repeated ones the last holds."""
+    text = F.regexp_replace(F.regexp_extract(url, r"\?([^#]*)", 1), "\\+", "%20")
+    pairs = F.filter(F.transform(F.split(text, "&"), lambda p: F.split(p, "=", 2)), lambda p: (F.size(p) == 2) & (F.get(p, F.lit(0)) != ""))
+    entries = F.transform(pairs, lambda p: F.struct(F.url_decode(F.get(p, F.lit(0))).alias("k"), F.url_decode(F.get(p, F.lit(1))).alias("v")))
+    last = F.filter(entries, lambda e, i: ~F.exists(F.slice(entries, i + 2, F.size(entries)), lambda o: o["k"] == e["k"]))
+    return F.map_from_entries(last)
+
+
+def field_filters(parameters: Column, prefix: str = "field.") -> Column:
+    """Map of the parameters named ``field.x``, by x in lower case; the others are left out."""
+    named = F.map_filter(parameters, lambda k, v: k.startswith(prefix) & (v != ""))
+    return F.transform_keys(named, lambda k, v: F.lower(F.substr(k, F.lit(len(prefix) + 1))))
+
+
+def tag_list(text: Column) -> Column:
+    """Tags of a comma-separated list, trimmed, in lower case and each once; empty ones go."""
+    return F.array_distinct(F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), ","), lambda t: F.lower(F.trim(t))), lambda t: t != ""))
 
 
 def parse_budget(text: Column) -> Column:
@@ -55,7 +109,9 @@ def parse_budget(text: Column) -> Column:
     return F.map_from_entries(pairs)
 
 
-def keyword_score(text: Column, words: list[str]) -> Column:
+def keyword_score(text: Column, words: list[str], synonyms: dict[str, list[str]] | None = None) -> Column:
+    """How many of the words, and of the other words listed for them, a text contains."""
+    words = [w for word in words for w in (word, *(synonyms or {}).get(word, ()))]
     total = F.lit(0)
     for w in words:
         total = total + F.contains(F.lower(text), F.lit(w.lower())).cast("int")

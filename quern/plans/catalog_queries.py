@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from quern.operators import catalog, text
+from quern.operators import catalog, metrics, text
 from quern.plans.tables import ENTRIES, LOG, entries, log, r, read
+from quern.sources import sinks
 from quern.streaming import events as streams
 
 QUERIES: dict = {}
@@ -41,12 +41,20 @@ def facets(spark, sf_dir):
 
 @query("a4_summary", f"WITH {ENTRIES} SELECT kind, count(*) AS n, count(DISTINCT p_brand) AS brands FROM entries GROUP BY 1")
 def summary(spark, sf_dir):
-    return entries(spark, sf_dir).groupBy("kind").agg(F.count("*").alias("n"), F.countDistinct("p_brand").alias("brands"))
+    return catalog.summary(entries(spark, sf_dir), "kind", "p_brand").withColumnRenamed("distinct", "brands")
+
+
+@query("a4_summary_payload", f"""WITH {ENTRIES}, k AS (SELECT kind, count(*) AS n FROM entries GROUP BY 1), t AS (SELECT DISTINCT unnest(tags) AS tag FROM entries)
+    SELECT CAST((SELECT sum(n) FROM k) AS BIGINT) AS total, (SELECT string_agg(kind || '=' || n, ',' ORDER BY kind) FROM k) AS by_kind, (SELECT string_agg(tag, ',' ORDER BY tag) FROM t) AS tags""")
+def summary_payload(spark, sf_dir):
+    out = catalog.summary_payload(entries(spark, sf_dir))
+    kinds = F.transform(F.map_entries("by_kind"), lambda e: F.concat_ws("=", e["key"], e["value"].cast("string")))
+    return out.select("total", F.array_join(kinds, ",").alias("by_kind"), F.array_join("tags", ",").alias("tags"))
 
 
 @query("a5_schema_summary", f"WITH {ENTRIES} SELECT DISTINCT tag AS value FROM (SELECT unnest(tags) AS tag FROM entries)")
 def schema_summary(spark, sf_dir):
-    return entries(spark, sf_dir).select(F.explode("tags").alias("value")).distinct()
+    return catalog.distinct_values(entries(spark, sf_dir), "tags")
 
 
 @query("a6_field_values", f"WITH {ENTRIES} SELECT CAST(p_size AS VARCHAR) AS value, count(*) AS n FROM entries GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 20")
@@ -65,40 +73,12 @@ def later_wins(spark, sf_dir):
     return catalog.later_wins(read(spark, sf_dir, "orders"), "o_custkey", "o_orderkey").select("o_custkey", "o_orderkey")
 
 
-@query("u2_first_wins", "SELECT l_orderkey, l_partkey, min(l_linenumber) AS first_line FROM lineitem WHERE l_orderkey < 2000 GROUP BY 1, 2")
+@query("u2_first_wins", "SELECT l_orderkey, l_partkey, min(l_linenumber) AS first_line FROM lineitem GROUP BY 1, 2")
 def first_wins(spark, sf_dir):
-    items = read(spark, sf_dir, "lineitem").where("l_orderkey < 2000")
-    rank = F.row_number().over(Window.partitionBy("l_orderkey", "l_partkey").orderBy("l_linenumber"))
-    return items.withColumn("_r", rank).where("_r = 1").select("l_orderkey", "l_partkey", F.col("l_linenumber").alias("first_line"))
-
-
-@query("u2_first_wins_whole", "SELECT l_orderkey, l_partkey, min(l_linenumber) AS first_line FROM lineitem GROUP BY 1, 2")
-def first_wins_whole(spark, sf_dir):
-    rank = F.row_number().over(Window.partitionBy("l_orderkey", "l_partkey").orderBy("l_linenumber"))
-    rows = read(spark, sf_dir, "lineitem").withColumn("_r", rank).where("_r = 1")
+    rows = catalog.first_wins(read(spark, sf_dir, "lineitem"), ["l_orderkey", "l_partkey"], "l_linenumber")
     return rows.select("l_orderkey", "l_partkey", F.col("l_linenumber").alias("first_line"))
 
 
-_REL = "o AS (SELECT DISTINCT o_custkey AS key, lower(o_orderpriority) || o_orderstatus || (o_orderkey % 50) AS v FROM orders WHERE o_custkey < 150), i AS (SELECT DISTINCT o_custkey AS key, lower(o_orderpriority) || o_orderstatus || (o_orderkey % 50) AS v FROM orders WHERE o_custkey BETWEEN 100 AND 250)"
-
-
-def _contracts(spark, sf_dir):
-    o = read(spark, sf_dir, "orders")
-    value = F.lower(F.concat("o_orderpriority", "o_orderstatus", (F.col("o_orderkey") % 50).cast("string")))
-    gives, needs = F.when(F.col("o_custkey") < 150, value), F.when(F.col("o_custkey").between(100, 250), value)
-    return o.where("o_custkey <= 250").groupBy(F.col("o_custkey").alias("key")).agg(F.collect_set(gives).alias("provides"), F.collect_set(needs).alias("requires"))
-
-
-@query("j5_relations", f"WITH {_REL.replace('|| o_orderstatus', '|| lower(o_orderstatus)')} SELECT o.key AS source, i.key AS target, count(*) AS shared FROM o JOIN i ON o.v = i.v AND o.key <> i.key GROUP BY 1, 2")
-def relations(spark, sf_dir):
-    return catalog.relations(_contracts(spark, sf_dir), "provides", "requires")
-
-
-@query("j9_value_usage", f"WITH {_REL.replace('|| o_orderstatus', '|| lower(o_orderstatus)')}, b AS (SELECT v, 1 AS s FROM o UNION ALL SELECT v, 0 FROM i) SELECT v AS value, CAST(sum(s) AS BIGINT) AS producers, CAST(sum(1 - s) AS BIGINT) AS consumers FROM b GROUP BY 1")
-def value_usage(spark, sf_dir):
-    return catalog.value_usage(_contracts(spark, sf_dir), "provides", "requires")
-
-
 _HELD = "h AS (SELECT DISTINCT o_custkey AS key, l_partkey || '-' || l_suppkey AS v FROM orders JOIN lineitem ON o_orderkey = l_orderkey)"
 
 
@@ -109,14 +89,14 @@ def held(spark, sf_dir):
     return bought.groupBy(F.col("o_custkey").alias("key")).agg(F.collect_set("v").alias("v"))
 
 
-@query("j5_relations_whole", f"WITH {_HELD} SELECT o.key AS source, i.key AS target, count(*) AS shared FROM h o JOIN h i ON o.v = i.v AND o.key <> i.key GROUP BY 1, 2")
-def relations_whole(spark, sf_dir):
+@query("j5_relations", f"WITH {_HELD} SELECT o.key AS source, i.key AS target, count(*) AS shared FROM h o JOIN h i ON o.v = i.v AND o.key <> i.key GROUP BY 1, 2")
+def relations(spark, sf_dir):
     return catalog.relations(held(spark, sf_dir), "v", "v")
 
 
-@query("j9_value_usage_whole", """WITH e AS (SELECT DISTINCT o_custkey AS key, lower(o_orderpriority || o_orderstatus || (o_orderkey % 50)) AS v FROM orders)
+@query("j9_value_usage", """WITH e AS (SELECT DISTINCT o_custkey AS key, lower(o_orderpriority || o_orderstatus || (o_orderkey % 50)) AS v FROM orders)
     SELECT v AS value, count(*) AS producers, count(*) AS consumers FROM e GROUP BY 1""")
-def value_usage_whole(spark, sf_dir):
+def value_usage(spark, sf_dir):
     value = F.concat("o_orderpriority", "o_orderstatus", (F.col("o_orderkey") % 50).cast("string"))
     e = read(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("key")).agg(F.collect_set(value).alias("v"))
     return catalog.value_usage(e, "v", "v")
@@ -170,8 +150,7 @@ def prior(spark, sf_dir):
 @query("k1_dedupe_append", f"WITH {LOG} SELECT seq FROM log WHERE seq % 3 <> 0")
 def append_new(spark, sf_dir):
     rows = log(spark, sf_dir)
-    known = rows.where("seq % 3 = 0").select("seq")
-    return rows.dropDuplicates(["seq"]).join(known, "seq", "left_anti").select("seq")
+    return sinks.fresh_rows(rows, rows.where("seq % 3 = 0"), "seq").select("seq")
 
 
 @query("st_windows", "SELECT time_bucket(INTERVAL '1 hour', ts) AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2")
@@ -198,25 +177,49 @@ def vocabulary(spark, sf_dir):
     return text.vocabulary(read(spark, sf_dir, "documents"), "text", 3)
 
 
-@query("x4_encode", f"""WITH {_TOKENS.replace('FROM documents', 'FROM benchmark').replace('doc_id, lang', 'item_id')}, c AS (SELECT token, row_number() OVER (ORDER BY token) + 3 AS id FROM (SELECT token FROM tk GROUP BY 1 HAVING count(*) >= 2)),
-    s AS (SELECT item_id, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{M}}\\p{{N}}_]+|[^\\p{{L}}\\p{{M}}\\p{{N}}_\\s]')[1:24] AS t FROM benchmark), e AS (SELECT item_id, generate_subscripts(t, 1) AS p, unnest(t) AS token FROM s),
-    g AS (SELECT item_id, list(coalesce(id, 1) ORDER BY p) AS ids FROM e LEFT JOIN c USING (token) GROUP BY 1)
-    SELECT item_id, array_to_string(list_resize(list_concat([2], ids, [3])[1:24], 24, 0), ' ') AS ids FROM g""")
+_ITEMS = f"""{_TOKENS.replace('FROM documents', 'FROM benchmark').replace('doc_id, lang', 'item_id')}, c AS (SELECT token, row_number() OVER (ORDER BY token) + 3 AS id FROM (SELECT token FROM tk GROUP BY 1 HAVING count(*) >= 2)),
+    s AS (SELECT item_id, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{M}}\\p{{N}}_]+|[^\\p{{L}}\\p{{M}}\\p{{N}}_\\s]') AS t FROM benchmark), e AS (SELECT item_id, generate_subscripts(t, 1) AS p, unnest(t) AS token FROM s),
+    g AS (SELECT item_id, list(coalesce(id, 1) ORDER BY p) AS ids FROM e LEFT JOIN c USING (token) GROUP BY 1)"""
+_LONG = 128
+
+
+@query("x4_encode", f"WITH {_ITEMS} SELECT item_id, array_to_string(list_resize(list_concat([2], ids, [3])[1:{_LONG}], {_LONG}, 0), ' ') AS ids FROM g")
 def encode(spark, sf_dir):
+    """Room for every item whole: the longest has fewer than 100 tokens."""
     items = read(spark, sf_dir, "benchmark")
-    out = text.encode(items, "item_id", "text", text.vocabulary(items, "text", 2), 24, add_bos=True, add_eos=True)
+    out = text.encode(items, "item_id", "text", text.vocabulary(items, "text", 2), _LONG, add_bos=True, add_eos=True)
     return out.select("item_id", F.array_join(F.col("ids").cast("array<string>"), " ").alias("ids"))
 
 
+@query("x5_token_dataset", f"""WITH {_ITEMS}, o AS (SELECT item_id, row_number() OVER (ORDER BY ((item_id * 2654435761 + 1) % 4294967296), item_id) - 1 AS pos, count(*) OVER () AS n FROM benchmark)
+    SELECT item_id, array_to_string(list_resize(list_concat(ids, [3])[1:{_LONG}], {_LONG}, 0), ' ') AS ids, CAST(least(len(ids) + 1, {_LONG}) AS BIGINT) AS used, CAST(item_id % 2 AS DOUBLE) AS label, CASE WHEN pos < greatest(1, round_even(0.25*n, 0)) THEN 'valid' ELSE 'train' END AS split FROM g JOIN o USING (item_id)""")
+def token_dataset(spark, sf_dir):
+    items = read(spark, sf_dir, "benchmark").withColumn("label", F.col("item_id") % 2)
+    out = text.token_dataset(items, "item_id", "text", "label", _LONG, 0.25, 1, 2)
+    used = F.aggregate("attention_mask", F.lit(0).cast("long"), lambda a, m: a + m)
+    return out.select("item_id", F.array_join(F.col("ids").cast("array<string>"), " ").alias("ids"), used.alias("used"), "label", "split")
+
+
 @query("t8_keyword_search", "WITH s AS (SELECT doc_id, CAST(contains(lower(text), 'tion') AS INT) + CAST(contains(lower(text), 'que ') AS INT) + CAST(contains(lower(text), 'ung') AS INT) AS score FROM documents) SELECT doc_id, score FROM s WHERE score > 0 ORDER BY score DESC, doc_id LIMIT 50")
 def keyword_search(spark, sf_dir):
     score = text.keyword_score(F.col("text"), ["tion", "que ", "ung"])
     return read(spark, sf_dir, "documents").select("doc_id", score.alias("score")).where("score > 0").orderBy(F.desc("score"), "doc_id").limit(50)
 
 
-@query("x10_snake_case", r"SELECT c_custkey, lower(regexp_replace(regexp_replace(regexp_replace(c_name || c_mktsegment || 'FooBar', '(.)([A-Z][a-z]+)', '\1_\2', 'g'), '([a-z0-9])([A-Z])', '\1_\2', 'g'), '-', '_', 'g')) AS name FROM customer")
+_SNAKE = r"trim(lower(regexp_replace(regexp_replace(regexp_replace({0}, '(.)([A-Z][a-z]+)', '\1_\2', 'g'), '([a-z0-9])([A-Z])', '\1_\2', 'g'), '[^a-zA-Z0-9]+', '_', 'g')), '_')"
+
+
+@query("x7_synonym_search", "WITH s AS (SELECT doc_id, CAST(contains(lower(text), 'water') AS INT) + CAST(contains(lower(text), 'eau') AS INT) + CAST(contains(lower(text), 'der ') AS INT) AS score FROM documents) SELECT doc_id, score FROM s WHERE score > 0")
+def synonym_search(spark, sf_dir):
+    score = text.keyword_score(F.col("text"), ["Water", "der "], {"Water": ["eau"]})
+    return read(spark, sf_dir, "documents").select("doc_id", score.alias("score")).where("score > 0")
+
+
+@query("x10_snake_case", f"SELECT c_custkey, {_SNAKE.format("c_name || ' / ' || c_mktsegment || 'FooBar.'")} AS name, CASE WHEN c_custkey % 2 = 0 THEN 'component' ELSE {_SNAKE.format('c_mktsegment')} END AS other FROM customer")
 def snake_case(spark, sf_dir):
-    return read(spark, sf_dir, "customer").select("c_custkey", text.camel_to_snake(F.concat("c_name", "c_mktsegment", F.lit("FooBar"))).alias("name"))
+    mixed = F.concat("c_name", F.lit(" / "), "c_mktsegment", F.lit("FooBar."))
+    other = F.when(F.col("c_custkey") % 2 == 0, F.lit("--")).otherwise(F.col("c_mktsegment"))
+    return read(spark, sf_dir, "customer").select("c_custkey", text.camel_to_snake(mixed).alias("name"), text.camel_to_snake(other).alias("other"))
 
 
 @query("x15_hashes", "SELECT p_partkey, sha1(p_name) AS name_sha1, sha256(p_type) AS type_sha256 FROM part")
@@ -227,15 +230,41 @@ def hashes(spark, sf_dir):
 @query("a58_triplets", """WITH c AS (SELECT label, unnest(embedding) AS v, generate_subscripts(embedding, 1) AS i, vec_id FROM embeddings), m AS (SELECT label, i, avg(v) AS m FROM c GROUP BY 1, 2),
     d AS (SELECT c.vec_id, c.label, m.label AS other, sqrt(sum((v - m) * (v - m))) AS dist FROM c JOIN m USING (i) GROUP BY 1, 2, 3), b AS (SELECT vec_id, label, arg_min(other, dist) AS near FROM d GROUP BY 1, 2)
     SELECT label, count(*) AS n, round(avg(CASE WHEN near = label THEN 1.0 ELSE 0.0 END), 6) AS accuracy FROM b GROUP BY 1""")
-def triplets(spark, sf_dir):
-    """Share of vectors nearest to their own label's centre; labels, so centres, are few."""
+def nearest_centres(spark, sf_dir):
+    """Share of vectors nearest to their own label's centre. Labels are few: their centres are one broadcast row."""
     e = read(spark, sf_dir, "embeddings").withColumn("v", F.col("embedding").cast("array<double>"))
     means = e.select("label", F.posexplode("v").alias("i", "x")).groupBy("label", "i").agg(F.avg("x").alias("m"))
-    far = e.select("vec_id", "label", F.posexplode("v").alias("i", "x")).join(means.withColumnRenamed("label", "other"), "i")
-    gap = F.col("x") - F.col("m")
-    far = far.groupBy("vec_id", "label", "other").agg(F.sqrt(F.sum(gap * gap)).alias("dist"))
-    near = far.groupBy("vec_id", "label").agg(F.min_by("other", "dist").alias("near"))
-    return near.groupBy("label").agg(F.count("*").alias("n"), r(F.avg((F.col("near") == F.col("label")).cast("double")), name="accuracy"))
+    centres = means.groupBy("label").agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "m"))), lambda s: s["m"]).alias("c"))
+    if centres.count() > 10_000:
+        raise ValueError("more than 10000 labels")
+    centres = centres.agg(F.sort_array(F.collect_list(F.struct("label", "c"))).alias("centres"))
+
+    def far(c):
+        return F.aggregate(F.zip_with("v", c, lambda x, m: (x - m) * (x - m)), F.lit(0.0), lambda a, x: a + x)
+
+    near = F.array_min(F.transform("centres", lambda s: F.struct(far(s["c"]).alias("d"), s["label"].alias("label"))))["label"]
+    rows = e.crossJoin(F.broadcast(centres)).select("label", near.alias("near"))
+    return rows.groupBy("label").agg(F.count("*").alias("n"), r(F.avg((F.col("near") == F.col("label")).cast("double")), name="accuracy"))
+
+
+@query("a58_triplet_retrieval", """WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), t AS (SELECT list_distance(a.v, p.v) AS p, list_distance(a.v, n.v) AS n, len(a.v) AS k FROM v a JOIN v p ON p.vec_id = a.vec_id + 1 JOIN v n ON n.vec_id = a.vec_id + 2)
+    SELECT round(avg(CASE WHEN p*p/k < n*n/k THEN 1.0 ELSE 0.0 END), 6) AS retrieval_accuracy, round(avg(p*p/k), 6) AS positive_distance, round(avg(n*n/k), 6) AS negative_distance, round(avg(greatest(p*p/k - n*n/k + 1, 0)), 6) AS triplet_loss FROM t""")
+def triplet_retrieval(spark, sf_dir):
+    """Each vector, with the next one as its positive and the one after that as its negative."""
+    v = read(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("anchor"))
+    other = lambda step, name: v.select((F.col("vec_id") - step).alias("vec_id"), F.col("anchor").alias(name))
+    rows = v.join(other(1, "positive"), "vec_id").join(other(2, "negative"), "vec_id")
+    out = metrics.triplets(rows, "anchor", "positive", "negative")
+    return out.select(*(r(c) for c in out.columns))
+
+
+@query("a58_preferences", """WITH p AS (SELECT l_discount - l_tax AS policy, l_quantity/100 - 0.25 AS ref FROM lineitem), z AS (SELECT policy, ref, 2.0*(policy - ref) AS x FROM p)
+    SELECT round(avg(ln(1 + exp(-x))), 6) AS dpo_loss, round(avg(CASE WHEN policy > ref THEN 1.0 ELSE 0.0 END), 4) AS preference_accuracy, round(avg(policy), 6) AS policy_margin, round(avg(ref), 6) AS reference_margin, round(exp(least(avg(abs(x)), 50)), 6) AS perplexity FROM z""")
+def preferences(spark, sf_dir):
+    rows = read(spark, sf_dir, "lineitem").withColumns({"rc": F.col("l_quantity") / 100, "rr": F.lit(0.25)})
+    out = metrics.preferences(rows, "l_discount", "l_tax", "rc", "rr", 2.0)
+    gap = rows.agg(metrics.perplexity(F.avg(F.abs(2.0 * (F.col("l_discount") - F.col("l_tax") - (F.col("rc") - F.col("rr")))))).alias("perplexity"))
+    return out.crossJoin(F.broadcast(gap)).select(r("dpo_loss"), r("preference_accuracy", 4), r("policy_margin"), r("reference_margin"), r("perplexity"))
 
 
 @query("s5_conversations", "SELECT role, count(*) AS n, count(DISTINCT conv_id) AS conversations FROM conversations GROUP BY 1")

@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quern.functions import conditional as C
+from quern.functions import distributions as D
 from quern.functions import expressions as X
 from quern.functions import guards as G
 from quern.functions import primitives as P
-from quern.operators import pool, prep
+from quern.operators import guards, moments, pool, prep
+from quern.operators.quantiles import quantiles
 from quern.plans.tables import r, read
 
 QUERIES: dict = {}
@@ -92,7 +97,7 @@ def gates(spark, sf_dir):
     SELECT flag, round(avg(0.5*(1+tanh(8*(a-q1)))), 6) AS low_gate, round(avg(0.5*(1+tanh(8*(a-q3)))), 6) AS high_gate FROM x, q GROUP BY flag""")
 def quantile_gates(spark, sf_dir):
     x = _x(spark, sf_dir)
-    cuts = x.agg(F.percentile("a", F.lit(0.25)).alias("q1"), F.percentile("a", F.lit(0.75)).alias("q3"))
+    cuts = quantiles(x, F.col("a"), [0.25, 0.75]).select(F.get("q", F.lit(0)).alias("q1"), F.get("q", F.lit(1)).alias("q3"))
     both = x.crossJoin(F.broadcast(cuts))  # one row of cuts
     return both.groupBy("flag").agg(r(F.avg(P.quantile_gate(F.col("a"), F.col("q1"))), name="low_gate"), r(F.avg(P.quantile_gate(F.col("a"), F.col("q3"))), name="high_gate"))
 
@@ -144,6 +149,52 @@ def normal_logprob(spark, sf_dir):
     return _x(spark, sf_dir).groupBy("flag").agg(r(F.avg(-0.5 * F.ln(2 * F.pi()) - F.ln(s) - 0.5 * z * z), name="logp"))
 
 
+@query("m73_poisson_logprob", f"WITH {_X}, z AS (SELECT flag, round(a) AS y, greatest(ln(1+exp(-abs(b)))+greatest(b,0), 1e-8) AS r FROM x) SELECT flag, round(avg(y*ln(r) - r - CASE WHEN y <= 0 THEN 0 ELSE y*ln(y) - y + 0.5*ln(2*pi()*y + 1.0/3) END), 6) AS logp FROM z GROUP BY flag")
+def poisson_logprob(spark, sf_dir):
+    y = F.round("a")
+    return _x(spark, sf_dir).groupBy("flag").agg(r(F.avg(D.poisson(y, D.positive(F.col("b")))), name="logp"))
+
+
+_LG = "(({0}-0.5)*ln({0}) - {0} + 0.5*ln(2*pi()) + 1/(12*{0}))"
+
+
+@query("m73_negbin_logprob", f"""WITH {_X}, z AS (SELECT flag, round(a) AS y, greatest(c, 1e-8) AS m, greatest(exp(greatest(least(b, 50), -50)), 1e-8) AS al FROM x), q AS (SELECT flag, y, 1/al AS s, 1/(1+al*m) AS h FROM z)
+    SELECT flag, round(avg({_LG.format('(y+s)')} - {_LG.format('(y+1)')} - {_LG.format('s')} + y*ln(1-h) + s*ln(h)), 6) AS logp FROM q WHERE h < 1 GROUP BY flag""")
+def negbin_logprob(spark, sf_dir):
+    mean, alpha = F.col("c"), D.positive(F.col("b"), "exp")
+    inside = 1 / (1 + alpha * F.greatest(mean, F.lit(1e-8))) < 1
+    return _x(spark, sf_dir).where(inside).groupBy("flag").agg(r(F.avg(D.negative_binomial(F.round("a"), mean, alpha)), name="logp"))
+
+
+_SPECS = [
+    {"name": "gate", "family": "gate_binary", "source": "a", "threshold": 2.5, "positive": 3.0, "negative": 1.0},
+    {"name": "hot", "family": "gate_onehot", "source": "a", "categories": ["2", "none"], "slope": 4},
+    {"name": "hinge", "family": "piecewise_hinge", "source": "b", "cut": 0.25, "direction": "negative"},
+    {"name": "step", "family": "gate_step", "source": "c", "cut": 2.0, "multiplier": "a"},
+    {"name": "bent", "family": "piecewise", "source": "a", "cut": 2.0, "left": "abs", "right": "square"},
+    {"name": "flat", "family": "piecewise", "source": "b", "left": "off", "right": "left_hinge"},
+    {"name": "again", "family": "gate_soft", "source": "c", "cut": 2.0, "multiplier": "a"},
+    {"name": "lost", "family": "gate_step", "source": "missing"},
+]
+_STEP = "(0.5*(1+tanh({s}*({x}-({c})))))"
+
+
+@query("m65_conditional", f"""WITH {_X} SELECT flag, round(avg(1 + 2*{_STEP.format(s=8, x='a', c=2.5)}), 6) AS gate, round(avg({_STEP.format(s=4, x='a', c=1.5)}*(1-{_STEP.format(s=4, x='a', c=2.5)})), 6) AS hot, round(avg(greatest(0.25-b, 0)), 6) AS hinge,
+    round(avg({_STEP.format(s=8, x='c', c=2)}*a), 6) AS step, round(avg((1-{_STEP.format(s=8, x='a', c=2)})*abs(a-2) + {_STEP.format(s=8, x='a', c=2)}*(a-2)*(a-2)), 6) AS bent, round(avg({_STEP.format(s=8, x='b', c=0)}*greatest(-b, 0)), 6) AS flat FROM x GROUP BY flag""")
+def conditional(spark, sf_dir):
+    """Six of the eight: one names no feature, one is the same expression as another."""
+    cols = [F.col("a"), F.col("b"), F.col("c")]
+    terms = C.lower(_SPECS, ["a", "b", "c"])
+    return _x(spark, sf_dir).groupBy("flag").agg(*(r(F.avg(X.to_column(e, cols)), name=n.split(":")[0]) for n, e, _, _ in terms))
+
+
+@query("m3_parameterized", f"WITH {_X} SELECT flag, round(avg(0.5 + 2*sin(3*a + 0.25)), 6) AS value FROM x GROUP BY flag")
+def parameterized(spark, sf_dir):
+    expr = X.parameterize(X.un("sin", X.feature(0)), "p")
+    values = X.bind([expr], [3.0, 0.25, 0.5, 2.0])
+    return _x(spark, sf_dir).groupBy("flag").agg(r(F.avg(X.to_column(expr, [F.col("a")], values)), name="value"))
+
+
 @query("m74_interval_heads", f"""WITH {_X} SELECT flag, round(avg(least(a,b)), 6) AS lo, round(avg(greatest(a,b)), 6) AS hi,
     round(avg(a - ln(1+exp(b))), 6) AS center_lo, round(avg(a + ln(1+exp(b))), 6) AS center_hi FROM x GROUP BY flag""")
 def interval_heads(spark, sf_dir):
@@ -160,24 +211,13 @@ def zscore(spark, sf_dir):
     return prep.zscore(x, ["a", "t"], "split").select("k", "n", r("a"), r("t"))
 
 
-@query("p2_select_columns", f"WITH {_X} SELECT t, a, t AS t_1 FROM x WHERE k < 500")
+@query("p2_select_columns", f"WITH {_X} SELECT t, a, t AS t_1 FROM x")
 def select_columns(spark, sf_dir):
-    return prep.select_columns(_x(spark, sf_dir).where("k < 500"), [7, 4, 7])
-
-
-@query("p2_select_columns_whole", f"WITH {_X} SELECT t, a, t AS t_1 FROM x")
-def select_columns_whole(spark, sf_dir):
     return prep.select_columns(_x(spark, sf_dir), [7, 4, 7])
 
 
-@query("p11_polynomial", f"WITH {_X} SELECT k, n, round(a*a, 6) AS aa, round(b*b, 6) AS bb, round(a*b, 6) AS ab, round(a*c, 6) AS ac, round(b*c, 6) AS bc FROM x WHERE k < 3000")
+@query("p11_polynomial", f"WITH {_X} SELECT k, n, round(a*a, 6) AS aa, round(b*b, 6) AS bb, round(a*b, 6) AS ab, round(a*c, 6) AS ac, round(b*c, 6) AS bc FROM x")
 def polynomial(spark, sf_dir):
-    out = prep.polynomial(_x(spark, sf_dir).where("k < 3000"), ["a", "b", "c"])
-    return out.select("k", "n", r("a^2", name="aa"), r("b^2", name="bb"), r("a*b", name="ab"), r("a*c", name="ac"), r("b*c", name="bc"))
-
-
-@query("p11_polynomial_whole", f"WITH {_X} SELECT k, n, round(a*a, 6) AS aa, round(b*b, 6) AS bb, round(a*b, 6) AS ab, round(a*c, 6) AS ac, round(b*c, 6) AS bc FROM x")
-def polynomial_whole(spark, sf_dir):
     out = prep.polynomial(_x(spark, sf_dir), ["a", "b", "c"])
     return out.select("k", "n", r("a^2", name="aa"), r("b^2", name="bb"), r("a*b", name="ab"), r("a*c", name="ac"), r("b*c", name="bc"))
 
@@ -200,14 +240,35 @@ def one_hot(spark, sf_dir):
     return out.select("o_orderkey", F.col("`o_orderstatus=F`").alias("is_f"), F.col("`o_orderstatus=O`").alias("is_o"), F.col("`o_orderstatus=P`").alias("is_p"))
 
 
+_RANKED = "SELECT {k} AS id, row_number() OVER (ORDER BY (({k} * 2654435761 + {seed}) % 4294967296), {k}) - 1 AS pos, count(*) OVER () AS n FROM {t}"
+_SCHEMA = [{"key": "c_acctbal", "dtype": "float"}, {"key": "rich", "dtype": "bool"}, {"key": "c_mktsegment", "dtype": "category"}, {"key": "tier", "dtype": "string", "vocab": ["0", "1"]}, {"key": "gone", "dtype": "float"}]
+_SEGMENTS = ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")
+
+
+@query("e3_numericizer", f"""SELECT c_custkey, c_acctbal, CASE WHEN c_acctbal > 5000 THEN 1.0 ELSE 0.0 END AS rich, {', '.join(f"CASE WHEN c_mktsegment = '{v}' THEN 1.0 ELSE 0.0 END AS {v.lower()}" for v in _SEGMENTS)},
+    CASE WHEN c_nationkey % 3 = 0 THEN 1.0 ELSE 0.0 END AS tier0, CASE WHEN c_nationkey % 3 = 1 THEN 1.0 ELSE 0.0 END AS tier1, 0.0 AS gone, CAST(c_nationkey AS DOUBLE) AS target FROM customer""")
+def numericizer(spark, sf_dir):
+    rows = read(spark, sf_dir, "customer").select("c_custkey", "c_acctbal", (F.col("c_acctbal") > 5000).alias("rich"), "c_mktsegment", (F.col("c_nationkey") % 3).alias("tier"), "c_nationkey")
+    plan = prep.fit_numeric(rows, prep.numeric_plan(_SCHEMA, "c_nationkey"))
+    out = prep.transform_numeric(rows, plan, keep=["c_custkey"])
+    hot = [F.col(f"`c_mktsegment={v}`").alias(v.lower()) for v in _SEGMENTS]
+    return out.select("c_custkey", "c_acctbal", "rich", *hot, F.col("`tier=0`").alias("tier0"), F.col("`tier=1`").alias("tier1"), "gone", F.col("c_nationkey").alias("target"))
+
+
+@query("t12_batch_schedule", f"WITH o AS ({_RANKED.format(k='o_orderkey', seed=43, t='orders')}) SELECT id AS o_orderkey, 1 AS epoch, CAST(2 AS BIGINT) AS batch_id FROM o WHERE pos // 64 = 2")
+def batch_schedule(spark, sf_dir):
+    """The third batch of the second epoch, from a restored checkpoint."""
+    rows = read(spark, sf_dir, "orders").select("o_orderkey")
+    schedule = prep.BatchSchedule(rows, "o_orderkey", 64, shuffle=True, drop_last=True)
+    schedule.restore({**schedule.state(), "epoch": 1, "cursor": 2})
+    return schedule.next()
+
+
 @query("e6_categorical_code", "SELECT c_custkey, dense_rank() OVER (ORDER BY c_mktsegment) - 1 AS code FROM customer")
 def categorical_code(spark, sf_dir):
     return prep.categorical_code(read(spark, sf_dir, "customer"), "c_mktsegment").select("c_custkey", "code")
 
 
-_RANKED = "SELECT {k} AS id, row_number() OVER (ORDER BY (({k} * 2654435761 + {seed}) % 4294967296), {k}) - 1 AS pos, count(*) OVER () AS n FROM {t}"
-
-
 @query("t13_train_valid_split", f"WITH o AS ({_RANKED.format(k='o_orderkey', seed=7, t='orders')}) SELECT id AS o_orderkey, CASE WHEN pos < greatest(1, round_even(0.2*n, 0)) THEN 'valid' ELSE 'train' END AS split FROM o")
 def train_valid(spark, sf_dir):
     return prep.train_valid_split(read(spark, sf_dir, "orders").select("o_orderkey"), "o_orderkey", 0.2, 7)
@@ -250,37 +311,80 @@ def close_filter(spark, sf_dir):
 
 
 _CORR = "round(CASE WHEN stddev_pop({0}) > 1e-12 AND stddev_pop({1}) > 1e-12 THEN covar_pop({0}, {1})/(stddev_pop({0})*stddev_pop({1})) ELSE 0 END, 6)"
-_TERMS = {"identity(a)": "a", "square(a)": "a*a", "sin(a)": "sin(a)", "mul(a,b)": "a*b", "identity(b)": "b", "identity(c)": "c"}
 
 
-def _terms():
-    every = pool.candidates(["a", "b", "c"])
-    return [t for t in every if t[0] in _TERMS]
+def _sql_terms(columns: str) -> dict[str, tuple[str, str, float, list[int]]]:
+    """SQL, family, cost and features of every candidate over ``columns``."""
+    out = {}
+    for i, c in enumerate(columns):
+        for n in P.named(initial=True):
+            out[f"{n}({c})"] = (re.sub(r"\bz\b", c, _SQL_UNARY[n]), P.UNARY[n].family, P.UNARY[n].cost, [i])
+    for i, p in enumerate(columns):
+        for j, q in list(enumerate(columns))[i + 1 :]:
+            for n in P.named(initial=True, pairs=True):
+                sql = re.sub(r"\b[ab]\b", lambda m, p=p, q=q: p if m[0] == "a" else q, _SQL_PAIR[n])
+                out[f"{n}({p},{q})"] = (sql, P.PAIR[n].family, P.PAIR[n].cost, [i, j])
+    return out
+
+
+_TERMS = _sql_terms("abc")
+_LISTED = ", ".join(f"{{'name': '{n}', 'family': '{t[1]}', 'complexity': {t[2]}, 'prior_corr': {_CORR.format('(' + t[0] + ')', 't')}}}" for n, t in _TERMS.items())
+_POOL = f"{_X}, pool AS (SELECT unnest(p, max_depth := 1) FROM (SELECT unnest([{_LISTED}]) AS p FROM x))"
+
 
+def _pool(spark, sf_dir):
+    return pool.score(_x(spark, sf_dir), pool.candidates(["a", "b", "c"]), "t").withColumn("prior_corr", F.round("prior_corr", 6))
 
-@query("a30_prior_corr", f"WITH {_X} " + " UNION ALL ".join(f"SELECT '{n}' AS name, {_CORR.format(s, 't')} AS prior_corr FROM x" for n, s in _TERMS.items()))
+
+@query("a30_prior_corr", f"WITH {_POOL} SELECT name, prior_corr FROM pool")
 def prior_corr(spark, sf_dir):
-    return pool.score(_x(spark, sf_dir), _terms(), "t").select("name", r("prior_corr"))
+    return _pool(spark, sf_dir).select("name", "prior_corr")
 
 
-@query("t2_top_by_corr", None)
+@query("t2_top_by_corr", f"WITH {_POOL} SELECT name, family, prior_corr FROM pool ORDER BY abs(prior_corr) DESC, complexity, name LIMIT 10")
 def top_by_corr(spark, sf_dir):
-    return pool.top_by_corr(pool.score(_x(spark, sf_dir), pool.candidates(["a", "b", "c"]), "t"), 10).select("name", "family", r("prior_corr"))
+    return pool.top_by_corr(_pool(spark, sf_dir), 10).select("name", "family", "prior_corr")
 
 
-@query("t6_family_quota", None)
+@query("t6_family_quota", f"""WITH {_POOL}, k AS (SELECT *, row_number() OVER (PARTITION BY family ORDER BY abs(prior_corr) DESC, complexity, name) AS place FROM pool)
+    SELECT name, family, prior_corr FROM k WHERE place <= CASE family WHEN 'trig' THEN 2 WHEN 'safe_log' THEN 1 WHEN 'interaction_ratio' THEN 3 ELSE 1000000 END""")
 def family_quota(spark, sf_dir):
-    found = pool.score(_x(spark, sf_dir), pool.candidates(["a", "b", "c"]), "t")
-    return pool.family_quota(found, {"trig": 2, "safe_log": 1, "interaction_ratio": 3}).select("name", "family", r("prior_corr"))
+    return pool.family_quota(_pool(spark, sf_dir), {"trig": 2, "safe_log": 1, "interaction_ratio": 3}).select("name", "family", "prior_corr")
+
+
+@query("f12_min_corr", f"WITH {_POOL} SELECT name FROM pool WHERE abs(prior_corr) >= 0.003 OR family = 'gate'")
+def min_corr(spark, sf_dir):
+    return pool.min_corr(_pool(spark, sf_dir), 0.003).select("name")
+
+
+@query("f13_by_family", f"WITH {_POOL} SELECT name, complexity FROM pool WHERE family = 'trig'")
+def by_family(spark, sf_dir):
+    return pool.by_family(_pool(spark, sf_dir), "trig").select("name", "complexity")
+
+
+_USED = ", ".join(f"('{n}', '{t[1]}', {t[3]})" for n, t in _TERMS.items())
+
 
+@query("a27_frequency", f"""WITH p(name, family, features) AS (VALUES {_USED}) SELECT 'family' AS kind, family AS value, count(*) AS n FROM p GROUP BY 2
+    UNION ALL SELECT 'feature', CAST(f AS VARCHAR), count(*) FROM (SELECT unnest(features) AS f FROM p) GROUP BY 2""")
+def term_frequency(spark, sf_dir):
+    return pool.frequency(_pool(spark, sf_dir))
 
-_PAIRS = [(p, q) for i, p in enumerate(_TERMS) for q in list(_TERMS)[i + 1 :]]
 
+@query("a37_feature_reuse", f"WITH p(name, family, features) AS (VALUES {_USED}) SELECT CAST(f AS INT) AS feature, count(*) AS terms FROM (SELECT unnest(features) AS f FROM p) GROUP BY 1")
+def feature_reuse(spark, sf_dir):
+    return guards.feature_reuse(_pool(spark, sf_dir))
 
-@query("j11_correlation_pairs", f"WITH {_X}, p AS (" + " UNION ALL ".join(f"SELECT '{p}' AS a, '{q}' AS b, {_CORR.format(_TERMS[p], _TERMS[q])} AS corr FROM x" for p, q in _PAIRS) + ") SELECT * FROM p WHERE abs(corr) >= 0.05")
+
+_NAMES = list(_TERMS)
+_PAIRED = ", ".join(f"{{'a': '{p}', 'b': '{q}', 'corr': {_CORR.format('(' + _TERMS[p][0] + ')', '(' + _TERMS[q][0] + ')')}}}" for i, p in enumerate(_NAMES) for q in _NAMES[i + 1 :])
+
+
+@query("j11_correlation_pairs", f"WITH {_X}, p AS (SELECT unnest(p, max_depth := 1) FROM (SELECT unnest([{_PAIRED}]) AS p FROM x)) SELECT * FROM p WHERE abs(corr) >= 0.05")
 def correlation_pairs(spark, sf_dir):
-    columns = {"identity(a)": F.col("a"), "square(a)": F.col("a") * F.col("a"), "sin(a)": F.sin("a"), "mul(a,b)": F.col("a") * F.col("b"), "identity(b)": F.col("b"), "identity(c)": F.col("c")}
-    return pool.correlation_pairs(_x(spark, sf_dir), columns, 0.05).select("a", "b", r("corr"))
+    """All pairs of the pool's candidates."""
+    out = pool.correlation_pairs(_x(spark, sf_dir), {t[0]: t[4] for t in pool.candidates(["a", "b", "c"])})
+    return out.select("a", "b", r("corr")).where(F.abs("corr") >= 0.05)
 
 
 @query("t9_prune_redundant", None)
@@ -290,9 +394,37 @@ def prune_redundant(spark, sf_dir):
     return pool.prune_redundant(pool.score(x, terms, "t"), pairs, 0.95).select("name", r("prior_corr"))
 
 
-@query("a34_stability", f"WITH {_X} SELECT round(quantile_cont(a*b, 0.1), 6) AS q10, round(quantile_cont(a*b, 0.5), 6) AS q50, round(quantile_cont(a*b, 0.9), 6) AS q90, round(stddev_pop(a*b), 6) AS std FROM x")
+@query("a29_value_overlap", f"""WITH {_X}, p AS (SELECT unnest([{{'a': 'first', 'b': 'second', 'artifact_a': 'one', 'artifact_b': 'one', 'c': {_CORR.format('a', '(a*a)')}}}, {{'a': 'first', 'b': 'third', 'artifact_a': 'one', 'artifact_b': 'two', 'c': {_CORR.format('a', '(a+b)')}}},
+    {{'a': 'second', 'b': 'third', 'artifact_a': 'one', 'artifact_b': 'two', 'c': {_CORR.format('(a*a)', '(a+b)')}}}]) AS p FROM x) SELECT p.a AS a, p.b AS b, p.artifact_a AS artifact_a, p.artifact_b AS artifact_b, abs(p.c) AS abs_corr, abs(p.c) >= 0.9 AS high FROM p""")
+def value_overlap(spark, sf_dir):
+    a, b = F.col("a"), F.col("b")
+    return moments.value_overlap(_x(spark, sf_dir), [("one", "first", a), ("one", "second", a * a), ("two", "third", a + b)], 0.9).withColumn("abs_corr", F.round("abs_corr", 6))
+
+
+_BASIS = "m AS (SELECT var_pop(a) AS u, var_pop(a*a) AS v, covar_pop(a, a*a) AS c FROM x), g AS (SELECT u + v AS tr, sqrt((u-v)*(u-v) + 4*c*c) AS gap, abs(c)/sqrt(u*v) AS r FROM m)"
+
+
+@query("a31_basis_metrics", f"WITH {_X}, {_BASIS} SELECT round(r, 6) AS max_abs_corr, round(r, 6) AS mean_abs_corr, 2.0 AS rank, round(sqrt((tr+gap)/(tr-gap)), 3) AS condition FROM g")
+def basis_metrics(spark, sf_dir):
+    out = moments.basis_metrics(_x(spark, sf_dir), [F.col("a"), F.col("a") * F.col("a")])
+    return out.select(r("max_abs_corr"), r("mean_abs_corr"), "rank", r("condition", 3))
+
+
+@query("a32_basis_metrics_all", f"WITH {_X}, {_BASIS} SELECT round(r, 6) AS max_abs_corr, round(r/2, 6) AS mean_abs_corr, 2.0 AS rank FROM g")
+def basis_metrics_all(spark, sf_dir):
+    out = moments.basis_metrics(_x(spark, sf_dir), [F.col("a"), F.col("a") * F.col("a")], mean_over_all=True)
+    return out.select(r("max_abs_corr"), r("mean_abs_corr"), "rank")
+
+
+_STABLE = """q AS (SELECT quantile_cont(v, 0.1) AS q10, quantile_cont(v, 0.5) AS q50, quantile_cont(v, 0.9) AS q90, stddev_pop(v) AS std, stddev_pop(s) AS step_std FROM (SELECT a*b AS v, a*b - lag(a*b) OVER (ORDER BY k, n, a*b) AS s FROM x)),
+    z AS (SELECT *, greatest(1.0, abs(q50), std) AS size FROM q)"""
+
+
+@query("a34_stability", f"WITH {_X}, {_STABLE} SELECT round(q10, 6) AS q10, round(q50, 6) AS q50, round(q90, 6) AS q90, round(std, 6) AS std, round(step_std, 6) AS step_std, round(1/(1 + 0.35*least(10, abs(q90-q10)/size) + 0.45*least(10, step_std/size)), 6) AS score FROM z")
 def stability(spark, sf_dir):
-    return pool.stability(_x(spark, sf_dir), F.col("a") * F.col("b")).select(r("q10"), r("q50"), r("q90"), r("std"))
+    x = _x(spark, sf_dir).withColumn("o", F.struct("k", "n", F.col("a") * F.col("b")))
+    out = pool.stability(x, F.col("a") * F.col("b"), "o")
+    return out.select(r("q10"), r("q50"), r("q90"), r("std"), r("step_std"), r("score"))
 
 
 @query("a39_overfit_guard", """WITH s AS (SELECT l_suppkey AS g, avg(CASE WHEN l_orderkey % 5 <> 0 THEN l_tax END) AS tr, avg(CASE WHEN l_orderkey % 5 = 0 THEN l_tax END) AS va FROM lineitem GROUP BY 1)
@@ -303,51 +435,31 @@ def overfit_guard(spark, sf_dir):
     return pool.overfit_guard(scores, "tr", "va", 0.001, 1.1).select("g", r("gap"), r("ratio"), "passes")
 
 
-_KEYS = "terms AS (SELECT DISTINCT l_suppkey % 10 AS artifact, p_name AS key FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_quantity > 45)"
-
-
 _ALL_KEYS = "terms AS (SELECT DISTINCT l_suppkey % 10 AS artifact, p_name AS key FROM lineitem JOIN part ON l_partkey = p_partkey)"
 
 
-def _keys(spark, sf_dir, where="l_quantity > 45"):
-    items, parts = read(spark, sf_dir, "lineitem").where(where), read(spark, sf_dir, "part")
+def _keys(spark, sf_dir):
+    items, parts = read(spark, sf_dir, "lineitem"), read(spark, sf_dir, "part")
     return items.join(parts, items["l_partkey"] == parts["p_partkey"]).select((F.col("l_suppkey") % 10).alias("artifact"), F.col("p_name").alias("key")).distinct()
 
 
-@query("a26_consensus", f"WITH {_KEYS}, n AS (SELECT count(DISTINCT artifact) AS c FROM terms) SELECT key, count(DISTINCT artifact) AS support, round(count(DISTINCT artifact) / max(c), 6) AS ratio, count(DISTINCT artifact) >= ceil(0.9 * max(c)) AS agreed FROM terms, n GROUP BY key")
+@query("a26_consensus", f"WITH {_ALL_KEYS}, n AS (SELECT count(DISTINCT artifact) AS c FROM terms) SELECT key, count(DISTINCT artifact) AS support, round(count(DISTINCT artifact) / max(c), 6) AS ratio, count(DISTINCT artifact) >= ceil(0.9 * max(c)) AS agreed FROM terms, n GROUP BY key")
 def consensus(spark, sf_dir):
     return pool.consensus(_keys(spark, sf_dir), 0.9).select("key", "support", r("ratio"), "agreed")
 
 
-@query("a26_consensus_whole", f"WITH {_ALL_KEYS}, n AS (SELECT count(DISTINCT artifact) AS c FROM terms) SELECT key, count(DISTINCT artifact) AS support, round(count(DISTINCT artifact) / max(c), 6) AS ratio, count(DISTINCT artifact) >= ceil(0.9 * max(c)) AS agreed FROM terms, n GROUP BY key")
-def consensus_whole(spark, sf_dir):
-    return pool.consensus(_keys(spark, sf_dir, "true"), 0.9).select("key", "support", r("ratio"), "agreed")
-
-
-@query("a28_overlap", f"""WITH {_KEYS}, n AS (SELECT artifact, count(*) AS n FROM terms GROUP BY 1), s AS (SELECT l.artifact AS a, r.artifact AS b, count(*) AS c FROM terms l JOIN terms r ON l.key = r.key AND l.artifact < r.artifact GROUP BY 1, 2)
+@query("a28_overlap", f"""WITH {_ALL_KEYS}, n AS (SELECT artifact, count(*) AS n FROM terms GROUP BY 1), s AS (SELECT l.artifact AS a, r.artifact AS b, count(*) AS c FROM terms l JOIN terms r ON l.key = r.key AND l.artifact < r.artifact GROUP BY 1, 2)
     SELECT a, b, round(c / (x.n + y.n - c), 6) AS jaccard FROM s JOIN n x ON x.artifact = a JOIN n y ON y.artifact = b""")
 def overlap(spark, sf_dir):
     return pool.overlap(_keys(spark, sf_dir)).select("a", "b", r("jaccard"))
 
 
-@query("a28_overlap_whole", f"""WITH {_ALL_KEYS}, n AS (SELECT artifact, count(*) AS n FROM terms GROUP BY 1), s AS (SELECT l.artifact AS a, r.artifact AS b, count(*) AS c FROM terms l JOIN terms r ON l.key = r.key AND l.artifact < r.artifact GROUP BY 1, 2)
-    SELECT a, b, round(c / (x.n + y.n - c), 6) AS jaccard FROM s JOIN n x ON x.artifact = a JOIN n y ON y.artifact = b""")
-def overlap_whole(spark, sf_dir):
-    return pool.overlap(_keys(spark, sf_dir, "true")).select("a", "b", r("jaccard"))
-
-
-@query("j10_pool_changes_whole", """WITH b AS (SELECT DISTINCT l_partkey AS p, l_suppkey AS s FROM lineitem WHERE l_shipdate < DATE '1998-01-01'), a AS (SELECT DISTINCT l_partkey AS p, l_suppkey AS s FROM lineitem WHERE l_shipdate >= DATE '1998-01-01')
+@query("j10_pool_changes", """WITH b AS (SELECT DISTINCT l_partkey AS p, l_suppkey AS s FROM lineitem WHERE l_shipdate < DATE '1998-01-01'), a AS (SELECT DISTINCT l_partkey AS p, l_suppkey AS s FROM lineitem WHERE l_shipdate >= DATE '1998-01-01')
     SELECT p || '-' || s AS key, 'added' AS change FROM (SELECT * FROM a EXCEPT SELECT * FROM b) UNION ALL SELECT p || '-' || s, 'removed' FROM (SELECT * FROM b EXCEPT SELECT * FROM a)""")
-def pool_changes_whole(spark, sf_dir):
+def pool_changes(spark, sf_dir):
     early = F.col("l_shipdate") < F.lit("1998-01-01").cast("date")
     x = read(spark, sf_dir, "lineitem")
     part = lambda where: x.where(where).select(F.concat_ws("-", "l_partkey", "l_suppkey").alias("key")).distinct()
     return pool.changes(part(early), part(~early), "key")
 
 
-@query("j10_pool_changes", """WITH b AS (SELECT DISTINCT l_partkey AS key FROM lineitem WHERE l_orderkey < 200), a AS (SELECT DISTINCT l_partkey AS key FROM lineitem WHERE l_orderkey BETWEEN 100 AND 300)
-    SELECT key, 'added' AS change FROM a WHERE key NOT IN (SELECT key FROM b) UNION ALL SELECT key, 'removed' FROM b WHERE key NOT IN (SELECT key FROM a)""")
-def pool_changes(spark, sf_dir):
-    x = read(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("key"), "l_orderkey")
-    part = lambda lo, hi: x.where(F.col("l_orderkey").between(lo, hi)).select("key").distinct()
-    return pool.changes(part(0, 199), part(100, 300), "key")

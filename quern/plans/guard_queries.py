@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quern.operators import catalog, guards, metrics, panel, pool, prep, text
@@ -25,7 +24,7 @@ def query(name: str, sql: str | None):
     return add
 
 
-@query("a35_pole_safety", f"WITH {_X}, v AS (SELECT abs(a / (abs(b) + 0.001)) AS v FROM x), q AS (SELECT quantile_cont(v, 0.5) AS q50, quantile_cont(v, 0.95) AS q95, quantile_cont(v, 0.99) AS q99 FROM v) SELECT round(q50, 5) AS q50, round(q95, 5) AS q95, round(q99, 5) AS q99, round(q99 / greatest(q50, 1e-12), 5) AS spread FROM q")
+@query("a35_pole_safety", f"WITH {_X}, v AS (SELECT abs(a / (abs(b) + 0.001)) AS v FROM x), q AS (SELECT quantile_cont(v, 0.5) AS q50, quantile_cont(v, 0.95) AS q95, quantile_cont(v, 0.99) AS q99 FROM v) SELECT round(q50, 5) AS q50, round(q95, 5) AS q95, round(q99, 5) AS q99, round(q99 / greatest(q50, 1e-12), 5) AS spread, round(1/(1 + least(20, q99/greatest(q50, 1)/10) + CASE WHEN q95 > 1e6 THEN 1 ELSE 0 END), 5) AS score FROM q")
 def pole_safety(spark, sf_dir):
     out = guards.pole_safety(_x(spark, sf_dir), F.col("a") / (F.abs("b") + 0.001))
     return out.select(*(r(c, 5) for c in out.columns))
@@ -37,11 +36,6 @@ def redundancy(spark, sf_dir):
     return guards.redundancy(pairs, 0.9).select("redundant", r("max_corr"))
 
 
-@query("a37_feature_reuse", None)
-def feature_reuse(spark, sf_dir):
-    return guards.feature_reuse(pool.score(_x(spark, sf_dir), pool.candidates(["a", "b", "c"]), "t"))
-
-
 @query("a38_structure_penalty", "SELECT p_partkey, round(0.01*greatest(p_size - 24.0, 0) + 0.25*greatest(p_retailprice/100 - 9.5, 0), 6) AS penalty FROM part")
 def structure_penalty(spark, sf_dir):
     row = {"complexity": F.col("p_size").cast("double"), "reuse": F.col("p_retailprice") / 100}
@@ -49,10 +43,38 @@ def structure_penalty(spark, sf_dir):
     return read(spark, sf_dir, "part").select("p_partkey", r(value, name="penalty"))
 
 
-@query("a40_composite_score", "SELECT l_orderkey, l_linenumber, round(l_tax - 0.04*abs(l_discount) - 0.05*0.5 + 0.0007*l_quantity + 0.5*(l_linenumber % 2), 6) AS score FROM lineitem")
+_TERM_ROWS = """terms AS (SELECT p_size AS candidate, p_name AS key, CASE p_partkey % 4 WHEN 0 THEN 'trig' WHEN 1 THEN 'gate_interaction' WHEN 2 THEN 'interaction_basic' ELSE 'other' END AS family, CAST(p_partkey % 7 AS DOUBLE) AS complexity,
+    p_partkey % 3 AS f1, p_partkey % 5 AS f2, CASE WHEN p_partkey % 6 <> 0 THEN (p_partkey % 50) / 50.0 END AS stability FROM part)"""
+
+
+@query("a38_structure_guard", f"""WITH {_TERM_ROWS}, n AS (SELECT *, greatest(0, least(1.25, CASE family WHEN 'trig' THEN 0.75 WHEN 'gate_interaction' THEN 0.55 WHEN 'interaction_basic' THEN 0.7 ELSE 0.35 END - 0.02*greatest(complexity - 4, 0))) AS native FROM terms),
+    c AS (SELECT candidate, sum(complexity) AS cx, count(*) - count(DISTINCT key) AS dup, coalesce(min(stability), 1.0) AS st, avg(native) AS native FROM n GROUP BY 1),
+    u AS (SELECT candidate, f, count(*) AS n FROM (SELECT candidate, key, unnest(list_distinct([f1, f2])) AS f FROM terms) GROUP BY 1, 2), u2 AS (SELECT candidate, sum(greatest(n - 2, 0)) AS reuse FROM u GROUP BY 1),
+    r AS (SELECT candidate, greatest(cx - 24, 0) AS a, greatest(dup, 0) AS b, coalesce(reuse, 0) AS c, greatest(0.12 - st, 0) AS d, native FROM c LEFT JOIN u2 USING (candidate))
+    SELECT candidate, round(0.01*a + 0.5*b + 0.25*c + 0.5*d, 6) AS penalty, round(0.02*native, 6) AS bonus, concat_ws(',', CASE WHEN a > 0 THEN 'complexity_budget' END, CASE WHEN b > 0 THEN 'seat_duplicate' END, CASE WHEN c > 0 THEN 'feature_reuse' END,
+    CASE WHEN d > 0 THEN 'chart_value_instability' END) AS reasons, a > 0 OR b > 0 OR c > 0 OR d > 0 AS triggered FROM r""")
+def structure_guard(spark, sf_dir):
+    k = F.col("p_partkey")
+    family = F.when(k % 4 == 0, "trig").when(k % 4 == 1, "gate_interaction").when(k % 4 == 2, "interaction_basic").otherwise("other")
+    terms = read(spark, sf_dir, "part").select(
+        F.col("p_size").alias("candidate"), F.col("p_name").alias("key"), family.alias("family"), (k % 7).cast("double").alias("complexity"), F.array(k % 3, k % 5).alias("features"),
+        F.when(k % 6 != 0, (k % 50) / 50.0).alias("stability"), F.lit(None).cast("double").alias("pole_safety"),
+    )
+    out = guards.structure_guard(terms)
+    return out.select("candidate", r("penalty"), r("bonus"), F.concat_ws(",", "reasons").alias("reasons"), "triggered")
+
+
+@query("a40_composite_score", """SELECT l_orderkey, l_linenumber, round((l_tax + 1000*greatest(l_discount - 0.09, 0)) + 1000*greatest(l_discount - 0.09, 0) - 0.04*abs(l_discount) + 7e-4*l_quantity - 0.02*l_tax - 0.01/(1 + l_linenumber) - 0.05*(l_discount*10 - 0.5)
+    + 0.5*(l_linenumber % 2) + greatest(l_quantity - 49, 0) + greatest(l_quantity - 45, 0)/10 - 0.02*l_discount, 6) AS score FROM lineitem""")
 def composite(spark, sf_dir):
-    score = guards.composite_score(F.col("l_tax"), F.col("l_discount"), F.col("l_quantity"), F.lit(0.5), F.col("l_linenumber") % 2)
-    return read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", r(score, name="score"))
+    """All eleven parts, of columns that stand for the measures."""
+    c = F.col
+    over = lambda name, limit: F.greatest(c(name) - limit, F.lit(0.0))
+    row = {
+        "objective": c("l_tax"), "violation": over("l_discount", 0.09), "prior_corr": c("l_discount"), "complexity": c("l_quantity"), "alignment": c("l_tax"), "mean_seen": c("l_linenumber"),
+        "accept_rate": c("l_discount") * 10, "duplicates": c("l_linenumber") % 2, "overfit": over("l_quantity", 49), "structure": over("l_quantity", 45) / 10, "bonus": 0.02 * c("l_discount"),
+    }
+    return read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", r(guards.composite_score(row), name="score"))
 
 
 @query("a25_prior_rates", f"WITH {LOG} SELECT event, count(*) AS seen, round(avg(CASE WHEN value > 20 THEN 1.0 ELSE 0.0 END), 6) AS accept_rate, round(avg(value), 5) AS mean_score FROM log GROUP BY 1")
@@ -103,74 +125,101 @@ def branch_metrics(spark, sf_dir):
     return metrics.regression(rows, "y", "yhat", ["bucket"]).select("bucket", r("rmse"), r("mae"))
 
 
-@query("j6_neighbours", """WITH a AS (SELECT DISTINCT o_custkey AS k, o_orderstatus || (o_orderkey % 97) AS v FROM orders WHERE o_custkey < 60),
-    up AS (SELECT x.k AS key, y.k AS other FROM a x JOIN a y ON x.v = y.v AND x.k < y.k), d AS (SELECT y.k AS key, x.k AS other FROM a x JOIN a y ON x.v = y.v AND x.k < y.k)
-    SELECT key, 'up' AS side, count(DISTINCT other) AS n FROM up GROUP BY 1 UNION ALL SELECT key, 'down', count(DISTINCT other) FROM d GROUP BY 1""")
-def neighbours(spark, sf_dir):
-    o = read(spark, sf_dir, "orders").where("o_custkey < 60")
-    value = F.concat("o_orderstatus", (F.col("o_orderkey") % 97).cast("string"))
-    e = o.groupBy(F.col("o_custkey").alias("key")).agg(F.collect_set(value).alias("v"))
-    pairs = catalog.relations(e, "v", "v").where("source < target")
-    side = lambda k, n: pairs.groupBy(F.col(k).alias("key")).agg(F.count("*").alias("n")).select("key", F.lit(n).alias("side"), "n")
-    return side("source", "up").unionByName(side("target", "down"))
-
-
-@query("j6_neighbours_whole", f"""WITH {_HELD}, p AS (SELECT DISTINCT x.key AS low, y.key AS high FROM h x JOIN h y ON x.v = y.v AND x.key < y.key)
+@query("j6_neighbours", f"""WITH {_HELD}, p AS (SELECT DISTINCT x.key AS low, y.key AS high FROM h x JOIN h y ON x.v = y.v AND x.key < y.key)
     SELECT low AS key, 'up' AS side, count(*) AS n FROM p GROUP BY 1 UNION ALL SELECT high, 'down', count(*) FROM p GROUP BY 1""")
-def neighbours_whole(spark, sf_dir):
+def neighbours(spark, sf_dir):
     pairs = catalog.relations(held(spark, sf_dir), "v", "v").where("source < target")
     side = lambda k, n: pairs.groupBy(F.col(k).alias("key")).agg(F.count("*").alias("n")).select("key", F.lit(n).alias("side"), "n")
     return side("source", "up").unionByName(side("target", "down"))
 
 
-@query("j6_missing_companions", "SELECT DISTINCT l_partkey + 7 AS missing FROM lineitem WHERE l_quantity > 49 AND l_partkey + 7 NOT IN (SELECT p_partkey FROM part)")
+@query("j6_missing_companions", "SELECT DISTINCT l_partkey + 7 AS missing FROM lineitem WHERE l_partkey + 7 NOT IN (SELECT p_partkey FROM part)")
 def missing_companions(spark, sf_dir):
-    wanted = read(spark, sf_dir, "lineitem").where("l_quantity > 49").select((F.col("l_partkey") + 7).alias("missing")).distinct()
-    known = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("missing"))
-    return wanted.join(known, "missing", "left_anti")
+    wanted = read(spark, sf_dir, "lineitem").select((F.col("l_partkey") + 7).alias("missing"))
+    return catalog.missing_companions(wanted, read(spark, sf_dir, "part").select(F.col("p_partkey").alias("missing")), "missing")
+
+
+_NET = """net AS (SELECT CAST(p_partkey AS VARCHAR) AS key, CAST(p_partkey AS BIGINT) AS k, p_type AS kind FROM part), roles AS (SELECT key, kind, row_number() OVER (PARTITION BY kind ORDER BY key) AS r FROM net),
+    peers AS (SELECT a.key AS key, b.key AS other, row_number() OVER (PARTITION BY a.key ORDER BY b.key) AS r FROM net a JOIN roles b ON a.kind = b.kind AND b.r <= 13 AND a.key <> b.key),
+    arms AS (SELECT a.key AS key, 'context_up' AS arm, b.key AS other FROM net a JOIN net b ON b.k = a.k + 1 UNION ALL SELECT a.key, 'context_down', b.key FROM net a JOIN net b ON b.k = a.k - 1
+    UNION ALL SELECT a.key, 'artifact_up', b.key FROM net a JOIN net b ON 2*a.k = 3*b.k AND a.k <> b.k UNION ALL SELECT a.key, 'artifact_down', b.key FROM net a JOIN net b ON 3*a.k = 2*b.k AND a.k <> b.k
+    UNION ALL SELECT key, 'role_companion', other FROM peers WHERE r <= 12 UNION ALL SELECT a.key, 'companion', b.key FROM net a JOIN net b ON b.k = a.k + 7
+    UNION ALL SELECT key, 'missing_companion', CAST(k + 7 AS VARCHAR) FROM net WHERE k + 7 NOT IN (SELECT k FROM net) UNION ALL SELECT a.key, 'linked_by', b.key FROM net a JOIN net b ON b.k = a.k - 7)"""
+
+
+def _net(spark, sf_dir):
+    """Entries that need the next one, give themselves, share artifacts with some, and name the seventh on."""
+    text = lambda c, mark="": F.array(F.concat(F.lit(mark), c.cast("string")))
+    k = F.col("p_partkey")
+    return read(spark, sf_dir, "part").select(
+        k.cast("string").alias("key"), F.col("p_type").alias("kind"), text(k + 1).alias("requires"), text(k).alias("provides"), text(2 * k, "A").alias("artifacts_in"), text(3 * k, "a").alias("artifacts_out"), text(k + 7).alias("companions")
+    )
+
+
+@query("j6_arms", f"WITH {_NET} SELECT * FROM arms")
+def arms(spark, sf_dir):
+    return catalog.neighbours(_net(spark, sf_dir))
+
+
+@query("a7_usage_matrix", f"""WITH {_NET}, c AS (SELECT key, arm, count(*) AS n FROM arms GROUP BY 1, 2) SELECT net.key AS key, kind, {', '.join(f"CAST(coalesce(sum(CASE WHEN arm = '{a}' THEN n END), 0) AS BIGINT) AS {a}" for a in ("context_up", "context_down", "artifact_up", "artifact_down", "role_companion", "companion", "missing_companion", "linked_by"))}
+    FROM net LEFT JOIN c ON c.key = net.key GROUP BY 1, 2""")
+def usage_matrix(spark, sf_dir):
+    net = _net(spark, sf_dir)
+    return catalog.usage_matrix(net, catalog.neighbours(net))
 
 
 @query("u4_tag_subset", f"WITH {ENTRIES} SELECT key FROM entries WHERE len(list_filter(['red', 'size7'], lambda w: NOT list_contains(tags, w))) = 0")
 def tag_subset(spark, sf_dir):
-    wanted = F.array(F.lit("red"), F.lit("size7"))
-    return entries(spark, sf_dir).where(F.size(F.array_except(wanted, "tags")) == 0).select("key")
+    return entries(spark, sf_dir).where(catalog.has_all_tags(F.col("tags"), ["red", "size7"])).select("key")
 
 
 @query("u7_recombine", "SELECT count(*) AS n, count(DISTINCT o_orderkey) AS keys FROM orders")
 def recombine(spark, sf_dir):
     out = prep.train_valid_split(read(spark, sf_dir, "orders").select("o_orderkey"), "o_orderkey", 0.3)
-    both = out.where("split = 'train'").unionByName(out.where("split = 'valid'"))
-    return both.agg(F.count("*").alias("n"), F.countDistinct("o_orderkey").alias("keys"))
+    return prep.recombine(out).agg(F.count("*").alias("n"), F.countDistinct("o_orderkey").alias("keys"))
 
 
 @query("u8_scalar_index", f"WITH {ENTRIES} SELECT DISTINCT kind, lower(tag) AS value FROM (SELECT kind, unnest(tags) AS tag FROM entries)")
 def scalar_index(spark, sf_dir):
-    return entries(spark, sf_dir).select("kind", F.explode(F.transform("tags", F.lower)).alias("value")).distinct()
+    return catalog.scalar_index(entries(spark, sf_dir), "kind", "tags")
 
 
 @query("u9_tagged_union", "SELECT 'customer' AS origin, c_nationkey AS nation, count(*) AS n FROM customer GROUP BY 2 UNION ALL SELECT 'supplier', s_nationkey, count(*) FROM supplier GROUP BY 2")
 def tagged_union(spark, sf_dir):
-    side = lambda t, c: read(spark, sf_dir, t).select(F.lit(t).alias("origin"), F.col(c).alias("nation"))
-    return side("customer", "c_nationkey").unionByName(side("supplier", "s_nationkey")).groupBy("origin", "nation").agg(F.count("*").alias("n"))
+    tables = {t: read(spark, sf_dir, t).select(F.col(c).alias("nation")) for t, c in (("customer", "c_nationkey"), ("supplier", "s_nationkey"))}
+    return catalog.tagged_union(tables).groupBy("origin", "nation").agg(F.count("*").alias("n"))
 
 
 @query("x8_category_path", "SELECT n_nationkey, trim(r_name || '>' || n_name || '>', '>') AS path FROM nation JOIN region ON n_regionkey = r_regionkey")
 def category_path(spark, sf_dir):
     n, g = read(spark, sf_dir, "nation"), read(spark, sf_dir, "region")
     joined = n.join(g, n["n_regionkey"] == g["r_regionkey"])
-    return joined.select("n_nationkey", F.expr("trim(BOTH '>' FROM concat_ws('>', r_name, n_name, ''))").alias("path"))
+    return joined.select("n_nationkey", text.category_path(F.col("r_name"), F.col("n_name"), F.lit("")).alias("path"))
 
 
 @query("x12_deep_links", "SELECT p_partkey, '/catalog?q=' || replace(replace(p_name, ' ', '+'), '#', '%23') || '&brand=' || replace(p_brand, '#', '%23') AS url FROM part")
 def deep_links(spark, sf_dir):
-    url = F.concat(F.lit("/catalog?q="), F.url_encode("p_name"), F.lit("&brand="), F.url_encode("p_brand"))
+    url = text.deep_link("/catalog", {"q": F.col("p_name"), "brand": F.col("p_brand")})
     return read(spark, sf_dir, "part").select("p_partkey", url.alias("url"))
 
 
+@query("x13_link_parameters", "SELECT p_partkey, p_name AS q, p_brand AS brand, lower(p_type) AS kind FROM part")
+def link_parameters(spark, sf_dir):
+    """Links with two parameters and a field filter, parsed back."""
+    url = text.deep_link("/catalog", {"q": F.col("p_name"), "brand": F.col("p_brand"), "field.Kind": F.lower("p_type"), "empty": F.lit("")})
+    rows = read(spark, sf_dir, "part").select("p_partkey", text.query_parameters(url).alias("m"))
+    return rows.select("p_partkey", F.col("m")["q"].alias("q"), F.col("m")["brand"].alias("brand"), text.field_filters(F.col("m"))["kind"].alias("kind"))
+
+
+@query("x14_tag_lists", "SELECT p_partkey, lower(p_brand) || '|' || lower(p_type) AS tags FROM part")
+def tag_lists(spark, sf_dir):
+    tags = text.tag_list(F.concat(F.lit(" "), "p_brand", F.lit(",,"), F.upper("p_brand"), F.lit(" , "), "p_type"))
+    return read(spark, sf_dir, "part").select("p_partkey", F.array_join(tags, "|").alias("tags"))
+
+
 @query("x18_target_codec", "SELECT l_orderkey, l_linenumber, CAST(greatest(0, least(2, round_even(l_quantity / 20, 0))) AS INT) AS code FROM lineitem")
 def target_codec(spark, sf_dir):
-    code = F.greatest(F.lit(0.0), F.least(F.lit(2.0), F.bround(F.col("l_quantity") / 20, 0))).cast("int")
-    return read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", code.alias("code"))
+    return read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", prep.target_code(F.col("l_quantity") / 20, 3).alias("code"))
 
 
 @query("x19_json_payloads", "SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
@@ -178,7 +227,7 @@ def json_payloads(spark, sf_dir):
     return read(spark, sf_dir, "events").select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k"))
 
 
-@query("x16_fingerprints", None)
+@query("x16_fingerprints", """SELECT p_partkey, sha256('{"p_name":"' || p_name || '","p_size":' || p_size || '}') AS fingerprint FROM part""")
 def fingerprints(spark, sf_dir):
     return read(spark, sf_dir, "part").select("p_partkey", text.fingerprint(F.col("p_name"), F.col("p_size")).alias("fingerprint"))
 
@@ -186,29 +235,19 @@ def fingerprints(spark, sf_dir):
 @query("e4_drop_incomplete", "SELECT l_orderkey, l_linenumber, round(CASE WHEN l_tax = 0 THEN NULL ELSE l_discount / l_tax END, 6) AS ratio FROM lineitem WHERE l_tax <> 0")
 def drop_incomplete(spark, sf_dir):
     ratio = F.try_divide("l_discount", "l_tax")
-    return read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", r(ratio, name="ratio")).dropna("any")
+    return read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", r(ratio, name="ratio")).transform(prep.drop_incomplete)
 
 
 @query("f15_binary_like", "SELECT bool_and(l_linenumber IN (0, 1)) AS linenumber, bool_and((l_orderkey % 2) IN (0, 1)) AS parity FROM lineitem")
 def binary_like(spark, sf_dir):
-    like = lambda c: F.bool_and((F.abs(c) <= 1e-9) | (F.abs(c - 1) <= 1e-9))
-    return read(spark, sf_dir, "lineitem").agg(like(F.col("l_linenumber")).alias("linenumber"), like(F.col("l_orderkey") % 2).alias("parity"))
+    return prep.binary_like(read(spark, sf_dir, "lineitem"), {"linenumber": F.col("l_linenumber"), "parity": F.col("l_orderkey") % 2})
 
 
-@query("w25_drawdown", """WITH s AS (SELECT o_custkey, o_orderkey, sum(ln(1 + (o_totalprice - 250000) / 1e7)) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS le FROM orders WHERE o_custkey < 300)
+@query("w25_drawdown", """WITH s AS (SELECT o_custkey, o_orderkey, sum(ln(1 + (o_totalprice - 250000) / 1e7)) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS le FROM orders)
     SELECT o_custkey, o_orderkey, round(exp(le - max(le) OVER (PARTITION BY o_custkey ORDER BY o_orderkey)) - 1, 6) AS drawdown FROM s""")
 def drawdown(spark, sf_dir):
-    w = Window.partitionBy("o_custkey").orderBy("o_orderkey")
-    rows = read(spark, sf_dir, "orders").where("o_custkey < 300").withColumn("le", F.sum(F.log1p((F.col("o_totalprice") - 250000) / 1e7)).over(w))
-    return rows.select("o_custkey", "o_orderkey", r(F.exp(F.col("le") - F.max("le").over(w)) - 1, name="drawdown"))
-
-
-@query("w25_drawdown_whole", """WITH s AS (SELECT o_custkey, o_orderkey, sum(ln(1 + (o_totalprice - 250000) / 1e7)) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS le FROM orders)
-    SELECT o_custkey, o_orderkey, round(exp(le - max(le) OVER (PARTITION BY o_custkey ORDER BY o_orderkey)) - 1, 6) AS drawdown FROM s""")
-def drawdown_whole(spark, sf_dir):
-    w = Window.partitionBy("o_custkey").orderBy("o_orderkey")
-    rows = read(spark, sf_dir, "orders").withColumn("le", F.sum(F.log1p((F.col("o_totalprice") - 250000) / 1e7)).over(w))
-    return rows.select("o_custkey", "o_orderkey", r(F.exp(F.col("le") - F.max("le").over(w)) - 1, name="drawdown"))
+    rows = panel.drawdown(read(spark, sf_dir, "orders"), (F.col("o_totalprice") - 250000) / 1e7, "o_orderkey", ["o_custkey"])
+    return rows.select("o_custkey", "o_orderkey", r("drawdown"))
 
 
 @query("q32_capabilities", "WITH c AS (SELECT DISTINCT o_orderpriority AS p, o_orderstatus AS s FROM orders WHERE o_custkey % 3 = 0) SELECT c_custkey, len(list_filter(['F', 'O', 'P'], lambda v: NOT list_contains(coalesce(h, []), v))) AS missing FROM customer LEFT JOIN (SELECT o_custkey, list(DISTINCT o_orderstatus) AS h FROM orders GROUP BY 1) ON o_custkey = c_custkey")

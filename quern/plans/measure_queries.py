@@ -89,12 +89,29 @@ def forecast(spark, sf_dir):
     return _rounded(metrics.forecast(rows, "y", "p"))
 
 
+@query("a16_mase", f"""WITH {PREDICTIONS}, e AS (SELECT l_returnflag, avg(abs(yhat-y)) AS mae FROM pred GROUP BY 1) SELECT l_returnflag, CASE WHEN l_returnflag = 'A' THEN round(mae / 2, 6) ELSE CAST('inf' AS DOUBLE) END AS mase FROM e""")
+def mase(spark, sf_dir):
+    """In units of a naive error of 2 for one group and of 0 for the others."""
+    scale = F.when(F.col("l_returnflag") == "A", 2.0).otherwise(0.0)
+    return metrics.forecast(predictions(spark, sf_dir), "y", "yhat", scale, ["l_returnflag"]).select("l_returnflag", r("mase"))
+
+
 @query("a17_naive_scale", f"WITH {FLAG_DAYS}, s AS (SELECT series, abs(y - lag(y, 7) OVER (PARTITION BY series ORDER BY d)) AS m FROM days) SELECT series, round(avg(m), 6) AS scale FROM s GROUP BY 1")
 def naive_scale(spark, sf_dir):
     return metrics.naive_scale(flag_days(spark, sf_dir), "y", "d", ["series"], 7).select("series", r("scale"))
 
 
-@query("a18_gaussian", f"""WITH {PREDICTIONS} SELECT round(avg(0.5*((y-yhat)/10)*((y-yhat)/10) + ln(10) + 0.9189385332046727), 6) AS nll, round(sqrt(avg((y-yhat)*(y-yhat))), 6) AS rmse, round(avg(abs(y-yhat)), 6) AS mae FROM pred""")
+def _sql_erf(x: str) -> str:
+    """The series of the error function, term by term."""
+    total = "1.0"
+    for n in range(110, 0, -1):
+        total = f"(1 + 2*m*m/{2 * n + 1}.0*{total})"
+    return f"(SELECT sign(v)*least(2/sqrt(pi())*m*exp(-m*m)*{total}, 1.0) FROM (SELECT v, least(abs(v), 6.0) AS m FROM (SELECT {x} AS v)))"
+
+
+@query("a18_gaussian", f"""WITH {PREDICTIONS}, z AS (SELECT y, yhat, (y-yhat)/10 AS z FROM pred), e AS (SELECT *, {_sql_erf('z/sqrt(2.0)')} AS e FROM z)
+    SELECT round(avg(0.5*z*z + ln(10) + 0.9189385332046727), 6) AS nll, round(avg(10*(z*e + 2*exp(-0.5*z*z)/sqrt(2*pi()) - 1/sqrt(pi()))), 6) AS crps, round(avg(CASE WHEN abs(y-yhat) <= 1.6448536269514722*10 THEN 1.0 ELSE 0.0 END), 6) AS picp,
+    round(sqrt(avg((y-yhat)*(y-yhat))), 6) AS rmse, round(avg(abs(y-yhat)), 6) AS mae FROM e""")
 def gaussian(spark, sf_dir):
     return _rounded(metrics.gaussian(predictions(spark, sf_dir).withColumn("s", F.lit(10.0)), "y", "yhat", "s"))
 
@@ -182,10 +199,59 @@ def autoregressive(spark, sf_dir):
     return timeseries.autoregressive(flag_days(spark, sf_dir), "y", "d", ["series"], [1], 2).select("series", "step", r("yhat", 5))
 
 
+def _wide(spark, sf_dir):
+    flags = ["A", "N", "R"]
+    return flag_days(spark, sf_dir).groupBy("d").pivot("series", flags).agg(F.first("y"))
+
+
 @query("w32_granger", None)
 def granger(spark, sf_dir):
-    wide = flag_days(spark, sf_dir).groupBy("d").pivot("series", ["A", "R"]).agg(F.first("y")).dropna()
-    return timeseries.granger_f(wide, "A", "R", "d", 2).select("lag", r("f_statistic", 4))
+    """Every ordered pair of the series that run side by side, at every lag up to 3."""
+    out = timeseries.granger(_wide(spark, sf_dir), [("A", "R"), ("R", "A")], "d", 3)
+    return out.select("cause", "effect", "lag", r("f_statistic", 4), r("p_value", 6))
+
+
+@query("w32_granger_best", None)
+def granger_best(spark, sf_dir):
+    tests = timeseries.granger(_wide(spark, sf_dir), [("A", "R"), ("R", "A")], "d", 3)
+    return timeseries.best_lags(tests, ["cause", "effect"]).select("cause", "effect", "lag", r("f_statistic", 4), r("p_value", 6), "significant")
+
+
+_AHEAD = f"""{FLAG_DAYS}, c0 AS (SELECT series, d, y, row_number() OVER (PARTITION BY series ORDER BY d DESC) AS b FROM days)"""
+
+
+@query("w16_holdout", f"""WITH {_AHEAD}, h AS (SELECT series, d, y FROM c0 WHERE b > 14), l AS (SELECT series, arg_max(y, d) AS yhat FROM h GROUP BY 1), s AS (SELECT series, avg(abs(y - p)) AS scale FROM (SELECT series, y, lag(y, 7) {"OVER (PARTITION BY series ORDER BY d)"} AS p FROM h) GROUP BY 1)
+    SELECT series, round(sqrt(avg((yhat-y)*(yhat-y))), 5) AS rmse, round(avg(yhat-y), 5) AS bias, round(avg(abs(yhat-y)) / max(scale), 5) AS mase FROM c0 JOIN l USING (series) JOIN s USING (series) WHERE b <= 14 GROUP BY 1""")
+def holdout(spark, sf_dir):
+    """The last value before the tail, repeated over it."""
+    def last(history, horizon):
+        end = history.groupBy("series").agg(F.max_by("y", "d").alias("yhat"))
+        return end.select("series", F.explode(F.sequence(F.lit(1), F.lit(horizon))).alias("step"), "yhat")
+
+    out = timeseries.holdout(flag_days(spark, sf_dir), "y", "d", ["series"], 14, last, 7)
+    return out.select("series", r("rmse", 5), r("bias", 5), r("mase", 5))
+
+
+_DIFFS = f"""{FLAG_DAYS}, z0 AS (SELECT series, d, y, y - lag(y) OVER (PARTITION BY series ORDER BY d) AS z FROM days), z AS (SELECT series, d, y, z, lag(z) OVER (PARTITION BY series ORDER BY d) AS l FROM z0 WHERE z IS NOT NULL),
+    f AS (SELECT series, regr_intercept(z, l) AS a, regr_slope(z, l) AS b FROM z WHERE l IS NOT NULL GROUP BY 1), e AS (SELECT series, arg_max(y, d) AS y, arg_max(z, d) AS z FROM z GROUP BY 1),
+    p AS (SELECT series, y, a + b*z AS z1, a + b*(a + b*z) AS z2 FROM e JOIN f USING (series))"""
+
+
+@query("w21_arima", f"WITH {_DIFFS} SELECT series, 1 AS step, round(y + z1, 4) AS yhat FROM p UNION ALL SELECT series, 2, round(y + z1 + z2, 4) FROM p")
+def arima(spark, sf_dir):
+    out = timeseries.arima(flag_days(spark, sf_dir), "y", "d", ["series"], 2, (1, 1, 0))
+    return out.select("series", "step", r("yhat", 4))
+
+
+@query("w20_lag_estimator", f"""WITH {FLAG_DAYS}, s AS (SELECT series, d, y, lead(y) OVER (PARTITION BY series ORDER BY d) AS t FROM days), f AS (SELECT regr_intercept(t, y) AS a, regr_slope(t, y) AS b FROM s),
+    e AS (SELECT series, arg_max(y, d) AS y FROM days GROUP BY 1) SELECT series, 1 AS step, round(a + b*y, 4) AS yhat FROM e, f UNION ALL SELECT series, 2, round(a + b*(a + b*y), 4) FROM e, f""")
+def lag_estimator(spark, sf_dir):
+    """One linear regression over all series."""
+    from pyspark.ml.regression import LinearRegression
+
+    model = timeseries.LagEstimator(LinearRegression(regParam=0.0, solver="normal"), "y", "d", ["series"], [1])
+    days = flag_days(spark, sf_dir)
+    return model.fit(days).forecast(days, 2).select("series", "step", r("yhat", 4))
 
 
 _P = "OVER (PARTITION BY brand ORDER BY d)"
@@ -199,10 +265,42 @@ def _features(spark, sf_dir):
     return panel.features(brand_days(spark, sf_dir), "d", "brand", "ret")
 
 
-@query("w10_panel_features", f"WITH {_FEATURES} SELECT d, brand, round(target, 5) AS target, round(ret_1, 5) AS ret_1, round(mom_short, 5) AS mom_short, round(mom_long, 5) AS mom_long, round(vol_long, 5) AS vol_long, round(market_ret, 5) AS market_ret, round(rel_mom, 5) AS rel_mom FROM f")
+# Means of values of seven decimals have nine at most, so nothing is a tie after this shift.
+_OFF = 3e-11
+_MEASURES = ("target", "ret_1", "mom_short", "mom_long", "vol_long", "market_ret", "rel_mom")
+
+
+@query("w10_panel_features", f"WITH {_FEATURES} SELECT d, brand, {', '.join(f'round({c} + {_OFF}, 5) AS {c}' for c in _MEASURES)} FROM f")
 def panel_features(spark, sf_dir):
-    f = _features(spark, sf_dir)
-    return f.select("d", "brand", *(r(c, 5) for c in ("target", "ret_1", "mom_short", "mom_long", "vol_long", "market_ret", "rel_mom")))
+    return _features(spark, sf_dir).select("d", "brand", *(r(F.col(c) + _OFF, 5, c) for c in _MEASURES))
+
+
+_FULL = f"""{BRAND_DAYS}, m0 AS (SELECT d, avg(ret) AS market_ret_1 FROM panel GROUP BY 1), mk AS (SELECT d, market_ret_1, avg(market_ret_1) OVER (ORDER BY d ROWS 4 PRECEDING) AS m5, avg(market_ret_1) OVER (ORDER BY d ROWS 19 PRECEDING) AS m20, row_number() OVER (ORDER BY d) AS rd FROM m0),
+    f0 AS (SELECT d, brand, lead(ret) {_P} AS target, ret AS ret_lag_1, lag(ret) {_P} AS ret_lag_2, avg(ret) OVER (PARTITION BY brand ORDER BY d ROWS 4 PRECEDING) AS mom_5, avg(ret) OVER (PARTITION BY brand ORDER BY d ROWS 19 PRECEDING) AS mom_20,
+    stddev_samp(ret) OVER (PARTITION BY brand ORDER BY d ROWS 19 PRECEDING) AS vol_20, row_number() {_P} AS rn FROM panel),
+    f AS (SELECT d, brand, target, ret_lag_1, ret_lag_2, mom_5, mom_20, vol_20, market_ret_1, m5 AS market_mom_5, mom_20 - m20 AS relative_mom_20 FROM f0 JOIN mk USING (d) WHERE rn >= 20 AND rd >= 20 AND target IS NOT NULL)"""
+_FULL_MEASURES = ("target", "ret_lag_1", "ret_lag_2", "mom_5", "mom_20", "vol_20", "market_ret_1", "market_mom_5", "relative_mom_20")
+
+
+@query("w11_panel_features_full", f"WITH {_FULL} SELECT d, brand, {', '.join(f'round({c} + {_OFF}, 5) AS {c}' for c in _FULL_MEASURES)}, CAST(dense_rank() OVER (ORDER BY brand) - 1 AS DOUBLE) AS ticker_code FROM f")
+def panel_features_full(spark, sf_dir):
+    f = panel.features_full(brand_days(spark, sf_dir), "d", "brand", "ret")
+    return f.select("d", "brand", *(r(F.col(c) + _OFF, 5, c) for c in _FULL_MEASURES), "ticker_code")
+
+
+_RUN = "runs AS (SELECT l_suppkey AS fold, avg(l_tax) AS test_rmse, avg(l_discount) AS direction_accuracy, CASE WHEN l_suppkey % 4 <> 0 THEN avg(l_quantity)/100 END AS rank_ic, avg(l_linenumber) AS turnover FROM lineitem GROUP BY 1)"
+
+
+@query("a41_run_summary", f"""WITH {_RUN} SELECT round(avg(test_rmse), 6) AS test_rmse_mean, round(avg(direction_accuracy), 6) AS direction_accuracy_mean, round(avg(coalesce(rank_ic, 0)), 6) AS rank_ic_mean, 0.0 AS hit_rate_mean, 0.0 AS net_sharpe_mean, 0.0 AS max_drawdown_abs_mean,
+    round(avg(turnover), 6) AS turnover_mean, round(stddev_pop(coalesce(rank_ic, 0)), 6) AS rank_ic_std, count(*) AS folds FROM runs""")
+def run_summary(spark, sf_dir):
+    """Folds that lack three of the seven metrics, and some of them a fourth."""
+    rows = read(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("fold")).agg(
+        F.avg("l_tax").alias("test_rmse"), F.avg("l_discount").alias("direction_accuracy"), (F.avg("l_quantity") / 100).alias("rank_ic"), F.avg("l_linenumber").alias("turnover")
+    )
+    rows = rows.withColumn("rank_ic", F.when(F.col("fold") % 4 != 0, F.col("rank_ic")))
+    rows = rows.withColumns({n: F.lit(None).cast("double") for n in ("hit_rate", "net_sharpe", "max_drawdown_abs")})
+    return _rounded(panel.run_summary(rows), "folds")
 
 
 _RANKS = "(rank() OVER (PARTITION BY d ORDER BY {0}) + (count(*) OVER (PARTITION BY d, {0}) - 1) / 2)"
@@ -278,12 +376,12 @@ def fold_panel(spark, sf_dir):
 
 @query("p13_tail", f"WITH {FLAG_DAYS}, s AS (SELECT series, d, y, row_number() OVER (PARTITION BY series ORDER BY d DESC) AS b FROM days) SELECT series, d, round(y, 6) AS y FROM s WHERE b <= 14")
 def tail(spark, sf_dir):
-    back = F.row_number().over(Window.partitionBy("series").orderBy(F.desc("d")))
-    return flag_days(spark, sf_dir).withColumn("b", back).where("b <= 14").select("series", "d", r("y"))
+    return timeseries.tail(flag_days(spark, sf_dir), "d", ["series"], 14).select("series", "d", r("y"))
 
 
-@query("u1_wide_to_long", f"""WITH {BRAND_DAYS}, five AS (SELECT * FROM panel WHERE brand IN ('Brand#1', 'Brand#2', 'Brand#3', 'Brand#4', 'Brand#5') AND isfinite(ret)),
-    whole AS (SELECT d FROM five GROUP BY 1 HAVING count(*) = 5) SELECT brand AS ticker, count(*) AS n FROM five WHERE d IN (SELECT d FROM whole) GROUP BY 1""")
+@query("u1_wide_to_long", f"""WITH {BRAND_DAYS}, fine AS (SELECT substr(d, 1, 4) AS d, brand, sum(ret) AS ret FROM panel GROUP BY 1, 2 HAVING isfinite(sum(ret))), whole AS (SELECT d FROM fine GROUP BY 1 HAVING count(*) = 25)
+    SELECT brand AS ticker, count(*) AS n, round(sum(ret), 4) AS total FROM fine WHERE d IN (SELECT d FROM whole) GROUP BY 1""")
 def wide_to_long(spark, sf_dir):
-    wide = brand_days(spark, sf_dir).groupBy("d").pivot("brand", [f"Brand#{i}" for i in range(1, 6)]).agg(F.first("ret"))
-    return panel.wide_to_long(wide, "d", wide.columns[1:]).groupBy("ticker").agg(F.count("*").alias("n"))
+    years = brand_days(spark, sf_dir).groupBy(F.substring("d", 1, 4).alias("d"))
+    wide = years.pivot("brand", [f"Brand#{i}" for i in range(1, 26)]).agg(F.sum("ret"))
+    return panel.wide_to_long(wide, "d", wide.columns[1:]).groupBy("ticker").agg(F.count("*").alias("n"), r(F.sum("ret"), 4, "total"))

@@ -17,20 +17,23 @@ def r(column, digits: int = 6, name: str | None = None):
 
 
 def brand_days(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The panel: revenue by day and brand, in thousands."""
+    """The panel: revenue by day and brand, in thousands. Summed in whole ten-thousandths, so in any order alike."""
     items, parts = read(spark, sf_dir, "lineitem"), read(spark, sf_dir, "part")
     joined = items.join(parts, items["l_partkey"] == parts["p_partkey"])
-    return joined.groupBy(F.date_format("l_shipdate", "yyyy-MM-dd").alias("d"), F.col("p_brand").alias("brand")).agg((F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))) / 1000).alias("ret"))
+    revenue = F.round(F.col("l_extendedprice") * (1 - F.col("l_discount")) * 10000).cast("long")
+    daily = joined.groupBy(F.to_date("l_shipdate").alias("day"), F.col("p_brand").alias("brand")).agg(F.sum(revenue).alias("n"))
+    return daily.select(F.date_format("day", "yyyy-MM-dd").alias("d"), "brand", (F.col("n") / 1e7).alias("ret"))
 
 
 BRAND_DAYS = """panel AS (SELECT strftime(l_shipdate, '%Y-%m-%d') AS d, p_brand AS brand,
-    sum(l_extendedprice * (1 - l_discount)) / 1000 AS ret FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1, 2)"""
+    CAST(sum(CAST(round(l_extendedprice * (1 - l_discount) * 10000) AS BIGINT)) AS DOUBLE) / 1e7 AS ret FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1, 2)"""
 
 
 def flag_days(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The series: mean quantity by day for each return flag."""
     items = read(spark, sf_dir, "lineitem")
-    return items.groupBy(F.col("l_returnflag").alias("series"), F.date_format("l_shipdate", "yyyy-MM-dd").alias("d")).agg(F.avg("l_quantity").alias("y"))
+    daily = items.groupBy(F.col("l_returnflag").alias("series"), F.to_date("l_shipdate").alias("day")).agg(F.avg("l_quantity").alias("y"))
+    return daily.select("series", F.date_format("day", "yyyy-MM-dd").alias("d"), "y")
 
 
 FLAG_DAYS = "days AS (SELECT l_returnflag AS series, strftime(l_shipdate, '%Y-%m-%d') AS d, avg(l_quantity) AS y FROM lineitem GROUP BY 1, 2)"
