@@ -13,7 +13,9 @@ run of tokens at a time, so that a character split over tokens is held back unti
 Defined cases: a null or empty text has no tokens and decodes to the empty text. Bytes that are
 no UTF-8, possible only in ids not made by ``encode``, are kept as lone surrogates by
 ``stream_text`` and as they are by ``stream_bytes``. doc_id may be null or repeated; each row
-stands for itself. Other columns are dropped by ``encode`` and ``decode``.
+stands for itself. Other columns are dropped by ``encode`` and ``decode``. An empty table gives an empty result.
+A batch holds about ``BATCH_BYTES`` of texts, or one longer text; what is remembered of pieces, steps and pairs of tokens is
+bounded (``_MOST_PIECES``, ``_MOST_STEPS``, ``_MOST_FITS``), and a longer piece is followed without being remembered.
 """
 
 from __future__ import annotations

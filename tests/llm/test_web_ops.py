@@ -115,6 +115,24 @@ def test_url_rules(spark):
     assert url_filter.judge(pages(spark, [])).count() == 0
 
 
+def test_url_rules_on_long_and_odd_urls(spark):
+    """Urls of a hundred thousand characters, ties and repeated rows, against a plain loop over the rules."""
+    deep = "x" * 100_000
+    urls = [f"http://a.example.com/en/{deep}", f"http://{deep}.net/de/1", "http://example.com/en/70", "http://notexample.com/en/7", "://net/de/", "http://net", "a://b://c/", "http://casino.org/", "http://EXAMPLE.net/de/8?/en/"] * 2
+    got = url_filter.judge(pages(spark, [(i, u, "") for i, u in enumerate(urls)])).collect()
+    assert len(got) == len(urls)
+    for r in got:
+        rest = urls[r.page_id].partition("://")[2]
+        cut = min((k for k in map(rest.find, "?#") if k >= 0), default=len(rest))
+        host, slash, path = rest[:cut].partition("/")
+        host, path = host.lower(), slash + path
+        fits = [u for u in url_filter.RULES if (host == u.host or host.endswith("." + u.host)) and path.startswith(u.path)]
+        best = max(fits, key=lambda u: (len(u.name), u.verdict == "block"), default=None)
+        bad = any(g.split("/")[0].strip("*") in host for g in url_filter.BLOCKED_GLOBS)
+        assert (r.host, r.path) == (host, path)
+        assert (r.rule, r.verdict) == ((best.name, best.verdict) if best else (None, "block" if bad else "allow"))
+
+
 @pytest.mark.parametrize("glob,text,fits", [("*.a/**", b".a/", True), ("*.a/**", b"x.b.a/c/d", True), ("*.a/**", b"x/y.a/c", False), ("a*c", b"abbc", True), ("a*c", b"ab/c", False), ("**", b"", True), ("*é", "xé".encode(), True)])
 def test_shift_and(glob, text, fits):
     assert url_filter.ShiftAnd([glob, "zz"]).fits([text, b"zz"]).tolist() == [[fits, False], [glob == "**", True]]
