@@ -36,8 +36,8 @@ from pyspark.sql import functions as F
 from quern.runtime import bounded_batches
 
 MAX_VOCABULARY_BYTES = 64 << 20
-_MOST_STEPS = 100_000
-_MOST_FITS = 500_000
+_MOST_STEPS = 20_000
+_MOST_FITS = 250_000
 _MOST_PIECES = 250_000
 _NONE = 1 << 60
 _RUN = 4096

@@ -18,7 +18,7 @@ SPACE[[32, 9, 10, 11, 12, 13]] = True
 _TABLE = np.random.Generator(np.random.PCG64(20240607)).integers(1, 2**64 - 1, size=256, dtype=np.uint64)
 _TABLE[SPACE] = 0
 _BASE = 0x9E3779B97F4A7C15
-_SLICE = 1 << 20
+_SLICE = 1 << 18
 
 
 def powers(base: int, n: int) -> np.ndarray:
@@ -38,7 +38,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def _slices(blob: bytes) -> Iterator[tuple[int, int]]:
-    """Pieces of about 1 MB that end behind a space, so that no word is cut."""
+    """Pieces of about 256 KB that end behind a space, so that no word is cut."""
     at, end = 0, len(blob)
     while at < end:
         to = at + _SLICE
@@ -116,7 +116,7 @@ def utf8(column: pa.Array) -> list[bytes | None]:
     return column.cast(pa.binary()).to_pylist()
 
 
-def groups(texts: list[bytes | None], most: int = 1 << 20) -> Iterator[tuple[int, int]]:
+def groups(texts: list[bytes | None], most: int = 1 << 18) -> Iterator[tuple[int, int]]:
     """Ranges of ``texts`` of about ``most`` bytes; a longer text is a range of its own."""
     a, size = 0, 0
     for i, t in enumerate(texts):
