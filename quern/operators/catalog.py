@@ -227,3 +227,25 @@ def bigram_scores(items: DataFrame, text: Column, query: str, limit: int, key: s
     for g in grams:
         total = total + F.contains(text, F.lit(g)).cast("int")
     return items.withColumn("score", total).where("score > 0").orderBy(F.desc("score"), key).limit(limit)
+
+
+def in_profile(tags: Column, others: list[str]) -> Column:
+    """Whether an entry belongs to the core: it has none of the tags of other profiles."""
+    return ~F.coalesce(F.arrays_overlap(tags, F.array(*map(F.lit, others))), F.lit(False))
+
+
+def require_profile(entries: DataFrame, profile: str) -> DataFrame:
+    """The entries of a profile; KeyError if it has none."""
+    found = entries.where(F.col("profile") == profile)
+    if found.isEmpty():
+        raise KeyError(profile)
+    return found
+
+
+def stages(entries: DataFrame, kinds: dict[str, str], order: list[str], default: str) -> DataFrame:
+    """stage, its place, the stage after it, and its number of entries: a flow in a line. Kinds without a stage are ``default``."""
+    stage = F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for kv in kinds.items() for x in kv)), F.lower("kind")), F.lit(default))
+    listed = F.array(*map(F.lit, order))
+    counts = entries.groupBy(stage.alias("stage")).agg(F.count("*").alias("n"))
+    place = F.array_position(listed, F.col("stage")).cast("int")
+    return counts.select("stage", place.alias("place"), F.get(listed, place).alias("next"), "n")

@@ -156,3 +156,54 @@ def overfit_guard(df: DataFrame, train: str, valid: str, max_gap: float = 0.25,
     ratio = F.try_divide(F.col(valid), F.greatest(F.abs(train), F.lit(1e-12)))
     over = F.greatest(gap - max_gap, F.lit(0.0)) + (F.greatest(ratio - max_ratio, F.lit(0.0)) if lower_is_better else F.lit(0.0))
     return df.select("*", gap.alias("gap"), ratio.alias("ratio"), over.alias("penalty"), (over <= 0).alias("passes"))
+
+
+def lane_blend(df: DataFrame, lanes: dict[str, float], name: str = "prediction") -> DataFrame:
+    """Weighted mean of lanes by the sizes of their weights; the plain mean if all are 0."""
+    total = sum(map(abs, lanes.values()))
+    weights = {c: w / total for c, w in lanes.items()} if total > 0 else dict.fromkeys(lanes, 1 / max(1, len(lanes)))
+    value = F.lit(0.0)
+    for column, weight in weights.items():
+        value = value + F.lit(float(weight)) * F.col(column)
+    return df.withColumn(name, value)
+
+
+def rank_agreement(left: DataFrame, right: DataFrame, key: str, score: str, top: int) -> DataFrame:
+    """Of the ``top`` keys of each of two rankings: how many are shared, and the share. Ties go by key."""
+    best = lambda df: df.orderBy(F.desc(F.abs(score)), key).limit(top).select(key)
+    return best(left).join(best(right), key).agg(F.count("*").alias("shared"), (F.count("*") / top).alias("agreement"))
+
+
+def build(df: DataFrame, columns: list[str], target: str, budget: dict[str, int] | None = None, cap: int | None = None, pair_features: int | None = None) -> DataFrame:
+    """A pool from scratch: unary candidates are scored, the features of the best give the pairs, and all are
+    thinned out by family budget and cap.
+
+    Two passes over the data, one for each generation; the pool itself is a small table.
+    """
+    first = score(df, candidates(columns, pairs=False), target)
+    strength = first.select(F.get("features", F.lit(0)).alias("f"), F.abs("prior_corr").alias("c")).groupBy("f").agg(F.max("c").alias("c"))
+    chosen = [r.f for r in strength.orderBy(F.desc("c"), "f").limit(pair_features or len(columns)).collect()]
+    keep = {columns[i] for i in chosen}
+    pairs = [t for t in candidates(columns) if len(t[3]) == 2 and {columns[i] for i in t[3]} <= keep]
+    every = first.unionByName(score(df, pairs, target)) if pairs else first
+    every = dedupe(every, "name", "complexity")
+    out = family_quota(every, budget) if budget else every
+    return top_by_corr(out, cap) if cap else out
+
+
+def update(df: DataFrame, now: DataFrame, columns: list[str], residual: Column, features: int = 3, threshold: float = 0.0, redundancy: float = 0.995, cap: int = 50) -> tuple[DataFrame, DataFrame]:
+    """The pool after a round: terms over the features that speak most to the residual are added, weak and redundant
+    ones go, the best ``cap`` stay. Also what was added and removed."""
+    from quern.operators.guards import signals
+
+    strong = [r.feature for r in signals(df, residual, columns).limit(features).collect()]
+    named = df.withColumn("_residual", residual)
+    known = {r.name for r in now.select("name").collect()}
+    every = {t[0]: t for t in candidates(columns, initial=False)}
+    fresh = [t for t in every.values() if t[0] not in known and all(columns[i] in strong for i in t[3])]
+    pool_ = now if not fresh else now.unionByName(score(named, fresh, "_residual"))
+    pool_ = min_corr(pool_, threshold)
+    names = [r.name for r in pool_.select("name").collect() if r.name in every]
+    pairs = correlation_pairs(df, {n: finite(every[n][4]) for n in names}, redundancy)
+    out = top_by_corr(prune_redundant(pool_, pairs, redundancy), cap)
+    return out, changes(now, out, "name")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quern.functions.guards import finite
+from quern.functions.guards import finite, isclose
 
 
 def split_target(df: DataFrame, target: str | None = None) -> tuple[DataFrame, list[str], str]:
@@ -298,3 +298,75 @@ class BatchSchedule:
         if state["epoch"] < 0 or not 0 <= state["cursor"] < self._last():
             raise ValueError("invalid cursor")
         self.epoch, self.cursor = state["epoch"], state["cursor"]
+
+
+#: Comparisons by sign; equality is within floating-point tolerance.
+COMPARE = {
+    ">": lambda c, v: c > v,
+    ">=": lambda c, v: c >= v,
+    "<": lambda c, v: c < v,
+    "<=": lambda c, v: c <= v,
+    "==": lambda c, v: isclose(c, F.lit(float(v))),
+    "!=": lambda c, v: ~isclose(c, F.lit(float(v))),
+}
+
+
+def predicate(spec: dict, column: Column, key: Column | None = None) -> Column:
+    """A branch's condition: kind all, indices (of ``key``), threshold (op, value) or range (low, high, ends included)."""
+    kind = spec.get("kind", "all")
+    if kind == "all":
+        return F.lit(True)
+    if kind == "indices":
+        return key.isin(list(spec["indices"]))
+    if kind == "threshold":
+        if spec["op"] not in COMPARE:
+            raise ValueError(f"unknown operator {spec['op']}")
+        return COMPARE[spec["op"]](column, spec["value"])
+    if kind == "range":
+        return (column >= spec["low"]) & (column <= spec["high"])
+    raise ValueError(f"unknown kind {kind}")
+
+
+def annotate(df: DataFrame, groups: dict[str, str]) -> DataFrame:
+    """Columns marked with their feature group as metadata; data stay as they are."""
+    out = df
+    for column, group in groups.items():
+        out = out.withMetadata(column, {**df.schema[column].metadata, "group": group})
+    return out
+
+
+def check_features(df: DataFrame, columns: list[str]) -> DataFrame:
+    """``df`` if it has all columns, as numbers; an error names those that are missing or of another type."""
+    kinds = dict(df.dtypes)
+    bad = [c for c in columns if kinds.get(c, "").split("(")[0] not in ("double", "float", "int", "bigint", "smallint", "tinyint", "decimal")]
+    if bad:
+        raise TypeError(f"not numeric: {', '.join(bad)}")
+    return df
+
+
+def sparsemax(values: Column) -> Column:
+    """The nearest point of the probability simplex to an array: small entries become 0."""
+    down = F.reverse(F.array_sort(values))
+    start = F.struct(F.lit(0.0).alias("sum"), F.lit(0).alias("n"), F.lit(0.0).alias("cut"))
+
+    def step(acc: Column, v: Column) -> Column:
+        total, n = acc["sum"] + v, acc["n"] + 1
+        inside = 1 + n * v > total
+        return F.struct(total.alias("sum"), n.alias("n"), F.when(inside, (total - 1) / n).otherwise(acc["cut"]).alias("cut"))
+
+    cut = F.aggregate(down, start, step)["cut"]
+    return F.transform(values, lambda v: F.greatest(v - cut, F.lit(0.0)))
+
+
+def masked_mean(df: DataFrame, by: str, value: str, mask: str) -> DataFrame:
+    """Mean of each group's values where the mask is set; 0 for groups without any."""
+    return df.groupBy(by).agg(F.coalesce(F.try_divide(F.sum(F.when(F.col(mask), F.col(value))), F.count_if(F.col(mask)).cast("double")), F.lit(0.0)).alias("mean"))
+
+
+def normalized_edges(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
+    """src, dst and weight 1 / sqrt(degree x degree) of a graph's edges with each node linked to itself once."""
+    loops = edges.select(F.explode(F.array(src, dst)).alias(src)).distinct().select(src, F.col(src).alias(dst))
+    every = edges.where(F.col(src) != F.col(dst)).select(src, dst).distinct().unionByName(loops)
+    degree = every.groupBy(src).agg(F.count("*").alias("_n"))
+    other = degree.select(F.col(src).alias(dst), F.col("_n").alias("_m"))
+    return every.join(degree, src).join(other, dst).select(src, dst, (1 / F.sqrt(F.col("_n").cast("double") * F.col("_m"))).alias("weight"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from quern.functions import conditional as C
 from quern.functions import distributions as D
 from quern.functions import expressions as X
-from quern.operators import catalog, guards, metrics, moments, panel, pool, prep, quantiles, text, timeseries
+from quern.operators import catalog, guards, linear, metrics, moments, panel, pool, prep, presets, quantiles, text, timeseries
 from quern.plans import feature_queries, measure_queries
 
 
@@ -297,3 +297,68 @@ def test_catalog_edges(spark):
     with pytest.raises(KeyError):
         catalog.entry(df, "zz")
     assert panel.cap_dates(frame(spark, [(i,) for i in range(9)], "d int"), "d", 4, 12, True).agg(F.min("d")).first()[0] == 6
+
+
+def test_orthogonal_map_like_svd(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(150, 2)) * [1, 3] + [2, -1]
+    df = frame(spark, [tuple(map(float, r)) for r in x], "a double, b double")
+    wide = linear.expand({"a": F.col("a"), "b": F.col("b")})
+    assert list(wide) == ["a", "b", "a^2", "b^2", "a*b"]
+    m = np.column_stack([x, x**2, x[:, 0] * x[:, 1]])
+    centred = m - m.mean(axis=0)
+    _, s, vt = np.linalg.svd(centred, full_matrices=False)
+    for energy, most in ((0.999, None), (0.5, None), (None, 2)):
+        fitted = linear.fit_orthogonal(df, list(wide.values()), energy, most)
+        share = np.cumsum(s**2) / (s**2).sum()
+        rank = min(len(s) if energy is None else int(np.searchsorted(share, energy) + 1), most or len(s))
+        assert len(fitted.components) == rank and fitted.energy == pytest.approx(share[rank - 1])
+        got = np.array([tuple(r) for r in df.select(*fitted.columns(list(wide.values()))).collect()])
+        assert np.abs(got) == pytest.approx(np.abs(centred @ vt[:rank].T), rel=1e-5, abs=1e-6)
+
+
+def test_presets(spark):
+    rng = np.random.default_rng(6)
+    rows = [(float(a), float(b), float(a > 0.5), bool(i % 4 == 0)) for i, (a, b) in enumerate(rng.random((200, 2)))]
+    df = frame(spark, rows, "a double, b double, y double, v boolean")
+    for kind in ("logistic", "boosting_classifier"):
+        model = presets.fit(df, ["a", "b"], "y", kind, valid="v" if "boost" in kind else None, **({"maxIter": 5, "maxDepth": 2} if "boost" in kind else {}))
+        out = presets.predict(model, df)
+        assert out.columns == [*df.columns, "prediction"] and out.where("prediction = y").count() > 180
+    with pytest.raises(ValueError):
+        presets.fit(df, ["a"], "y", "odd")
+    with pytest.raises(ValueError):
+        presets.fit(df, ["a"], "y", "logistic", valid="v")
+
+
+def test_pool_update_adds_and_removes(spark):
+    rng = np.random.default_rng(7)
+    rows = [tuple(map(float, r)) for r in rng.normal(size=(300, 3))]
+    df = frame(spark, rows, "a double, b double, c double").withColumn("t", F.sin("a") * F.col("b"))
+    start = pool.score(df, pool.candidates(["a", "b", "c"], pairs=False)[:3], "t")
+    out, moved = pool.update(df, start, ["a", "b", "c"], F.col("t"), features=3, threshold=0.2, cap=8)
+    kept = {r.name: r.prior_corr for r in out.collect()}
+    assert 0 < len(kept) <= 8 and max(kept.values()) > 0.9 and all(abs(v) >= 0.2 for v in kept.values())
+    before = {r.name for r in start.collect()}
+    assert {(r.name, r.change) for r in moved.collect()} == {(n, "added") for n in set(kept) - before} | {(n, "removed") for n in before - set(kept)}
+
+
+def test_sparsemax_and_edges(spark):
+    df = frame(spark, [([0.1, 0.1],), ([5.0, 0.0, 1.0],), ([],)], "v array<double>")
+    got = [r[0] for r in df.select(prep.sparsemax(F.col("v"))).collect()]
+    assert got == [[0.5, 0.5], [1.0, 0.0, 0.0], []]
+    edges = frame(spark, [(1, 2), (1, 2), (1, 1)], "src int, dst int")
+    assert {(r.src, r.dst): round(r.weight, 4) for r in prep.normalized_edges(edges).collect()} == {(1, 2): 0.7071, (1, 1): 0.5, (2, 2): 1.0}
+
+
+def test_predicates_and_checks(spark):
+    df = frame(spark, [(1, 0.5, "x")], "k int, a double, s string")
+    with pytest.raises(ValueError):
+        prep.predicate({"kind": "threshold", "op": "~", "value": 1}, F.col("a"))
+    with pytest.raises(ValueError):
+        prep.predicate({"kind": "odd"}, F.col("a"))
+    with pytest.raises(TypeError, match="s, gone"):
+        prep.check_features(df, ["a", "k", "s", "gone"])
+    assert prep.annotate(df, {"a": "price"}).schema["a"].metadata == {"group": "price"}
+    with pytest.raises(KeyError):
+        catalog.require_profile(df.withColumn("profile", F.lit("p")), "q")
