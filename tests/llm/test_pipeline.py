@@ -5,12 +5,16 @@ import corpus_pipeline
 from quern.llm import queries
 from tests.llm.data import docs, texts
 from tests.llm.test_dedup import brute_components
-from tests.llm.test_text_ops import ENCODING, brute_base, brute_quality
+from tests.llm.test_text_ops import ENCODING, brute_alignments, brute_base, brute_quality
 
 
-def test_stages_by_brute_force(spark, sf_dir):
-    """Every stage but decontamination against its brute-force version, on awkward documents."""
+def test_stages_by_brute_force(spark, tmp_path):
+    """Every stage against its brute-force version, on awkward documents and items taken from some of them."""
     rows = [(i, t) for i, t in texts() if i != 1 or t]
+    long = [t for _, t in rows if t and len(t.split()) > 80]
+    items = [(1, " ".join(long[0].split()[10:30])), (2, " ".join(long[1].split()[5:40]).upper()), (3, "no document holds these words in this order at all"), (4, None)]
+    sf_dir = str(tmp_path)
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{sf_dir}/benchmark.parquet")
     df = docs(spark, rows)
     kept = corpus_pipeline.keep_quality(spark, df, sf_dir)
     assert {r.doc_id for r in kept.collect()} <= {i for i, t in rows if not brute_quality(t)[5]}
@@ -20,6 +24,9 @@ def test_stages_by_brute_force(spark, sf_dir):
     assert {r.doc_id for r in single.collect() if r.doc_id is not None} == want
     clean = corpus_pipeline.drop_benchmark_leaks(spark, single, sf_dir)
     assert clean.columns == df.columns
+    left = [(r.doc_id, r.text) for r in single.collect()]
+    leaks = {i for i, _ in brute_alignments(left, items)}
+    assert leaks and {r.doc_id for r in clean.collect()} == {i for i, _ in left} - leaks
     blank = corpus_pipeline.blank_secrets(spark, clean, sf_dir)
     assert all(not brute_base(r.text) for r in blank.collect())
     out = {r.doc_id: list(r.ids) for r in corpus_pipeline.tokens(spark, blank, sf_dir).collect()}
