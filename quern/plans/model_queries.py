@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from quern.operators import catalog, linear, pool, prep, presets
 from quern.plans.feature_queries import _POOL, _X, _pool, _x
 from quern.plans.tables import ENTRIES, entries, r, read
+from quern.sources import readers
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -107,3 +108,23 @@ def profile(spark, sf_dir):
     SELECT stage, CASE stage WHEN 'first' THEN 1 WHEN 'second' THEN 2 ELSE 3 END AS place, CASE stage WHEN 'first' THEN 'second' WHEN 'second' THEN 'third' END AS next, count(*) AS n FROM s GROUP BY 1""")
 def stages(spark, sf_dir):
     return catalog.stages(entries(spark, sf_dir), {"economy": "first", "standard": "second"}, ["first", "second", "third"], "third")
+
+
+@query("s19_sine_windows", "WITH s AS (SELECT range AS t, sin(0.1 * range) AS y FROM range(0, 3000)) SELECT t, round(lag_0, 6) AS lag_0, round(lag_2, 6) AS lag_2, round(y, 6) AS target FROM (SELECT t, y, lag(y, 3) OVER (ORDER BY t) AS lag_0, lag(y) OVER (ORDER BY t) AS lag_2 FROM s) WHERE lag_0 IS NOT NULL")
+def sine_windows(spark, sf_dir):
+    """Windows of three of a generated series, whose rows no single task sees all."""
+    return readers.sine_windows(readers.sine(spark, 3000, 0.1), "y", "t", 3).select("t", r("lag_0"), r("lag_2"), r("target"))
+
+
+@query("s5_named_columns", "SELECT role, conv_id, turn FROM conversations")
+def named_columns(spark, sf_dir):
+    return readers.named_columns(read(spark, sf_dir, "conversations"), ["role", "conv_id", "turn"])
+
+
+@query("a22_edge_counters", """SELECT l_returnflag AS namespace, l_linestatus AS src, l_linenumber AS op, l_suppkey % 10 AS expr, l_partkey % 3 AS dst, count(*) AS seen, CAST(sum(CASE WHEN l_tax > 0.04 THEN 1 ELSE 0 END) AS BIGINT) AS success,
+    CAST(sum(CASE WHEN l_tax > 0.04 THEN 0 ELSE 1 END) AS BIGINT) AS failure, round(sum(l_quantity), 3) AS score_sum FROM lineitem GROUP BY 1, 2, 3, 4, 5""")
+def edge_counters(spark, sf_dir):
+    x = read(spark, sf_dir, "lineitem").select(
+        F.col("l_returnflag").alias("namespace"), F.col("l_linestatus").alias("src"), F.col("l_linenumber").alias("op"), (F.col("l_suppkey") % 10).alias("expr"), (F.col("l_partkey") % 3).alias("dst"), "l_tax", "l_quantity"
+    )
+    return catalog.edge_counters(x, F.col("l_tax") > 0.04, F.col("l_quantity")).withColumn("score_sum", F.round("score_sum", 3))

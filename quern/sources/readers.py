@@ -8,7 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.operators.prep import split_target
+from quern.operators.prep import drop_incomplete, split_target, zscore
+from quern.operators.timeseries import lag_table
 
 
 def parquet(spark: SparkSession, path: str, target: str | None = None) -> tuple[DataFrame, list[str], str]:
@@ -16,12 +17,18 @@ def parquet(spark: SparkSession, path: str, target: str | None = None) -> tuple[
 
 
 def s3_parquet(spark: SparkSession, bucket: str, prefix: str, endpoint: str | None = None, access_key: str | None = None, secret_key: str | None = None, target: str | None = None):
-    """The Parquet files right below ``bucket/prefix``; connection settings go to Hadoop's s3a client."""
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    for name, value in (("endpoint", endpoint), ("access.key", access_key), ("secret.key", secret_key)):
-        if value:
-            conf.set(f"fs.s3a.{name}", value)
-    return parquet(spark, f"s3a://{bucket}/{prefix.strip('/')}/*.parquet", target)
+    """The Parquet files right below ``bucket/prefix``; connection settings hold for this read alone."""
+    given = {"endpoint": endpoint, "access.key": access_key, "secret.key": secret_key}
+    reader = spark.read.options(**{f"fs.s3a.{name}": value for name, value in given.items() if value})
+    return split_target(reader.parquet(f"s3a://{bucket}/{prefix.strip('/')}/*.parquet"), target)
+
+
+def named_columns(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """The listed columns in their order, or all; KeyError for one that is missing."""
+    missing = [c for c in columns or [] if c not in df.columns]
+    if missing:
+        raise KeyError(", ".join(missing))
+    return df.select(*columns) if columns else df
 
 
 def hive_query(spark: SparkSession, query: str, target: str | None = None):
@@ -51,6 +58,15 @@ def csv(spark: SparkSession, path: str, include: list[str] | None = None, exclud
     return df.select([c for c in df.columns if (include is None or c in include) and c not in exclude and not c.startswith(prefixes or ("\0",))])
 
 
+def factor_csv(spark: SparkSession, path: str, groups: dict[str, list[str]], target: str) -> tuple[DataFrame, dict[str, list[str]]]:
+    """The target and the factors of all groups that the file has, complete rows only, factors standardised; the groups as found."""
+    df = spark.read.csv(path, header=True, inferSchema=True)
+    found = {g: [c for c in names if c in df.columns] for g, names in groups.items()}
+    factors = list(dict.fromkeys(c for names in found.values() for c in names))
+    rows = drop_incomplete(df.select(target, *(F.col(c).cast("double").alias(c) for c in factors)))
+    return zscore(rows, factors), found
+
+
 def returns(spark: SparkSession, path: str, date: str | None = None) -> DataFrame:
     """Date and numeric columns only; infinite values count as missing, rows with gaps go."""
     df = spark.read.parquet(path)
@@ -69,3 +85,9 @@ def json(spark: SparkSession, path: str) -> DataFrame:
 def sine(spark: SparkSession, n: int, frequency: float, noise: float = 0.0, seed: int = 42) -> DataFrame:
     """t and sin(frequency * t) plus seeded normal noise."""
     return spark.range(n).select(F.col("id").alias("t"), (F.sin(F.col("id") * frequency) + noise * F.randn(seed)).alias("y"))
+
+
+def sine_windows(df: DataFrame, y: str, order: str, window: int) -> DataFrame:
+    """lag_0 (oldest) .. lag_n of each window of a series, and the value after it as target."""
+    rows = lag_table(df, [y], order, [], window).dropna()
+    return rows.select(order, *(F.col(f"{y}_{window - k}").alias(f"lag_{k}") for k in range(window)), F.col(y).alias("target"))

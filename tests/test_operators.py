@@ -184,3 +184,32 @@ def test_whole_relations_reach_all_customers(spark, sf_dir):
     assert used == orders.select("o_custkey", F.lower("o_orderpriority"), "o_orderstatus", F.col("o_orderkey") % 50).distinct().count()
     for name, key in (("j5_relations", "source"), ("j6_neighbours", "key")):
         assert registry.queries()[name](spark, sf_dir).agg(F.max(key)).first()[0] > orders.agg(F.max("o_custkey")).first()[0] * 0.9
+
+
+@pytest.mark.parametrize("kind", ["windowed", "sessions"])
+def test_event_time_streams_agree_with_batches(spark, tmp_path, sf_dir, kind):
+    source, out = str(tmp_path / "in"), str(tmp_path / "out")
+    # Watermarks need a timestamp with a zone.
+    spark.read.parquet(f"{sf_dir}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp")).orderBy("ts").coalesce(1).write.parquet(source)
+    stream = events.read(spark, source, spark.read.parquet(source).schema)
+    make = (lambda df: events.windowed(df, "ts", ["event_type"], "6 hours")) if kind == "windowed" else (lambda df: events.sessions(df.withWatermark("ts", "1 hour"), "ts", ["user_id"], "2 hours"))
+    query = make(stream).writeStream.format("memory").queryName(kind).outputMode("complete" if kind == "windowed" else "append")
+    query.option("checkpointLocation", out).trigger(availableNow=True).start().awaitTermination()
+    key = lambda df: sorted(map(tuple, df.collect()))
+    got, want = key(spark.table(kind)), key(make(spark.read.parquet(source)))
+    # Append mode gives out what the watermark has passed: all but what is still open.
+    assert got == want if kind == "windowed" else set(got) <= set(want) and len(got) > 0.9 * len(want)
+
+
+def test_factor_csv_and_named_columns(spark, tmp_path):
+    path = str(tmp_path / "f.csv")
+    (tmp_path / "f.csv").write_text("y,a,b\n1,2,3\n2,4,\n3,6,9\n")
+    out, found = readers.factor_csv(spark, path, {"g": ["a", "gone"], "h": ["b"]}, "y")
+    assert found == {"g": ["a"], "h": ["b"]} and sorted(r.a for r in out.collect()) == [-1.0, 1.0]
+    with pytest.raises(KeyError):
+        readers.named_columns(out, ["y", "zz"])
+
+
+def test_json_sink(spark, tmp_path):
+    sinks.json(spark.range(3), str(tmp_path / "j"))
+    assert spark.read.json(str(tmp_path / "j")).count() == 3
