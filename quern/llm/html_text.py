@@ -87,7 +87,9 @@ class Node:
 def _furniture(word: str, in_article: bool) -> bool:
     """Whether every part of a name speaks of what stands around articles."""
     parts = [p for p in re.split("[_-]+", word) if p]
-    marks = [p in UNWANTED or (p == "header" and not in_article) for p in parts]
+    # An article's own header holds its title.
+    header = not in_article and WANTED.isdisjoint(parts)
+    marks = [p in UNWANTED or (p == "header" and header) for p in parts]
     return any(marks) and all(m or p in BESIDE or p.strip("0123456789x") == "" for m, p in zip(marks, parts, strict=True))
 
 

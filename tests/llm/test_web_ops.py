@@ -210,6 +210,8 @@ def test_deep_nesting_of_suspects():
         (f"<body><form id=page><div><p>{PROSE}</p></div></form></body>", PROSE.strip()),
         (f"<body><ul><li><a href=1>Home</a><li><a href=2>News</a><li><a href=3>Help</a></ul><p>{PROSE}</p></body>", PROSE.strip()),
         (f"<article><p>{PROSE}</p><div class='cookie-notice'>No.</div><div class='post-comments'><p>{PROSE}</p></div><button>Share</button></article>", PROSE.strip()),
+        (f"<body><div class=site-header><h1>Site</h1></div><div><div class=post-header><h1>Title</h1></div><div class=post-body><p>{PROSE}</p></div></div></body>", f"Title\n{PROSE.strip()}"),
+        (f"<article><p>{PROSE}</p><section class=comments>{f'<p>{PROSE}</p>' * 3}</section></article>", PROSE.strip()),
         (f"<article><p>{PROSE}</p><svg><p>and this, an unclosed drawing</p></article>", f"{PROSE.strip()}\nand this, an unclosed drawing"),
         (f"<article><p title='a > b'>{PROSE}</p><p title='>half</p></article>", f"{PROSE.strip()}\nhalf"),
     ],
