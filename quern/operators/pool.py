@@ -32,6 +32,13 @@ def candidates(columns: list[str], initial: bool = True, pairs: bool = True, top
     return out
 
 
+def nested(terms: list[tuple[str, str, float, list[int], Column]], names: list[str] | None = None, top: int | None = None) -> list[tuple[str, str, float, list[int], Column]]:
+    """Unary candidates over other candidates: one level deeper, with the sum of both costs."""
+    return [
+        (f"{n}({t[0]})", P.UNARY[n].family, P.UNARY[n].cost + t[2], t[3], P.unary(n, t[4])) for t in terms[:top] for n in names or P.named(initial=True) if n != "identity"
+    ]
+
+
 def score(df: DataFrame, terms: list[tuple[str, str, float, list[int], Column]], target: str) -> DataFrame:
     """The pool table with each term's correlation to ``target``: one pass over the data for all.
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from quern.functions import primitives as P
 from quern.operators import catalog, linear, pool, prep, presets
 from quern.plans.feature_queries import _POOL, _X, _pool, _x
 from quern.plans.tables import ENTRIES, entries, r, read
@@ -128,3 +129,23 @@ def edge_counters(spark, sf_dir):
         F.col("l_returnflag").alias("namespace"), F.col("l_linestatus").alias("src"), F.col("l_linenumber").alias("op"), (F.col("l_suppkey") % 10).alias("expr"), (F.col("l_partkey") % 3).alias("dst"), "l_tax", "l_quantity"
     )
     return catalog.edge_counters(x, F.col("l_tax") > 0.04, F.col("l_quantity")).withColumn("score_sum", F.round("score_sum", 3))
+
+
+@query("m63_gates_from_specs", f"WITH {_X} SELECT flag, round(avg(CASE WHEN a >= 0.5 THEN 1.0 ELSE 0.0 END), 6) AS g0, round(avg(1/(1+exp(-(b-0.25)/0.5))), 6) AS g1, round(avg(greatest(2-c, 0)), 6) AS g2, round(avg(CASE WHEN a = 1.5 THEN 1.0 ELSE 0.0 END), 6) AS g3, round(avg(CASE WHEN a = 3.0 THEN 1.0 ELSE 0.0 END), 6) AS g4 FROM x GROUP BY flag")
+def gates_from_specs(spark, sf_dir):
+    specs = ["gate", {"kind": "soft", "feature_index": 1, "threshold": 0.25, "temperature": 0.5}, {"name": "hinge", "params": {"feature_index": 2, "knot": 2.0, "right": False}}, {"name": "onehot", "values": [1.5, 3.0]}]
+    made = [c for spec in specs for c in P.from_spec(spec, [F.col("a"), F.col("b"), F.col("c")])]
+    return _x(spark, sf_dir).groupBy("flag").agg(*(r(F.avg(c), name=f"g{i}") for i, c in enumerate(made)))
+
+
+@query("w30_routed_residuals", f"WITH {_X} SELECT flag, round(avg(a + CASE WHEN a >= 4 THEN 0 WHEN a >= 2 THEN b*c ELSE b END), 6) AS routed, round(avg(a + b + b*c), 6) AS every FROM x GROUP BY flag")
+def routed_residuals(spark, sf_dir):
+    branches = [F.col("b"), F.col("b") * F.col("c")]
+    routed = P.with_residual(F.col("a"), branches, prep.route_by_thresholds(F.col("a"), [2.0, 4.0]))
+    return _x(spark, sf_dir).groupBy("flag").agg(r(F.avg(routed), name="routed"), r(F.avg(P.with_residual(F.col("a"), branches)), name="every"))
+
+
+@query("m68_nested_terms", f"WITH {_X} SELECT 'sin(square(a))' AS name, round(CASE WHEN stddev_pop(sin(a*a)) > 0 THEN corr(sin(a*a), t) END, 6) AS prior_corr FROM x UNION ALL SELECT 'tanh(square(a))', round(corr(tanh(a*a), t), 6) FROM x UNION ALL SELECT 'sin(mul(a,b))', round(corr(sin(a*b), t), 6) FROM x UNION ALL SELECT 'tanh(mul(a,b))', round(corr(tanh(a*b), t), 6) FROM x")
+def nested_terms(spark, sf_dir):
+    inner = [t for t in pool.candidates(["a", "b"]) if t[0] in ("square(a)", "mul(a,b)")]
+    return pool.score(_x(spark, sf_dir), pool.nested(inner, ["sin", "tanh"]), "t").select("name", r("prior_corr"))

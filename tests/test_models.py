@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from quern.functions import conditional as C
 from quern.functions import distributions as D
 from quern.functions import expressions as X
+from quern.functions import primitives as P
 from quern.operators import catalog, guards, linear, metrics, moments, panel, pool, prep, presets, quantiles, text, timeseries
 from quern.plans import feature_queries, measure_queries
 
@@ -362,3 +363,15 @@ def test_predicates_and_checks(spark):
     assert prep.annotate(df, {"a": "price"}).schema["a"].metadata == {"group": "price"}
     with pytest.raises(KeyError):
         catalog.require_profile(df.withColumn("profile", F.lit("p")), "q")
+
+
+def test_conditional_specs(spark):
+    df = frame(spark, [(1.0, 2.0), (None, 3.0)], "a double, b double")
+    cols = [F.col("a"), F.col("b")]
+    got = [tuple(r) for r in df.select(*P.from_spec({"name": "onehot", "params": {"values": [1, 2]}}, cols), *P.from_spec({"kind": "hinge", "feature_index": 1, "knot": 2.5}, cols)).collect()]
+    assert got == [(1.0, 0.0, 0.0), (0.0, 0.0, 0.5)]
+    with pytest.raises(ValueError):
+        P.from_spec("odd", cols)
+    names = [t[0] for t in pool.nested(pool.candidates(["a"], pairs=False)[:2])]
+    assert names and not any(n.startswith("identity") for n in names)
+    assert df.select(P.with_residual(F.col("b"), [])).first()[0] == 2.0
