@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quern.runtime import materialize
+
 
 def tokens(query: str) -> list[str]:
     return query.lower().split()
@@ -173,6 +175,20 @@ def value_usage(entries: DataFrame, provides: str, requires: str) -> DataFrame:
     return both.groupBy("value").agg(F.sum("side").alias("producers"), F.sum(1 - F.col("side")).alias("consumers"))
 
 
+def link_counts(entries: DataFrame, provides: str, requires: str) -> DataFrame:
+    """key and, over the values it requires, the number of other entries that provide each.
+
+    Counted by value and joined back from a table, so the work is linear however many entries hold one
+    value: no pair is made, and adaptive execution splits a hot value's rows.
+    """
+    side = lambda c: entries.select("key", F.explode(F.array_distinct(F.transform(c, F.lower))).alias("value"))
+    held = materialize(side(provides).groupBy("value").agg(F.count("*").alias("n")), "providers")
+    own = F.array_contains(F.transform(provides, F.lower), F.col("value")).cast("long")
+    needs = entries.select("key", provides, F.explode(F.array_distinct(F.transform(requires, F.lower))).alias("value")).select("key", "value", own.alias("own"))
+    counts = needs.join(held, "value", "left").groupBy("key").agg(F.sum(F.coalesce("n", F.lit(0)) - F.coalesce("own", F.lit(0))).alias("links"))
+    return entries.select("key").join(counts, "key", "left").select("key", F.coalesce("links", F.lit(0)).alias("links"))
+
+
 def companions(entries: DataFrame, group: str, key: str, limit: int) -> DataFrame:
     """The first ``limit`` other entries of the same group, for each group."""
     return entries.withColumn("place", F.row_number().over(Window.partitionBy(group).orderBy(key))).where(F.col("place") <= limit).select(group, key, "place")

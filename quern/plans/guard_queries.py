@@ -133,6 +133,15 @@ def neighbours(spark, sf_dir):
     return side("source", "up").unionByName(side("target", "down"))
 
 
+@query("j6_link_counts", """WITH g AS (SELECT DISTINCT o_custkey AS key, lower(o_orderpriority) AS v FROM orders WHERE o_orderstatus = 'F'), q AS (SELECT DISTINCT o_custkey AS key, lower(o_orderpriority) AS v FROM orders WHERE o_orderstatus = 'O'), n AS (SELECT v, count(*) AS n FROM g GROUP BY 1),
+    l AS (SELECT q.key AS key, sum(n.n - CASE WHEN g.key IS NULL THEN 0 ELSE 1 END) AS links FROM q JOIN n USING (v) LEFT JOIN g ON g.key = q.key AND g.v = q.v GROUP BY 1) SELECT k.key AS key, CAST(coalesce(links, 0) AS BIGINT) AS links FROM (SELECT DISTINCT o_custkey AS key FROM orders) k LEFT JOIN l ON l.key = k.key""")
+def link_counts(spark, sf_dir):
+    """Five values, each held by a large part of all customers."""
+    of = lambda status: F.collect_set(F.when(F.col("o_orderstatus") == status, F.col("o_orderpriority")))
+    e = read(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("key")).agg(of("F").alias("gives"), of("O").alias("needs"))
+    return catalog.link_counts(e, "gives", "needs")
+
+
 @query("j6_missing_companions", "SELECT DISTINCT l_partkey + 7 AS missing FROM lineitem WHERE l_partkey + 7 NOT IN (SELECT p_partkey FROM part)")
 def missing_companions(spark, sf_dir):
     wanted = read(spark, sf_dir, "lineitem").select((F.col("l_partkey") + 7).alias("missing"))
