@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quern.llm import quality, url_filter
+from quern.llm import collocations, quality, suffix_family, url_filter, vector_codes
 
 _UP, _LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _WORD = r"'[^\x20\x09-\x0D]+'"
@@ -61,4 +61,13 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
         OR (n_dup_lines >= {quality.MIN_DUP_LINES} AND 100 * n_dup_lines > {quality.MAX_DUP_LINE_PERCENT} * n_lines)) AS kept FROM b
 """
 
-ORACLES = {"op1_warc": OP1, "op2_minhash_dedup": OP2, "op5_substring_dedup": OP5, "op6_url_filter": url_filter.oracle(), "op10_quality": OP10}
+ORACLES = {
+    "op1_warc": OP1,
+    "op2_minhash_dedup": OP2,
+    "op5_substring_dedup": OP5,
+    "op6_url_filter": url_filter.oracle(),
+    "op10_quality": OP10,
+    "op11_vector_codes": vector_codes.oracle(),
+    "op12_collocations": collocations.oracle(),
+    "op13_suffix_dedup": suffix_family.oracle(),
+}

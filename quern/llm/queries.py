@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import bpe, decontaminate, html_text, language_id, minhash_dedup, quality, secrets, substring_dedup, url_filter, warc
+from quern.llm import bpe, collocations, decontaminate, html_text, language_id, minhash_dedup, quality, secrets, substring_dedup, suffix_family, url_filter, vector_codes, warc
 from quern.llm.oracles import ORACLES
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -67,6 +67,20 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.profile(_read(spark, sf_dir, "documents"))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compress(_read(spark, sf_dir, "embeddings"))
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(_read(spark, sf_dir, "documents"))
+
+
+def op13_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Strings of 200 bytes that occur twice are removed; texts come in four batches."""
+    out = suffix_family.dedup(_read(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -80,5 +94,8 @@ QUERIES = {
         op8_html_text,
         op9_secrets,
         op10_quality,
+        op11_vector_codes,
+        op12_collocations,
+        op13_suffix_dedup,
     )
 }
