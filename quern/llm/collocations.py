@@ -78,6 +78,15 @@ def tokens(blob: bytes, salt: int) -> Iterator[tuple[bytes, np.ndarray, np.ndarr
         at = to
 
 
+def _proof(part: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Another hash of the words of a slice, of another kind: of their lengths and sums of their bytes' powers."""
+    raw, base = np.frombuffer(part, np.uint8), 0x94D049BB133111EB
+    sums = np.zeros(len(raw) + 1, np.uint64)
+    np.cumsum((raw.astype(np.uint64) + U64(1)) * W.powers(base, len(raw)), out=sums[1:])
+    back = W.powers(pow(base, -1, 2**64), len(raw))
+    return W.mix((sums[ends] - sums[starts]) * back[starts]) + (ends - starts).astype(np.uint64)
+
+
 def _by_lang(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, bytes]]:
     """lang and its lower-cased texts, about ``TOGETHER`` bytes of all langs at a time; a break between texts."""
     held: dict[str, list[bytes]] = {}
@@ -104,8 +113,11 @@ def _count_words(salt: int):
             spelt: dict[int, bytes] = {}
             every = []
             for part, starts, ends, hashes, _ in tokens(blob, salt):
-                own, first = np.unique(hashes, return_index=True)
+                own, first, where = np.unique(hashes, return_index=True, return_inverse=True)
                 every.append(hashes)
+                proof = _proof(part, starts, ends)
+                for i in np.flatnonzero(proof != proof[first][where]).tolist():
+                    yield _word_rows(lang, [part[starts[i] : ends[i]]], hashes[i : i + 1], np.array([0]))
                 for h, a, b in zip(own.tolist(), starts[first].tolist(), ends[first].tolist(), strict=True):
                     if spelt.setdefault(h, part[a:b]) != part[a:b]:  # two spellings, one hash: told apart below
                         yield _word_rows(lang, [part[a:b]], np.array([h], np.uint64), np.array([0]))
@@ -230,11 +242,11 @@ def _full_cells(texts: DataFrame, salt: int, bits: int, minimum: int) -> np.ndar
 def phrase_counts(windows: DataFrame, minimum: int, longest: int) -> DataFrame:
     """lang, words (hashes) and a of all phrases of two words and more that occur ``minimum`` times: prefixes of the windows."""
     lead = _lead(longest)
+    rolled, k = (f", ROLLUP({', '.join(lead[2:])})", f"{longest} - bit_count(grouping_id())") if longest > 2 else ("", "2")
     summed = windows.sparkSession.sql(
-        f"SELECT lang, {', '.join(lead)}, sum(n) AS a, {longest} - bit_count(grouping_id()) AS k FROM {{windows}} "
-        f"GROUP BY lang, w1, w2{', ROLLUP(' + ', '.join(lead[2:]) + ')' if longest > 2 else ''} HAVING sum(n) >= {minimum}",
+        f"SELECT lang, {', '.join(lead)}, sum(n) AS a, {k} AS k FROM {{windows}} GROUP BY lang, w1, w2{rolled} HAVING sum(n) >= {minimum}",
         windows=windows,
-    )
+    )
     words = F.slice(F.array(*lead), 1, F.col("k").cast("int"))
     return summed.select("lang", words.alias("words"), "a").where(F.element_at("words", -1) != 0)
 
