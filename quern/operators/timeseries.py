@@ -298,11 +298,18 @@ def arima(
 ) -> DataFrame:
     """Forecasts (step, yhat) of an autoregression on (seasonal) differences by least squares, series by series.
 
-    d and D are 0 or 1. Moving-average orders need recursion on residuals and are left out of the fit. ``future``
+    d and D are 0 or 1. The backend ``least_squares`` leaves moving-average orders out of the fit; ``two_stage`` (``arma.forecast``)
+    has them, without exogenous columns. The columns fitted and ignored tell the orders. ``future``
     has the series keys, step (from 1) and the exogenous columns. The fit is a k x k aggregate
     for each series, forecasts are folded in the JVM from each series' last rows.
     """
-    (p, d, _), (sp, sd, _, period) = spec, seasonal
+    from quern.operators import arma
+
+    if backend == "two_stage":
+        if exogenous:
+            raise ValueError("the two-stage fit takes no exogenous columns")
+        return arma.forecast(df, y, order, by, horizon, spec, seasonal, trend, ridge)
+    (p, d, q), (sp, sd, sq, period) = spec, seasonal
     exogenous = exogenous or []
     if backend != "least_squares":
         raise ValueError(f"unknown backend {backend}")
@@ -360,7 +367,9 @@ def arima(
 
     start = F.struct(F.col("_y").alias("h"), F.col("_z").alias("z"), none.alias("out"))
     path = F.aggregate(F.sequence(F.lit(1), F.lit(horizon)), start, step, lambda acc: acc["out"])
-    return state.select(*by, F.posexplode(path).alias("step", "yhat")).withColumn("step", F.col("step") + 1)
+    done, left = arma.orders((p, d, 0), (sp, sd, 0, period)), arma.orders((0, 0, q), (0, 0, sq, period)) if q or sq else ""
+    out = state.select(*by, F.posexplode(path).alias("step", "yhat")).withColumn("step", F.col("step") + 1)
+    return out.withColumns({"fitted": F.lit(done), "ignored": F.lit(left)})
 
 
 def holdout(df: DataFrame, y: str, order: str, by: list[str], size: int, forecaster, period: int = 1) -> DataFrame:
