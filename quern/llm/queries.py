@@ -76,7 +76,7 @@ def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op13_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Strings of 200 bytes that occur twice are removed; texts come in four batches."""
+    """Strings of 200 bytes that occur twice are removed; texts come in three batches."""
     out = suffix_family.dedup(_read(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 

@@ -1,8 +1,8 @@
 """Removal of byte strings that occur more than once, found by a logarithmic family of suffix arrays.
 
-The index is a family of levels. A batch of texts gets a suffix array of its own; that is merge-scanned against the levels that are
-there for matches of ``size`` bytes; then it becomes a level, and while two levels are of one size (in batches)
-they are merged to one of twice the size. So b batches leave log2(b) levels at most, and an entry is rewritten log2(b) times.
+The index is a family of levels. While two levels are of one size (in batches), they are merged to one of twice the size. Then a
+new batch of texts gets a suffix array of its own, which is merge-scanned against the levels that are there for matches
+of ``size`` bytes, and becomes a level. So b batches leave log2(b) levels and one more at most, and an entry is rewritten log2(b) times.
 
 The arrays are sparse. Of each window of ``size`` bytes, the leftmost of its runs of k bytes (two fifths of it) with the smallest hash is a
 sampled suffix, so what is sampled in a window depends on its bytes alone: equal windows have sampled suffixes at the same place, and two
@@ -32,10 +32,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.llm import words as W
-from quern.runtime import bounded_batches, hand_over, materialize, prune_joins, scope
+from quern.runtime import bounded_batches, hand_over, materialize, prune_joins, remove, scope
 
 U64 = np.uint64
-SIZE, BATCHES = 200, 4
+SIZE, BATCHES = 200, 3
 #: Entries of a group that one task compares; entries that it compares together.
 GROUP, TOGETHER = 4096, 16384
 _SLICE = 1 << 20
@@ -274,35 +274,49 @@ class SuffixFamily:
         self.texts: DataFrame | None = None
         self.runs: list[DataFrame] = []
 
-    def add(self, texts: DataFrame) -> None:
-        """Scan a batch against itself and all levels, then let it be a level."""
-        fresh = materialize(suffixes(texts.where(F.octet_length("text") >= self.size), self.size), "family-suffixes")
-        array = fresh.groupBy("key", "c1", "c2").agg(F.count("*").alias("n"), F.min(F.struct(*_PLACED)).alias("first"))
-        array = materialize(array.sortWithinPartitions("key", "c1", "c2"), "family-level")
-        self.texts = texts if self.texts is None else self.texts.unionByName(texts)
+    def add(self, texts: DataFrame, known: DataFrame | None = None) -> None:
+        """Scan a batch against itself and all levels, then let it be a level.
+
+        ``known`` are the texts added so far with these, where the caller has a plan that reads them at once.
+        """
+        self.merge()
+        self.texts = known if known is not None else texts if self.texts is None else self.texts.unionByName(texts)
         with scope(self.spark):
+            fresh = materialize(suffixes(texts.where(F.octet_length("text") >= self.size), self.size), "family-suffixes")
+            array = fresh.groupBy("key", "c1", "c2").agg(F.count("*").alias("n"), *(F.first(c).alias(c) for c in _PLACED))
+            array = hand_over(array.sortWithinPartitions("key", "c1", "c2"), "family-level")
             self._scan(fresh, array)
         self.levels.append((1, array))
+
+    def merge(self) -> None:
+        """Merge levels while the last two are of one size; ``add`` does so before a batch comes."""
         while len(self.levels) > 1 and self.levels[-1][0] == self.levels[-2][0]:
             (n, b), (_, a) = self.levels.pop(), self.levels.pop()
-            merged = a.unionByName(b).groupBy("key", "c1", "c2").agg(F.sum("n").alias("n"), F.min("first").alias("first"))
+            merged = a.unionByName(b).groupBy("key", "c1", "c2").agg(F.sum("n").alias("n"), *(F.first(c).alias(c) for c in _PLACED))
             self.levels.append((2 * n, materialize(merged.sortWithinPartitions("key", "c1", "c2"), "family-level")))
+            for old in (a, b):
+                _drop(old)
 
     def _scan(self, fresh: DataFrame, array: DataFrame) -> None:
         both = array.withColumn("new", F.lit(True))
         for _, level in self.levels:
             both = both.unionByName(level.withColumn("new", F.lit(False)))
-        alone = F.when(~F.col("new") & (F.col("n") == 1), F.col("first"))
-        both = both.groupBy("key", "c1", "c2").agg(F.sum("n").alias("n"), F.max("new").alias("new"), F.min(alone).alias("old"), F.min("first").alias("first"))
+        # Only first bytes that two entries share, one of them new, can give a match between entries.
+        shared = both.groupBy("key").agg(F.count("*").alias("m"), F.max("new").alias("any_new")).where("m > 1 and any_new").select("key")
+        shared = materialize(shared, "family-shared")
+        alone = ~F.col("new") & (F.col("n") == 1)
+        both = both.join(shared, "key", "left_semi").groupBy("key", "c1", "c2").agg(
+            F.sum("n").alias("n"), F.max("new").alias("new"), *(F.first(c).alias(c) for c in _PLACED), *(F.first(F.when(alone, F.col(c)), ignorenulls=True).alias(f"old_{c}") for c in _PLACED)
+        )
         both = materialize(both, "family-scan")
-        settled = both.where("new and n > 1")
+        settled = both.where("new and n > 1").select("key", "c1", "c2").unionByName(array.where("n > 1").select("key", "c1", "c2"))
         run = [(F.col("pos") - F.col("before")).alias("a"), (F.col("pos") + F.col("after")).alias("b")]
-        mine = fresh.join(settled.select("key", "c1", "c2"), ["key", "c1", "c2"]).select("d1", "d2", *run)
-        theirs = settled.where("old is not null").select("old.*").select("d1", "d2", *run)
+        mine = fresh.join(settled, ["key", "c1", "c2"]).select("d1", "d2", *run)
+        theirs = both.where("new and n > 1 and old_d1 is not null").select(*(F.col(f"old_{c}").alias(c) for c in _PLACED)).select("d1", "d2", *run)
         self.runs.append(hand_over(mine.unionByName(theirs).distinct(), "family-settled"))
         mixed = both.groupBy("key").agg(F.count("*").alias("m"), F.max("new").alias("any_new"), F.min("n").alias("least"))
         mixed = materialize(mixed.where("m > 1 and any_new and least = 1").select("key"), "family-mixed")
-        wanted = both.join(mixed, "key").select("key", "first.*", (F.col("n") == 1).alias("open"))
+        wanted = both.join(mixed, "key").select("key", *_PLACED, (F.col("n") == 1).alias("open"))
         last = self.size - max(1, 2 * self.size // 5) + 1
         entries = _surroundings(self.texts, wanted).withColumns({"lo": F.lit(0).cast("long"), "hi": F.lit(last).cast("long")})
         entries, single = _split(materialize(entries, "family-entries"), self.size, self.group)
@@ -320,6 +334,12 @@ class SuffixFamily:
         return every.groupBy("d1", "d2").agg(F.collect_set(F.struct("a", "b")).alias("runs"))
 
 
+def _drop(table: DataFrame) -> None:
+    """Remove the folder of a table that nothing reads any more."""
+    for folder in {f.rpartition("/")[0] for f in table.inputFiles()}:
+        remove(table.sparkSession, folder)
+
+
 def identified(docs: DataFrame) -> DataFrame:
     """doc_id, text (never null) and its hashes d1 and d2."""
     text = F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")
@@ -357,7 +377,8 @@ def dedup(docs: DataFrame, size: int = SIZE, batches: int = BATCHES, group: int
     with scope(spark):
         family = SuffixFamily(spark, size, group)
         for i in range(batches):
-            family.add(docs.where(F.pmod("d1", F.lit(batches)) == i).select("d1", "d2", "text"))
+            turn = F.pmod("d1", F.lit(batches))
+            family.add(docs.where(turn == i).select("d1", "d2", "text"), docs.where(turn <= i).select("d1", "d2", "text"))
         covered = hand_over(family.covered(), "family-covered")
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.join(covered, ["d1", "d2"], "left").select("doc_id", "text", "runs").mapInArrow(_strip, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept binary")
