@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from quern.functions import primitives as P
 from quern.functions.guards import clip, finite
 from quern.operators import moments, quantiles, timeseries
+from quern.runtime import hand_over, materialize, scope
 
 POOL = "name string, family string, complexity double, features array<int>, prior_corr double"
 
@@ -102,17 +103,30 @@ def correlation_pairs(df: DataFrame, columns: dict[str, Column], threshold: floa
 def prune_redundant(pool: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
     """Greedy: best first, a term stays if it correlates less than ``threshold`` with all that stay.
 
-    The order matters, so the small pool is walked on the driver; its size is checked.
+    Found in rounds of joins: a term without an open better neighbour stays, and its worse neighbours go. Each round settles the best
+    open term of every connected part at least, so it takes as many rounds as the longest chain of neighbours that hinge on each other. Null
+    correlations are no links; names are unique.
     """
-    rows = pool.orderBy(*ORDER()).limit(2001).collect()
-    if len(rows) > 2000:
-        raise ValueError("prune pools of at most 2000 terms")
-    close = {frozenset((r.a, r.b)) for r in pairs.where(F.abs("corr") >= threshold).select("a", "b").collect()}
-    kept: list = []
-    for r in rows:
-        if not any(frozenset((r.name, k.name)) in close for k in kept):
-            kept.append(r)
-    return pool.sparkSession.createDataFrame(kept, pool.schema)
+    with scope(pool.sparkSession):
+        # A term's place is its sort key, so the two ends of a link compare without a rank over the whole pool.
+        place = F.struct((-F.abs("prior_corr")).alias("c"), F.col("complexity").alias("x"), F.col("name").alias("n"))
+        terms = materialize(pool.select("name", place.alias("place")), "prune-terms")
+        close = pairs.where((F.abs("corr") >= threshold) & (F.col("a") != F.col("b"))).select("a", "b")
+        ends = terms.select(F.col("name").alias("a"), F.col("place").alias("p")), terms.select(F.col("name").alias("b"), F.col("place").alias("q"))
+        close = close.join(ends[0], "a").join(ends[1], "b")
+        better = F.col("p") < F.col("q")
+        links = close.select(F.when(better, F.col("a")).otherwise(F.col("b")).alias("better"), F.when(better, F.col("b")).otherwise(F.col("a")).alias("worse")).distinct()
+        links = materialize(links, "prune-links")
+        gone = terms.select("name").limit(0)
+        while not links.isEmpty():
+            # Better ends that are no open link's worse end stay; what they touch goes, and both leave the links.
+            stays = links.select(F.col("better").alias("name")).distinct().join(links.select(F.col("worse").alias("name")), "name", "left_anti")
+            out = materialize(links.join(stays.withColumnRenamed("name", "better"), "better", "left_semi").select(F.col("worse").alias("name")).distinct(), "prune-gone")
+            gone = gone.unionByName(out)
+            left = links.join(out.withColumnRenamed("name", "worse"), "worse", "left_anti").join(out.withColumnRenamed("name", "better"), "better", "left_anti")
+            links = materialize(left, "prune-links")
+        gone = hand_over(gone, "prune-all")
+    return pool.join(gone, "name", "left_anti").select(*pool.columns)
 
 
 def consensus(terms: DataFrame, min_ratio: float = 0.5) -> DataFrame:

@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quern.plans import catalog_queries, feature_queries, fitted_queries, guard_queries, measure_queries, model_queries
+from quern.plans import catalog_queries, feature_queries, fitted_queries, guard_queries, measure_queries, model_queries, store_queries
 
 Query = Callable[[SparkSession, str], DataFrame]
-_MODULES = (measure_queries, feature_queries, catalog_queries, guard_queries, model_queries, fitted_queries)
+_MODULES = (measure_queries, feature_queries, catalog_queries, guard_queries, model_queries, fitted_queries, store_queries)
 
 
 def queries() -> dict[str, Query]:
