@@ -98,16 +98,17 @@ def ordinary_samples(text: str) -> list[str]:
 
 
 def sample(docs: DataFrame, texts: int) -> DataFrame:
-    """The text of the ``texts`` rows whose doc_ids have the smallest hashes.
+    """The text of the ``texts`` rows with the smallest hashes of doc_id and text; of all rows, if there are no more.
 
-    Only rows below a bound that lets some four times as many through are sorted, so that the one
-    task that merges them stays small.
+    Equal hashes are equal rows (or, hardly ever, others), so any of them may stand for the rest. Only ``texts`` hashes reach the driver; the texts
+    themselves are filtered where they are.
     """
-    rows = docs.select(F.xxhash64(F.col("doc_id").cast("long")).alias("hash"), F.col("text").cast("string").alias("text"))
-    share = 4 * texts / max(rows.count(), 1)
-    if share < 1:
-        rows = rows.where(F.col("hash") < int((share - 0.5) * 2**64))
-    return rows.orderBy("hash", "text").limit(texts).select("text")
+    rows = docs.select(F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string")).alias("hash"), F.col("text").cast("string").alias("text"))
+    least = [r.hash for r in rows.select("hash").orderBy("hash").limit(texts).collect()]
+    if len(least) < texts:
+        return rows.select("text")
+    last = least[-1]
+    return rows.where(F.col("hash") < last).unionByName(rows.where(F.col("hash") == last).limit(least.count(last))).select("text")
 
 
 def train(docs: DataFrame, sample_texts: int = SAMPLE_TEXTS) -> np.ndarray:

@@ -38,6 +38,8 @@ from quern.runtime import bounded_batches, materialize, shared_path
 MAGIC = b"\x1f\x8b\x08"
 RANGE_BYTES = 32 << 20
 MAX_TASKS = 50_000
+#: Type given to a record whose header gives a length that is no number.
+MALFORMED = "malformed"
 _CHUNK = 1 << 18
 #: Compressed bytes that a candidate is probed with at a time.
 _PROBE = 512
@@ -209,14 +211,23 @@ def _inflate(data: _Bytes) -> tuple[bytes, int] | None:
     return (raw, used - len(machine.unused_data)) if b"\r\n\r\n" in raw else None
 
 
+def _number(value: str | None) -> int | None:
+    """A length as headers give it: digits alone; 0 without one, None for anything else."""
+    value = value or "0"
+    return int(value) if value.isascii() and value.isdigit() and len(value) < 19 else None
+
+
 def parse(raw: bytes) -> tuple[dict[str, str], bytes]:
-    """Header fields (names in lower case) and block of one record."""
+    """Header fields (names in lower case) and block of one record; a record of which a length is no number is of type ``malformed``."""
     head, _, rest = raw.partition(b"\r\n\r\n")
     fields = {}
     for line in head.split(b"\r\n")[1:]:
         name, _, value = line.decode("utf-8", "replace").partition(":")
         fields[name.strip().lower()] = value.strip()
-    return fields, rest[: int(fields.get("content-length") or 0)]
+    lengths = [_number(fields.get(name)) for name in ("content-length", "x-payload-length")]
+    if None in lengths:
+        return fields | {"warc-type": MALFORMED}, b""
+    return fields, rest[: lengths[0]]
 
 
 def scan(path: str, start: int, end: int) -> Iterator[tuple[int, dict[str, str], bytes]]:
@@ -246,9 +257,12 @@ def _urn(value: str) -> str | None:
     return value.removeprefix("<urn:page:").removesuffix(">") or None
 
 
-def read(files: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame:
+def read(files: DataFrame, range_bytes: int = RANGE_BYTES, malformed: bool = False) -> DataFrame:
     """The records of ``files`` (path, bytes), with columns ``RECORDS``.
 
+    Records whose header gives a length that is no number are left out; with ``malformed`` they are there, with that type, the id
+    and address they name, and no payload, to be counted or looked up by path and offset.
+
     A revisit's payload is null; its digest and length are those that its header gives. For a
     response they are computed from the payload read.
     """
@@ -266,9 +280,11 @@ def read(files: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame:
             for path, start, end in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 for offset, fields, block in scan(path, start, end):
                     kind = fields.get("warc-type", "")
-                    whole = kind != "revisit"
+                    if kind == MALFORMED and not malformed:
+                        continue
+                    whole = kind not in ("revisit", MALFORMED)
                     named = fields.get("warc-payload-digest", "").partition(":")[2]
-                    length = len(block) if whole else int(fields.get("x-payload-length") or 0)
+                    length = len(block) if whole else _number(fields.get("x-payload-length"))
                     rows.append(
                         (path, offset, _urn(fields.get("warc-record-id", "")), kind, fields.get("warc-target-uri"))
                         + (digest(block) if whole else named, length, _urn(fields.get("warc-refers-to", "")), block if whole else None)

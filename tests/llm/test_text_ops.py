@@ -1,5 +1,6 @@
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers as P
@@ -166,6 +167,20 @@ def test_secret_model_does_not_depend_on_layout(spark):
     assert secrets.sample(df, 9).count() == 9
 
 
+def test_secret_sample_is_full_with_null_and_repeated_ids(spark):
+    nulls = docs(spark, [(None, f"text number {i}") for i in range(3000)])
+    same = docs(spark, [(7, "one text")] * 3000)
+    few = docs(spark, [(None, None), (1, "x"), (1, "x")])
+    for df in (nulls, same, same.unionByName(nulls)):
+        assert secrets.sample(df, 100).count() == 100
+    assert secrets.sample(few, 100).count() == 3 and secrets.sample(docs(spark, []), 5).count() == 0
+    mixed = same.unionByName(nulls)
+    hashes = sorted(r[0] for r in mixed.selectExpr("xxhash64(doc_id, text)").collect())[:3050]
+    chosen = Counter(r.text for r in secrets.sample(mixed, 3050).collect())
+    by_hash = {r[0]: r[1] for r in mixed.selectExpr("xxhash64(doc_id, text)", "text").distinct().collect()}
+    assert chosen == Counter(by_hash[h] for h in hashes)
+
+
 def test_many_spans_in_a_long_text():
     import time
 
