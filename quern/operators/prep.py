@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quern.functions.guards import finite, isclose
+from quern.runtime import materialize, remove
 
 
 def split_target(df: DataFrame, target: str | None = None) -> tuple[DataFrame, list[str], str]:
@@ -260,7 +261,8 @@ class BatchSchedule:
     """A replayable schedule of training batches: epoch and cursor are all its state.
 
     Batch ids come from ``batches`` by seed and epoch, so a checkpoint needs no generator's state, and
-    restoring one skips no rows and repeats none.
+    restoring one skips no rows and repeats none. An epoch's rows are numbered once, as a table in the order of their batches: reading
+    a batch skips the row groups of the others. The tables of the last two epochs are kept.
     """
 
     def __init__(self, df: DataFrame, key: str, size: int, shuffle: bool = False, drop_last: bool = False, seed: int = 42):
@@ -270,6 +272,19 @@ class BatchSchedule:
         if not self.rows:
             raise ValueError("a schedule needs at least one row")
         self.epoch, self.cursor = 0, 0
+        self._numbered: list[tuple[int, DataFrame]] = []
+
+    def _table(self) -> DataFrame:
+        """The rows of this epoch with their batch ids."""
+        if not self._numbered or self._numbered[-1][0] != self.epoch:
+            c = self.config
+            numbered = batches(self.df, self.key, min(c["batch_size"], self.rows), c["shuffle"], c["seed"], self.epoch, c["drop_last"])
+            self._numbered.append((self.epoch, materialize(numbered.sortWithinPartitions("batch_id"), "schedule")))
+            while len(self._numbered) > 2:  # batches of the epoch before may still be read
+                _, old = self._numbered.pop(0)
+                for folder in {f.rpartition("/")[0] for f in old.inputFiles()}:
+                    remove(self.df.sparkSession, folder)
+        return self._numbered[-1][1]
 
     def _last(self) -> int:
         size = self.config["batch_size"]
@@ -278,10 +293,7 @@ class BatchSchedule:
 
     def next(self) -> DataFrame:
         """The rows of the next batch, with epoch and batch_id."""
-        c = self.config
-        size = min(c["batch_size"], self.rows)
-        out = batches(self.df, self.key, size, c["shuffle"], c["seed"], self.epoch, c["drop_last"])
-        out = out.where(F.col("batch_id") == self.cursor).withColumn("epoch", F.lit(self.epoch))
+        out = self._table().where(F.col("batch_id") == self.cursor).withColumn("epoch", F.lit(self.epoch))
         self.cursor += 1
         if self.cursor >= self._last():
             self.epoch, self.cursor = self.epoch + 1, 0
