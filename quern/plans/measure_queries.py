@@ -204,17 +204,24 @@ def _wide(spark, sf_dir):
     return flag_days(spark, sf_dir).groupBy("d").pivot("series", flags).agg(F.first("y"))
 
 
+def _flag_tests(spark, sf_dir):
+    """Each two series on the days that both have, either way, at every lag up to 3."""
+    wide, out = _wide(spark, sf_dir), None
+    for x, y in ("AR", "AN", "NR"):
+        part = timeseries.granger(wide, [(x, y), (y, x)], "d", 3)
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 @query("w32_granger", None)
 def granger(spark, sf_dir):
-    """Every ordered pair of the series that run side by side, at every lag up to 3."""
-    out = timeseries.granger(_wide(spark, sf_dir), [("A", "R"), ("R", "A")], "d", 3)
-    return out.select("cause", "effect", "lag", r("f_statistic", 4), r("p_value", 6))
+    """Every ordered pair of the three series that run side by side."""
+    return _flag_tests(spark, sf_dir).select("cause", "effect", "lag", r("f_statistic", 4), r("p_value", 6))
 
 
 @query("w32_granger_best", None)
 def granger_best(spark, sf_dir):
-    tests = timeseries.granger(_wide(spark, sf_dir), [("A", "R"), ("R", "A")], "d", 3)
-    return timeseries.best_lags(tests, ["cause", "effect"]).select("cause", "effect", "lag", r("f_statistic", 4), r("p_value", 6), "significant")
+    return timeseries.best_lags(_flag_tests(spark, sf_dir), ["cause", "effect"]).select("cause", "effect", "lag", r("f_statistic", 4), r("p_value", 6), "significant")
 
 
 _AHEAD = f"""{FLAG_DAYS}, c0 AS (SELECT series, d, y, row_number() OVER (PARTITION BY series ORDER BY d DESC) AS b FROM days)"""

@@ -111,10 +111,11 @@ def stages(spark, sf_dir):
     return catalog.stages(entries(spark, sf_dir), {"economy": "first", "standard": "second"}, ["first", "second", "third"], "third")
 
 
-@query("s19_sine_windows", "WITH s AS (SELECT range AS t, sin(0.1 * range) AS y FROM range(0, 3000)) SELECT t, round(lag_0, 6) AS lag_0, round(lag_2, 6) AS lag_2, round(y, 6) AS target FROM (SELECT t, y, lag(y, 3) OVER (ORDER BY t) AS lag_0, lag(y) OVER (ORDER BY t) AS lag_2 FROM s) WHERE lag_0 IS NOT NULL")
+@query("s19_sine_windows", "WITH s AS (SELECT o_orderkey AS t, sin(0.1 * o_orderkey) AS y FROM orders) SELECT t, round(lag_0, 6) AS lag_0, round(lag_2, 6) AS lag_2, round(y, 6) AS target FROM (SELECT t, y, lag(y, 3) OVER (ORDER BY t) AS lag_0, lag(y) OVER (ORDER BY t) AS lag_2 FROM s) WHERE lag_0 IS NOT NULL")
 def sine_windows(spark, sf_dir):
-    """Windows of three of a generated series, whose rows no single task sees all."""
-    return readers.sine_windows(readers.sine(spark, 3000, 0.1), "y", "t", 3).select("t", r("lag_0"), r("lag_2"), r("target"))
+    """Windows of three of a wave at the orders' places, whose rows no single task sees all."""
+    wave = readers.sine(spark, frequency=0.1, at=read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("t")))
+    return readers.sine_windows(wave, "y", "t", 3).select("t", r("lag_0"), r("lag_2"), r("target"))
 
 
 @query("s5_named_columns", "SELECT role, conv_id, turn FROM conversations")

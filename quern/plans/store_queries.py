@@ -6,10 +6,11 @@ from pyspark.sql import functions as F
 
 from quern.functions import derivatives as D
 from quern.functions import expressions as X
-from quern.operators import near_vectors, payloads, sampling
+from quern.operators import activation, near_vectors, payloads, relations, sampling
 from quern.operators.text_index import TextIndex
 from quern.plans.tables import ENTRIES, entries, r, read
 from quern.runtime import shared_path
+from quern.sources import bundles
 from quern.sources.store import TableStore
 from quern.streaming import counters
 
@@ -141,3 +142,65 @@ def token_sampling(spark, sf_dir):
     """Three draws for each nation among its eight customers with the largest balances."""
     rows = read(spark, sf_dir, "customer").withColumn("l", F.col("c_acctbal") / 2000)
     return sampling.next_tokens(rows, ["c_nationkey"], "c_custkey", "l", 0.7, 8, 11, 3)
+
+
+# Contexts of a part: words of its name, once as they are and once in capitals; its type is an artifact or a resource for some.
+_CONTRACT = """e AS (SELECT p_partkey, lower(p_brand) AS kind, p_name || ' ' || upper(p_name) AS names, CASE p_size % 4 WHEN 0 THEN 'model_artifact.' WHEN 1 THEN 'Resource.' ELSE 'data.' END || lower(p_type) AS made FROM part)"""
+
+
+def _contracts(spark, sf_dir):
+    made = F.concat(F.when(F.col("p_size") % 4 == 0, "model_artifact.").when(F.col("p_size") % 4 == 1, "Resource.").otherwise("data."), F.lower("p_type"))
+    return read(spark, sf_dir, "part").select(
+        "p_partkey", F.lower("p_brand").alias("kind"), F.split(F.concat_ws(" ", "p_name", F.upper("p_name")), " ").alias("context_requires"),
+        F.array(made, F.concat(F.lit(" "), F.upper(made))).alias("context_provides"), F.array(F.lit(" "), F.lit("fit")).alias("phase_in"), F.array(F.lit("FIT"), F.lit("step")).alias("meta_phase_in"),
+    )
+
+
+@query("q19_relation_fields", f"""WITH {_CONTRACT}, w AS (SELECT *, list_transform(string_split(names, ' '), lambda x: x) AS ws FROM e),
+    u AS (SELECT *, list_filter(ws, lambda x, i: list_position(list_transform(ws, lambda y: lower(y)), lower(x)) = i) AS req FROM w)
+    SELECT p_partkey, array_to_string(req, ',') AS context_requires, made AS context_provides, CASE WHEN made LIKE 'model_artifact.%' THEN made ELSE '' END AS artifact_provides, 'fit,step' AS phase_in,
+    CASE WHEN made LIKE 'Resource.%' THEN made ELSE '' END AS resource_refs, lower(array_to_string(list_concat(list_concat(req, [made]), list_filter([CASE WHEN made LIKE 'model_artifact.%' THEN made END, 'fit', 'step', CASE WHEN made LIKE 'Resource.%' THEN made END], lambda x: x IS NOT NULL)), ' ')) AS search_text FROM u""")
+def relation_fields(spark, sf_dir):
+    """Requirements and products of the parts, with what is an artifact or resource among them, and the text that searches look at."""
+    out = relations.relation_fields(_contracts(spark, sf_dir))
+    joined = lambda c: F.array_join(c, ",").alias(c)
+    return out.select("p_partkey", *map(joined, ("context_requires", "context_provides", "artifact_provides", "phase_in", "resource_refs")), relations.field_text().alias("search_text"))
+
+
+@query("q20_usage_profile", f"""WITH {_CONTRACT}, h AS (SELECT lower(p_brand) AS kind, min(p_type) AS hint FROM part GROUP BY 1)
+    SELECT p_partkey, CASE WHEN made LIKE 'data.%' THEN 'data_view' WHEN made LIKE 'Resource.%' THEN 'ResourceContext' ELSE 'artifact' END || CASE WHEN kind IN ('brand#1', 'brand#2') THEN ',planner' ELSE '' END AS required_roles, hint AS use_when FROM e JOIN h USING (kind)""")
+def usage_profile(spark, sf_dir):
+    """Roles and uses: from the parts' fields, and from hints for their kinds."""
+    parts = relations.relation_fields(_contracts(spark, sf_dir).drop("context_requires"))
+    role = F.when(F.col("kind").isin("brand#1", "brand#2"), F.array(F.lit("planner"))).otherwise(F.array().cast("array<string>"))
+    hints = read(spark, sf_dir, "part").groupBy(F.lower("p_brand").alias("kind")).agg(F.min("p_type").alias("t"))
+    none = F.array().cast("array<string>")
+    hints = hints.select("kind", F.lit(None).cast("long").alias("p_partkey"), F.array("t").alias("use_when"), none.alias("minimal_wiring"), role.alias("required_roles"), none.alias("config_keys"))
+    out = relations.usage_profile(parts, hints, key="p_partkey")
+    return out.select("p_partkey", F.array_join("required_roles", ",").alias("required_roles"), F.array_join("use_when", ",").alias("use_when"))
+
+
+@query("m69_activation_plan", """WITH s AS (SELECT max(abs(l_discount - 0.05)) * 10 AS n, max(l_tax) * 10 AS i, max(l_quantity) / 100 AS t FROM lineitem),
+    f AS (SELECT unnest([{'f': 'poly', 's': n}, {'f': 'bounded', 's': 0.9*n}, {'f': 'saturation', 's': 0.82*n + 0.18*t}, {'f': 'radial', 's': 0.72*n + 0.28*t}, {'f': 'safe_log', 's': 0.85*n + 0.15*t}]) AS u FROM s),
+    p AS (SELECT unnest([{'f': 'interaction_basic', 's': i}, {'f': 'interaction_poly', 's': 0.85*i + 0.15*n}, {'f': 'interaction_compose', 's': 0.7*i + 0.3*n}, {'f': 'interaction_saturation', 's': 0.72*i + 0.18*n + 0.1*t}, {'f': 'interaction_radial', 's': 0.62*i + 0.38*t}, {'f': 'interaction_rational', 's': 0.68*i + 0.22*n + 0.1*t}, {'f': 'linear_combo', 's': 0.5*i + 0.1*n}]) AS u FROM s),
+    r AS (SELECT u.f AS family, 'unary' AS role, u.s AS score, row_number() OVER (ORDER BY u.s DESC, u.f) AS place FROM f UNION ALL SELECT u.f, 'pair', u.s, row_number() OVER (ORDER BY u.s DESC, u.f) FROM p)
+    SELECT family, role, round(score, 6) AS score, place FROM r WHERE place <= 2""")
+def activation_plan(spark, sf_dir):
+    """The two best families of each kind, from strengths of the items' columns; only logarithms are allowed besides the plain ones."""
+    x = read(spark, sf_dir, "lineitem")
+    one = lambda kind, value: x.select(F.lit(kind).alias("kind"), value.alias("value"))
+    signals = one("nonlinear", (F.col("l_discount") - 0.05) * 10).unionByName(one("interaction", F.col("l_tax") * 10)).unionByName(one("threshold", F.col("l_quantity") / 100))
+    return activation.plan(signals, ("safe_log",), unary_top=2, pair_top=2).select("family", "role", r("score"), F.col("place").cast("long").alias("place"))
+
+
+@query("k5_artifact_bundle", """SELECT 'coefficients' AS table_name, l_returnflag AS name, round(regr_slope(l_extendedprice / 1000, l_quantity), 4) AS value, count(*) OVER () AS rows_kept FROM lineitem GROUP BY 2""")
+def artifact_bundle(spark, sf_dir):
+    """Coefficients by flag and their number, saved as a bundle and loaded again."""
+    from quern.operators import timeseries
+
+    x = read(spark, sf_dir, "lineitem").withColumn("t", F.col("l_extendedprice") / 1000)
+    fitted = timeseries.fit_linear(x, ["l_quantity"], "t", ["l_returnflag"])
+    path = shared_path(spark, "bundle")
+    bundles.save(spark, path, {"coefficients": fitted}, {"target": "price", "rows_kept": fitted.count()})
+    tables, facts = bundles.load(spark, path)
+    return tables["coefficients"].select(F.lit("coefficients").alias("table_name"), F.col("l_returnflag").alias("name"), r(F.col("coefficients")[1], 4, "value"), F.lit(facts["rows_kept"]).cast("long").alias("rows_kept"))

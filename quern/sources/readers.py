@@ -82,9 +82,11 @@ def json(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.json(path, multiLine=True)
 
 
-def sine(spark: SparkSession, n: int, frequency: float, noise: float = 0.0, seed: int = 42) -> DataFrame:
-    """t and sin(frequency * t) plus seeded normal noise."""
-    return spark.range(n).select(F.col("id").alias("t"), (F.sin(F.col("id") * frequency) + noise * F.randn(seed)).alias("y"))
+def sine(spark: SparkSession, n: int = 0, frequency: float = 1.0, noise: float = 0.0, seed: int = 42, at: DataFrame | None = None) -> DataFrame:
+    """t and sin(frequency * t) plus seeded normal noise, for t from 0 to n, or for the t of ``at``."""
+    rows = spark.range(n).withColumnRenamed("id", "t") if at is None else at.select("t")
+    wave = F.sin(F.col("t") * frequency)
+    return rows.select("t", (wave + noise * F.randn(seed) if noise else wave).alias("y"))
 
 
 def sine_windows(df: DataFrame, y: str, order: str, window: int) -> DataFrame:
