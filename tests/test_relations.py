@@ -53,8 +53,8 @@ def test_activation_plans(spark):
     for r in activation.plan(signals, ("trig",), gates=2, unary_top=2, pair_top=3, gate_top=2, budget={"saturation": 0, "poly": 5}).orderBy("role", "place").collect():
         got.setdefault(r.role, []).append((r.family, round(r.score, 4), r.budget))
     assert got["unary"] == [("radial", 0.512, None), ("poly", 0.4, 5)]
-    assert [f for f, *_ in got["pair"]] == ["interaction_basic", "interaction_radial", "interaction_poly"]
-    assert got["gate_pair"] == [("gate_interaction", 1.025, None), ("interaction_basic", 0.9, None)]
+    assert [f for f, *_ in got["pair"]] == ["interaction_basic", "interaction_radial", "interaction_saturation"]  # the first is fourth by score
+    assert got["gate_pair"] == [("gate_interaction", 0.925, None), ("interaction_basic", 0.5, None)]
     # poly isn't the best one, so it leads, and the best gives way.
     assert [r.family for r in activation.plan(signals, (), unary_top=1).where("role = 'unary'").collect()] == ["poly"]
     none = activation.plan(signals.limit(0)).collect()
