@@ -53,12 +53,14 @@ rep AS (SELECT doc_id, count(*) AS c FROM (SELECT DISTINCT doc_id, unnest([i, i
 lines AS (SELECT doc_id, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, {_WORD})) AS ls FROM w),
 m AS (SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g')) AS BIGINT) AS word_chars,
     CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
-    CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines, CAST(coalesce(rep.c, 0) AS BIGINT) AS n_repeat_words, len(ls) AS n_lines
+    CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines, CAST(coalesce(rep.c, 0) AS BIGINT) AS n_repeat_words, len(ls) AS n_lines,
+    len(list_filter(ws, lambda x: NOT regexp_matches(x, '\p{{L}}'))) AS n_letterless, len(list_distinct(ws)) AS n_distinct
     FROM w JOIN lines USING (doc_id) LEFT JOIN rep ON rep.doc_id = w.doc_id),
 b AS (SELECT *, n_words < {quality.MIN_WORDS} OR 100 * n_repeat_words > {quality.MAX_REPEAT_PERCENT} * n_words AS base_failed FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
     NOT (base_failed OR word_chars > {quality.MAX_MEAN_WORD} * n_words OR 100 * n_symbols > {quality.MAX_SYMBOL_PERCENT} * word_chars
-        OR (n_dup_lines >= {quality.MIN_DUP_LINES} AND 100 * n_dup_lines > {quality.MAX_DUP_LINE_PERCENT} * n_lines)) AS kept FROM b
+        OR (n_dup_lines >= {quality.MIN_DUP_LINES} AND 100 * n_dup_lines > {quality.MAX_DUP_LINE_PERCENT} * n_lines)
+        OR 100 * n_letterless > {quality.MAX_LETTERLESS_PERCENT} * n_words OR 4 * n_distinct * n_distinct < {quality.MIN_DISTINCT_ROOTS**2} * n_words) AS kept FROM b
 """
 
 ORACLES = {

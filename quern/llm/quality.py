@@ -4,8 +4,9 @@ Each rule is a Boolean expression on counts of the text. The chain is short-circ
 rejected by one rule is not tested by the next. On a bounded sample the share each rule
 rejects and the time it takes beyond that of a rule without work are measured, and rules run in order of
 rejection per cost; the order changes cost alone, never a verdict. All expressions are built
-in, so the whole operator stays in the JVM. ``profile`` returns every count of every row, so its
-cascade only names a verdict; in ``accept`` it saves the work of the rules that are not reached.
+in, so the whole operator stays in the JVM. ``profile`` returns the counts of every row, so those are always worked out; its
+cascade saves the counts that are not returned (letterless and distinct words), which only texts need that no rule before rejects.
+In ``accept`` it saves those of all rules that are not reached. Both measure on one table of the sample.
 
 Defined cases: a null text has no words, like an empty one, and so fails ``few_words``. doc_id
 may be null or repeated; each row is judged on its own. Lines are equal if all their characters
@@ -22,6 +23,8 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quern.runtime import materialize, scope
+
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 #: Bounds of the method's own rules; what breaks one is no running text in any language.
@@ -29,9 +32,12 @@ MAX_MEAN_WORD = 40
 MAX_SYMBOL_PERCENT = 30
 MAX_DUP_LINE_PERCENT = 60
 MIN_DUP_LINES = 10
+MAX_LETTERLESS_PERCENT = 70
+#: Distinct words are at least half this many times the root of all words; prose of any length has ten times as many.
+MIN_DISTINCT_ROOTS = 3
 SAMPLE_ROWS = 1000
 #: Runs of each rule on the sample; the quickest counts.
-REPEATS = 3
+REPEATS = 2
 #: Seconds below which costs can't be told apart.
 LEAST_COST = 1e-3
 _WS = "[\\x20\\x09-\\x0D]+"
@@ -57,6 +63,11 @@ def symbols(text: Column) -> Column:
     return (F.length(text) - F.length(F.translate(text, _SYMBOLS, ""))).cast("long")
 
 
+def letterless_words(text: Column) -> Column:
+    """Words without a letter, in one pass of a pattern that never goes back."""
+    return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D\p{L}]++(?![^\x20\x09-\x0D])")).cast("long")
+
+
 def _lines(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), "\n"), lambda s: F.translate(s, _BLANKS, "") != "")
 
@@ -115,6 +126,8 @@ def rules() -> list[Rule]:
         Rule("long_words", lambda c: c["word_chars"] > MAX_MEAN_WORD * c["n_words"]),
         Rule("symbols", lambda c: 100 * c["n_symbols"] > MAX_SYMBOL_PERCENT * c["word_chars"]),
         Rule("duplicate_lines", lambda c: (c["n_dup_lines"] >= MIN_DUP_LINES) & (100 * c["n_dup_lines"] > MAX_DUP_LINE_PERCENT * c["n_lines"])),
+        Rule("letterless", lambda c: 100 * c["n_letterless"] > MAX_LETTERLESS_PERCENT * c["n_words"]),
+        Rule("few_distinct", lambda c: 4 * c["n_distinct"] * c["n_distinct"] < MIN_DISTINCT_ROOTS**2 * c["n_words"]),
     ]
 
 
@@ -129,7 +142,12 @@ def counts(text: Column, words_: Column) -> dict[str, Column]:
         "n_lines": F.size(_lines(text)).cast("long"),
         "n_dup_lines": duplicate_lines(text),
         "n_repeat_words": repeated_words(words_),
-    }
+    } | _lazy(text, words_)
+
+
+def _lazy(text: Column, words_: Column) -> dict[str, Column]:
+    """Counts that ``profile`` doesn't return."""
+    return {"n_letterless": letterless_words(text), "n_distinct": F.size(F.array_distinct(words_)).cast("long")}
 
 
 def _passes(text: Column, ordered: list[Rule]) -> Column:
@@ -145,26 +163,35 @@ def _passes(text: Column, ordered: list[Rule]) -> Column:
     return _given(words(text), all_of)
 
 
-def order(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> list[Rule]:
-    """The rules by rejection per cost, measured on at most ``sample_rows`` rows."""
-    text = F.col("text").cast("string")
+def _measured(verdicts: list[Column], idle: Column, sample: DataFrame) -> list[float]:
+    """Rejections per second of each verdict on the rows of ``sample``: its cost is the time beyond that of an idle one."""
 
-    def measure(hit: Column) -> tuple[float, float]:
-        """Share of hits and seconds. Collecting a limit reads no more partitions than it needs, and only verdicts come back."""
+    def seconds(hit: Column) -> float:
         times = []
         for _ in range(REPEATS):
             began = time.monotonic()
-            hits = [r[0] for r in docs.select(hit).limit(sample_rows).collect()]
+            sample.select(F.count(F.when(hit, 1))).collect()
             times.append(time.monotonic() - began)
-        return sum(map(bool, hits)) / max(len(hits), 1), min(times)
+        return min(times)
+
+    shares = sample.select(*(F.avg(v.cast("double")) for v in verdicts)).first()
+    least = seconds(idle)
+    return [(share or 0.0) / max(seconds(v) - least, LEAST_COST) for share, v in zip(shares, verdicts, strict=True)]
+
 
-    _, idle = measure(F.octet_length(text) < 0)
+def _ordered(gains: list[float]) -> list[Rule]:
     listed = rules()
-    found = [measure(~_passes(text, [rule])) for rule in listed]
-    gains = [share / max(seconds - idle, LEAST_COST) for share, seconds in found]
     return [listed[i] for i in sorted(range(len(listed)), key=lambda i: (-gains[i], i))]
 
 
+def order(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> list[Rule]:
+    """The rules by rejection per cost, measured on at most ``sample_rows`` rows, each with the counts that it needs."""
+    with scope(docs.sparkSession):
+        sample = materialize(docs.select(F.col("text").cast("string").alias("text")).limit(sample_rows), "quality-sample")
+        text = F.col("text")
+        return _ordered(_measured([~_passes(text, [rule]) for rule in rules()], F.octet_length(text) < 0, sample))
+
+
 def cascade(ordered: list[Rule], known: dict[str, Column]) -> Column:
     """Name of the first rule in order that rejects, null if none does."""
     out = F.when(ordered[0].fails(known), F.lit(ordered[0].name))
@@ -173,24 +200,31 @@ def cascade(ordered: list[Rule], known: dict[str, Column]) -> Column:
     return out
 
 
-def profile(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
-    """All counts of every row of ``docs`` (doc_id, text), base_failed, kept and the rule that rejects."""
-    ordered = order(docs, sample_rows)
+def _counted(docs: DataFrame) -> DataFrame:
+    """doc_id, text and the counts that are returned, of every row. Words and lines are split once for all counts that need them."""
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text"))
     one = F.col("text")
-    # The words are split once and bound, for both counts that need them.
     of_words = _given(words(one), lambda ws: F.struct(F.size(ws).cast("long").alias("n_words"), repeated_words(ws).alias("n_repeat_words")))
     of_lines = _given(_lines(one), lambda a: F.struct(F.size(a).cast("long").alias("n"), (F.size(a) - F.size(F.array_distinct(a))).cast("long").alias("dup")))
-    rows = rows.select("doc_id", of_words.alias("w"), of_lines.alias("s"), word_chars(one).alias("word_chars"), symbols(one).alias("n_symbols"))
-    rows = rows.select("doc_id", "w.n_words", "word_chars", "n_symbols", F.col("s.dup").alias("n_dup_lines"), "w.n_repeat_words", F.col("s.n").alias("n_lines"))
-    known = {c: F.col(c) for c in rows.columns}
+    rows = rows.select("doc_id", "text", of_words.alias("w"), of_lines.alias("s"), word_chars(one).alias("word_chars"), symbols(one).alias("n_symbols"))
+    return rows.select("doc_id", "text", "w.n_words", "word_chars", "n_symbols", F.col("s.dup").alias("n_dup_lines"), "w.n_repeat_words", F.col("s.n").alias("n_lines"))
+
+
+def profile(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+    """The counts of every row of ``docs`` (doc_id, text), base_failed, kept and the rule that rejects."""
+    rows = _counted(docs)
+    known = {c: F.col(c) for c in rows.columns} | _lazy(F.col("text"), words(F.col("text")))
+    with scope(docs.sparkSession):
+        # Counts that every row has anyway cost a rule nothing, so the sample has them.
+        sample = materialize(_counted(docs.limit(sample_rows)), "quality-sample")
+        ordered = _ordered(_measured([rule.fails(known) for rule in rules()], F.col("n_words") < 0, sample))
     rows = rows.withColumn("rejected_by", cascade(ordered, known))
     failed = F.lit(False)
     for rule in rules():
         failed = failed | rule.fails(known) if rule.name in BASE else failed
     return rows.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-        failed.alias("base_failed"), F.col("rejected_by").isNull().alias("kept"),
+        failed.alias("base_failed"), F.col("rejected_by").isNull().alias("kept"), "rejected_by",
     )
 
 

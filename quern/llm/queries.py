@@ -64,7 +64,7 @@ def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.profile(_read(spark, sf_dir, "documents"))
+    return quality.profile(_read(spark, sf_dir, "documents")).drop("rejected_by")
 
 
 def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,3 +1,4 @@
+import random
 import re
 import zlib
 from collections import Counter
@@ -8,6 +9,7 @@ import pytest
 import tiktoken
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from quern.llm import bpe, decontaminate, language_id, quality, secrets
 from tests.llm.data import WORDS, docs, texts
@@ -68,13 +70,43 @@ def brute_quality(text):
     return len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in text), len(lines) - len(set(lines)), repeats, len(w) < 50 or 100 * repeats > 50 * len(w)
 
 
+def brute_kept(text):
+    """The verdict of all rules, the method's own among them."""
+    n, chars, symbols, dup, _, failed = brute_quality(text)
+    w, lines = WORDS.findall(text or ""), [line for line in (text or "").split("\n") if WORDS.search(line)]
+    letterless = sum(not any(c.isalpha() for c in x) for x in w)
+    many_dup = dup >= quality.MIN_DUP_LINES and 100 * dup > quality.MAX_DUP_LINE_PERCENT * len(lines)
+    odd = chars > quality.MAX_MEAN_WORD * n or 100 * symbols > quality.MAX_SYMBOL_PERCENT * chars or many_dup
+    return not (failed or odd or 100 * letterless > quality.MAX_LETTERLESS_PERCENT * n or 4 * len(set(w)) ** 2 < quality.MIN_DISTINCT_ROOTS**2 * n)
+
+
+#: Texts that only the rules of their own reject: numbers, a handful of words in ever new orders; and long tokens without a letter.
+OWN = [
+    (910, " ".join(str(i * 7919) for i in range(60))), (911, " ".join(random.Random(1).choice(["an", "ox", "is", "at", "it", "up", "on"]) for _ in range(40)) + " é x y z" * 4),
+    (912, " ".join("abcdefgh"[int(d)] for d in np.random.default_rng(3).permutation([*range(8)] * 60).tolist())), (913, "1" * 200_000 + " " + " ".join(f"w{i}" for i in range(20_000))), (914, " ".join(f"Ω{i}" for i in range(80))),
+]
 EXTRA = [(900, "a b c a b c a b c"), (901, "x\nx\n \nx y\nx\r\n#$|"), (902, "p q r p q r s p q"), (903, "\x0b\x0c\r a \x85 b")]
 
 
 def test_quality_counts(spark):
-    rows = texts() + EXTRA
-    got = sorted(((r.doc_id, *tuple(r)[1:7]) for r in quality.profile(docs(spark, rows)).collect()), key=str)
-    assert got == sorted(((i, *brute_quality(t)) for i, t in rows), key=str)
+    rows = texts() + EXTRA + OWN
+    found = quality.profile(docs(spark, rows)).collect()
+    assert sorted(((r.doc_id, *tuple(r)[1:7]) for r in found), key=str) == sorted(((i, *brute_quality(t)) for i, t in rows), key=str)
+    assert sorted(((r.doc_id, r.kept) for r in found), key=str) == sorted(((i, brute_kept(t)) for i, t in rows), key=str)
+    why = {r.doc_id: r.rejected_by for r in found}
+    assert why[910] == "letterless" and why[913] is None and why[914] is None and all((r.rejected_by is None) == r.kept for r in found)
+
+
+def test_a_rule_is_not_worked_out_behind_one_that_rejects(spark):
+    """The counts that only the cascade needs stand in its branches alone, behind the verdicts before them."""
+    known = {c: F.col(c) for c in ("n_words", "n_repeat_words", "word_chars", "n_symbols", "n_dup_lines", "n_lines")}
+    trap = {"n_letterless": F.raise_error(F.lit("reached")).cast("long"), "n_distinct": F.lit(10**6)}
+    rows = spark.createDataFrame([(10, 0, 50, 0, 0, 1), (20, 0, 90, 0, 0, 1)], ", ".join(f"{c} long" for c in known))
+    by_name = {r.name: r for r in quality.rules()}
+    order = [by_name["few_words"], by_name["letterless"]]
+    assert [r.v for r in rows.select(quality.cascade(order, known | trap).alias("v")).collect()] == ["few_words"] * 2
+    with pytest.raises(Exception, match="reached"):
+        rows.select(quality.cascade(order[::-1], known | trap).alias("v")).collect()
 
 
 def test_quality_accept_agrees_with_profile(spark):
