@@ -16,6 +16,10 @@ Before the join, windows are tested against a bitmap of the items' hashes of fix
 (``BITMAP_BITS``, made by a distributed ``bit_or``), the only thing that is shipped to all
 tasks; however many items there are, it stays as large, and only false hits grow.
 
+A window that many items and many documents hold would join all of them with each other. So items and documents meet at rare windows first: of an
+item's windows, by how often documents hold them, all but the ``percent`` most frequent ones, and one of these. A document
+that holds the item holds one of those at least. Only the pairs that met are aligned, by all their windows.
+
 Defined cases: null and empty texts, of items and documents, hold nothing, and so do texts without a
 letter or digit. Items of fewer words than a window are one window of their own length; those of fewer than
 ``MIN_WORDS`` words, too short for a template, must stand in the document word for word. Windows of too few
@@ -32,11 +36,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.llm.words import U64, groups, mix, powers
-from quern.runtime import bounded_batches, materialize
+from quern.runtime import bounded_batches, hand_over, materialize, scope
 
 WINDOW = 5
 MIN_WORDS = 3
@@ -216,9 +220,38 @@ def _repeated(words: str) -> Column:
     return F.expr(f"array_distinct(filter(array_sort({words}), (w, i) -> i >= 1 and w = array_sort({words})[i - 1]))")
 
 
+_KEY = ["kind", "window", "size"]
+
+
+def rare_windows(listed: DataFrame, hits: DataFrame, percent: int) -> DataFrame:
+    """kind, window, size and item_id of windows of ``listed`` one of which every document that holds the item must have.
+
+    A document needs ``percent`` of an item's places, of a kind or of both. Of n places of which m are needed, any n - m + 1 hold one of
+    those; the least frequent ones are taken, windows that no document has first of all.
+    """
+    often = materialize(hits.groupBy(*_KEY).agg(F.count("*").alias("n")), "template-often")
+    known = listed.select(*_KEY, "item_id", "place", "total", "both").join(often, _KEY, "left").na.fill(0, ["n"])
+    known = materialize(known, "template-known")
+    found = None
+    for by, total in ((["item_id", "kind"], "total"), (["item_id"], "both")):
+        places = known.groupBy(*by, "place").agg(F.sum("n").alias("n"), F.max(total).alias("total"))
+        rank = F.row_number().over(Window.partitionBy(*by).orderBy("n", "place"))
+        whole = Window.partitionBy(*by)
+        need = F.greatest(F.ceil(F.lit(percent) * F.max("total").over(whole) / 100), F.lit(1))
+        first = places.select(*by, "place", "n", (rank <= F.count("*").over(whole) - need + 1).alias("first")).where("first and n > 0")
+        part = known.join(first.select(*by, "place"), [*by, "place"], "left_semi").where("n > 0").select(*_KEY, "item_id")
+        found = part if found is None else found.unionByName(part)
+    return found.distinct()
+
+
 def matches(docs: DataFrame, items: DataFrame, window: int = WINDOW, percent: int = MIN_PERCENT, bits: int = BITMAP_BITS) -> DataFrame:
-    """doc_id, item_id, n_windows of the item, n_matched, and whether the slots differ (reworded)."""
+    """doc_id, item_id, n_windows of the item, n_matched, and whether the slots differ (reworded). A table; what its making wrote is removed."""
     bounded_batches(docs.sparkSession)
+    with scope(docs.sparkSession):
+        return hand_over(_matches(docs, items, window, percent, bits), "template-matches")
+
+
+def _matches(docs: DataFrame, items: DataFrame, window: int, percent: int, bits: int) -> DataFrame:
     listed = materialize(item_windows(items, window), "template-items")
     packed = _bitmap(listed, bits)
     sizes = sorted(map(tuple, listed.select("kind", "size").distinct().collect()))
@@ -253,7 +286,10 @@ def matches(docs: DataFrame, items: DataFrame, window: int = WINDOW, percent: in
 
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where("doc_id is not null")
     hits = rows.mapInArrow(run, "kind int, window long, size int, doc_id long, pos int, doc_slots array<string>")
-    aligned = hits.join(listed, ["kind", "window", "size"]).withColumn("pairs", F.arrays_zip("item_slots", "doc_slots"))
+    hits = materialize(hits, "template-hits")
+    met = hits.select(*_KEY, "doc_id").join(materialize(rare_windows(listed, hits, percent), "template-rare"), _KEY).select("doc_id", "item_id").distinct()
+    aligned = materialize(met, "template-met").join(listed, "item_id").join(hits, ["doc_id", *_KEY])
+    aligned = aligned.withColumn("pairs", F.arrays_zip("item_slots", "doc_slots"))
     along = aligned.groupBy("doc_id", "item_id", "kind", (F.col("pos") - F.col("idx")).alias("diagonal"))
     along = along.agg(F.collect_set(F.struct("place", "pairs")).alias("windows"), F.max("total").alias("total"), F.max("both").alias("both"), F.max("size").alias("size"))
     along = along.withColumn("pairs", F.array_distinct(F.flatten("windows.pairs"))).withColumn("split", _repeated("pairs.item_slots"))

@@ -511,3 +511,49 @@ def test_decontamination_by_brute_force(spark):
     want = brute_alignments(rows, items)
     assert got == want
     assert len(want) > 40 and {(205, 20), (206, 21), (203, 22), (207, 23)} <= want and (204, 22) not in want
+
+
+def test_a_window_that_a_third_of_items_and_documents_hold(spark, monkeypatch):
+    """The same pairs as by brute force, though few of those that share the window are aligned."""
+    rng = random.Random(21)
+    words = [f"{a}{b}" for a in "plum stone river cloud lamp glass".split() for b in "abcdefgh"]
+    stem = "which of the following is true of".split()
+    item = lambda k: [*(stem if k % 3 == 0 else []), *(rng.choice(words) for _ in range(20))]
+    items = [(k, " ".join(item(k))) for k in range(30)]
+    rows = []
+    for d in range(90):
+        text = [rng.choice(words) for _ in range(15)]
+        if d % 3 == 0:
+            text += stem
+        if d % 10 == 0:
+            text += items[d // 10 * 3][1].split() + [rng.choice(words)]
+        rows.append((d, " ".join(text)))
+    kept = {}
+    real = decontaminate.materialize
+
+    def watch(df, name):
+        out = real(df, name)
+        kept[name] = out.count()
+        return out
+
+    monkeypatch.setattr(decontaminate, "materialize", watch)
+    got = {(r.doc_id, r.item_id) for r in decontaminate.matches(docs(spark, rows), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == brute_alignments(rows, items) and len(got) == 9
+    assert kept["template-met"] < 60  # 10 items and 36 documents hold the window
+
+
+@pytest.mark.parametrize("percent", [1, 30, 50, 100])
+def test_rare_windows_lose_no_document(spark, percent):
+    """Of random hits, every document that has the share of an item's places has one of its rare windows."""
+    rng = random.Random(percent)
+    listed = [(k, 100 * k + p, 5, i, p, p, ["x"], 12, 16) for i in range(4) for k in (0, 1) for p in (range(12) if k == 0 else range(4, 16))]
+    hits = [(k, w, 5, d, rng.randrange(50), ["x"]) for d in range(60) for k, w, *_ in {x[:3] for x in listed} if rng.random() < (w % 100 + 1) / 20]
+    a = spark.createDataFrame(listed, "kind int, window long, size int, item_id long, idx int, place int, item_slots array<string>, total int, both int")
+    b = spark.createDataFrame(hits, "kind int, window long, size int, doc_id long, pos int, doc_slots array<string>")
+    rare = {(r.kind, r.window, r.item_id) for r in decontaminate.rare_windows(a, b, percent).collect()}
+    for d in range(60):
+        own = {(h[0], h[1]) for h in hits if h[3] == d}
+        for i in range(4):
+            held = {(k, p) for k, w, _, item, _, p, *_ in listed if item == i and (k, w) in own}
+            enough = any(100 * len({p for k, p in held if k == kind}) >= percent * 12 for kind in (0, 1)) or 100 * len({p for _, p in held}) >= percent * 16
+            assert not enough or any((k, w, i) in rare for k, w in own)
