@@ -100,15 +100,27 @@ def ordinary_samples(text: str) -> list[str]:
 def sample(docs: DataFrame, texts: int) -> DataFrame:
     """The text of the ``texts`` rows with the smallest hashes of doc_id and text; of all rows, if there are no more.
 
-    Equal hashes are equal rows (or, hardly ever, others), so any of them may stand for the rest. Only ``texts`` hashes reach the driver; the texts
-    themselves are filtered where they are.
+    Equal hashes are equal rows (or, hardly ever, others), so any of them may stand for the rest. Hashes are counted below a bound that lets
+    some four times as many rows through; only where repeated rows leave too few there are all hashes counted, which then are few. At most
+    ``texts`` hashes reach the driver, and the texts themselves are filtered where they are.
     """
     rows = docs.select(F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string")).alias("hash"), F.col("text").cast("string").alias("text"))
-    least = [r.hash for r in rows.select("hash").orderBy("hash").limit(texts).collect()]
-    if len(least) < texts:
+    n = rows.count()
+    if n <= texts:
         return rows.select("text")
-    last = least[-1]
-    return rows.where(F.col("hash") < last).unionByName(rows.where(F.col("hash") == last).limit(least.count(last))).select("text")
+
+    def least(some: DataFrame) -> tuple[int, int] | None:
+        """The last hash that is needed and how many of its rows, if ``some`` has enough."""
+        left = texts
+        for r in some.groupBy("hash").count().orderBy("hash").limit(texts).collect():
+            if r["count"] >= left:
+                return r["hash"], left
+            left -= r["count"]
+        return None
+
+    share = 4 * texts / n
+    last, ties = (share < 1 and least(rows.where(F.col("hash") < int((share - 0.5) * 2**64)))) or least(rows)
+    return rows.where(F.col("hash") < last).unionByName(rows.where(F.col("hash") == last).limit(ties)).select("text")
 
 
 def train(docs: DataFrame, sample_texts: int = SAMPLE_TEXTS) -> np.ndarray:
