@@ -163,6 +163,12 @@ def _passes(text: Column, ordered: list[Rule]) -> Column:
     return _given(words(text), all_of)
 
 
+def _sample(docs: DataFrame, rows: int) -> DataFrame:
+    """At most ``rows`` rows: of a seeded share of large tables, so that few more than these meet in one task."""
+    n = docs.count()
+    return (docs.sample(4 * rows / n, seed=10) if n > 4 * rows else docs).limit(rows)
+
+
 def _measured(verdicts: list[Column], idle: Column, sample: DataFrame) -> list[float]:
     """Rejections per second of each verdict on the rows of ``sample``: its cost is the time beyond that of an idle one."""
 
@@ -187,7 +193,7 @@ def _ordered(gains: list[float]) -> list[Rule]:
 def order(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> list[Rule]:
     """The rules by rejection per cost, measured on at most ``sample_rows`` rows, each with the counts that it needs."""
     with scope(docs.sparkSession):
-        sample = materialize(docs.select(F.col("text").cast("string").alias("text")).limit(sample_rows), "quality-sample")
+        sample = materialize(_sample(docs.select(F.col("text").cast("string").alias("text")), sample_rows), "quality-sample")
         text = F.col("text")
         return _ordered(_measured([~_passes(text, [rule]) for rule in rules()], F.octet_length(text) < 0, sample))
 
@@ -216,7 +222,7 @@ def profile(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     known = {c: F.col(c) for c in rows.columns} | _lazy(F.col("text"), words(F.col("text")))
     with scope(docs.sparkSession):
         # Counts that every row has anyway cost a rule nothing, so the sample has them.
-        sample = materialize(_counted(docs.limit(sample_rows)), "quality-sample")
+        sample = materialize(_counted(_sample(docs.select("doc_id", "text"), sample_rows)), "quality-sample")
         ordered = _ordered(_measured([rule.fails(known) for rule in rules()], F.col("n_words") < 0, sample))
     rows = rows.withColumn("rejected_by", cascade(ordered, known))
     failed = F.lit(False)
