@@ -16,10 +16,13 @@ SIZE, BUCKETS, RAREST = 3, 64, 2
 
 
 def grams(text: Column) -> Column:
-    """Distinct pieces of ``SIZE`` characters of a text, lower-cased."""
-    low = F.lower(text)
-    places = F.when(F.length(low) >= SIZE, F.sequence(F.lit(1), F.length(low) - (SIZE - 1))).otherwise(F.array().cast("array<int>"))
-    return F.array_distinct(F.transform(places, lambda i: F.substring(low, i, F.lit(SIZE))))
+    """Distinct pieces of ``SIZE`` characters of a text, lower-cased. Its characters are an array, split off once, so the work is linear."""
+
+    def pieces(chars: Column) -> Column:
+        starts = F.slice(chars, F.lit(1), F.greatest(F.size(chars) - (SIZE - 1), F.lit(0)))
+        return F.array_distinct(F.transform(starts, lambda c, i: F.concat(c, *(F.get(chars, i + k) for k in range(1, SIZE)))))
+
+    return F.element_at(F.transform(F.array(F.split(F.lower(text), "")), pieces), 1)
 
 
 def _bucket(gram: Column) -> Column:

@@ -57,8 +57,8 @@ def sparse_network(spark, sf_dir):
 _BASIS = " + ".join(f"({(-1) ** i * c}) * pow(greatest(u - {i}, 0), 3)" for i, c in enumerate((1, 4, 6, 4)))
 
 
-@query("e7_basis", f"""WITH s AS (SELECT min(l_quantity) AS lo, max(l_quantity) AS hi FROM lineitem), x AS (SELECT l_orderkey, l_linenumber, (l_quantity - lo) / ((hi - lo) / 5) + 3 AS at FROM lineitem, s),
-    b AS (SELECT l_orderkey, l_linenumber, j, at - j AS u FROM x, range(7) q(j)) SELECT l_orderkey, l_linenumber, j AS place, round(CASE WHEN u > 0 AND u < 4 THEN ({_BASIS}) / 6 ELSE 0 END, 6) AS value FROM b""")
+@query("e7_basis", f"""WITH s AS (SELECT min(l_quantity) AS lo, max(l_quantity) AS hi FROM lineitem), x AS (SELECT l_orderkey, l_linenumber, (l_quantity - lo) / ((hi - lo) / 5) + 3 AS v FROM lineitem, s),
+    b AS (SELECT l_orderkey, l_linenumber, j, v - j AS u FROM x, range(7) q(j)) SELECT l_orderkey, l_linenumber, j AS place, round(CASE WHEN u > 0 AND u < 4 THEN ({_BASIS}) / 6 ELSE 0 END, 6) AS value FROM b""")
 def spline_basis(spark, sf_dir):
     """Cubic basis functions of the quantity, on six knots."""
     items = read(spark, sf_dir, "lineitem")

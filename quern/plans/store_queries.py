@@ -108,12 +108,12 @@ def outcome_counters(spark, sf_dir):
     return out.select("ns", "expr", "seen", "success", "failure", r("total_delta_score", 4), r("total_selected_score", 4))
 
 
-@query("f5_index_search", "SELECT doc_id, lang FROM documents WHERE contains(lower(text), 'river') AND contains(lower(text), 'ation')")
+@query("f5_index_search", "SELECT doc_id, lang FROM documents WHERE contains(lower(text), 'tion') AND contains(lower(text), 'que ')")
 def index_search(spark, sf_dir):
     """Documents that hold two strings, by posting lists."""
     docs = read(spark, sf_dir, "documents")
     index = TextIndex(spark).build(docs, "doc_id", "text")
-    return index.search(docs, "doc_id", "text", ["River", "ation"]).select("doc_id", "lang")
+    return index.search(docs, "doc_id", "text", ["TION", "que "]).select("doc_id", "lang")
 
 
 @query("t8_index_top", "WITH s AS (SELECT doc_id, CAST(contains(lower(text), 'tion') AS INT) + CAST(contains(lower(text), 'que ') AS INT) + CAST(contains(lower(text), 'ung') AS INT) AS score FROM documents) SELECT doc_id, score FROM s WHERE score > 0 ORDER BY score DESC, doc_id LIMIT 50")
