@@ -109,6 +109,14 @@ def forecast(
     levels = df.select(*by, F.col(order).alias("_o"), F.col(y).cast("double").alias("_y"))
     state = _joined(last(levels, "_y", period * sd + d + 1), last(z, "_z", max([1, *own])), by)
     state = _joined(_joined(state, last(z, "_e", max([1, *past])), by), fitted.drop("n"), by)
+    return ahead(state, by, horizon, spec, seasonal)
+
+
+def ahead(state: DataFrame, by: list[str], horizon: int, spec: tuple[int, int, int], seasonal: tuple[int, int, int, int]) -> DataFrame:
+    """Forecasts from each series' state: last levels (_y), differences (_z) and residuals (_e), oldest first, and its coefficients."""
+    (_, d, _), (_, sd, _, period) = spec, seasonal
+    period = max(1, period)
+    own, past = _lags(spec, seasonal)
 
     def step(acc: Column, _: Column) -> Column:
         value = F.col("intercept")

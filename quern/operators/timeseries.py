@@ -299,15 +299,17 @@ def arima(
     """Forecasts (step, yhat) of an autoregression on (seasonal) differences by least squares, series by series.
 
     d and D are 0 or 1. The backend ``least_squares`` leaves moving-average orders out of the fit; ``two_stage`` (``arma.forecast``)
-    has them, without exogenous columns. The columns fitted and ignored tell the orders. ``future``
+    and ``likelihood`` (``arma_likelihood.forecast``) have them, without exogenous columns. The columns fitted and ignored tell the orders. ``future``
     has the series keys, step (from 1) and the exogenous columns. The fit is a k x k aggregate
     for each series, forecasts are folded in the JVM from each series' last rows.
     """
-    from quern.operators import arma
+    from quern.operators import arma, arma_likelihood
 
-    if backend == "two_stage":
+    if backend in ("two_stage", "likelihood"):
         if exogenous:
-            raise ValueError("the two-stage fit takes no exogenous columns")
+            raise ValueError(f"the backend {backend} takes no exogenous columns")
+        if backend == "likelihood":
+            return arma_likelihood.forecast(df, y, order, by, horizon, spec, seasonal, trend)
         return arma.forecast(df, y, order, by, horizon, spec, seasonal, trend, ridge)
     (p, d, q), (sp, sd, sq, period) = spec, seasonal
     exogenous = exogenous or []

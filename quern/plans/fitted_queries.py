@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quern.operators import arma, decomposition, sparse_var, splines
+from quern.operators import arma, arma_likelihood, decomposition, sparse_var, splines
 from quern.plans.tables import FLAG_DAYS, brand_days, flag_days, r, read
 
 QUERIES: dict = {}
@@ -42,6 +42,13 @@ def moving_average_fit(spark, sf_dir):
     return fitted.select("series", r("intercept", 5), r(F.col("ma")[0], 5, "ma_1"), "n")
 
 
+@query("w21_arima_likelihood", None)
+def arima_likelihood(spark, sf_dir):
+    """First differences with one lag and one moving average, at the greatest conditional likelihood, series by series."""
+    out = arma_likelihood.fit(flag_days(spark, sf_dir), "y", "d", ["series"], (1, 1, 1))
+    return out.select("series", r("intercept", 4), r(F.col("ar")[0], 4, "ar_1"), r(F.col("ma")[0], 4, "ma_1"), "n", r("loglik", 2), r("aic", 2), r("bic", 2), "converged")
+
+
 def _brand_table(spark, sf_dir):
     return brand_days(spark, sf_dir).groupBy("d").pivot("brand").agg(F.first("ret")).fillna(0.0)
 
