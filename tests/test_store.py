@@ -176,6 +176,23 @@ def test_near_vectors_by_brute_force(spark, radius, pivots):
         assert near_vectors.candidates(distinct.where("size(v) = 4"), radius, pivots).count() < 200 * 199 / 2 / 5
 
 
+@pytest.mark.parametrize("dense", [0.0, 2.0])
+def test_near_vectors_by_products_and_by_cells(spark, monkeypatch, dense):
+    """Both ways find the same pairs: many dimensions and a wide radius, more chunks than one, some of them empty."""
+    monkeypatch.setattr(near_vectors, "DENSE", dense)
+    monkeypatch.setattr(near_vectors, "CHUNK_ROWS", 7)
+    monkeypatch.setattr(near_vectors, "TILE", 4)
+    x = np.random.default_rng(3).normal(0, 1, (60, 16))
+    df = spark.createDataFrame([(f"k{i}", v.tolist()) for i, v in enumerate(x)], "id string, v array<double>")
+    found, _ = near_vectors.near_pairs(df, "id", "v", 5.0)
+    got = [(r.a, r.b, r.distance) for r in found.collect()]
+    want = {tuple(sorted((f"k{i}", f"k{j}"))): float(np.linalg.norm(x[i] - x[j])) for i in range(60) for j in range(i)}
+    want = {k: d for k, d in want.items() if d <= 5.0}
+    assert len(got) == len(want) > 100 and all(d == pytest.approx(want[a, b]) for a, b, d in got)
+    # Products join no rows.
+    assert ("Join" in found._jdf.queryExecution().optimizedPlan().toString()) == (dense > 1)
+
+
 def test_near_vectors_of_nothing(spark):
     empty = spark.createDataFrame([], "id int, v array<float>")
     assert near_vectors.near_pairs(empty, "id", "v", 1.0)[0].count() == 0
