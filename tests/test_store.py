@@ -161,6 +161,19 @@ def test_index_finds_what_a_scan_finds(spark):
     assert [(r.id, r.score) for r in index.top(table, "id", "text", ["river", "glass"], 5).collect()] == sorted(((i, s) for i, t in rows if (s := sum(w in (t or "").lower() for w in ("river", "glass")))), key=lambda x: (-x[1], x[0]))[:5]
 
 
+def test_index_holds_lists_by_segment(spark):
+    """A row for each gram of a segment; every text's grams are held once, those beyond the basic plane and on any partitioning too."""
+    rows = [(i, t) for i, t in enumerate(["abcabc", "ABC\U0001f600\U0001f600x", "ab", "", None, "xabcx" * 50, "\U0001f600\U0001f600x"])]
+    table = spark.createDataFrame(rows, "id int, text string")
+    want = sum(len({t.lower()[k : k + 3] for k in range(len(t.lower()) - 2)}) for _, t in rows if t)
+    for parts in (1, 3):
+        index = TextIndex(spark).build(table.repartition(parts), "id", "text")
+        lists = index.postings().select("bucket", "gram", "keys", "n").collect()
+        assert sum(r.n for r in lists) == sum(len(set(r["keys"])) for r in lists) == want
+        assert parts > 1 or len(lists) == len({r.gram for r in lists}) < want
+        assert {r.id for r in index.search(table, "id", "text", ["\U0001f600\U0001f600X"]).collect()} == {1, 6}
+
+
 @pytest.mark.parametrize("radius,pivots", [(0.3, 8), (1.0, 3), (5.0, 16)])
 def test_near_vectors_by_brute_force(spark, radius, pivots):
     rng = np.random.default_rng(7)
