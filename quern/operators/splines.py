@@ -1,6 +1,6 @@
 """Additive models of B-splines with a ridge penalty, cross-validated in one pass.
 
-Basis functions on equal steps are closed forms of a column, so they stay in the JVM's generated code. Every fold's sums of products
+Basis functions on equal steps are closed forms of a column: generated code in the JVM where they are the result, arrays in tasks where they are summed. Every fold's sums of products
 come from one pass over the rows; the fit without a fold is the total's sums less that fold's, so each penalty
 and each fold is a small solve and no second look at the data. Only folds x k x k sums reach the driver.
 """
@@ -53,11 +53,17 @@ class Spline:
 
     def values(self, x: np.ndarray) -> np.ndarray:
         at = (np.clip(x, self.low, self.high) - self.low) / ((self.high - self.low) / (self.knots - 1)) + self.degree
-        out = np.zeros((len(x), self.size))
+        n, places = self.degree, self.size + self.degree + 1
+        # Every function is a sum of a few of the same truncated powers, so these are worked out once for all of them.
+        over = np.maximum(at[:, None] - np.arange(places), 0.0)
+        powers = (over > 0).astype(float)
+        for _ in range(n):
+            powers *= over
+        weights = np.zeros((places, self.size))
         for j in range(self.size):
-            u = at - j
-            total = sum((-1) ** i * comb(self.degree + 1, i) * np.maximum(u - i, 0) ** self.degree for i in range(self.degree + 1)) / factorial(self.degree)
-            out[:, j] = np.where((u > 0) & (u < self.degree + 1), total, 0.0)
+            for i in range(n + 2):
+                weights[j + i, j] = (-1) ** i * comb(n + 1, i) / factorial(n)
+        out = powers @ weights
         return out
 
 
@@ -97,22 +103,28 @@ class Sums:
         return float(v @ self.xx @ v - 2 * w[0] * (v @ self.x) + self.n * w[0] ** 2)
 
 
-def fold_sums(df: DataFrame, columns: list[Column], target: Column, fold: Column) -> dict[int, Sums]:
-    """Sums of each fold (a whole number), in one pass; rows that miss a value go."""
-    k = len(columns) + 1
+def fold_sums(df: DataFrame, columns: list[Column], target: Column, fold: Column, bases: list[Spline | None] | None = None) -> dict[int, Sums]:
+    """Sums of each fold (a whole number), in one pass; rows that miss a value go.
+
+    With ``bases``, one for each column, the columns are followed by each one's basis functions (by itself, if None). Tasks work
+    these out from the column, so that no more than it goes to Python.
+    """
+    added = sum(1 if s is None else s.size for s in bases or [])
+    k, given = len(columns) + added + 1, len(columns) + 1
     if k > MOST_COLUMNS:
         raise ValueError(f"more than {MOST_COLUMNS} columns")
-    names = [f"c{i}" for i in range(k)]
+    names = [f"c{i}" for i in range(given)]
     rows = df.select(fold.cast("int").alias("fold"), *(c.cast("double").alias(n) for c, n in zip([*columns, target], names, strict=True))).dropna()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: dict[int, np.ndarray] = {}
         for batch in batches:
             fold = batch.column(0).to_numpy()
-            x = np.column_stack([np.ones(len(fold)), *(c.to_numpy(zero_copy_only=False) for c in batch.columns[1:])])
+            *own, target = (c.to_numpy(zero_copy_only=False) for c in batch.columns[1:])
+            x = np.column_stack([np.ones(len(fold)), *own, *(c if s is None else s.values(c) for c, s in zip(own, bases or [], strict=False)), target])
             for f in np.unique(fold).tolist():
-                own = x[fold == f]
-                found[f] = found.get(f, 0) + own.T @ own
+                part = x[fold == f]
+                found[f] = found.get(f, 0) + part.T @ part
         for f, s in found.items():
             i, j = (a.ravel() for a in np.indices(s.shape))
             yield pa.RecordBatch.from_arrays([pa.array(np.full(i.size, f)), pa.array(i), pa.array(j), pa.array(s.ravel())], names=["fold", "i", "j", "s"])
@@ -144,15 +156,14 @@ def linearity(df: DataFrame, features: list[str], target: Column, fold: Column,
     scaled = {f: (F.col(f) - (stats[f"m_{f}"] or 0.0)) / (stats[f"s_{f}"] or 1.0) for f in features}
     rows = df.select(*(c.alias(f) for f, c in scaled.items()), target.cast("double").alias("_t"), fold.cast("int").alias("_f"))
     splines = plan(rows, features, knots, degree)
-    basis: list[Column] = []
     at: dict[str, int] = {}
+    k = 0
     for f, s in splines.items():
-        at[f] = len(basis)
-        basis += [F.col(f)] if s is None else s.columns(F.col(f))
-    plain = [F.col(f) for f in features]
-    folds = fold_sums(rows, [*plain, *basis], F.col("_t"), F.col("_f"))
+        at[f] = k
+        k += 1 if s is None else s.size
+    folds = fold_sums(rows, [F.col(f) for f in features], F.col("_t"), F.col("_f"), [splines[f] for f in features])
     pick = lambda keep: {f: Sums(s.n, s.x[keep], s.xx[np.ix_(keep, keep)]) for f, s in folds.items()}
-    m, k = len(features), len(basis)
+    m = len(features)
     straight, curved = pick([*range(m), m + k]), pick([*range(m, m + k), m + k])
     alpha, _, w = cross_validate(curved, alphas)
     total = lambda parts: Sums(sum(s.n for s in parts.values()), sum(s.x for s in parts.values()), sum(s.xx for s in parts.values()))

@@ -145,6 +145,18 @@ def test_cross_validation_equals_refits(spark):
         splines.cross_validate({0: sums[0]})
 
 
+def test_fold_sums_work_out_bases_in_tasks(spark):
+    """A column and its basis functions, worked out in tasks, have the sums of the same functions as columns."""
+    df = spark.createDataFrame([(i % 3, float(i % 17) / 2, float(i % 5), float(i * i % 23)) for i in range(200)] + [(0, None, 1.0, 1.0)], "f int, a double, b double, y double")
+    for degree in (1, 2, 3):
+        s = splines.Spline("a", 0.0, 8.0, 6, degree)
+        got = splines.fold_sums(df, [df.a, df.b], df.y, df.f, [s, None])
+        want = splines.fold_sums(df, [df.a, df.b, *s.columns(df.a), df.b], df.y, df.f)
+        assert got.keys() == want.keys() == {0, 1, 2}
+        for f in want:
+            assert got[f].n == want[f].n and got[f].x == pytest.approx(want[f].x, abs=1e-9) and got[f].xx == pytest.approx(want[f].xx, abs=1e-8)
+
+
 def test_curves_are_told_from_lines(spark):
     rng = np.random.default_rng(6)
     x = rng.uniform(-2, 2, (3000, 2))
