@@ -106,7 +106,7 @@ def neighbours(entries: DataFrame, roles: int = 12) -> DataFrame:
     """key, arm and other of each entry: by context and artifacts up and down, role companions (the first of the
     same kind), explicit companions, missing ones, and entries that name it.
 
-    ``entries`` has key, kind, companions (array of keys) and the array fields of ``ARMS``. All arms are equi-joins on
+    ``entries`` has key (unique), kind, companions (array of keys) and the array fields of ``ARMS``. All arms are equi-joins on
     exploded values; values that very many entries hold give as many rows as the answer has.
     """
     none = F.array().cast("array<string>")
@@ -116,10 +116,11 @@ def neighbours(entries: DataFrame, roles: int = 12) -> DataFrame:
         left = entries.select("key", F.explode(F.array_distinct(F.transform(field(own), F.lower))).alias("_v"))
         right = entries.select(F.col("key").alias("other"), F.explode(F.array_distinct(F.transform(field(other), F.lower))).alias("_v"))
         parts.append(left.join(right, "_v").where("key != other").select("key", F.lit(arm).alias("arm"), "other").distinct())
+    # The first of each kind as one short list, so an entry is one row until its own peers are taken: none is sorted by key again.
     first = entries.select("kind", F.col("key").alias("other"), F.row_number().over(Window.partitionBy("kind").orderBy("key")).alias("_r")).where(F.col("_r") <= roles + 1)
-    peers = entries.select("key", "kind").join(first, "kind").where("key != other")
-    peers = peers.withColumn("_p", F.row_number().over(Window.partitionBy("key").orderBy("other"))).where(F.col("_p") <= roles)
-    parts.append(peers.select("key", F.lit("role_companion").alias("arm"), "other"))
+    lists = first.groupBy("kind").agg(F.sort_array(F.collect_list("other")).alias("_first"))
+    peers = F.slice(F.filter("_first", lambda x: x != F.col("key")), 1, roles)
+    parts.append(entries.select("key", "kind").join(lists, "kind").select("key", F.lit("role_companion").alias("arm"), F.explode(peers).alias("other")))
     named = entries.select("key", F.explode(F.array_distinct(field("companions"))).alias("other"))
     known = entries.select(F.col("key").alias("other"))
     parts.append(named.join(known, "other", "left_semi").select("key", F.lit("companion").alias("arm"), "other"))

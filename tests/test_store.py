@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quern.functions import derivatives as D
 from quern.functions import expressions as X
-from quern.operators import near_vectors, payloads, pool, sampling
+from quern.operators import catalog, near_vectors, payloads, pool, sampling
 from quern.operators.text_index import TextIndex
 from quern.sources.store import Conflict, TableStore
 from quern.streaming import counters, events
@@ -213,6 +213,26 @@ def test_near_vectors_of_nothing(spark):
         near_vectors.near_pairs(spark.createDataFrame([(1, [1.0])], "id int, v array<float>"), "id", "v", 0.0)
 
 
+def test_pool_changes_are_one_aggregate(spark):
+    """Keys that come twice or are null are one key; no side is sorted for a join."""
+    before, after = (spark.createDataFrame([(k,) for k in ks], "key string") for ks in (["a", "a", "b", None, "c"], ["b", "d", "d", None]))
+    out = pool.changes(before, after, "key")
+    assert sorted(map(tuple, out.collect())) == [("a", "removed"), ("c", "removed"), ("d", "added")]
+    assert "Join" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_role_companions_by_brute_force(spark):
+    """The first others of a kind, for kinds smaller and larger than the number of roles; entries are not sorted by key for them."""
+    rng = random.Random(4)
+    kinds = {f"k{i}": rng.choice(["a", "a", "a", "b", "c", None]) for i in range(40)} | {"z": "alone"}
+    table = spark.createDataFrame(list(kinds.items()), "key string, kind string")
+    out = catalog.neighbours(table, 5)
+    want = {(k, "role_companion", o) for k, kind in kinds.items() if kind for o in sorted(o for o, x in kinds.items() if x == kind and o != k)[:5]}
+    got = [tuple(r) for r in out.collect()]
+    assert set(got) == want and len(got) == len(want)
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("Window [") == 1
+
+
 def test_pruning_equals_the_walk(spark):
     rng = random.Random(11)
     rows = [(f"t{i}", "f", float(rng.randrange(3)), [i], round(rng.uniform(-1, 1), 1)) for i in range(60)]
