@@ -88,9 +88,14 @@ def dedupe(pool: DataFrame, key: str, order: str) -> DataFrame:
 
 
 def changes(before: DataFrame, after: DataFrame, key: str) -> DataFrame:
-    """Keys added and removed between two pools."""
-    added = after.join(before, key, "left_anti").select(key, F.lit("added").alias("change"))
-    return added.unionByName(before.join(after, key, "left_anti").select(key, F.lit("removed").alias("change")))
+    """Keys added and removed between two pools, each once; null is a key.
+
+    One aggregate over both sides, so a task holds one map of its keys, in place of both sides' sets, sorted, and twice.
+    """
+    side = lambda pool, n: pool.select(key, F.lit(n).cast("byte").alias("_side"))
+    sides = side(before, 0).unionByName(side(after, 1)).groupBy(key).agg(F.min("_side").alias("_low"), F.max("_side").alias("_high"))
+    return sides.where("_low = _high").select(key, F.when(F.col("_low") == 1, "added").otherwise("removed").alias("change"))
+
 
 
 def correlation_pairs(df: DataFrame, columns: dict[str, Column], threshold: float = 0.0) -> DataFrame:

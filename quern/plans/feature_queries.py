@@ -459,7 +459,7 @@ def overlap(spark, sf_dir):
 def pool_changes(spark, sf_dir):
     early = F.col("l_shipdate") < F.lit("1998-01-01").cast("date")
     x = read(spark, sf_dir, "lineitem")
-    part = lambda where: x.where(where).select(F.concat_ws("-", "l_partkey", "l_suppkey").alias("key")).distinct()
+    part = lambda where: x.where(where).select(F.concat_ws("-", "l_partkey", "l_suppkey").alias("key"))
     return pool.changes(part(early), part(~early), "key")
 
 
