@@ -1,7 +1,7 @@
 """Nested JSON payloads as VARIANT: flattened to strings at any depth, and read at a path.
 
-A level of nesting is one generator over all rows, so the number of passes is the depth of the deepest payload; a payload's
-pieces are put in order by their places and gathered by row, which its own size bounds.
+A payload is opened within its row: its pieces stand in order, and each level of nesting replaces those that are objects or arrays by what they
+hold. So nothing is shuffled or gathered; only rows that nest deeper than ``STEP`` levels are gone over again.
 """
 
 from __future__ import annotations
@@ -9,46 +9,44 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quern.runtime import hand_over, materialize, scope
+from quern.runtime import materialize
 
-#: Deeper payloads than this raise.
-MOST_LEVELS = 1000
+#: Deeper payloads than this raise; levels opened in one pass.
+MOST_LEVELS, STEP = 1000, 7
 
 
-def pieces(df: DataFrame, key: str, payload: str) -> DataFrame:
-    """``key``, ``place`` and ``text`` of every key and scalar of the JSON texts in ``payload``; blank and null ones go.
-
-    A key comes before what it holds, members in order of their keys (as VARIANT keeps them), elements in theirs; ``place``
-    sorts them. Texts that are no JSON have no pieces.
-    """
-    spark = df.sparkSession
-    with scope(spark):
-        now = df.select(F.col(key).alias("_k"), F.try_parse_json(F.col(payload).cast("string")).alias("v"), F.array().cast("array<int>").alias("place"))
-        found = None
-        for level in range(MOST_LEVELS + 1):
-            kind = F.schema_of_variant("v")
-            now = materialize(now.where("v is not null").withColumn("nested", kind.startswith("OBJECT") | kind.startswith("ARRAY")), "payload-level")
-            flat = now.where(~F.col("nested")).select("_k", "place", F.trim(F.try_variant_get("v", "$", "string")).alias("text"))
-            found = flat if found is None else found.unionByName(flat)
-            deep = now.where("nested")
-            if deep.isEmpty():
-                break
-            if level == MOST_LEVELS:
-                raise ValueError(f"payloads nest deeper than {MOST_LEVELS} levels")
-            deep.createOrReplaceTempView("quern_payload_level")
-            opened = spark.sql("SELECT p._k, p.place, e.pos, e.key AS name, e.value AS v FROM quern_payload_level p, LATERAL variant_explode(p.v) e")
-            names = opened.where("name is not null").select("_k", F.concat("place", F.array(2 * F.col("pos"))).alias("place"), F.trim("name").alias("text"))
-            found = found.unionByName(names)
-            now = opened.select("_k", "v", F.concat("place", F.array(2 * F.col("pos") + 1)).alias("place"))
-        spark.catalog.dropTempView("quern_payload_level")
-        return hand_over(found.where("text <> ''").select(F.col("_k").alias(key), "place", "text"), "payload-pieces")
+def _opened(piece: Column) -> Column:
+    """The pieces that a piece (text or v) holds: a key comes before its value, members in order of their keys (as VARIANT keeps them), elements in theirs."""
+    done = lambda text: F.struct(F.trim(text).alias("text"), F.lit(None).cast("variant").alias("v"))
+    rest = lambda v: F.struct(F.lit(None).cast("string").alias("text"), v.alias("v"))
+    members = F.map_entries(F.try_variant_get(piece["v"], "$", "map<string,variant>"))
+    elements = F.try_variant_get(piece["v"], "$", "array<variant>")
+    held = F.coalesce(
+        F.flatten(F.transform(members, lambda m: F.array(done(m["key"]), rest(m["value"])))),
+        F.transform(elements, rest),
+        F.array(done(F.try_variant_get(piece["v"], "$", "string"))),
+    )
+    return F.when(piece["v"].isNull(), F.array(piece)).otherwise(held)
 
 
 def flattened(df: DataFrame, key: str, payload: str) -> DataFrame:
-    """``key`` and ``strings``: every key and scalar of the payload, in order; none for null, blank and broken payloads. ``key`` is unique."""
-    held = pieces(df, key, payload).groupBy(key).agg(F.sort_array(F.collect_list(F.struct("place", "text"))).alias("p"))
-    out = df.select(key).join(held, key, "left")
-    return out.select(key, F.coalesce(F.col("p.text"), F.array().cast("array<string>")).alias("strings"))
+    """``key`` and ``strings``: every key and scalar of the payload, in order, trimmed; blank and null ones go. None for null, blank and broken payloads."""
+    whole = F.struct(F.lit(None).cast("string").alias("text"), F.try_parse_json(F.col(payload).cast("string")).alias("v"))
+    now, parts = df.select(F.col(key), F.array(whole).alias("p")), []
+    for _ in range(0, MOST_LEVELS + 1, STEP):
+        for _ in range(STEP):
+            now = now.withColumn("p", F.filter(F.flatten(F.transform("p", _opened)), lambda x: x["v"].isNotNull() | (x["text"] != "")))
+        now = materialize(now.withColumn("open", F.exists("p", lambda x: x["v"].isNotNull())), "payload-pieces")
+        parts.append(now.where("not open").select(key, F.col("p.text").alias("strings")))
+        now = now.where("open").drop("open")
+        if now.isEmpty():
+            break
+    else:
+        raise ValueError(f"payloads nest deeper than {MOST_LEVELS} levels")
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
 
 
 def read_path(payload: str | Column, path: str, kind: str = "string") -> Column:

@@ -213,6 +213,16 @@ def test_near_vectors_of_nothing(spark):
         near_vectors.near_pairs(spark.createDataFrame([(1, [1.0])], "id int, v array<float>"), "id", "v", 0.0)
 
 
+def test_payloads_are_opened_within_their_rows(spark):
+    """Payloads deeper than one pass, with rows of one key, and no join or aggregate that gathers pieces."""
+    deep = '{"k": [" x ", ' * 9 + "null, 1.5" + "]}" * 9
+    rows = [(1, deep), (1, '{"b": {"z": true, "a": [[]]}, "a": "  "}'), (2, None), (3, "{broken"), (4, "[7, {}]")]
+    out = payloads.flattened(spark.createDataFrame(rows, "id int, p string"), "id", "p")
+    assert sorted((r.id, list(r.strings)) for r in out.collect()) == [(1, ["a", "b", "a", "z", "true"]), (1, ["k", "x"] * 9 + ["1.5"]), (2, []), (3, []), (4, ["7"])]
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "Aggregate" not in plan
+
+
 def test_pool_changes_are_one_aggregate(spark):
     """Keys that come twice or are null are one key; no side is sorted for a join."""
     before, after = (spark.createDataFrame([(k,) for k in ks], "key string") for ks in (["a", "a", "b", None, "c"], ["b", "d", "d", None]))
